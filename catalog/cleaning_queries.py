@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEY, cleaned, nulled, query, raw, table
+from catalog.base import KEY, clean_lazily, nulled, query, raw, table
 from catalog.oracle import (
     CATEGORY_SQL,
     COLUMNS,
@@ -128,17 +128,17 @@ def _chain(threshold: int = 14, impute: bool = True, promote: bool = True) -> st
 
 @query("clean_visits", _chain())
 def clean_visits(spark, sf_dir):
-    return cleaned(spark, sf_dir, order_by=KEY)
+    return clean_lazily(spark, sf_dir, order_by=KEY)
 
 
 @query("clean_visits_perturbed", _chain(threshold=13))
 def clean_visits_perturbed(spark, sf_dir):
-    return cleaned(spark, sf_dir, order_by=KEY, gcs_threshold=13)
+    return clean_lazily(spark, sf_dir, order_by=KEY, gcs_threshold=13)
 
 
 @query("clean_visits_unimputed", _chain(impute=False, promote=False))
 def clean_visits_unimputed(spark, sf_dir):
-    return cleaned(spark, sf_dir, order_by=KEY, impute_gcs=False, fix_ct_tbi=False)
+    return clean_lazily(spark, sf_dir, order_by=KEY, impute_gcs=False, fix_ct_tbi=False)
 
 
 @query("clean_visits_report", cleaned_sql(report_sql(sql_rules(), "cleaned")))

@@ -49,8 +49,8 @@ def metrics_sql(y: str, pred: str, source: str, by: str | None = None) -> str:
     FROM {source} WHERE {y} IS NOT NULL AND {pred} IS NOT NULL{f' GROUP BY {by}' if by else ''}"""
 
 
-def _frame(spark, sf_dir, **switches):
-    return model_frame(cleaned(spark, sf_dir, **switches))
+def _frame(spark, sf_dir):
+    return model_frame(cleaned(spark, sf_dir))
 
 
 @query("modelling_population", cleaned_sql(f"SELECT event_id, {OUTCOME}, {', '.join(FEATURES)} FROM frame", **FRAME))

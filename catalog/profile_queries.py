@@ -116,7 +116,7 @@ def count_many_columns(spark, sf_dir):
 
 def _histogram_sql(col: str, source: str, bins: int) -> str:
     return f"""SELECT CAST(b AS INTEGER) AS bin, lo + b * ((hi - lo) / {bins}) AS lower, lo + (b + 1) * ((hi - lo) / {bins}) AS upper,
-    (SELECT count(*) FROM {source} WHERE least(floor((CAST({col} AS DOUBLE) - lo) / ((hi - lo) / {bins})), {bins - 1}) = b) AS n
+    (SELECT count(*) FROM {source} WHERE {col} IS NOT NULL AND least(floor((CAST({col} AS DOUBLE) - lo) / ((hi - lo) / {bins})), {bins - 1}) = b) AS n
     FROM (SELECT CAST(min({col}) AS DOUBLE) AS lo, CAST(max({col}) AS DOUBLE) AS hi FROM {source}), (SELECT unnest(range({bins})) AS b)"""
 
 

@@ -20,7 +20,7 @@ from catalog.oracle import (
 )
 from wardbook.functions.predicates import equals, one_of
 from wardbook.operators import rates, risk
-from wardbook.operators.project import band_left, bin_right
+from wardbook.operators.project import band_left, bin_right, flag_at_least
 from wardbook.plans import findings
 from wardbook.plans import head_trauma as study
 
@@ -430,7 +430,7 @@ def risk_ratio_stability(spark, sf_dir):
 )
 def population_stability(spark, sf_dir):
     def sizes(threshold):
-        visits = cleaned(spark, sf_dir, gcs_threshold=threshold)
+        visits = flag_at_least(cleaned(spark, sf_dir), T, threshold, study.PRIMARY_FLAG)
         return visits.groupBy(study.PRIMARY_FLAG).agg(F.count(F.lit(1)).alias("n"))
 
     return risk.compare_runs(sizes(14), sizes(13), [study.PRIMARY_FLAG], "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEY, cleaned, named, query, raw
+from catalog.base import KEY, clean_lazily, named, query, raw
 from catalog.oracle import CODED, COLUMNS, cleaned_sql, count_if, named_sql, raw_sql, union_rows
 from wardbook.functions.literals import literal_rows
 from wardbook.operators.profile import missing_profile
@@ -42,7 +42,7 @@ def read_name_mapping(spark, sf_dir):
 
 @query("write_cleaned_parquet", cleaned_sql("SELECT * FROM cleaned"))
 def write_cleaned_parquet(spark, sf_dir):
-    path = write_cleaned(cleaned(spark, sf_dir), scratch_path(spark, "cleaned"))
+    path = write_cleaned(clean_lazily(spark, sf_dir), scratch_path(spark, "cleaned"))
     return spark.read.parquet(path)
 
 
