@@ -105,7 +105,7 @@ def fill_order_id_gaps(spark, sf_dir):
 
 @query("fill_newborn_months", nulled_sql(f"SELECT event_id, {MONTHS_SQL} AS patient_age_months FROM nulled"))
 def fill_newborn_months(spark, sf_dir):
-    filled = cleaning.fill_when(nulled(spark, sf_dir), "patient_age_months", F.col("patient_age_years") == 0, 0)
+    filled = cleaning.fill_when(nulled(spark, sf_dir), "patient_age_months", "patient_age_years = 0", 0)
     return filled.select(KEY, "patient_age_months")
 
 

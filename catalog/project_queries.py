@@ -20,7 +20,8 @@ from catalog.oracle import (
     pct,
     raw_sql,
 )
-from wardbook.functions.predicates import not_one_of, one_of
+from wardbook.functions.predicates import any_of, not_one_of, one_of
+from wardbook.functions.predicates import count_if as count_where
 from wardbook.operators import filters, project
 from wardbook.operators.rates import rate_table
 from wardbook.plans import head_trauma as study
@@ -65,7 +66,7 @@ def null_sentinel_codes_but_age(spark, sf_dir):
     ),
 )
 def apply_types(spark, sf_dir):
-    return project.apply_types(nulled(spark, sf_dir), study.COLUMN_TYPES, study.VALID_CODES)
+    return project.apply_types(nulled(spark, sf_dir), study.COLUMN_TYPES)
 
 
 PLANTED_TEXT = "CASE WHEN has_vomiting_post_injury = 1 THEN 'n/a' ELSE concat(gcs_total_score, '.0') END"
@@ -236,11 +237,11 @@ def drop_missing_outcome(spark, sf_dir):
 )
 def code_membership(spark, sf_dir):
     """Code sets, positive and negated; a missing score is in neither."""
-    outside = not_one_of("gcs_eye_score", [1, 2, 3, 4]) | not_one_of("gcs_verbal_score", [1, 2, 3, 4, 5])
-    return nulled(spark, sf_dir).agg(
-        F.count_if(one_of(study.GCS_TOTAL, [14, 15])).alias("n_inside"),
-        F.count_if(outside).alias("n_outside"),
-        F.count_if(F.col("gcs_eye_score").isNull()).alias("n_unknown"),
+    outside = any_of([not_one_of("gcs_eye_score", [1, 2, 3, 4]), not_one_of("gcs_verbal_score", [1, 2, 3, 4, 5])])
+    return nulled(spark, sf_dir).selectExpr(
+        f"{count_where(one_of(study.GCS_TOTAL, [14, 15]))} AS n_inside",
+        f"{count_where(outside)} AS n_outside",
+        "count_if(gcs_eye_score IS NULL) AS n_unknown",
     )
 
 

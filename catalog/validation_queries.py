@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.base import KEY, cleaned, named, nulled, query, table
 from catalog.oracle import (
     CODED,
@@ -23,7 +21,7 @@ from catalog.oracle import (
     union_rows,
     violations_sql,
 )
-from wardbook.functions.predicates import absent, any_equals, equals
+from wardbook.functions.predicates import absent, all_of, any_equals, equals, known, negate
 from wardbook.operators import duplicates, rules, validate
 from wardbook.plans import head_trauma as study
 from wardbook.plans.cleaning import present_dependents, standard_rules
@@ -193,11 +191,13 @@ def check_cross_columns(spark, sf_dir):
     own = [
         rules.rule(
             "positive CT without a CT",
-            equals("head_ct_performed_in_ed", 0) & equals("ct_shows_tbi", 1) & ~equals("head_ct_performed", 1),
+            all_of(
+                [equals("head_ct_performed_in_ed", 0), equals("ct_shows_tbi", 1), negate(equals("head_ct_performed", 1))]
+            ),
             "ct_shows_tbi",
         ),
         rules.rule(
-            "CT outside the ED", absent("head_ct_performed_in_ed") & F.col("ct_shows_tbi").isNotNull(), "ct_shows_tbi"
+            "CT outside the ED", all_of([absent("head_ct_performed_in_ed"), known("ct_shows_tbi")]), "ct_shows_tbi"
         ),
     ]
     return validate.validate(nulled(spark, sf_dir), own)
@@ -224,7 +224,7 @@ def check_flag_covers_findings(spark, sf_dir):
     ),
 )
 def findings_among_violations(spark, sf_dir):
-    uncovered = absent("ct_shows_tbi") & any_equals(FINDINGS, 1)
+    uncovered = all_of([absent("ct_shows_tbi"), any_equals(FINDINGS, 1)])
     return validate.findings_among(nulled(spark, sf_dir), uncovered, FINDINGS)
 
 
@@ -239,7 +239,7 @@ COMBO = ["ct_shows_tbi", "ct_finding_skull_fracture", "skull_fracture_depressed"
     ),
 )
 def violation_combinations(spark, sf_dir):
-    uncovered = absent("ct_shows_tbi") & any_equals(FINDINGS, 1)
+    uncovered = all_of([absent("ct_shows_tbi"), any_equals(FINDINGS, 1)])
     return validate.combo_counts(nulled(spark, sf_dir).where(uncovered), COMBO)
 
 

@@ -1,48 +1,44 @@
-"""Turning numbers into labels."""
+"""Turning numbers into labels, as SQL expression text."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from wardbook.functions.predicates import literal, name
 
-from wardbook.functions.predicates import as_column
 
-
-def right_closed(col: str | Column, edges: Sequence[float], labels: Sequence) -> Column:
+def right_closed(col: str, edges: Sequence[float], labels: Sequence) -> str:
     """Label of the interval (lo, hi] holding the value; null outside all of them."""
     if len(edges) != len(labels) + 1:
         raise ValueError("need exactly one more edge than labels")
-    value = as_column(col)
-    out = F.lit(None)
-    for lo, hi, label in reversed(list(zip(edges[:-1], edges[1:], labels))):
-        out = F.when((value > lo) & (value <= hi), F.lit(label)).otherwise(out)
-    return out
+    value = name(col)
+    return _first(
+        (f"{value} > {literal(lo)} AND {value} <= {literal(hi)}", label)
+        for lo, hi, label in zip(edges[:-1], edges[1:], labels)
+    )
 
 
-def left_closed(col: str | Column, bands: Sequence[tuple]) -> Column:
+def left_closed(col: str, bands: Sequence[tuple]) -> str:
     """Label of the first band [lo, hi) holding the value; null outside all of them."""
-    value = as_column(col)
-    out = F.lit(None)
-    for lo, hi, label in reversed(bands):
-        out = F.when((value >= lo) & (value < hi), F.lit(label)).otherwise(out)
-    return out
+    value = name(col)
+    return _first((f"{value} >= {literal(lo)} AND {value} < {literal(hi)}", label) for lo, hi, label in bands)
 
 
-def above(col: str | Column, tiers: Sequence[tuple], default) -> Column:
+def above(col: str, tiers: Sequence[tuple], default) -> str:
     """Label of the first (cut, label) with value > cut, cuts given in descending order.
 
     A known value below all cuts gets ``default``; null stays null.
     """
-    value = as_column(col)
-    out = F.when(value.isNotNull(), F.lit(default))
-    for cut, label in reversed(tiers):
-        out = F.when(value > cut, F.lit(label)).otherwise(out)
-    return out
+    value = name(col)
+    cases = [(f"{value} > {literal(cut)}", label) for cut, label in tiers]
+    return _first([*cases, (f"{value} IS NOT NULL", default)])
 
 
-def up_to(col: str | Column, cut: float, low, high) -> Column:
+def up_to(col: str, cut: float, low, high) -> str:
     """``low`` for values up to and including the cut, ``high`` above it, null for null."""
-    value = as_column(col)
-    return F.when(value <= cut, F.lit(low)).when(value > cut, F.lit(high))
+    value = name(col)
+    return _first([(f"{value} <= {literal(cut)}", low), (f"{value} > {literal(cut)}", high)])
+
+
+def _first(cases) -> str:
+    return "CASE " + " ".join(f"WHEN {condition} THEN {literal(label)}" for condition, label in cases) + " END"

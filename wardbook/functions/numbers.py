@@ -1,60 +1,52 @@
-"""Number parsing, safe ratios and the Wilson interval."""
+"""Number parsing, safe ratios and the Wilson interval, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from wardbook.functions.predicates import literal, name
 
-from wardbook.functions.predicates import as_column
 
-
-def coerce_numeric(col: str | Column) -> Column:
+def coerce_numeric(col: str) -> str:
     """The value as DOUBLE, null where the text is not a number. NaN counts as missing."""
-    number = as_column(col).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return f"nullif(try_cast({name(col)} AS DOUBLE), double('NaN'))"
 
 
-def to_code(col: str | Column, dtype: str = "int") -> Column:
+def to_code(col: str, dtype: str = "int") -> str:
     """The value as an integer code, accepting "4" and "4.0"; anything else becomes null."""
     number = coerce_numeric(col)
-    return F.when(number == F.floor(number), number).try_cast(dtype)
+    return f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS {dtype}) END"
 
 
-def to_identifier(col: str | Column) -> Column:
+def to_identifier(col: str) -> str:
     """A text identifier as BIGINT without passing through DOUBLE, which is exact only to 2^53."""
-    text = as_column(col)
-    return F.coalesce(
-        text.try_cast("bigint"),
-        F.regexp_extract(text, r"^\s*([+-]?\d+)\.0*\s*$", 1).try_cast("bigint"),
-    )
+    text = name(col)
+    whole = f"regexp_extract({text}, '^\\\\s*([+-]?[0-9]+)[.]0*\\\\s*$', 1)"
+    return f"coalesce(try_cast({text} AS BIGINT), try_cast({whole} AS BIGINT))"
 
 
-def ratio(num: Column, den: Column) -> Column:
+def ratio(num: str, den: str) -> str:
     """num / den as DOUBLE, null when the denominator is 0."""
-    return F.try_divide(num.cast("double"), den.cast("double"))
+    return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
 
 
-def percent(num: Column, den: Column) -> Column:
-    return ratio(num * F.lit(100), den)
+def percent(num: str, den: str) -> str:
+    return ratio(f"(({num}) * 100)", den)
 
 
-def wilson_lower(cases: Column, n: Column, z: float = 1.96) -> Column:
+def wilson_lower(cases: str, n: str, z: float = 1.96) -> str:
     """Lower Wilson bound of a proportion in percent, not below 0; null for n = 0."""
     centre, margin = _wilson(cases, n, z)
-    return F.when(n > 0, F.greatest(F.lit(0.0), (centre - margin) * 100))
+    return f"CASE WHEN {n} > 0 THEN greatest(0D, ({centre} - {margin}) * 100) END"
 
 
-def wilson_upper(cases: Column, n: Column, z: float = 1.96) -> Column:
+def wilson_upper(cases: str, n: str, z: float = 1.96) -> str:
     """Upper Wilson bound of a proportion in percent, not above 100; null for n = 0."""
     centre, margin = _wilson(cases, n, z)
-    return F.when(n > 0, F.least(F.lit(100.0), (centre + margin) * 100))
+    return f"CASE WHEN {n} > 0 THEN least(100D, ({centre} + {margin}) * 100) END"
 
 
-def _wilson(cases: Column, n: Column, z: float) -> tuple[Column, Column]:
-    size = n.cast("double")
-    share = F.try_divide(cases.cast("double"), size)
-    spread = F.try_divide(F.lit(z * z), size)
-    shrink = 1 + spread
-    centre = (share + spread / 2) / shrink
-    variance = F.try_divide(share * (1 - share), size) + F.try_divide(spread, 4 * size)
-    return centre, F.lit(z) * F.sqrt(variance) / shrink
+def _wilson(cases: str, n: str, z: float) -> tuple[str, str]:
+    share, spread = ratio(cases, n), ratio(literal(z * z), n)
+    shrink = f"(1 + {spread})"
+    centre = f"(({share} + {spread} / 2) / {shrink})"
+    variance = f"({ratio(f'{share} * (1 - {share})', n)} + {ratio(spread, f'(4 * {n})')})"
+    return centre, f"({literal(z)} * sqrt({variance}) / {shrink})"

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.numbers import ratio
-from wardbook.functions.predicates import equals
+from wardbook.functions.predicates import all_of, count_if, equals, known, name
+from wardbook.operators.project import with_columns
 from wardbook.operators.ranking import running_totals
 
+RATES = {
+    "sensitivity": ratio("tp", "(tp + fn)"),
+    "specificity": ratio("tn", "(tn + fp)"),
+    "ppv": ratio("tp", "(tp + fp)"),
+    "npv": ratio("tn", "(tn + fn)"),
+    "accuracy": ratio("(tp + tn)", "(tp + tn + fp + fn)"),
+}
+
 
 def evaluate(
     df: DataFrame, y: str, pred: str, by: str | None = None, count: str | None = None, digits: int | None = None
@@ -19,61 +28,37 @@ def evaluate(
     column saying how many records a row stands for. A rate with denominator 0 is null.
     """
 
-    def tally(condition: Column) -> Column:
+    def tally(condition: str) -> str:
         if count is None:
-            return F.count_if(condition)
-        return F.coalesce(F.sum(F.when(condition, F.col(count))), F.lit(0)).cast("bigint")
-
-    known = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
-    counts = (known.groupBy(by) if by else known).agg(
-        tally(F.lit(True)).alias("n"),
-        tally(equals(y, 1)).alias("positives"),
-        *[
-            tally(equals(pred, p) & equals(y, t)).alias(name)
-            for name, p, t in (("tp", 1, 1), ("tn", 0, 0), ("fp", 1, 0), ("fn", 0, 1))
-        ],
-    )
-    rates = confusion_rates()
-    return counts.withColumns(
-        {name: rate if digits is None else F.round(rate, digits) for name, rate in rates.items()}
-    )
-
+            return count_if(condition)
+        return f"CAST(coalesce(sum(CASE WHEN {condition} THEN {name(count)} END), 0) AS BIGINT)"
 
-def confusion_rates() -> dict[str, Column]:
-    """Sensitivity, specificity, predictive values and accuracy from columns tp, tn, fp, fn."""
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    return {
-        "sensitivity": ratio(tp, tp + fn),
-        "specificity": ratio(tn, tn + fp),
-        "ppv": ratio(tp, tp + fp),
-        "npv": ratio(tn, tn + fn),
-        "accuracy": ratio(tp + tn, tp + tn + fp + fn),
+    cells = {"tp": (1, 1), "tn": (0, 0), "fp": (1, 0), "fn": (0, 1)}
+    measures = {"n": "true", "positives": equals(y, 1)} | {
+        cell: all_of([equals(pred, p), equals(y, t)]) for cell, (p, t) in cells.items()
     }
+    rows = df.where(all_of([known(y), known(pred)]))
+    counts = (rows.groupBy(by) if by else rows).agg(*[F.expr(f"{tally(c)} AS {m}") for m, c in measures.items()])
+    return with_columns(counts, {m: r if digits is None else f"round({r}, {digits})" for m, r in RATES.items()})
 
 
 def balanced_weight(df: DataFrame, y: str, out: str) -> DataFrame:
     """Add n / (2 n_c), which gives both classes of a 0/1 outcome the same total weight."""
-    sizes = df.select(
-        F.struct(F.count_if(equals(y, 1)).alias("ones"), F.count_if(equals(y, 0)).alias("zeros"))
+    sizes = df.selectExpr(
+        f"named_struct('ones', {count_if(equals(y, 1))}, 'zeros', {count_if(equals(y, 0))})"
     ).scalar()
-    ones, zeros = sizes.getField("ones"), sizes.getField("zeros")
-    own = F.when(equals(y, 1), ones).when(equals(y, 0), zeros)
-    return df.withColumn(out, ratio(ones + zeros, own * 2))
+    own = f"CASE {name(y)} WHEN 1 THEN __sizes.ones WHEN 0 THEN __sizes.zeros END"
+    weighted = df.withColumn("__sizes", sizes)
+    return with_columns(weighted, {out: ratio("(__sizes.ones + __sizes.zeros)", f"(2 * ({own}))")}).drop("__sizes")
 
 
-def _score_counts(df: DataFrame, score: str, y: str, *keys: Column) -> DataFrame:
-    known = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-    return known.groupBy(*keys, F.col(score).alias("score")).agg(
-        F.count_if(equals(y, 1)).alias("pos"), F.count_if(equals(y, 0)).alias("neg")
+def _score_counts(df: DataFrame, score: str, y: str, *keys: str) -> DataFrame:
+    rows = df.where(all_of([known(score), known(y)])).selectExpr(*keys, f"{name(score)} AS score", f"{name(y)} AS __y")
+    return rows.groupBy([c for c in rows.columns if c != "__y"]).agg(
+        F.expr("count_if(__y = 1) AS pos"), F.expr("count_if(__y = 0) AS neg")
     )
 
 
-def _highest_reaching(target: float, total_pos: Column) -> Column:
-    """The counts at the highest score whose cumulative sensitivity reaches the target."""
-    reached = ratio(F.col("tp"), total_pos) >= target
-    return F.max(F.when(reached, F.struct("score", "tp", "fp")))
-
-
 def threshold_for_sensitivity(df: DataFrame, score: str, y: str, target: float) -> DataFrame:
     """The highest score cut (inclusive) that finds at least the target share of the positives.
 
@@ -82,15 +67,16 @@ def threshold_for_sensitivity(df: DataFrame, score: str, y: str, target: float)
     """
     counts = _score_counts(df, score, y)
     curve = running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending=True)
-    sizes = counts.select(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
-    n_pos, n_neg = sizes.getField("pos"), sizes.getField("neg")
-    best = curve.agg(_highest_reaching(target, n_pos).alias("best"), F.first(n_pos).alias("p"), F.first(n_neg).alias("n"))
-    return best.select(
-        F.col("best.score").alias("threshold"),
-        F.col("best.tp").alias("tp"),
-        F.col("best.fp").alias("fp"),
-        ratio(F.col("best.tp"), F.col("p")).alias("sensitivity"),
-        ratio(F.col("n") - F.col("best.fp"), F.col("n")).alias("specificity"),
+    sizes = counts.selectExpr("named_struct('pos', sum(pos), 'neg', sum(neg))").scalar()
+    best = curve.withColumn("s", sizes).selectExpr(
+        f"max(CASE WHEN {ratio('tp', 's.pos')} >= {target}D THEN struct(score, tp, fp) END) AS best", "first(s) AS s"
+    )
+    return best.selectExpr(
+        "best.score AS threshold",
+        "best.tp AS tp",
+        "best.fp AS fp",
+        f"{ratio('best.tp', 's.pos')} AS sensitivity",
+        f"{ratio('(s.neg - best.fp)', 's.neg')} AS specificity",
     )
 
 
@@ -101,39 +87,40 @@ def cv_threshold(df: DataFrame, key: str, score: str, y: str, target: float, k:
     once; the counts, not the records, are then handed to the k - 1 training
     sets they belong to.
     """
-    counts = _score_counts(df, score, y, F.pmod(F.col(key), F.lit(k)).cast("int").alias("fold"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
+    counts = _score_counts(df, score, y, f"CAST(pmod({name(key)}, {k}) AS INT) AS fold")
     training = (
-        counts.select(F.explode(others).alias("held_out"), "score", "pos", "neg")
+        counts.selectExpr(f"explode(filter(sequence(0, {k - 1}), f -> f <> fold)) AS held_out", "score", "pos", "neg")
         .groupBy("held_out", "score")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .agg(F.expr("sum(pos) AS pos"), F.expr("sum(neg) AS neg"))
     )
     curve = running_totals(training, "score", {"pos": "tp", "neg": "fp"}, partition_by="held_out", descending=True)
-    sizes = training.groupBy("held_out").agg(F.sum("pos").alias("n_pos"))
+    # The tables broadcast from here on have one row per fold.
+    sizes = training.groupBy("held_out").agg(F.expr("sum(pos) AS n_pos"))
     thresholds = (
-        curve.join(F.broadcast(sizes), "held_out")
+        curve.join(sizes.hint("broadcast"), "held_out")
         .groupBy("held_out")
-        .agg(_highest_reaching(target, F.col("n_pos")).getField("score").alias("threshold"))
+        .agg(F.expr(f"max(CASE WHEN {ratio('tp', 'n_pos')} >= {target}D THEN score END) AS threshold"))
     )
-    flagged = F.col("score") >= F.col("threshold")
-    return (
-        counts.join(F.broadcast(thresholds), counts["fold"] == thresholds["held_out"])
+    cells = {
+        "tp": "sum(CASE WHEN score >= threshold THEN pos ELSE 0 END)",
+        "tn": "sum(CASE WHEN score >= threshold THEN 0 ELSE neg END)",
+        "fp": "sum(CASE WHEN score >= threshold THEN neg ELSE 0 END)",
+        "fn": "sum(CASE WHEN score >= threshold THEN 0 ELSE pos END)",
+    }
+    folds = (
+        counts.join(thresholds.hint("broadcast"), counts["fold"] == thresholds["held_out"])
         .groupBy("fold", "threshold")
         .agg(
-            F.sum(F.col("pos") + F.col("neg")).alias("n"),
-            F.sum("pos").alias("positives"),
-            F.sum(F.when(flagged, F.col("pos")).otherwise(0)).alias("tp"),
-            F.sum(F.when(flagged, F.lit(0)).otherwise(F.col("neg"))).alias("tn"),
-            F.sum(F.when(flagged, F.col("neg")).otherwise(0)).alias("fp"),
-            F.sum(F.when(flagged, F.lit(0)).otherwise(F.col("pos"))).alias("fn"),
+            F.expr("sum(pos + neg) AS n"),
+            F.expr("sum(pos) AS positives"),
+            *[F.expr(f"{expr} AS {cell}") for cell, expr in cells.items()],
         )
-        .withColumns({n: r for n, r in confusion_rates().items() if n in ("sensitivity", "specificity")})
     )
+    return with_columns(folds, {m: RATES[m] for m in ("sensitivity", "specificity")})
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
     """Mean threshold and metrics over the folds."""
-    return folds.agg(
-        F.count(F.lit(1)).alias("n_folds"),
-        *[F.avg(c).alias(f"mean_{c}") for c in ("threshold", "sensitivity", "specificity")],
+    return folds.selectExpr(
+        "count(*) AS n_folds", *[f"avg({c}) AS mean_{c}" for c in ("threshold", "sensitivity", "specificity")]
     )

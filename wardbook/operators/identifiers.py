@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from wardbook.functions.predicates import name
 from wardbook.operators.ranking import running_totals
 
 # Up to this many recovered ids (two BIGINTs each) are broadcast to the table;
@@ -19,13 +19,13 @@ def fill_id_gaps(df: DataFrame, id_col: str, order_by: str) -> DataFrame:
     ids run out the remaining rows stay null; unused ids left over stay unused;
     duplicate ids are not touched. One small aggregate runs when this is called.
     """
-    missing = F.col(id_col).isNull()
-    stats = df.agg(
-        F.min(id_col).alias("lo"),
-        F.max(id_col).alias("hi"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(missing).alias("n_missing"),
-        F.count_distinct(F.when(missing, F.col(order_by))).alias("n_keys"),
+    own, key, missing = name(id_col), name(order_by), f"{name(id_col)} IS NULL"
+    stats = df.selectExpr(
+        f"min({own}) AS lo",
+        f"max({own}) AS hi",
+        "count(*) AS n_rows",
+        f"count_if({missing}) AS n_missing",
+        f"count(DISTINCT CASE WHEN {missing} THEN {key} END) AS n_keys",
     ).first()
     if stats["n_missing"] == 0 or stats["lo"] is None:
         return df
@@ -33,30 +33,25 @@ def fill_id_gaps(df: DataFrame, id_col: str, order_by: str) -> DataFrame:
         raise ValueError(f"{order_by} must be unique and not null on rows without {id_col}")
 
     assigned = _assignments(df, id_col, order_by, stats)
-    kind = df.schema[id_col].dataType
+    kind = df.schema[id_col].dataType.simpleString()
+    filled = [f"coalesce({own}, CAST(__new_id AS {kind})) AS {own}" if c == id_col else name(c) for c in df.columns]
     if stats["n_missing"] <= MAX_BROADCAST_IDS:
-        joined = df.join(F.broadcast(assigned), df[order_by] == assigned["__key"], "left")
-        return joined.select(*_filled(df, id_col, kind))
+        small = assigned.hint("broadcast")
+        return df.join(small, df[order_by] == small["__key"], "left").selectExpr(*filled)
     without = df.where(missing)
     recovered = without.join(assigned, without[order_by] == assigned["__key"], "left")
-    return df.where(~missing).unionByName(recovered.select(*_filled(df, id_col, kind)))
-
-
-def _filled(df: DataFrame, id_col: str, kind) -> list:
-    return [
-        F.coalesce(F.col(c), F.col("__new_id").cast(kind)).alias(c) if c == id_col else F.col(c) for c in df.columns
-    ]
+    return df.where(f"NOT ({missing})").unionByName(recovered.selectExpr(*filled))
 
 
 def _assignments(df: DataFrame, id_col: str, order_by: str, stats) -> DataFrame:
     """(key of the row, recovered id), pairing both sides by rank."""
-    lo = int(stats["lo"])
+    own, lo = name(id_col), int(stats["lo"])
     # Among the first (distinct ids + missing ids) integers there are enough
     # gaps for every missing id, so a sparse id range is not walked to its end.
     hi = min(int(stats["hi"]), lo + int(stats["n_rows"]))
-    used = df.where(F.col(id_col) <= hi).select(F.col(id_col).cast("bigint").alias("id")).distinct()
+    used = df.where(f"{own} <= {hi}").selectExpr(f"CAST({own} AS BIGINT) AS id").distinct()
     gaps = df.sparkSession.range(lo, hi + 1).join(used, "id", "left_anti")
-    rows = df.where(F.col(id_col).isNull()).select(F.col(order_by).cast("bigint").alias("__key"))
-    ranked_gaps = running_totals(gaps.withColumn("__one", F.lit(1)), "id", {"__one": "__rank"})
-    ranked_rows = running_totals(rows.withColumn("__one", F.lit(1)), "__key", {"__one": "__rank"})
-    return ranked_rows.join(ranked_gaps, "__rank").select("__key", F.col("id").alias("__new_id"))
+    rows = df.where(f"{own} IS NULL").selectExpr(f"CAST({name(order_by)} AS BIGINT) AS __key", "1 AS __one")
+    ranked_gaps = running_totals(gaps.selectExpr("id", "1 AS __one"), "id", {"__one": "__rank"})
+    ranked_rows = running_totals(rows, "__key", {"__one": "__rank"})
+    return ranked_rows.join(ranked_gaps, "__rank").selectExpr("__key", "id AS __new_id")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.literals import literal_rows
-from wardbook.functions.predicates import equals
+from wardbook.functions.predicates import equals, name, when
 
 FEATURES, LABEL, WEIGHT, COUNT = "__features", "__label", "__weight", "n"
 MAX_TREE_DEPTH = 30
@@ -37,12 +37,12 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def _balanced(df: DataFrame, y: str, count: str | None) -> tuple[DataFrame, int]:
     """Label and balanced weight columns, and the number of records. One small aggregate runs."""
-    records = F.col(count) if count else F.lit(1)
-    total, ones = df.agg(F.sum(records), F.sum(F.when(equals(y, 1), records))).first()
+    records = name(count) if count else "1"
+    total, ones = df.selectExpr(f"sum({records})", f"sum({when(equals(y, 1), records, '0')})").first()
     if not total or not ones or ones == total:
         raise ValueError("both classes are needed to fit a model")
-    per_record = F.when(equals(y, 1), F.lit(total / (2 * ones))).otherwise(F.lit(total / (2 * (total - ones))))
-    return df.withColumns({LABEL: F.col(y).cast("double"), WEIGHT: per_record * records}), total
+    per_record = when(equals(y, 1), f"{total / (2 * ones)!r}D", f"{total / (2 * (total - ones))!r}D")
+    return df.selectExpr("*", f"CAST({name(y)} AS DOUBLE) AS {LABEL}", f"{per_record} * {records} AS {WEIGHT}"), total
 
 
 def _logistic() -> LogisticRegression:
@@ -129,6 +129,11 @@ def _session(model: Model):
     return SparkSession.getActiveSession()
 
 
+def _folded(df: DataFrame, features: Sequence[str], y: str, key: str, k: int) -> DataFrame:
+    """Features, outcome and fold: the integer key modulo k."""
+    return df.selectExpr(*[name(c) for c in (*features, y)], f"CAST(pmod({name(key)}, {k}) AS INT) AS __fold")
+
+
 def _sweep(estimator, grid, training: DataFrame, k: int, count: str, parallelism: int) -> list[float]:
     recall = MulticlassClassificationEvaluator(
         labelCol=LABEL, metricName="recallByLabel", metricLabel=1.0, weightCol=count
@@ -148,8 +153,7 @@ def cv_logistic(
     df: DataFrame, features: Sequence[str], y: str, key: str, strengths: Sequence[float], k: int = 5, parallelism: int = 4
 ) -> DataFrame:
     """Cross-validated sensitivity of the logistic regression for each regularisation strength, on pattern counts."""
-    fold = F.pmod(F.col(key), F.lit(k)).cast("int").alias("__fold")
-    folded = df.select(*features, y, fold)
+    folded = _folded(df, features, y, key, k)
     patterns = pattern_counts(folded, features, y, "__fold").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         training, total = _balanced(patterns, y, COUNT)
@@ -174,8 +178,7 @@ def cv_forest(
     parallelism: int = 2,
 ) -> DataFrame:
     """Cross-validated sensitivity of the forest at cut 0.5 for each minimum leaf size."""
-    fold = F.pmod(F.col(key), F.lit(k)).cast("int").alias("__fold")
-    training, _ = _balanced(df.select(*features, y, fold), y, None)
+    training, _ = _balanced(_folded(df, features, y, key, k), y, None)
     training = training.withColumn("__one", F.lit(1.0))
     estimator = _forest(features, trees, 1, seed)
     grid = ParamGridBuilder().addGrid(estimator.minInstancesPerNode, list(leaf_sizes)).build()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.predicates import literal, name
+
 BUCKETS = 1_024
 
 
@@ -27,80 +29,71 @@ def running_totals(
     partition, which is what is broadcast; each task sorts one bucket.
     """
     keys = [partition_by] if partition_by else []
-    edges = [
-        F.min(F.col(order_by).cast("double")).alias("__lo"),
-        F.max(F.col(order_by).cast("double")).alias("__hi"),
-    ]
-    if partition_by:
-        ranged = df.join(F.broadcast(df.groupBy(*keys).agg(*edges)), keys)
+    over, order = ", ".join(name(k) for k in keys), name(order_by)
+    way = "DESC" if descending else "ASC"
+    edges = {"__lo": f"CAST(min({order}) AS DOUBLE)", "__hi": f"CAST(max({order}) AS DOUBLE)"}
+    if keys:
+        grouped = df.groupBy(*keys).agg(*[F.expr(f"{e} AS {n}") for n, e in edges.items()])
+        ranged = df.join(grouped.hint("broadcast"), keys)
     else:
-        bounds = df.select(F.struct(*edges)).scalar()
-        ranged = df.withColumns({"__lo": bounds.getField("__lo"), "__hi": bounds.getField("__hi")})
-    position = F.coalesce(F.try_divide(F.col(order_by) - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
-    bucketed = ranged.select(
-        *df.columns, F.least(F.floor(position * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("__bucket")
+        bounds = df.selectExpr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in edges.items()) + ")").scalar()
+        ranged = df.withColumn("__bounds", bounds).selectExpr("*", "__bounds.__lo", "__bounds.__hi")
+    position = f"coalesce(try_divide({order} - __lo, __hi - __lo), 0D)"
+    bucketed = ranged.selectExpr(
+        *[name(c) for c in df.columns],
+        f"CAST(least(floor({position} * {BUCKETS}), {BUCKETS - 1}) AS INT) AS __bucket",
     )
 
     per_bucket = bucketed.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__sum_{c}") for c in totals])
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(_directed("__bucket", descending))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_bucket.select(
-        *keys, "__bucket", *[F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__off_{c}") for c in totals]
+    partition = f"PARTITION BY {over} " if keys else ""
+    before = f"({partition}ORDER BY __bucket {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = per_bucket.selectExpr(
+        *[name(k) for k in keys],
+        "__bucket",
+        *[f"coalesce(sum({name(f'__sum_{c}')}) OVER {before}, 0) AS {name(f'__off_{c}')}" for c in totals],
     )
 
-    within = (
-        Window.partitionBy(*keys, "__bucket")
-        .orderBy(_directed(order_by, descending))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return bucketed.join(F.broadcast(offsets), [*keys, "__bucket"]).select(
-        *df.columns, *[(F.col(f"__off_{c}") + F.sum(c).over(within)).alias(out) for c, out in totals.items()]
+    inside = ", ".join([*([over] if keys else []), "__bucket"])
+    within = f"(PARTITION BY {inside} ORDER BY {order} {way} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return bucketed.join(offsets.hint("broadcast"), [*keys, "__bucket"]).selectExpr(
+        *[name(c) for c in df.columns],
+        *[f"{name(f'__off_{c}')} + sum({name(c)}) OVER {within} AS {name(out)}" for c, out in totals.items()],
     )
 
 
-def _directed(name: str, descending: bool) -> Column:
-    return F.desc(name) if descending else F.asc(name)
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], exact: bool = True) -> DataFrame:
     """One row per column with its quantiles, linearly interpolated between order statistics.
 
     Exact quantiles are found by rank on the distinct values and their counts.
     ``exact=False`` takes Spark's bounded-memory sketch instead.
     """
-    values = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    values = df.selectExpr(
+        f"stack({len(cols)}, " + ", ".join(f"{literal(c)}, CAST({name(c)} AS DOUBLE)" for c in cols) + ") AS (column, value)"
+    )
     if not exact:
         return values.groupBy("column").agg(
-            *[F.percentile_approx("value", p).alias(name) for name, p in shares.items()]
+            *[F.expr(f"percentile_approx(value, {p}) AS {name(out)}") for out, p in shares.items()]
         )
-    counts = values.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("column").agg(F.sum("n").alias("__size"))
+    counts = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(*) AS n"))
+    sizes = counts.groupBy("column").agg(F.expr("sum(n) AS __size"))
     ranked = running_totals(counts, "value", {"n": "__upto"}, partition_by="column").join(
-        F.broadcast(sizes), "column"
+        sizes.hint("broadcast"), "column"
     )
+
+    def statistic(index: str) -> str:
+        return f"min(CASE WHEN __upto > {index} THEN value END)"
+
+    places = {out: f"({p}D * (__size - 1))" for out, p in shares.items()}
     picked = ranked.groupBy("column").agg(
-        F.max("__size").alias("__size"),
-        *[_order_statistic(F.floor(_place(p)), f"__lo_{name}") for name, p in shares.items()],
-        *[_order_statistic(F.ceil(_place(p)), f"__hi_{name}") for name, p in shares.items()],
+        F.expr("max(__size) AS __size"),
+        *[F.expr(f"{statistic(f'floor({place})')} AS {name(f'__lo_{out}')}") for out, place in places.items()],
+        *[F.expr(f"{statistic(f'ceil({place})')} AS {name(f'__hi_{out}')}") for out, place in places.items()],
     )
-    return picked.select(
+    return picked.selectExpr(
         "column",
         *[
-            (
-                F.col(f"__lo_{name}")
-                + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (_place(p) - F.floor(_place(p)))
-            ).alias(name)
-            for name, p in shares.items()
+            f"{lo} + ({hi} - {lo}) * ({place} - floor({place})) AS {name(out)}"
+            for out, place in places.items()
+            for lo, hi in [(name(f"__lo_{out}"), name(f"__hi_{out}"))]
         ],
     )
-
-
-def _place(share: float) -> Column:
-    return F.lit(share) * (F.col("__size") - 1)
-
-
-def _order_statistic(index: Column, name: str) -> Column:
-    return F.min(F.when(F.col("__upto") > index, F.col("value"))).alias(name)

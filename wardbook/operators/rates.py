@@ -8,29 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions import binning
 from wardbook.functions.literals import literal_rows, wide_to_long
 from wardbook.functions.numbers import percent, ratio, wilson_lower, wilson_upper
-from wardbook.functions.predicates import equals
+from wardbook.functions.predicates import all_of, certain, count_if, equals, known, literal, name
+from wardbook.operators.project import with_columns
+from wardbook.operators.validate import wide_counts
 
 
-def _rate(denom: str, cases: Column, n: Column, known: Column) -> Column:
+def _rate(denom: str, cases: str = "cases", n: str = "n", n_known: str = "n_known") -> str:
     """Cases in percent of known outcomes (0 if none is known) or of all rows."""
     if denom == "known":
-        return F.coalesce(percent(cases, known), F.lit(0.0))
+        return f"coalesce({percent(cases, n_known)}, 0D)"
     if denom == "all":
         return percent(cases, n)
     raise ValueError(f"unknown denominator {denom!r}")
 
 
-def _outcome_counts(outcome: str) -> list[Column]:
+def _outcome_counts(outcome: str) -> list:
     return [
-        F.count(F.lit(1)).alias("n"),
-        F.count(outcome).alias("n_known"),
-        F.count_if(equals(outcome, 1)).alias("cases"),
+        F.expr("count(*) AS n"),
+        F.expr(f"count({name(outcome)}) AS n_known"),
+        F.expr(f"{count_if(equals(outcome, 1))} AS cases"),
     ]
 
 
@@ -39,42 +41,40 @@ def rate_table(df: DataFrame, factor: str, outcome: str, denom: str = "known") -
 
     ``denom`` is "known" to divide by rows with a known outcome, "all" to divide by all rows.
     """
-    counts = df.where(F.col(factor).isNotNull()).groupBy(factor).agg(*_outcome_counts(outcome))
-    rate = _rate(denom, F.col("cases"), F.col("n"), F.col("n_known"))
-    return counts.withColumn("rate", rate).orderBy(F.desc("rate"), F.asc(factor))
+    counts = df.where(known(factor)).groupBy(factor).agg(*_outcome_counts(outcome))
+    return counts.selectExpr("*", f"{_rate(denom)} AS rate").orderBy(F.desc("rate"), F.asc(factor))
 
 
 def rate_table_ci(df: DataFrame, factor: str, outcome: str, denom: str = "all", z: float = 1.96) -> DataFrame:
     """Rate table with the Wilson interval of each rate in percent."""
-    size = F.col("n_known" if denom == "known" else "n")
-    return rate_table(df, factor, outcome, denom).withColumns(
-        {"ci_lower": wilson_lower(F.col("cases"), size, z), "ci_upper": wilson_upper(F.col("cases"), size, z)}
+    size = "n_known" if denom == "known" else "n"
+    return with_columns(
+        rate_table(df, factor, outcome, denom),
+        {"ci_lower": wilson_lower("cases", size, z), "ci_upper": wilson_upper("cases", size, z)},
     )
 
 
-def overall_rate(df: DataFrame, outcome: str, where: Column | None = None, denom: str = "known") -> DataFrame:
+def overall_rate(df: DataFrame, outcome: str, where: str = "true", denom: str = "known") -> DataFrame:
     """Outcome rate of a whole population as one row."""
-    counts = (df if where is None else df.where(where)).agg(*_outcome_counts(outcome))
-    return counts.withColumn("rate", _rate(denom, F.col("cases"), F.col("n"), F.col("n_known")))
+    return df.where(where).agg(*_outcome_counts(outcome)).selectExpr("*", f"{_rate(denom)} AS rate")
 
 
 def _top_codes(cells: DataFrame, code: str, k: int) -> DataFrame:
     """(code, rank) of the k most frequent codes, from counts per code."""
-    totals = cells.where(F.col(code).isNotNull()).groupBy(code).agg(F.sum("n").alias("__total"))
+    totals = cells.where(known(code)).groupBy(code).agg(F.expr("sum(n) AS __total"))
     top = totals.orderBy(F.desc("__total"), F.asc(code)).limit(k)
-    order = Window.orderBy(F.desc("__total"), F.asc(code))
-    return top.select(code, F.row_number().over(order).alias("code_rank"))
+    # The window sees k rows.
+    return top.selectExpr(name(code), f"row_number() OVER (ORDER BY __total DESC, {name(code)}) AS code_rank")
 
 
 def _dense_cells(
-    cells: DataFrame, keys: Sequence[str], levels: Mapping[str, Sequence], code: str, k: int, sums: Sequence[str]
+    cells: DataFrame, key: str, levels: Sequence, code: str, k: int, sums: Sequence[str]
 ) -> DataFrame:
-    """Every combination of top code and key levels with its summed counts, 0 where no row fell."""
-    grid = _top_codes(cells, code, k)
-    for key in keys:
-        grid = grid.withColumn(key, F.explode(F.array(*[F.lit(v) for v in levels[key]])))
-    joined = grid.join(cells.select(*keys, code, *sums), [*keys, code], "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in sums})
+    """Every combination of top code and key level with its counts, 0 where no row fell."""
+    listed = ", ".join(literal(v) for v in levels)
+    grid = _top_codes(cells, code, k).selectExpr("*", f"explode(array({listed})) AS {name(key)}")
+    joined = grid.join(cells.select(key, code, *sums), [key, code], "left")
+    return with_columns(joined, {c: f"coalesce({name(c)}, 0)" for c in sums})
 
 
 def share_matrix(df: DataFrame, group: str, code: str, k: int, groups: Sequence) -> DataFrame:
@@ -82,16 +82,16 @@ def share_matrix(df: DataFrame, group: str, code: str, k: int, groups: Sequence)
 
     Codes are ranked over the whole table. Groups without rows get 0.
     """
-    cells = df.groupBy(group, code).agg(F.count(F.lit(1)).alias("n"))
-    sizes = cells.groupBy(group).agg(F.sum("n").alias("group_n"))
-    dense = _dense_cells(cells, [group], {group: groups}, code, k, ["n"])
-    return dense.join(sizes, group, "left").select(
-        group,
-        code,
+    cells = df.groupBy(group, code).agg(F.expr("count(*) AS n"))
+    sizes = cells.groupBy(group).agg(F.expr("sum(n) AS group_n"))
+    dense = _dense_cells(cells, group, groups, code, k, ["n"])
+    return dense.join(sizes, group, "left").selectExpr(
+        name(group),
+        name(code),
         "code_rank",
         "n",
-        F.coalesce("group_n", F.lit(0)).alias("group_n"),
-        F.coalesce(percent(F.col("n"), F.col("group_n")), F.lit(0.0)).alias("share"),
+        "coalesce(group_n, 0) AS group_n",
+        f"coalesce({percent('n', 'group_n')}, 0D) AS share",
     )
 
 
@@ -102,51 +102,42 @@ def share_by_grid(df: DataFrame, key: str, lo: int, hi: int, code: str, k: int)
 
 def dominant(df: DataFrame, group: str, code: str) -> DataFrame:
     """The most frequent code of each group (smaller code on a tie) and its share of all rows of the group."""
-    cells = df.where(F.col(group).isNotNull()).groupBy(group, code).agg(F.count(F.lit(1)).alias("n"))
-    known = F.col(code).isNotNull()
-    best = F.min(F.when(known, F.struct((-F.col("n")).alias("minus_n"), F.col(code).alias("code"))))
-    per_group = cells.groupBy(group).agg(best.alias("best"), F.sum("n").alias("group_n"))
-    return per_group.where("best is not null").select(
-        group,
-        F.col("best.code").alias(code),
-        (-F.col("best.minus_n")).alias("n"),
+    cells = df.where(known(group)).groupBy(group, code).agg(F.expr("count(*) AS n"))
+    best = f"min(CASE WHEN {known(code)} THEN named_struct('minus_n', -n, 'code', {name(code)}) END) AS best"
+    per_group = cells.groupBy(group).agg(F.expr(best), F.expr("sum(n) AS group_n")).where("best IS NOT NULL")
+    return per_group.selectExpr(
+        name(group),
+        f"best.code AS {name(code)}",
+        "-best.minus_n AS n",
         "group_n",
-        percent(-F.col("best.minus_n"), F.col("group_n")).alias("share"),
+        f"{percent('-best.minus_n', 'group_n')} AS share",
     )
 
 
-def ordered_rate(df: DataFrame, where: Column, level: str, outcome: str) -> DataFrame:
+def ordered_rate(df: DataFrame, where: str, level: str, outcome: str) -> DataFrame:
     """Outcome rate of all rows per level among selected rows, and its ratio to the level before."""
-    counts = df.where(where & F.col(level).isNotNull()).groupBy(level).agg(*_outcome_counts(outcome))
-    rates = counts.withColumn("rate", percent(F.col("cases"), F.col("n")))
-    previous = F.lag("rate").over(Window.orderBy(level))
-    return rates.withColumn("ratio_to_previous", F.try_divide(F.col("rate"), previous))
+    counts = df.where(all_of([certain(where), known(level)])).groupBy(level).agg(*_outcome_counts(outcome))
+    rates = counts.selectExpr("*", f"{_rate('all')} AS rate")
+    # The window sees one row per level of a code column.
+    return rates.selectExpr("*", f"try_divide(rate, lag(rate) OVER (ORDER BY {name(level)})) AS ratio_to_previous")
 
 
 def gap_table(df: DataFrame, side: str, sides: tuple, group: str, groups: Sequence, code: str, k: int) -> DataFrame:
     """Code shares of two sides within each group, and their difference (first minus second)."""
-    first, second = sides
-    on_first, on_second = equals(side, first), equals(side, second)
+    ends = dict(zip(("first", "second"), sides))
     cells = df.groupBy(group, code).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(on_first).alias("n_first"),
-        F.count_if(on_second).alias("n_second"),
+        F.expr("count(*) AS n"), *[F.expr(f"{count_if(equals(side, v))} AS n_{end}") for end, v in ends.items()]
     )
-    sizes = cells.groupBy(group).agg(
-        F.sum("n_first").alias("group_n_first"), F.sum("n_second").alias("group_n_second")
-    )
-    dense = _dense_cells(cells, [group], {group: groups}, code, k, ["n_first", "n_second"])
-    shares = dense.join(sizes, group, "left").select(
-        group,
-        code,
+    sizes = cells.groupBy(group).agg(*[F.expr(f"sum(n_{end}) AS group_n_{end}") for end in ends])
+    dense = _dense_cells(cells, group, groups, code, k, [f"n_{end}" for end in ends])
+    shares = dense.join(sizes, group, "left").selectExpr(
+        name(group),
+        name(code),
         "code_rank",
-        *[F.coalesce(f"group_{c}", F.lit(0)).alias(f"group_{c}") for c in ("n_first", "n_second")],
-        *[
-            F.coalesce(percent(F.col(f"n_{s}"), F.col(f"group_n_{s}")), F.lit(0.0)).alias(f"share_{s}")
-            for s in ("first", "second")
-        ],
+        *[f"coalesce(group_n_{end}, 0) AS group_n_{end}" for end in ends],
+        *[f"coalesce({percent(f'n_{end}', f'group_n_{end}')}, 0D) AS share_{end}" for end in ends],
     )
-    return shares.withColumn("gap", F.col("share_first") - F.col("share_second"))
+    return shares.selectExpr("*", "share_first - share_second AS gap")
 
 
 def largest_gap(gaps: DataFrame, group: str, value) -> DataFrame:
@@ -159,9 +150,10 @@ def rate_matrix(
 ) -> DataFrame:
     """Outcome rate of each top-k row code and column level; cells below ``min_n`` rows keep only their size."""
     cells = df.groupBy(row, col).agg(*_outcome_counts(outcome))
-    dense = _dense_cells(cells, [col], {col: cols}, row, k, ["n", "n_known", "cases"])
-    rate = F.coalesce(percent(F.col("cases"), F.col("n_known")), F.lit(0.0))
-    return dense.select(row, col, "code_rank", "n", F.when(F.col("n") >= min_n, rate).alias("rate"))
+    dense = _dense_cells(cells, col, cols, row, k, ["n", "n_known", "cases"])
+    return dense.selectExpr(
+        name(row), name(col), "code_rank", "n", f"CASE WHEN n >= {min_n} THEN {_rate('known')} END AS rate"
+    )
 
 
 def widen_matrix(matrix: DataFrame, row: str, col: str, cols: Sequence, value: str) -> DataFrame:
@@ -171,123 +163,102 @@ def widen_matrix(matrix: DataFrame, row: str, col: str, cols: Sequence, value: s
 
 def hot_cells(matrix: DataFrame, cut: float) -> DataFrame:
     """Cells of a rate matrix with a rate above the cut, highest first."""
-    return matrix.where(F.col("rate") > cut).orderBy(F.desc("rate"))
+    return matrix.where(f"rate > {literal(cut)}").orderBy(F.desc("rate"))
 
 
 def rate_by_score(
     df: DataFrame, score: str, outcome: str, lo: int, hi: int, cut: float, low: str, high: str
 ) -> DataFrame:
     """Outcome rate per score between lo and hi, labelled by whether the score is up to the cut."""
-    table = rate_table(df.where(F.col(score).between(lo, hi)), score, outcome)
-    return table.withColumn("risk", binning.up_to(score, cut, low, high))
+    table = rate_table(df.where(f"{name(score)} BETWEEN {lo} AND {hi}"), score, outcome)
+    return with_columns(table, {"risk": binning.up_to(score, cut, low, high)})
 
 
 def score_gap(table: DataFrame, score: str, first: int, second: int) -> DataFrame:
     """Absolute rate difference between two scores of a rate table."""
-
-    def rate(value: int) -> Column:
-        return F.max(F.when(F.col(score) == value, F.col("rate")))
-
-    return table.agg(
-        rate(first).alias("rate_first"),
-        rate(second).alias("rate_second"),
-        F.abs(rate(first) - rate(second)).alias("gap"),
+    rates = {end: f"max(CASE WHEN {equals(score, v)} THEN rate END)" for end, v in (("first", first), ("second", second))}
+    return table.selectExpr(
+        *[f"{rate} AS rate_{end}" for end, rate in rates.items()], f"abs({rates['first']} - {rates['second']}) AS gap"
     )
 
 
 def outcome_compare(df: DataFrame, by: str, levels: tuple, outcomes: Sequence[str]) -> DataFrame:
     """Rates of several outcomes in two categories, one row per outcome, from one wide aggregate."""
-    counts = df.agg(
-        *[
-            column.alias(f"{kind}_{side}_{i}")
-            for side, level in enumerate(levels)
-            for i, o in enumerate(outcomes)
-            for kind, column in {
-                "known": F.count_if(equals(by, level) & F.col(o).isNotNull()),
-                "cases": F.count_if(equals(by, level) & equals(o, 1)),
-            }.items()
-        ]
-    )
+    tests = [
+        all_of([equals(by, level), test])
+        for o in outcomes
+        for level in levels
+        for test in (known(o), equals(o, 1))
+    ]
     entries = [
-        [("outcome", F.lit(o))]
-        + [
-            (f"rate_{name}", _rate("known", F.col(f"cases_{side}_{i}"), F.lit(0), F.col(f"known_{side}_{i}")))
-            for side, name in enumerate(("first", "second"))
-        ]
+        {
+            "outcome": literal(o),
+            "rate_first": _rate("known", cases=f"c{4 * i + 1}", n_known=f"c{4 * i}"),
+            "rate_second": _rate("known", cases=f"c{4 * i + 3}", n_known=f"c{4 * i + 2}"),
+        }
         for i, o in enumerate(outcomes)
     ]
-    return wide_to_long(counts, entries)
+    return wide_to_long(wide_counts(df, tests), entries)
 
 
 def predictor_rates(
-    df: DataFrame, predictors: Mapping[str, Column], group: str, groups: tuple, outcome: str
+    df: DataFrame, predictors: Mapping[str, str], group: str, groups: tuple, outcome: str
 ) -> DataFrame:
     """Outcome rate where each predictor is present, in two groups, with the difference.
 
-    A predictor is a named presence condition. A group in which it never occurs gets 0.
+    A predictor maps its name to a presence predicate. A group in which it never occurs gets 0.
     """
-    names = list(predictors)
-    counts = df.agg(
-        *[
-            F.count_if(here & condition).alias(f"{kind}_{side}_{i}")
-            for side, level in enumerate(groups)
-            for i, name in enumerate(names)
-            for kind, condition in {
-                "n": F.lit(True),
-                "known": F.col(outcome).isNotNull(),
-                "cases": equals(outcome, 1),
-            }.items()
-            for here in [equals(group, level) & F.coalesce(predictors[name], F.lit(False))]
-        ]
-    )
-
-    def rate(side: int, i: int) -> Column:
-        return F.coalesce(percent(F.col(f"cases_{side}_{i}"), F.col(f"known_{side}_{i}")), F.lit(0.0))
-
-    entries = [
-        [
-            ("predictor", F.lit(name)),
-            ("n_first", F.col(f"n_0_{i}")),
-            ("n_second", F.col(f"n_1_{i}")),
-            ("rate_first", rate(0, i)),
-            ("rate_second", rate(1, i)),
-            ("difference", rate(0, i) - rate(1, i)),
-        ]
-        for i, name in enumerate(names)
+    tests = [
+        all_of([equals(group, level), certain(present), test])
+        for present in predictors.values()
+        for level in groups
+        for test in ("true", known(outcome), equals(outcome, 1))
     ]
-    return wide_to_long(counts, entries)
+    entries = []
+    for i, title in enumerate(predictors):
+        n1, known1, cases1, n2, known2, cases2 = (f"c{6 * i + j}" for j in range(6))
+        first, second = _rate("known", cases1, n_known=known1), _rate("known", cases2, n_known=known2)
+        entries.append(
+            {
+                "predictor": literal(title),
+                "n_first": n1,
+                "n_second": n2,
+                "rate_first": first,
+                "rate_second": second,
+                "difference": f"{first} - {second}",
+            }
+        )
+    return wide_to_long(wide_counts(df, tests), entries)
 
 
 def dimension_rates(df: DataFrame, dims: Mapping[str, Mapping[int, str]], num: str, den: str) -> DataFrame:
     """Two rates and their ratio for every labelled level of several dimensions, from one GROUPING SETS pass."""
     cols = list(dims)
     counts = df.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
-        F.grouping_id().alias("__set"),
-        F.count(F.lit(1)).alias("n"),
-        F.count(num).alias("num_known"),
-        F.count_if(equals(num, 1)).alias("num_cases"),
-        F.count(den).alias("den_known"),
-        F.count_if(equals(den, 1)).alias("den_cases"),
+        F.expr("grouping_id() AS __set"),
+        F.expr("count(*) AS n"),
+        *[
+            F.expr(f"{expr} AS {side}_{kind}")
+            for side, c in (("num", num), ("den", den))
+            for kind, expr in (("known", f"count({name(c)})"), ("cases", count_if(equals(c, 1))))
+        ],
     )
     # In a grouping id the bit of the one column that is grouped by is 0.
     full = 2 ** len(cols) - 1
     which = {c: full - 2 ** (len(cols) - 1 - i) for i, c in enumerate(cols)}
-    dimension, level = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for c in cols:
-        here = F.col("__set") == which[c]
-        dimension = F.when(here, F.lit(c)).otherwise(dimension)
-        level = F.when(here, F.col(c).cast("int")).otherwise(level)
+    dimension = " ".join(f"WHEN {which[c]} THEN {literal(c)}" for c in cols)
+    level = " ".join(f"WHEN {which[c]} THEN CAST({name(c)} AS INT)" for c in cols)
+    rates = counts.selectExpr(
+        f"CASE __set {dimension} END AS dimension",
+        f"CASE __set {level} END AS level",
+        "n",
+        *[f"{_rate('known', f'{s}_cases', n_known=f'{s}_known')} AS {s}_rate" for s in ("num", "den")],
+    )
     labels = literal_rows(
         df.sparkSession,
         [("dimension", "string"), ("level", "int"), ("label", "string")],
         [(c, code, label) for c in cols for code, label in dims[c].items()],
     )
-    rates = counts.select(
-        dimension.alias("dimension"),
-        level.alias("level"),
-        "n",
-        F.coalesce(percent(F.col("num_cases"), F.col("num_known")), F.lit(0.0)).alias("num_rate"),
-        F.coalesce(percent(F.col("den_cases"), F.col("den_known")), F.lit(0.0)).alias("den_rate"),
+    return rates.join(labels.hint("broadcast"), ["dimension", "level"]).selectExpr(
+        "*", f"coalesce({ratio('num_rate', 'den_rate')}, 0D) AS ratio"
     )
-    ratio_or_zero = F.when(F.col("den_rate") > 0, ratio(F.col("num_rate"), F.col("den_rate"))).otherwise(0.0)
-    return rates.join(F.broadcast(labels), ["dimension", "level"]).withColumn("ratio", ratio_or_zero)

@@ -3,7 +3,7 @@
 A repair is a list of stages. Each stage holds fixes whose conditions are all
 tested on the stage's input. The conditions become marker columns next to the
 repaired ones, so the fixed rows and the counts of every stage come out of one
-projection, and the counts need a single pass over the table.
+chain of projections, and the counts need a single pass over the table.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from wardbook.functions.literals import wide_to_long
-from wardbook.functions.predicates import absent, certain, equals, recorded
+from wardbook.functions.predicates import absent, all_of, equals, literal, name, recorded, when
 from wardbook.operators import rules
 from wardbook.operators.cleaning import Snap
+from wardbook.operators.project import with_columns
+from wardbook.operators.validate import wide_counts
 
 MARK = "__fix_"
 
@@ -29,15 +30,15 @@ class Fix:
     step: str
     name: str
     column: str
-    condition: Column
-    value: Column
+    condition: str
+    value: str
     also: tuple[str, int] | None = None
 
 
 def repair_codes(snaps: Sequence[Snap], total: str) -> list[Fix]:
     """Snap out-of-range codes and shift the total."""
     return [
-        Fix("codes", f"{c} {bad} -> {good}", c, equals(c, bad), F.lit(good), (total, delta))
+        Fix("codes", f"{c} {bad} -> {good}", c, equals(c, bad), literal(good), (total, delta))
         for c, bad, good, delta in snaps
     ]
 
@@ -45,7 +46,7 @@ def repair_codes(snaps: Sequence[Snap], total: str) -> list[Fix]:
 def repair_dependents(parents: Mapping[str, Sequence[str]]) -> list[Fix]:
     """Null the details recorded under an absent parent; counted per cell."""
     return [
-        Fix("dependents", f"{child} without {parent}", child, absent(parent) & recorded(child), F.lit(None))
+        Fix("dependents", f"{child} without {parent}", child, all_of([absent(parent), recorded(child)]), "NULL")
         for parent, children in parents.items()
         for child in children
     ]
@@ -54,13 +55,13 @@ def repair_dependents(parents: Mapping[str, Sequence[str]]) -> list[Fix]:
 def repair_ratio(fine: str, coarse: str, factor: int) -> list[Fix]:
     """Null the fine column where it contradicts the coarse one."""
     broken = rules.consistent_ratio(fine, coarse, factor)
-    return [Fix("ratio", broken.name, fine, broken.violated, F.lit(None))]
+    return [Fix("ratio", broken.name, fine, broken.violated, "NULL")]
 
 
 def repair_category(number: str, category: str, cut: float, below: int = 1, from_cut: int = 2) -> list[Fix]:
     """Derive a contradicting category from its number."""
     broken = rules.category_by_cut(number, category, cut, below, from_cut)
-    value = F.when(F.col(number) < cut, F.lit(below)).otherwise(F.lit(from_cut))
+    value = when(f"{name(number)} < {literal(cut)}", literal(below), literal(from_cut))
     return [Fix("category", broken.name, category, broken.violated, value)]
 
 
@@ -70,51 +71,48 @@ def repair_implies(when_one: str, required: str | Sequence[str], mode: str) -> l
     if mode == "set":
         if not isinstance(required, str):
             raise ValueError("mode 'set' needs exactly one required column")
-        return [Fix("implies", broken.name, required, broken.violated, F.lit(1))]
+        return [Fix("implies", broken.name, required, broken.violated, "1")]
     if mode == "null":
-        return [Fix("implies", broken.name, when_one, broken.violated, F.lit(None))]
+        return [Fix("implies", broken.name, when_one, broken.violated, "NULL")]
     raise ValueError(f"unknown mode {mode!r}")
 
 
 def repair(df: DataFrame, stages: Sequence[Sequence[Fix]]) -> tuple[DataFrame, DataFrame]:
     """Apply the stages in order; returns the fixed rows and the count of every fix."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     marked, fixes = df, [fix for stage in stages for fix in stage]
     number = 0
     for stage in stages:
         marks = [f"{MARK}{number + i}" for i in range(len(stage))]
         number += len(stage)
-        marked = marked.withColumns({mark: certain(fix.condition) for mark, fix in zip(marks, stage)})
-        marked = marked.withColumns(_changes(marked, stage, marks))
+        marked = with_columns(marked, {mark: fix.condition for mark, fix in zip(marks, stage)})
+        marked = with_columns(marked, _changes(types, stage, marks))
     return marked.select(*df.columns), _fix_counts(marked, fixes)
 
 
-def _changes(df: DataFrame, stage: Sequence[Fix], marks: Sequence[str]) -> dict[str, Column]:
-    changes: dict[str, Column] = {}
+def _changes(types: Mapping[str, str], stage: Sequence[Fix], marks: Sequence[str]) -> dict[str, str]:
+    changes: dict[str, str] = {}
     for fix, mark in zip(stage, marks):
-        kind = df.schema[fix.column].dataType
-        before = changes.get(fix.column, F.col(fix.column))
-        changes[fix.column] = F.when(F.col(mark), fix.value.cast(kind)).otherwise(before)
+        before = changes.get(fix.column, name(fix.column))
+        changes[fix.column] = when(mark, f"CAST({fix.value} AS {types[fix.column]})", before)
         if fix.also:
             column, delta = fix.also
-            kind = df.schema[column].dataType
-            before = changes.get(column, F.col(column))
-            changes[column] = (before + F.when(F.col(mark), F.lit(delta)).otherwise(F.lit(0))).cast(kind)
+            before = changes.get(column, name(column))
+            changes[column] = f"CAST({before} + {when(mark, literal(delta), '0')} AS {types[column]})"
     return changes
 
 
 def _fix_counts(marked: DataFrame, fixes: Sequence[Fix]) -> DataFrame:
-    counts = marked.agg(*[F.count_if(f"{MARK}{i}").alias(f"n{i}") for i in range(len(fixes))])
-    entries = [
-        [("step", F.lit(f.step)), ("fix", F.lit(f.name)), ("column", F.lit(f.column)), ("n_fixed", F.col(f"n{i}"))]
-        for i, f in enumerate(fixes)
-    ]
-    everything = sum((F.col(f"n{i}") for i in range(len(fixes))), F.lit(0)).cast("bigint")
-    entries.append(
-        [
-            ("step", F.lit("total")),
-            ("fix", F.lit("all fixes")),
-            ("column", F.lit(None).cast("string")),
-            ("n_fixed", everything),
-        ]
-    )
+    counts = wide_counts(marked, [f"{MARK}{i}" for i in range(len(fixes))])
+    entries = [_count_entry(f.step, f.name, f.column, f"c{i}") for i, f in enumerate(fixes)]
+    entries.append(_count_entry("total", "all fixes", None, " + ".join(f"c{i}" for i in range(len(fixes)))))
     return wide_to_long(counts, entries)
+
+
+def _count_entry(step: str, title: str, column: str | None, n: str) -> dict[str, str]:
+    return {
+        "step": literal(step),
+        "fix": literal(title),
+        "column": f"CAST({literal(column)} AS STRING)",
+        "n_fixed": f"CAST({n} AS BIGINT)",
+    }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wardbook.functions import binning
 from wardbook.functions.literals import literal_rows, wide_to_long
 from wardbook.functions.numbers import percent, ratio
-from wardbook.functions.predicates import equals
+from wardbook.functions.predicates import all_of, count_if, equals, literal
+from wardbook.operators.project import with_columns
 
 
 def risk_ratio(
@@ -29,47 +30,52 @@ def risk_ratio(
     parts = {
         "n_pos": lambda c: equals(c, 1),
         "n_neg": lambda c: equals(c, 0),
-        "cases_pos": lambda c: equals(c, 1) & equals(outcome, 1),
-        "cases_neg": lambda c: equals(c, 0) & equals(outcome, 1),
+        "cases_pos": lambda c: all_of([equals(c, 1), equals(outcome, 1)]),
+        "cases_neg": lambda c: all_of([equals(c, 0), equals(outcome, 1)]),
     }
     counts = (
-        df.withColumn("band", binning.left_closed(age, bands))
-        .where("band is not null")
+        with_columns(df, {"band": binning.left_closed(age, bands)})
+        .where("band IS NOT NULL")
         .groupBy("band")
-        .agg(*[F.count_if(test(c)).alias(f"{p}_{i}") for i, c in enumerate(signs.values()) for p, test in parts.items()])
+        .agg(
+            *[
+                F.expr(f"{count_if(test(c))} AS {p}_{i}")
+                for i, c in enumerate(signs.values())
+                for p, test in parts.items()
+            ]
+        )
     )
     grid = literal_rows(df.sparkSession, [("band", "string")], [(label,) for _, _, label in bands])
     entries = [
-        [("sign", F.lit(name))] + [(p, F.coalesce(F.col(f"{p}_{i}"), F.lit(0))) for p in parts]
-        for i, name in enumerate(signs)
+        {"sign": literal(sign)} | {p: f"coalesce({p}_{i}, 0)" for p in parts} for i, sign in enumerate(signs)
     ]
     table = wide_to_long(grid.join(counts, "band", "left"), entries, keep=["band"])
-    value = ratio(
-        percent(F.col("cases_pos"), F.col("n_pos")), percent(F.col("cases_neg"), F.col("n_neg"))
-    )
-    value = F.coalesce(value, F.lit(0.0))
-    return table.withColumn("risk_ratio", value if digits is None else F.round(value, digits))
+    value = f"coalesce({ratio(percent('cases_pos', 'n_pos'), percent('cases_neg', 'n_neg'))}, 0D)"
+    return with_columns(table, {"risk_ratio": value if digits is None else f"round({value}, {digits})"})
 
 
 def compare_runs(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The same metric from two runs side by side with the change; rows found in one run only are kept."""
-    tagged = before.select(*keys, F.lit("before").alias("__run"), F.col(value).alias("__value")).unionByName(
-        after.select(*keys, F.lit("after").alias("__run"), F.col(value).alias("__value"))
-    )
+    runs = [
+        table.select(*keys, F.lit(run).alias("__run"), F.col(value).alias("__value"))
+        for run, table in (("before", before), ("after", after))
+    ]
     return (
-        tagged.groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("__run") == run, F.col("__value"))).alias(run) for run in ("before", "after")])
-        .withColumn("change", F.col("after") - F.col("before"))
+        runs[0]
+        .unionByName(runs[1])
+        .groupBy(*keys)
+        .agg(*[F.expr(f"max(CASE WHEN __run = '{run}' THEN __value END) AS {run}") for run in ("before", "after")])
+        .selectExpr("*", "after - before AS change")
     )
 
 
 def reality_check(metrics: DataFrame, bounds: Sequence[tuple[str, float, float, float]]) -> DataFrame:
     """Whether each metric lies within its published bounds, widened by a tolerance."""
-    known = literal_rows(
+    published = literal_rows(
         metrics.sparkSession,
         [("metric", "string"), ("lower", "double"), ("upper", "double"), ("tolerance", "double")],
         bounds,
     )
-    slack = F.col("tolerance")
-    passed = F.col("value").between(F.col("lower") - slack, F.col("upper") + slack)
-    return metrics.join(F.broadcast(known), "metric").withColumn("passed", passed)
+    return metrics.join(published.hint("broadcast"), "metric").selectExpr(
+        "*", "value BETWEEN lower - tolerance AND upper + tolerance AS passed"
+    )

@@ -4,55 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardbook.functions.literals import wide_to_long
 from wardbook.functions.numbers import percent
-from wardbook.functions.predicates import all_of, any_of, equals
+from wardbook.functions.predicates import all_of, any_of, count_if, equals, known, literal, name, negate
 from wardbook.operators.rules import Rule
 
 
+def wide_counts(df: DataFrame, predicates: Iterable[str], prefix: str = "c") -> DataFrame:
+    """One row with the number of rows meeting each predicate, from one pass over the table."""
+    return df.agg(*[F.expr(f"{count_if(p)} AS {prefix}{i}") for i, p in enumerate(predicates)])
+
+
 def validate(df: DataFrame, rules: Sequence[Rule], total: bool = True) -> DataFrame:
     """Violation count of every rule in one pass over the table, rules without violations included.
 
     The counts of all rules form one wide aggregate row, which is then spread
     into (check, rule, column, n_violations). ``total`` adds a closing row.
     """
-    counts = df.agg(*[F.count_if(r.violated).alias(f"r{i}") for i, r in enumerate(rules)])
-    entries = [_report_entry(r.check, r.name, r.column, F.col(f"r{i}")) for i, r in enumerate(rules)]
+    counts = wide_counts(df, [r.violated for r in rules])
+    entries = [_report_entry(r.check, r.name, r.column, f"c{i}") for i, r in enumerate(rules)]
     if total:
-        entries.append(_report_entry("total", "all rules", None, sum((F.col(f"r{i}") for i in range(len(rules))), F.lit(0))))
+        everything = " + ".join(f"c{i}" for i in range(len(rules))) or "0"
+        entries.append(_report_entry("total", "all rules", None, everything))
     return wide_to_long(counts, entries)
 
 
-def _report_entry(check: str, name: str, column: str | None, n: Column) -> list[tuple[str, Column]]:
-    return [
-        ("check", F.lit(check)),
-        ("rule", F.lit(name)),
-        ("column", F.lit(column).cast("string")),
-        ("n_violations", n.cast("bigint")),
-    ]
+def _report_entry(check: str, title: str, column: str | None, n: str) -> dict[str, str]:
+    return {
+        "check": literal(check),
+        "rule": literal(title),
+        "column": f"CAST({literal(column)} AS STRING)",
+        "n_violations": f"CAST({n} AS BIGINT)",
+    }
 
 
 def violations(df: DataFrame, rules: Sequence[Rule], key: str | Sequence[str]) -> DataFrame:
     """One row per violated rule and record: key, check, rule, column and the cell's value."""
     keys = [key] if isinstance(key, str) else list(key)
     found = [
-        F.when(
-            r.violated,
-            F.struct(
-                F.lit(r.check).alias("check"),
-                F.lit(r.name).alias("rule"),
-                F.lit(r.column).alias("column"),
-                r.value.alias("value"),
-            ),
-        )
+        f"CASE WHEN {r.violated} THEN named_struct('check', {literal(r.check)}, 'rule', {literal(r.name)},"
+        f" 'column', {literal(r.column)}, 'value', CAST({name(r.column)} AS BIGINT)) END"
         for r in rules
     ]
     # Most rows violate nothing and are dropped before any array is built.
-    return df.where(any_of(r.violated for r in rules)).select(*keys, F.inline(F.array_compact(F.array(*found))))
+    return df.where(any_of(r.violated for r in rules)).selectExpr(
+        *[name(k) for k in keys], f"inline(array_compact(array({', '.join(found)})))"
+    )
 
 
 def bad_values(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -66,15 +67,15 @@ def bad_values(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def ratio_agreement(df: DataFrame, fine: str, coarse: str, factor: int) -> DataFrame:
     """How often the fine column's whole units equal the coarse column, where both are known."""
-    both = F.col(fine).isNotNull() & F.col(coarse).isNotNull()
-    agrees = F.floor(F.col(fine) / factor) == F.col(coarse)
+    both = all_of([known(fine), known(coarse)])
+    agrees = f"floor({name(fine)} / {factor}) = {name(coarse)}"
     counts = df.agg(
-        F.count_if(both).alias("n_both"),
-        F.count_if(agrees).alias("n_consistent"),
-        F.count_if(~agrees).alias("n_inconsistent"),
-        F.count_if(~both).alias("n_incomplete"),
+        F.expr(f"{count_if(both)} AS n_both"),
+        F.expr(f"{count_if(agrees)} AS n_consistent"),
+        F.expr(f"{count_if(f'NOT ({agrees})')} AS n_inconsistent"),
+        F.expr(f"{count_if(negate(both))} AS n_incomplete"),
     )
-    return counts.withColumn("pct_consistent", percent(F.col("n_consistent"), F.col("n_both")))
+    return counts.selectExpr("*", f"{percent('n_consistent', 'n_both')} AS pct_consistent")
 
 
 def combo_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -82,10 +83,10 @@ def combo_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
 
 
-def findings_among(df: DataFrame, condition: Column, findings: Sequence[str]) -> DataFrame:
+def findings_among(df: DataFrame, condition: str, findings: Sequence[str]) -> DataFrame:
     """The finding columns that are 1 in at least one row meeting the condition, with their counts."""
-    counts = df.where(condition).agg(*[F.count_if(equals(c, 1)).alias(c) for c in findings])
-    entries = [[("finding", F.lit(c)), ("n", F.col(c))] for c in findings]
+    counts = wide_counts(df.where(condition), [equals(c, 1) for c in findings])
+    entries = [{"finding": literal(c), "n": f"c{i}"} for i, c in enumerate(findings)]
     return wide_to_long(counts, entries).where("n > 0")
 
 
@@ -94,23 +95,22 @@ def count_code(df: DataFrame, code: int, columns: Iterable[str] | None = None) -
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     columns = list(columns)
-    counts = df.agg(*[F.count_if(equals(c, code)).alias(f"c{i}") for i, c in enumerate(columns)])
-    entries = [[("column", F.lit(c)), ("n", F.col(f"c{i}"))] for i, c in enumerate(columns)]
-    entries.append([("column", F.lit("all columns")), ("n", sum((F.col(f"c{i}") for i in range(len(columns))), F.lit(0)))])
+    counts = wide_counts(df, [equals(c, code) for c in columns])
+    entries = [{"column": literal(c), "n": f"c{i}"} for i, c in enumerate(columns)]
+    entries.append({"column": "'all columns'", "n": " + ".join(f"c{i}" for i in range(len(columns)))})
     return wide_to_long(counts, entries)
 
 
 def explain_zeros(df: DataFrame, col: str, companions: Mapping[str, int]) -> DataFrame:
     """How many rows with a 0 have each companion value, and how many lack at least one of them."""
-    zero = df.where(equals(col, 0))
-    measures = {"zero": F.count(F.lit(1))}
-    measures |= {f"{c} = {v}": F.count_if(equals(c, v)) for c, v in companions.items()}
-    measures["unexplained"] = F.count_if(any_of(~equals(c, v) for c, v in companions.items()))
-    counts = zero.agg(*[column.alias(f"m{i}") for i, column in enumerate(measures.values())])
-    return wide_to_long(counts, [[("measure", F.lit(m)), ("n", F.col(f"m{i}"))] for i, m in enumerate(measures)])
+    measures = {"zero": "true"}
+    measures |= {f"{c} = {v}": equals(c, v) for c, v in companions.items()}
+    measures["unexplained"] = any_of(negate(equals(c, v)) for c, v in companions.items())
+    counts = wide_counts(df.where(equals(col, 0)), measures.values())
+    return wide_to_long(counts, [{"measure": literal(m), "n": f"c{i}"} for i, m in enumerate(measures)])
 
 
 def missing_pattern(df: DataFrame, parts: Sequence[str], total: str) -> DataFrame:
     """Distribution of the total among rows whose parts are all missing."""
-    pattern = all_of(F.col(p).isNull() for p in parts) & F.col(total).isNotNull()
+    pattern = all_of([*[f"{name(p)} IS NULL" for p in parts], known(total)])
     return df.where(pattern).groupBy(total).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wardbook.operators import cleaning, rules
 from wardbook.operators.identifiers import fill_id_gaps
@@ -73,8 +72,8 @@ def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> Cleaned:
         out = cleaning.promote_flag(out, "ct_shows_tbi", findings, "skull_fracture_depressed")
     if config.order_by:
         out = fill_id_gaps(out, "patient_number", config.order_by)
-    out = cleaning.fill_when(out, "patient_age_months", F.col("patient_age_years") == 0, 0)
-    out = apply_types(out, study.COLUMN_TYPES, study.VALID_CODES)
+    out = cleaning.fill_when(out, "patient_age_months", "patient_age_years = 0", 0)
+    out = apply_types(out, study.COLUMN_TYPES)
     out = cleaning.snap_codes(out, study.GCS_SNAPS, study.GCS_TOTAL)
     out = flag_at_least(out, study.GCS_TOTAL, config.gcs_threshold, study.PRIMARY_FLAG)
     return Cleaned(out, validate(out, standard_rules(out)) if config.validate else None)

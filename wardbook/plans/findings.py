@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wardbook.functions.literals import wide_to_long
 from wardbook.functions.numbers import percent
-from wardbook.functions.predicates import equals, one_of
+from wardbook.functions.predicates import all_of, equals, known, literal, one_of
 from wardbook.operators.filters import restrict
 from wardbook.operators.project import flag_at_least, label_codes, min_max_scale, tier
 from wardbook.operators.rates import ordered_rate, rate_table_ci
 from wardbook.operators.risk import compare_runs, reality_check, risk_ratio
+from wardbook.operators.validate import wide_counts
 from wardbook.plans import head_trauma as study
 
 SIGNS = {"Skull Fracture": "has_palpable_skull_fracture", "Vomiting": "has_vomiting_post_injury"}
@@ -53,34 +53,25 @@ def sign_stability(cleaned: DataFrame, before: int = 14, after: int = 13, digits
 
 def study_metrics(cleaned: DataFrame) -> DataFrame:
     """The figures the study compares with the published ones, from one pass over the primary population."""
-    primary = restrict(cleaned, study.PRIMARY_FLAG)
     young, older = equals(study.AGE_GROUP, 1), equals(study.AGE_GROUP, 2)
-    case, known = equals(study.OUTCOME, 1), F.col(study.OUTCOME).isNotNull()
-    every = F.lit(True)
-    palpable = equals("has_palpable_skull_fracture", 1)
+    case, palpable = equals(study.OUTCOME, 1), equals("has_palpable_skull_fracture", 1)
     shares = {
-        "outcome rate": (case, known),
-        "outcome rate, under 2": (case & young, known & young),
-        "outcome rate, 2 and older": (case & older, known & older),
-        "total 15 rate": (equals(study.GCS_TOTAL, 15), every),
-        "under 2 share": (young, every),
-        "CT rate": (equals("head_ct_performed", 1), every),
-        "palpable fracture rate, under 2": (palpable & young, young),
-        "palpable fracture rate, 2 and older": (palpable & older, older),
-        "vomiting rate": (equals("has_vomiting_post_injury", 1), every),
-        "altered mental status rate": (equals("has_altered_mental_status", 1), every),
+        "outcome rate": ([case], [known(study.OUTCOME)]),
+        "outcome rate, under 2": ([case, young], [known(study.OUTCOME), young]),
+        "outcome rate, 2 and older": ([case, older], [known(study.OUTCOME), older]),
+        "total 15 rate": ([equals(study.GCS_TOTAL, 15)], []),
+        "under 2 share": ([young], []),
+        "CT rate": ([equals("head_ct_performed", 1)], []),
+        "palpable fracture rate, under 2": ([palpable, young], [young]),
+        "palpable fracture rate, 2 and older": ([palpable, older], [older]),
+        "vomiting rate": ([equals("has_vomiting_post_injury", 1)], []),
+        "altered mental status rate": ([equals("has_altered_mental_status", 1)], []),
     }
-    counts = primary.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(equals("neurosurgery_performed", 1)).alias("neurosurgery"),
-        *[F.count_if(part).alias(f"part{i}") for i, (part, _) in enumerate(shares.values())],
-        *[F.count_if(base).alias(f"base{i}") for i, (_, base) in enumerate(shares.values())],
-    )
-    values = {
-        "primary population": F.col("n").cast("double"),
-        "neurosurgery count": F.col("neurosurgery").cast("double"),
-    } | {name: percent(F.col(f"part{i}"), F.col(f"base{i}")) for i, name in enumerate(shares)}
-    return wide_to_long(counts, [[("metric", F.lit(name)), ("value", value)] for name, value in values.items()])
+    tests = ["true", equals("neurosurgery_performed", 1), *[all_of(t) for pair in shares.values() for t in pair]]
+    values = {"primary population": "CAST(c0 AS DOUBLE)", "neurosurgery count": "CAST(c1 AS DOUBLE)"}
+    values |= {metric: percent(f"c{2 * i + 2}", f"c{2 * i + 3}") for i, metric in enumerate(shares)}
+    counts = wide_counts(restrict(cleaned, study.PRIMARY_FLAG), tests)
+    return wide_to_long(counts, [{"metric": literal(m), "value": value} for m, value in values.items()])
 
 
 def compare_with_published(cleaned: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from wardbook.functions.literals import literal_rows
 from wardbook.functions.numbers import to_code, to_identifier
+from wardbook.functions.predicates import name
 
 # A mapping names columns, so it is bounded by the width of a table.
 MAX_MAPPING_ROWS = 10_000
@@ -36,11 +37,10 @@ def read_visits(
         raw = spark.read.parquet(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    return raw.select(
-        [
-            (to_identifier(F.col(c).cast("string")) if c in identifiers else to_code(c)).alias(c)
-            for c in columns
-        ]
+    if fmt == "parquet":
+        raw = raw.select([F.col(c).cast("string").alias(c) if c in identifiers else F.col(c) for c in columns])
+    return raw.selectExpr(
+        *[f"{to_identifier(c) if c in identifiers else to_code(c)} AS {name(c)}" for c in columns]
     )
 
 
