@@ -9,6 +9,7 @@ from wardbook.functions.numbers import ratio
 from wardbook.functions.predicates import all_of, count_if, equals, known, name
 from wardbook.operators.project import with_columns
 from wardbook.operators.ranking import running_totals
+from wardbook.session import settle
 
 RATES = {
     "sensitivity": ratio("tp", "(tp + fn)"),
@@ -53,17 +54,20 @@ def balanced_weight(df: DataFrame, y: str, out: str) -> DataFrame:
 
 
 def _score_counts(df: DataFrame, score: str, y: str, *keys: str) -> DataFrame:
+    """Positives and negatives per score (and key), from one scan."""
     rows = df.where(all_of([known(score), known(y)])).selectExpr(*keys, f"{name(score)} AS score", f"{name(y)} AS __y")
-    return rows.groupBy([c for c in rows.columns if c != "__y"]).agg(
+    counts = rows.groupBy([c for c in rows.columns if c != "__y"]).agg(
         F.expr("count_if(__y = 1) AS pos"), F.expr("count_if(__y = 0) AS neg")
     )
+    return settle(counts, "score-counts")
 
 
 def threshold_for_sensitivity(df: DataFrame, score: str, y: str, target: float) -> DataFrame:
     """The highest score cut (inclusive) that finds at least the target share of the positives.
 
-    One row: threshold, tp, fp, sensitivity, specificity. Scores are counted
-    first; the running totals go over distinct scores only.
+    One row: threshold, tp, fp, sensitivity, specificity. Scores are counted and
+    the counts written when this is called; the running totals go over distinct
+    scores only.
     """
     counts = _score_counts(df, score, y)
     curve = running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending=True)

@@ -24,6 +24,7 @@ from wardbook.functions.predicates import equals, name, when
 
 FEATURES, LABEL, WEIGHT, COUNT = "__features", "__label", "__weight", "n"
 MAX_TREE_DEPTH = 30
+MAX_ROWS_IN_ONE_PARTITION = 50_000
 
 
 def pattern_counts(df: DataFrame, features: Sequence[str], *keys: str) -> DataFrame:
@@ -36,11 +37,19 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _balanced(df: DataFrame, y: str, count: str | None) -> tuple[DataFrame, int]:
-    """Label and balanced weight columns, and the number of records. One small aggregate runs."""
+    """Label and balanced weight columns, and the number of records. One small aggregate runs.
+
+    A counted table of few rows goes into one partition: every step of the
+    solver is then one task instead of one per shuffle partition.
+    """
     records = name(count) if count else "1"
-    total, ones = df.selectExpr(f"sum({records})", f"sum({when(equals(y, 1), records, '0')})").first()
+    total, ones, rows = df.selectExpr(
+        f"sum({records})", f"sum({when(equals(y, 1), records, '0')})", "count(*)"
+    ).first()
     if not total or not ones or ones == total:
         raise ValueError("both classes are needed to fit a model")
+    if count and rows <= MAX_ROWS_IN_ONE_PARTITION:
+        df = df.coalesce(1)
     per_record = when(equals(y, 1), f"{total / (2 * ones)!r}D", f"{total / (2 * (total - ones))!r}D")
     return df.selectExpr("*", f"CAST({name(y)} AS DOUBLE) AS {LABEL}", f"{per_record} * {records} AS {WEIGHT}"), total
 

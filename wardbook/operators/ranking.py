@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.predicates import literal, name
+from wardbook.session import settle
 
 BUCKETS = 1_024
 
@@ -64,8 +65,8 @@ def running_totals(
 def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], exact: bool = True) -> DataFrame:
     """One row per column with its quantiles, linearly interpolated between order statistics.
 
-    Exact quantiles are found by rank on the distinct values and their counts.
-    ``exact=False`` takes Spark's bounded-memory sketch instead.
+    Exact quantiles are found by rank on the distinct values and their counts,
+    which are written once when this is called. ``exact=False`` takes Spark's bounded-memory sketch instead.
     """
     values = df.selectExpr(
         f"stack({len(cols)}, " + ", ".join(f"{literal(c)}, CAST({name(c)} AS DOUBLE)" for c in cols) + ") AS (column, value)"
@@ -74,7 +75,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], e
         return values.groupBy("column").agg(
             *[F.expr(f"percentile_approx(value, {p}) AS {name(out)}") for out, p in shares.items()]
         )
-    counts = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(*) AS n"))
+    grouped = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(*) AS n"))
+    counts = settle(grouped, "value-counts")
     sizes = counts.groupBy("column").agg(F.expr("sum(n) AS __size"))
     ranked = running_totals(counts, "value", {"n": "__upto"}, partition_by="column").join(
         sizes.hint("broadcast"), "column"

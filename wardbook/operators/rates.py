@@ -1,7 +1,9 @@
 """Outcome rates and code shares by group.
 
 Every table here comes from one hash aggregate over the rows. What follows it
-works on counts per code and group.
+works on counts per code and group. Where those counts are used several times
+(shares, gaps, matrices) they are written once when the operator is called, so
+that the rows are scanned once.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from wardbook.functions.numbers import percent, ratio, wilson_lower, wilson_uppe
 from wardbook.functions.predicates import all_of, certain, count_if, equals, known, literal, name
 from wardbook.operators.project import with_columns
 from wardbook.operators.validate import wide_counts
+from wardbook.session import settle
 
 
 def _rate(denom: str, cases: str = "cases", n: str = "n", n_known: str = "n_known") -> str:
@@ -82,7 +85,7 @@ def share_matrix(df: DataFrame, group: str, code: str, k: int, groups: Sequence)
 
     Codes are ranked over the whole table. Groups without rows get 0.
     """
-    cells = df.groupBy(group, code).agg(F.expr("count(*) AS n"))
+    cells = settle(df.groupBy(group, code).agg(F.expr("count(*) AS n")), "share-cells")
     sizes = cells.groupBy(group).agg(F.expr("sum(n) AS group_n"))
     dense = _dense_cells(cells, group, groups, code, k, ["n"])
     return dense.join(sizes, group, "left").selectExpr(
@@ -125,9 +128,10 @@ def ordered_rate(df: DataFrame, where: str, level: str, outcome: str) -> DataFra
 def gap_table(df: DataFrame, side: str, sides: tuple, group: str, groups: Sequence, code: str, k: int) -> DataFrame:
     """Code shares of two sides within each group, and their difference (first minus second)."""
     ends = dict(zip(("first", "second"), sides))
-    cells = df.groupBy(group, code).agg(
+    counted = df.groupBy(group, code).agg(
         F.expr("count(*) AS n"), *[F.expr(f"{count_if(equals(side, v))} AS n_{end}") for end, v in ends.items()]
     )
+    cells = settle(counted, "gap-cells")
     sizes = cells.groupBy(group).agg(*[F.expr(f"sum(n_{end}) AS group_n_{end}") for end in ends])
     dense = _dense_cells(cells, group, groups, code, k, [f"n_{end}" for end in ends])
     shares = dense.join(sizes, group, "left").selectExpr(
@@ -149,7 +153,7 @@ def rate_matrix(
     df: DataFrame, row: str, col: str, outcome: str, cols: Sequence, k: int, min_n: int = 10
 ) -> DataFrame:
     """Outcome rate of each top-k row code and column level; cells below ``min_n`` rows keep only their size."""
-    cells = df.groupBy(row, col).agg(*_outcome_counts(outcome))
+    cells = settle(df.groupBy(row, col).agg(*_outcome_counts(outcome)), "rate-cells")
     dense = _dense_cells(cells, col, cols, row, k, ["n", "n_known", "cases"])
     return dense.selectExpr(
         name(row), name(col), "code_rank", "n", f"CASE WHEN n >= {min_n} THEN {_rate('known')} END AS rate"

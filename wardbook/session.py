@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A wide validation aggregate and a table of 125 codes both exceed Spark's
 # default of 100 fields, beyond which whole-stage code generation is given up.
@@ -31,3 +31,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="wardbook-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an aggregated table once and read it back.
+
+    A plan that uses a grouped table several times would scan the source once
+    per use, as the optimiser pushes different filters into each of them. A
+    written table is read instead, and it survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
