@@ -11,8 +11,8 @@ def coerce_numeric(col: str) -> str:
 
 
 def to_code(col: str, dtype: str = "int") -> str:
-    """The value as an integer code, accepting "4" and "4.0"; anything else becomes null."""
-    number = coerce_numeric(col)
+    """A number as an integer code; null where it is not whole, NaN or out of range."""
+    number = name(col)
     return f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS {dtype}) END"
 
 

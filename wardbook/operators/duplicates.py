@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.session import settle
+
 HASH = "__row_hash"
 
 
@@ -44,11 +46,12 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFram
 
     Repeated keys are found by a map-side combined count and joined back, so a
     key with very many copies is never gathered in one task: adaptive execution
-    splits its side of the join. Whole rows are first narrowed down by hash.
+    splits its side of the join. Whole rows are first narrowed down by hash, and
+    the rows that remain are written once when this is called.
     """
     columns = list(keys) if keys else df.columns
     if not keys:
-        _, df = _suspects(df, columns)
+        df = settle(_suspects(df, columns)[1], "suspects")
     repeated = (
         df.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("__n"))

@@ -29,17 +29,21 @@ def evaluate(
     column saying how many records a row stands for. A rate with denominator 0 is null.
     """
 
-    def tally(condition: str) -> str:
+    def tally(*conditions: str) -> str:
+        # The test for known values stays inside the counts: as a filter it
+        # would be pushed down as a copy of everything the prediction is made of.
+        condition = all_of([known(y), known(pred), *conditions])
         if count is None:
             return count_if(condition)
         return f"CAST(coalesce(sum(CASE WHEN {condition} THEN {name(count)} END), 0) AS BIGINT)"
 
     cells = {"tp": (1, 1), "tn": (0, 0), "fp": (1, 0), "fn": (0, 1)}
-    measures = {"n": "true", "positives": equals(y, 1)} | {
-        cell: all_of([equals(pred, p), equals(y, t)]) for cell, (p, t) in cells.items()
+    measures = {"n": tally(), "positives": tally(equals(y, 1))} | {
+        cell: tally(equals(pred, p), equals(y, t)) for cell, (p, t) in cells.items()
     }
-    rows = df.where(all_of([known(y), known(pred)]))
-    counts = (rows.groupBy(by) if by else rows).agg(*[F.expr(f"{tally(c)} AS {m}") for m, c in measures.items()])
+    counts = (df.groupBy(by) if by else df).agg(*[F.expr(f"{expr} AS {m}") for m, expr in measures.items()])
+    if by:
+        counts = counts.where("n > 0")
     return with_columns(counts, {m: r if digits is None else f"round({r}, {digits})" for m, r in RATES.items()})
 
 

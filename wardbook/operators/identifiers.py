@@ -10,6 +10,8 @@ from wardbook.operators.ranking import running_totals
 # Up to this many recovered ids (two BIGINTs each) are broadcast to the table;
 # beyond it only the rows without an id are shuffled to meet them.
 MAX_BROADCAST_IDS = 500_000
+# Up to this many, the gaps and the rows without an id are ranked in one task.
+MAX_RANKED_IN_ONE_TASK = 10_000
 
 
 def fill_id_gaps(df: DataFrame, id_col: str, order_by: str) -> DataFrame:
@@ -51,7 +53,14 @@ def _assignments(df: DataFrame, id_col: str, order_by: str, stats) -> DataFrame:
     hi = min(int(stats["hi"]), lo + int(stats["n_rows"]))
     used = df.where(f"{own} <= {hi}").selectExpr(f"CAST({own} AS BIGINT) AS id").distinct()
     gaps = df.sparkSession.range(lo, hi + 1).join(used, "id", "left_anti")
-    rows = df.where(f"{own} IS NULL").selectExpr(f"CAST({name(order_by)} AS BIGINT) AS __key", "1 AS __one")
-    ranked_gaps = running_totals(gaps.selectExpr("id", "1 AS __one"), "id", {"__one": "__rank"})
-    ranked_rows = running_totals(rows, "__key", {"__one": "__rank"})
+    rows = df.where(f"{own} IS NULL").selectExpr(f"CAST({name(order_by)} AS BIGINT) AS __key")
+    n = int(stats["n_missing"])
+    ranked_gaps, ranked_rows = _ranked(gaps, "id", n), _ranked(rows, "__key", n)
     return ranked_rows.join(ranked_gaps, "__rank").selectExpr("__key", "id AS __new_id")
+
+
+def _ranked(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n keys, at least, with their rank."""
+    if n <= MAX_RANKED_IN_ONE_TASK:
+        return df.orderBy(key).limit(n).selectExpr(key, f"row_number() OVER (ORDER BY {key}) AS __rank")
+    return running_totals(df.selectExpr(key, "1 AS __one"), key, {"__one": "__rank"})

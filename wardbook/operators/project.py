@@ -63,8 +63,9 @@ def label_codes(
 ) -> DataFrame:
     """Add the label of a code; unmapped and null codes get ``default``.
 
-    A dict is looked up in place. A (code, label) table is left joined; Spark
-    broadcasts it only if its size is below the broadcast threshold.
+    A dict is looked up in place. A (code, label) table, one row per code, is
+    left joined; Spark broadcasts it only if its size is below the broadcast
+    threshold.
     """
     if isinstance(labels, DataFrame):
         lookup = labels.toDF("__code", "__label")

@@ -21,6 +21,7 @@ from wardbook.operators.repair import (
 )
 from wardbook.operators.validate import validate
 from wardbook.plans import head_trauma as study
+from wardbook.sources import write_cleaned
 
 
 @dataclass(frozen=True)
@@ -53,9 +54,14 @@ class Cleaned(NamedTuple):
     report: DataFrame | None
 
 
-def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> Cleaned:
+def clean(df: DataFrame, config: CleanConfig = CleanConfig(), save_to: str | None = None) -> Cleaned:
     """Clean a raw visit table; the report is there when ``config.validate`` is set.
 
+    With ``save_to`` the cleaned table is written there as parquet, and report
+    and returned table read it. That is the way to start analyses: a filter on
+    a table that was not saved is pushed down as a copy of all corrections
+    behind the filtered column.
+
     The order of the steps matters. Out-of-range scores are snapped after the
     total and the category have been derived, so a total lowered below a
     category's range keeps the category it had.
@@ -76,6 +82,8 @@ def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> Cleaned:
     out = apply_types(out, study.COLUMN_TYPES)
     out = cleaning.snap_codes(out, study.GCS_SNAPS, study.GCS_TOTAL)
     out = flag_at_least(out, study.GCS_TOTAL, config.gcs_threshold, study.PRIMARY_FLAG)
+    if save_to:
+        out = df.sparkSession.read.schema(out.schema).parquet(write_cleaned(out, save_to))
     return Cleaned(out, validate(out, standard_rules(out)) if config.validate else None)
 
 

@@ -25,13 +25,14 @@ def read_visits(
 ) -> DataFrame:
     """Read a table of codes with a fixed schema; blank or unreadable cells become null.
 
-    CSV cells are taken as text and parsed as numbers, because an integer CSV
-    schema would silently turn "4.0" into null. Identifiers become BIGINT and
-    all other columns INT.
+    CSV cells are read as DOUBLE, because an integer CSV schema would silently
+    turn "4.0" into null; identifiers are read as text, because a DOUBLE is
+    exact only to 2^53. Identifiers become BIGINT and all other columns INT.
     """
     columns, identifiers = list(columns), set(identifiers)
     if fmt == "csv":
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        kinds = {c: T.StringType() if c in identifiers else T.DoubleType() for c in columns}
+        schema = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()])
         raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
