@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import KEY, cleaned, query, table
-from catalog.oracle import COLUMNS, OUTCOME, T, cleaned_sql, count_if, div
+from catalog.oracle import OUTCOME, T, cleaned_sql, count_if, div
 from catalog.project_queries import FLAGS_SQL
 from wardbook.operators import evaluate, learn
 from wardbook.operators.decision import apply_rule, predict_at, rule_reason

@@ -7,12 +7,10 @@ from catalog.oracle import (
     CODED,
     FINDINGS,
     E,
-    M,
     T,
     V,
     cleaned_sql,
     count_if,
-    in_list,
     named_sql,
     nulled_sql,
     pct,
