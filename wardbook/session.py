@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table.
 
     It lies in the shared folder named by ``spark.checkpoint.dir``, so that a
-    lost executor does not take the data with it. Only a session without that
-    setting, such as a local test, gets a temporary folder of its own.
+    lost executor does not take the data with it. A session that runs in one
+    process, such as a test, may leave the setting out and gets a folder of its
+    own; on a cluster a missing setting is an error, because executors would
+    each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="wardbook-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
