@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.llm.decontaminate import decontaminate
+from wardbook.llm.jaccard import jaccard_groups
 from wardbook.llm.packing import pack_documents
 from wardbook.llm.sharding import shard_documents
 from wardbook.llm.token_count import count_tokens
@@ -76,3 +77,8 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
