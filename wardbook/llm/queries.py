@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from wardbook.llm.decontaminate import decontaminate
 from wardbook.llm.jaccard import jaccard_groups
 from wardbook.llm.packing import pack_documents
+from wardbook.llm.pii import find_pii, fit_pii
+from wardbook.llm.quality import fit_quality
 from wardbook.llm.sharding import shard_documents
 from wardbook.llm.token_count import count_tokens
 
@@ -82,3 +84,22 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where("quality = 1"))
+    return model.judge(docs.select("doc_id", "text", "lang")).drop("text")
+
+
+def _joined(spans: str):
+    return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_pii(docs)).drop("text")
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
