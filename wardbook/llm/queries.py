@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.llm.decontaminate import decontaminate
+from wardbook.llm.embeddings import embedding_links
 from wardbook.llm.jaccard import jaccard_groups
 from wardbook.llm.packing import pack_documents
 from wardbook.llm.pii import find_pii, fit_pii
@@ -103,3 +105,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(docs, fit_pii(docs)).drop("text")
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
