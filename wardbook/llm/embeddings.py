@@ -14,7 +14,7 @@ from wardbook.llm.graph import components
 from wardbook.session import settle
 
 BLOCK_DIMS = 8  # dimensions of a block
-CELL_DIMS = 3  # of which so many make the grid that finds neighbours
+CELL_DIMS = 2  # of which so many make the grid that finds neighbours
 # Rows of one cell compared by one task. A fuller cell is cut into pieces, and
 # each pair of pieces is a task.
 PIECE_ROWS = 2_000

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from wardbook.llm.decontaminate import decontaminate
 from wardbook.llm.embeddings import embedding_links
+from wardbook.llm.html_text import extract_text
 from wardbook.llm.jaccard import jaccard_groups
 from wardbook.llm.packing import pack_documents
 from wardbook.llm.pii import find_pii, fit_pii
 from wardbook.llm.quality import fit_quality
+from wardbook.llm.repeats import cut_repeats
 from wardbook.llm.sharding import shard_documents
 from wardbook.llm.token_count import count_tokens
 
@@ -107,6 +109,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+@query
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
