@@ -77,23 +77,43 @@ def block_rows(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("id", "label", "v").mapInArrow(run, f"id bigint, label {label}, cell string, home boolean, b array<double>, radius double")
 
 
+def _in_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compare the rows of each g; rows come ordered by g, of which at most two pieces of a cell share one."""
+    rest: pd.DataFrame | None = None
+    for frame in frames:
+        frame = pd.concat([rest, frame]) if rest is not None else frame
+        open_ = frame["g"].to_numpy() == frame["g"].iloc[-1]  # goes on in the next batch, perhaps
+        rest = frame[open_]
+        yield _within(frame[~open_])
+    if rest is not None:
+        yield _within(rest)
+
+
 def _within(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one cell whose block distance is within the radius; at least one of each pair is at home there."""
-    b, home, ids, side = np.stack(frame["b"].to_numpy()), frame["home"].to_numpy(), frame["id"].to_numpy(), frame["side"].to_numpy()
-    limit = frame["radius"].iloc[0] ** 2
-    same = frame["same"].iloc[0]
-    found = []
-    rows, others = (np.arange(len(b)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    norm = (b * b).sum(1)
-    for at in range(0, len(rows), 512):
-        r = rows[at : at + 512]
-        d = norm[r][:, None] + norm[others][None, :] - 2 * b[r] @ b[others].T
-        ok = (d <= limit + 1e-9) & (home[r][:, None] | home[others][None, :])
-        if same:
-            ok &= r[:, None] < others[None, :]
-        i, j = np.nonzero(ok)
-        found.append(np.stack([ids[r[i]], ids[others[j]]], 1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    """Pairs of one g whose block distance is within the radius and of which at least one is at home there."""
+    found = [np.empty((0, 2), np.int64)]
+    if len(frame):
+        g, ids = frame["g"].to_numpy(), frame["id"].to_numpy()
+        home, side, same, radius = (frame[c].to_numpy() for c in ("home", "side", "same", "radius"))
+        vectors = frame["b"].to_numpy()
+        ends = np.flatnonzero(np.r_[g[1:] != g[:-1], True]) + 1
+        for start, end in zip(np.r_[0, ends[:-1]], ends):
+            if end - start < 2:
+                continue
+            b = np.stack(vectors[start:end])
+            norm = (b * b).sum(1)
+            rows = others = np.arange(end - start)
+            if not same[start]:
+                rows, others = np.flatnonzero(side[start:end] == 0), np.flatnonzero(side[start:end] == 1)
+            for at in range(0, len(rows), 512):
+                r = rows[at : at + 512]
+                d = norm[r][:, None] + norm[others][None, :] - 2 * b[r] @ b[others].T
+                ok = (d <= radius[start] ** 2 + 1e-9) & (home[start:end][r][:, None] | home[start:end][others][None, :])
+                if same[start]:
+                    ok &= r[:, None] < others[None, :]
+                i, j = np.nonzero(ok)
+                found.append(np.stack([ids[start + r[i]], ids[start + others[j]]], 1))
+    pairs = np.concatenate(found)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pd.DataFrame({"x": pairs.min(1), "y": pairs.max(1)})
 
@@ -107,7 +127,10 @@ def candidate_pairs(blocks: DataFrame) -> DataFrame:
     # A row goes to each pair of pieces that has its own: (p, p), (p, q) and (q, p).
     pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda q: F.struct(F.least("piece", q).alias("p"), F.greatest("piece", q).alias("q")))
     rows = rows.withColumn("pq", F.explode(pairs)).withColumns({"side": F.when(F.col("piece") == F.col("pq.p"), 0).otherwise(1), "same": F.expr("pq.p = pq.q")})
-    return rows.groupBy("label", "cell", "pq").applyInPandas(_within, "x bigint, y bigint").distinct()
+    # Most cells hold few rows, so a task reads its cells in order and compares them in one go.
+    rows = rows.select(F.xxhash64("label", "cell", "pq").alias("g"), "id", "home", "b", "radius", "side", "same")
+    rows = rows.repartition("g").sortWithinPartitions("g")
+    return rows.mapInPandas(_in_groups, "x bigint, y bigint").distinct()
 
 
 def embedding_links(df: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:

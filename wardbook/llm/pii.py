@@ -159,7 +159,7 @@ def fit_pii(df: DataFrame, text: str = "text", max_texts: int = MAX_TRAINING_TEX
     models = []
     for k in range(len(KINDS)):
         mine = rows[rows["kind"] == k]
-        x = np.array(mine["x"].tolist(), float).reshape(len(mine), -1)
+        x = np.array(mine["x"].tolist(), float).reshape(len(mine), -1) if len(mine) else np.empty((0, 1))
         models.append(Boosted(x, mine["label"].to_numpy(), rounds, rate, precision))
     return models
 
