@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardbook.llm.graph import components
@@ -145,8 +145,8 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     Rows link if 100 * intersection >= percent * union of their distinct
     word shingles. Words are cut at ASCII white space, A-Z in lower case; fewer
     words than ``width`` are one shingle. A null text or one without words has
-    no shingles and no links. Keys are not null; repeated rows give a row each
-    and share a component. An empty table gives no rows; other columns are
+    no shingles and no links. Keys are not null and distinct for different
+    texts; repeated rows give a row each and share a component. An empty table gives no rows; other columns are
     left out.
 
     Rows with equal sets form a class, and only classes are compared. First
@@ -155,39 +155,39 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     signature and are still apart are compared with each other.
     """
     base = settle(shingle_sets(df, key, text, width, percent, "digests"), "digests")
-    # Digests are dense numbers from here on: the smallest key of the class.
     classes = settle(base.where("n > 0").groupBy("digest").agg(F.min("key").alias("id"), F.first("n").alias("n")), "classes")
-    signed = shingle_sets(df, key, text, width, percent, "signatures").select("n", "digest", F.explode("signatures").alias("sig"))
-    signed = signed.select("sig", F.xxhash64("digest").alias("d"), "n").distinct()
-    # A signature that one class has alone can't give a link.
-    shared = signed.groupBy("sig").agg(F.min("d").alias("hub"), F.max("d").alias("other")).where("hub != other")
-    members = settle(signed.join(shared.select("sig", "hub"), "sig"), "members")
-    first = members.where("d != hub").select(F.col("hub").alias("x"), F.col("d").alias("y")).distinct()
+    signed = shingle_sets(of_keys(df, classes, key, text), key, text, width, percent, "signatures").select(F.explode("signatures").alias("sig"), F.col("key").alias("d"))
+    # A signature that one class has alone can't give a link. One shuffle finds the smallest class and tells who is alone.
+    by_class = Window.partitionBy("sig").orderBy("d")
+    members = signed.select("sig", "d", F.first("d").over(by_class).alias("hub"), F.lead("d").over(by_class).alias("after"))
+    members = settle(members.where("d != hub OR after IS NOT NULL").select("sig", "d", "hub"), "members")
+    first = settle(members.where("d != hub").select(F.col("hub").alias("x"), F.col("d").alias("y")).distinct(), "hub-pairs")
     links = verified_links(df, first, key, text, width, percent)
     label = settle(components(links.select("a", "b")), "first-components")
-    placed = members.join(label.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", "n", F.coalesce("component", "d").alias("c"))
+    placed = members.join(label.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("c"))
     apart = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("apart")).where("apart").select("sig")
-    placed = settle(placed.join(apart, "sig"), "apart")
-    left, right = placed.select("sig", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")), placed.select("sig", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    near = left.join(right, "sig").where(f"x < y AND cx != cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    second = near.select("x", "y").distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
+    placed = settle(placed.join(apart, "sig").join(classes.select(F.col("id").alias("d"), "n"), "d"), "apart")
+    side = lambda at: placed.select("sig", F.col("d").alias(at), F.col("n").alias(f"n{at}"), F.col("c").alias(f"c{at}"))
+    near = side("x").join(side("y"), "sig").where(f"x < y AND cx != cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    second = near.select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
     links = links.select("a", "b").union(verified_links(df, second, key, text, width, percent).select("a", "b"))
-    # From digests to keys: a component's number is the smallest key of its classes.
-    label = components(links).withColumnRenamed("node", "d")
-    classes = classes.withColumn("d", F.xxhash64("digest")).join(label, "d", "left").withColumn("c", F.coalesce("component", "d"))
-    classes = settle(classes.select("digest", "id", "c"), "class-components")
-    smallest = classes.groupBy("c").agg(F.min("id").alias("component_id"))
-    out = base.join(classes.join(smallest, "c").select("digest", "component_id"), "digest", "left")
+    # The smallest class id of a component is also its smallest key.
+    label = components(links).select(F.col("node").alias("id"), "component")
+    placed = classes.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    out = base.join(placed, "digest", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
+def of_keys(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, text).join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+
+
 def verified_links(df: DataFrame, pairs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs of digests whose sets are similar enough, compared element by element."""
+    """The pairs of classes whose sets are similar enough, compared element by element."""
     pairs = settle(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("d")).distinct()
-    sets = shingle_sets(df, key, text, width, percent, "sets").select(F.xxhash64("digest").alias("d"), "shingles")
-    sets = settle(sets.join(wanted, "d", "left_semi").groupBy("d").agg(F.first("shingles").alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id"))
+    sets = settle(shingle_sets(of_keys(df, wanted, key, text), key, text, width, percent, "sets").select("key", "shingles"), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("key").alias("y"), F.col("shingles").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     joined = both.select(F.col("x").alias("a"), F.col("y").alias("b"), common.alias("i"), (F.size("sx") + F.size("sy") - common).alias("u"))
-    return settle(joined.where(f"100 * i >= {percent} * u"), "verified")
+    return settle(joined.where(f"100 * i >= {percent} * u").distinct(), "verified")
