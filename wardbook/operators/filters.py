@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from wardbook.functions.predicates import equals
 
-# Beyond this many rows a top-k list is joined without a broadcast hint.
-MAX_BROADCAST_TOP = 10_000
-
 
 def restrict(df: DataFrame, flag: str) -> DataFrame:
     """Keep the population whose flag is 1."""
@@ -46,6 +43,6 @@ def top_k_values(df: DataFrame, col: str, k: int) -> DataFrame:
 
 
 def filter_top_k(df: DataFrame, col: str, k: int) -> DataFrame:
-    """Keep the rows whose value is among the k most frequent."""
+    """Keep the rows whose value is among the k most frequent; Spark chooses the join by the list's size in bytes."""
     top = top_k_values(df, col, k).select(col)
-    return df.join(F.broadcast(top) if k <= MAX_BROADCAST_TOP else top, col, "left_semi")
+    return df.join(top, col, "left_semi")

@@ -12,9 +12,6 @@ from wardbook.functions.literals import literal_rows
 from wardbook.functions.numbers import to_code, to_identifier
 from wardbook.functions.predicates import name
 
-# A mapping names columns, so it is bounded by the width of a table.
-MAX_MAPPING_ROWS = 10_000
-
 
 def read_visits(
     spark: SparkSession,
@@ -46,16 +43,13 @@ def read_visits(
 
 
 def read_mapping(spark: SparkSession, path: str, source: str = "original", target: str = "new_names") -> dict[str, str]:
-    """Read a two-column CSV of old and new column names as a dict."""
+    """Read a two-column CSV of old and new column names as a dict; it has at most a row per column of a table."""
     pairs = (
         spark.read.option("header", True)
         .csv(path)
         .select(F.trim(source), F.trim(target))
-        .limit(MAX_MAPPING_ROWS + 1)
         .collect()
     )
-    if len(pairs) > MAX_MAPPING_ROWS:
-        raise ValueError(f"{path} has more than {MAX_MAPPING_ROWS} rows and is not a column mapping")
     mapping = {old: new for old, new in pairs}
     if len(mapping) != len(pairs) or len(set(mapping.values())) != len(pairs):
         raise ValueError(f"{path} does not map names one to one")
