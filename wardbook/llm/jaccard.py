@@ -18,6 +18,8 @@ from wardbook.session import settle
 SHINGLE_BITS = 48
 SUBPARTS = 3  # parts of a partition, of which each signature leaves out one
 CACHE_WORDS = 500_000
+PACKED_SIGNATURES = 2_000_000  # signatures that a task holds before it passes them on by bucket
+BUCKETS_PER_PARTITION = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,7 +75,8 @@ def part_signatures(x: np.ndarray, instance: int, k: int, seed: int) -> tuple[np
     """
     parts = k // 2 + 1
     hashed = mix(x + np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64))
-    cell = (hashed % np.uint64(parts * SUBPARTS)).astype(np.int64)
+    cell = hashed % np.uint64(parts * SUBPARTS)
+    cell = cell.astype(np.uint16 if parts * SUBPARTS < 2**16 else np.int64)  # short numbers are sorted by radix
     order = np.argsort(cell, kind="stable")
     cell, value = cell[order], mix(hashed[order])
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -108,13 +111,13 @@ def signatures(x: np.ndarray, highs: list[int], percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, width: int, percent: int, give: str) -> DataFrame:
-    """Per row: key, n, digest and, as ``give`` says, nothing more, the ``sets`` or the ``signatures``."""
+def shingle_sets(df: DataFrame, key: str, text: str, width: int, give: str) -> DataFrame:
+    """Per row: key, n, digest and, with ``give`` as ``sets``, the shingles."""
     key_type = df.schema[key].dataType.simpleString()
-    extra = {"digests": "", "sets": ", shingles array<bigint>", "signatures": ", signatures array<bigint>"}[give]
+    extra = {"digests": "", "sets": ", shingles array<bigint>"}[give]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, highs = ShingleHasher(width), band_table(percent, 1)
+        hasher = ShingleHasher(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -125,20 +128,63 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int, percent: int, g
                     digest.append(xxhash.xxh3_128_hexdigest(x.tobytes()))
                     if give == "sets":
                         lists.append(x.astype(np.int64))
-                    elif give == "signatures":
-                        if len(x) > highs[-1]:
-                            highs = band_table(percent, len(x))
-                        lists.append(signatures(x, highs, percent).astype(np.int64) if len(x) else np.empty(0, np.int64))
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(digest)]
                 names = ["key", "n", "digest"]
                 if lists:
                     columns.append(pa.array(lists, pa.list_(pa.int64())))
-                    names.append(give if give == "signatures" else "shingles")
+                    names.append("shingles")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.select(key, text).mapInArrow(run, f"key {key_type}, n bigint, digest string{extra}")
 
 
+def signature_rows(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(bucket, sig, d): the signatures of every row that has words, dealt out by bucket.
+
+    A row per signature would take far more room in the shuffle than the
+    signature itself. Each task therefore packs its signatures into a pair of
+    arrays per bucket, a range of signatures, and they are spread out after
+    the shuffle. The number of buckets follows the session's partitions. A
+    bucket and 32 more bits stand for a signature; chance sharing only adds a
+    pair to verify.
+    """
+    key_type = df.schema[key].dataType.simpleString()
+    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(keys: list[pa.Array], found: list[np.ndarray]) -> pa.RecordBatch:
+        sig = np.concatenate(found)
+        owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")  # rows stay in order, so their keys compress well
+        present, first = np.unique(bucket[order], return_index=True)
+        ends = pa.array(np.append(first, len(sig)), pa.int32())
+        sigs = pa.ListArray.from_arrays(ends, pa.array(sig[order].astype(np.uint32).view(np.int32)))
+        ids = pa.ListArray.from_arrays(ends, pa.concat_arrays(keys).take(pa.array(owner[order])))
+        return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), sigs, ids], names=["bucket", "sig", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, highs = ShingleHasher(width), band_table(percent, 1)
+        keys, found, held = [], [], 0
+        for batch in batches:
+            for i, t in enumerate(batch.column(1)):
+                x = hasher(t.as_py())
+                if len(x) == 0:
+                    continue
+                if len(x) > highs[-1]:
+                    highs = band_table(percent, len(x))
+                keys.append(batch.column(0).slice(i, 1))
+                found.append(signatures(x, highs, percent))
+                held += len(found[-1])
+                if held >= PACKED_SIGNATURES:
+                    yield packed(keys, found)
+                    keys, found, held = [], [], 0
+        if held:
+            yield packed(keys, found)
+
+    rows = df.select(key, text).mapInArrow(run, f"bucket bigint, sig array<int>, d array<{key_type}>")
+    return rows.repartition("bucket").selectExpr("bucket", "inline(arrays_zip(sig, d))")
+
+
 def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest key reachable by links.
 
@@ -154,12 +200,13 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     which joins most groups of near copies. Then classes that share a
     signature and are still apart are compared with each other.
     """
-    base = settle(shingle_sets(df, key, text, width, percent, "digests"), "digests")
+    base = settle(shingle_sets(df, key, text, width, "digests"), "digests")
     classes = settle(base.where("n > 0").groupBy("digest").agg(F.min("key").alias("id"), F.first("n").alias("n")), "classes")
-    signed = shingle_sets(of_keys(df, classes, key, text), key, text, width, percent, "signatures").select(F.explode("signatures").alias("sig"), F.col("key").alias("d"))
+    signed = signature_rows(of_keys(df, classes, key, text), key, text, width, percent)
     # A signature that one class has alone can't give a link. One shuffle finds the smallest class and tells who is alone.
-    by_class = Window.partitionBy("sig").orderBy("d")
-    members = signed.select("sig", "d", F.first("d").over(by_class).alias("hub"), F.lead("d").over(by_class).alias("after"))
+    by_class = Window.partitionBy("bucket", "sig").orderBy("d")
+    whole = F.expr("shiftleft(bucket, 32) | (sig & 4294967295L)").alias("sig")
+    members = signed.select(whole, "d", F.first("d").over(by_class).alias("hub"), F.lead("d").over(by_class).alias("after"))
     members = settle(members.where("d != hub OR after IS NOT NULL").select("sig", "d", "hub"), "members")
     first = settle(members.where("d != hub").select(F.col("hub").alias("x"), F.col("d").alias("y")).distinct(), "hub-pairs")
     links = verified_links(df, first, key, text, width, percent)
@@ -186,7 +233,7 @@ def verified_links(df: DataFrame, pairs: DataFrame, key: str, text: str, width:
     """The pairs of classes whose sets are similar enough, compared element by element."""
     pairs = settle(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id"))
-    sets = settle(shingle_sets(of_keys(df, wanted, key, text), key, text, width, percent, "sets").select("key", "shingles"), "sets")
+    sets = settle(shingle_sets(of_keys(df, wanted, key, text), key, text, width, "sets").select("key", "shingles"), "sets")
     both = pairs.join(sets.select(F.col("key").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("key").alias("y"), F.col("shingles").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     joined = both.select(F.col("x").alias("a"), F.col("y").alias("b"), common.alias("i"), (F.size("sx") + F.size("sy") - common).alias("u"))
