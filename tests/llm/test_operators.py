@@ -219,3 +219,64 @@ def test_empty_tables(spark):
         pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")), count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")),
     ]
     assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_quality_tells_word_salad(spark):
+    """Known words in an order never seen are less likely than a text in the trained order, letter for letter the same."""
+    rng = random.Random(2)
+    phrases = [sentence(rng, 6) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(phrases, k=30)), "en") for i in range(60)]
+    test = " ".join(phrases[k % 40] for k in range(7, 47))
+    salad = test.split()
+    rng.shuffle(salad)
+    docs = spark.createDataFrame([*rows, (100, test, "en"), (101, " ".join(salad), "en")], "doc_id bigint, text string, lang string")
+    got = rows_of(fit_quality(docs, docs.where("doc_id < 60").select("doc_id")).judge(docs))
+    assert got[101]["perplexity"] > 1.5 * got[100]["perplexity"] and got[100]["kept"] and not got[101]["kept"]
+
+
+def test_quality_sums_kneser_ney(spark):
+    """The values joined to a text's n-grams add up to plain interpolated Kneser-Ney."""
+    from wardbook.llm import quality
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("ab cd ef gh ij".split(), k=rng.randint(1, 9))), "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit_quality(docs, docs.select("doc_id"))
+    got = rows_of(model.judge(docs))
+    for fold in range(2):
+        c3 = Counter()
+        for _, t, _ in rows:
+            if quality.fold_of(t) == fold:
+                w = ["<", "<", *t.split(), ">"]
+                c3.update(zip(w, w[1:], w[2:]))
+        c2 = Counter(g[1:] for g in c3)
+        c1 = Counter(g[1:] for g in c2)
+        spelling = quality._Reader(model.spelling.value)
+
+        def p(gram, orders):
+            if not orders:
+                return float(np.exp(quality.END_LOG_P if gram[-1] == ">" else spelling.spell([gram[-1]], fold)[0]))
+            c, lower = orders[0], p(gram[1:] if len(orders) > 1 else gram, orders[1:])
+            d = quality.discounts(*(sum(v == k for o in all_orders[len(orders) - 1] for v in o.values()) for k in (1, 2, 3, 4)))
+            seen = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+            total = sum(seen.values())
+            if not total:
+                return lower
+            freed = sum(d[min(v, 3)] for v in seen.values())
+            return (max(c[gram] - d[min(c[gram], 3)], 0) + freed * lower) / total
+
+        both = []
+        for f in range(2):
+            a = Counter()
+            for _, t, _ in rows:
+                if quality.fold_of(t) == f:
+                    w = ["<", "<", *t.split(), ">"]
+                    a.update(zip(w, w[1:], w[2:]))
+            b = Counter(g[1:] for g in a)
+            both.append((a, b, Counter(g[1:] for g in b)))
+        all_orders = [[o[2] for o in both], [o[1] for o in both], [o[0] for o in both]]
+        for i, t, _ in rows[:20]:
+            if quality.fold_of(t) != fold:
+                w = ["<", "<", *t.split(), ">"]
+                logs = [np.log(p(g, [c3, c2, c1])) for g in zip(w, w[1:], w[2:])]
+                assert got[i]["perplexity"] == pytest.approx(np.exp(-sum(logs) / (len(t) + 2)), rel=1e-5)

@@ -1,7 +1,13 @@
-"""Operator 5: quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text."""
+"""Operator 5: quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
+
+The model counts word trigrams in Spark. Below the words lies a spelling model
+of characters, which gives words never seen a probability of their own.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,43 +17,59 @@ from pyspark.sql import functions as F
 
 from wardbook.session import settle
 
-# Characters are read as 128 classes, so a trigram table has at most 2^21
+# Spelling reads characters as 128 classes, so its table has at most 2^21
 # entries whatever the corpus: its size is bounded before it is broadcast.
 CLASSES = 128
 START = 0
+SPACE = 32
+FOLDS = 2
+# Scripts without spaces count each character as a word.
+WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\s぀-ヿ㐀-鿿가-힯]+")
+PART_WORDS = 64
+END_LOG_P = float(np.log(1e-3))  # what spelling gives the end of a text
+# So many of the most frequent n-grams are answered from a broadcast list; all others are joined.
+HOT_GRAMS = 100_000
+MEMO_WORDS = 500_000
 
 
-def classes_of(text: str) -> np.ndarray:
-    """Character classes of a text behind two start marks: ASCII stays itself, the rest shares 31 classes, white space is one."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    folded = np.where(points < 128, np.where(points <= 32, 32, points), points % 31 + 1)
-    return np.concatenate([[START, START], folded]).astype(np.int64)
+def fold_of(text: str) -> int:
+    """The half a text belongs to, by its content: copies share it."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=1).digest()[0] % FOLDS
 
 
-def trigrams(text: str) -> np.ndarray:
-    c = classes_of(text)
-    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Character trigrams of words, each spelled from two start marks to a space, and where each word's begin."""
+    points = np.frombuffer((" ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(points < 128, np.where(points <= 32, SPACE, points), points % 31 + 1).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]])
+    before, before2 = np.concatenate([[START], c[:-1]]), np.concatenate([[START, START], c[:-2]])[: len(c)]
+    before[begin] = START
+    before2[begin] = START
+    second = begin + 1
+    before2[second] = START
+    return (before2 * CLASSES + before) * CLASSES + c, begin
 
 
-def trigram_counts(df: DataFrame, text: str) -> DataFrame:
-    """(gram, n) over all texts, summed per task before the shuffle."""
+def spelling_counts(df: DataFrame, text: str) -> DataFrame:
+    """(gram, n) over all texts for each fold, summed per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.int64)
+        total = np.zeros(FOLDS * CLASSES**3, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                if t.as_py():
-                    grams, n = np.unique(trigrams(t.as_py()), return_counts=True)
-                    total[grams] += n
+                words = WORD.findall(t.as_py() or "")
+                if words:
+                    grams, n = np.unique(spelled(words)[0], return_counts=True)
+                    total[fold_of(t.as_py()) * CLASSES**3 + grams] += n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
 
     return df.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Discounts for counts of 1, 2 and more, from the numbers of types seen 1 to 4 times."""
-    n1, n2, n3, n4 = (max(1, int((n == k).sum())) for k in (1, 2, 3, 4))
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """Discounts for counts of 0, 1, 2 and more, from the numbers of types seen 1 to 4 times."""
+    n1, n2, n3, n4 = (max(1, n or 0) for n in (n1, n2, n3, n4))
     y = n1 / (n1 + 2 * n2)
     d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
@@ -55,7 +77,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 def smoothed(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """One order of the interpolation: counts (context, next) and the probability of each next under the shorter context."""
-    d = discounts(counts)[np.minimum(counts, 3)]
+    d = discounts(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))[np.minimum(counts, 3)]
     total = counts.sum(-1, keepdims=True)
     freed = np.minimum(d, counts).sum(-1, keepdims=True)
     seen = np.maximum(total, 1)
@@ -72,26 +94,166 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(smoothed(c3, p2[None, :, :])).astype(np.float32).ravel()
 
 
+def _mixed(*ids: np.ndarray) -> np.ndarray:
+    """One 64-bit id for each row of ids; the order and the number of ids count."""
+    x = np.full(ids[0].shape, len(ids), np.uint64)
+    for i in ids:
+        x = (x ^ i) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x
+
+
+class _Reader:
+    """Words of a text as ids under one fold's model, and their spelling."""
+
+    def __init__(self, spelling: np.ndarray):
+        self.spelling, self.known = spelling, [{} for _ in range(FOLDS)]
+
+    def ids(self, words: list[str], fold: int) -> np.ndarray:
+        known = self.known[fold]
+        if len(known) > MEMO_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8, key=bytes([fold])).digest(), "little")
+        return np.array([fold, fold, *map(known.__getitem__, words), FOLDS + fold], np.uint64)
+
+    def spell(self, words: list[str], fold: int) -> np.ndarray:
+        grams, begin = spelled(words)
+        return np.append(np.add.reduceat(self.spelling[fold][grams].astype(np.float64), begin), END_LOG_P)
+
+
+def trigram_counts(df: DataFrame, text: str, spelling) -> DataFrame:
+    """Distinct word trigrams of each fold: ids of the trigram, both its pairs, its two last words; spelling and count."""
+    schema = "fold int, gram bigint, ctx bigint, pair bigint, mid bigint, word bigint, spell double, n bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(spelling.value)
+        for batch in batches:
+            for t in batch.column(0):
+                words = WORD.findall(t.as_py() or "")
+                if not words:
+                    continue
+                fold = fold_of(t.as_py())
+                s = reader.ids(words, fold)
+                gram, first, n = np.unique(_mixed(s[:-2], s[1:-1], s[2:]), return_index=True, return_counts=True)
+                pair, word, spell = _mixed(s[:-1], s[1:]), _mixed(s), reader.spell(words, fold)
+                parts = [gram, pair[first], pair[first + 1], word[first + 1], word[first + 2]]
+                out = [pa.array(np.full(len(gram), fold, np.int32)), *(pa.array(p.view(np.int64)) for p in parts), pa.array(spell[first]), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(out, names=["fold", "gram", "ctx", "pair", "mid", "word", "spell", "n"])
+
+    made = df.select(text).mapInArrow(run, schema)
+    return made.groupBy("fold", "gram", "ctx", "pair", "mid", "word").agg(F.min("spell").alias("spell"), F.sum("n").alias("n"))
+
+
+def _discounted(table: DataFrame) -> DataFrame:
+    """Append d, the discount of each row's count n."""
+    seen = table.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
+    _, one, two, more = (float(x) for x in discounts(*seen))
+    return table.withColumn("d", F.expr(f"CASE n WHEN 1 THEN {one!r}D WHEN 2 THEN {two!r}D ELSE {more!r}D END"))
+
+
+def _contexts(table: DataFrame, context: str) -> DataFrame:
+    """Total count and log share freed by the discounts for each context."""
+    sums = table.groupBy(context).agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
+    return sums.select(context, "total", F.log(F.col("freed") / F.col("total")).alias("back"))
+
+
+def gram_values(counted: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(gram, value, n) for n-grams of all orders, and each fold's log share of spelling.
+
+    With p(w) the probability under the shorter context and b the log share a
+    context leaves to it, an n-gram seen adds log p - b - log p(w), a context
+    seen adds b, and what was never seen adds nothing. So the log probability
+    of a text is its spelling plus one value for each n-gram in it: counts,
+    continuation counts and discounts are aggregates and joins, and a text
+    needs a single join.
+    """
+    t3 = settle(_discounted(counted), "trigrams")
+    t2 = settle(_discounted(t3.groupBy("fold", "pair", "mid", "word").agg(F.min("spell").alias("spell"), F.count("*").alias("n"), F.sum("n").alias("seen"))), "pairs")
+    t1 = settle(_discounted(t2.groupBy("fold", "word").agg(F.min("spell").alias("spell"), F.count("*").alias("n"), F.sum("seen").alias("seen"))), "words")
+    totals = {r["fold"]: r for r in t1.groupBy("fold").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")).collect()}
+    shares = [float(np.log(totals[f]["freed"] / totals[f]["total"])) if f in totals else 0.0 for f in range(FOLDS)]
+    total = F.expr("CASE fold " + " ".join(f"WHEN {f} THEN {r['total']}D" for f, r in totals.items()) + " END")
+    lower = F.col("spell") + F.expr("CASE fold " + " ".join(f"WHEN {f} THEN {shares[f]!r}D" for f in totals) + " END")
+    p1 = t1.select("word", "seen", lower.alias("lower"), F.log((F.col("n") - F.col("d")) / total + F.exp(lower)).alias("lp1"))
+    c2 = settle(_contexts(t2, "mid"), "word-contexts")
+    c3 = settle(_contexts(t3, "ctx"), "pair-contexts")
+    p2 = t2.join(c2, "mid").join(p1.select("word", "lp1"), "word").withColumn("low", F.col("back") + F.col("lp1"))
+    p2 = settle(p2.select("pair", "seen", "low", F.log((F.col("n") - F.col("d")) / F.col("total") + F.exp("low")).alias("lp2")), "pair-values")
+    p3 = t3.join(c3, "ctx").join(p2.select("pair", "lp2"), "pair").withColumn("low", F.col("back") + F.col("lp2"))
+    p3 = p3.select("gram", (F.log((F.col("n") - F.col("d")) / F.col("total") + F.exp("low")) - F.col("low")).alias("value"), F.col("n").alias("seen"))
+    rows = p3.unionByName(p2.select(F.col("pair").alias("gram"), (F.col("lp2") - F.col("low")).alias("value"), "seen"))
+    rows = rows.unionByName(p1.select(F.col("word").alias("gram"), (F.col("lp1") - F.col("lower")).alias("value"), "seen"))
+    for contexts, name in ((c3, "ctx"), (c2, "mid")):
+        rows = rows.unionByName(contexts.select(F.col(name).alias("gram"), F.col("back").alias("value"), F.lit(0).cast("bigint").alias("seen")))
+    return settle(rows.groupBy("gram").agg(F.sum("value").alias("value"), F.max("seen").alias("n")), "gram-values"), shares
+
+
 class QualityModel:
-    """The log probabilities and, per language, the perplexities between which a text is kept."""
+    """The model's n-gram values and, per language, the perplexities between which a text is kept."""
 
-    def __init__(self, log_probability: np.ndarray | None, bounds: DataFrame | None = None):
-        self.log_probability, self.bounds = log_probability, bounds
+    def __init__(self, spelling=None, values: DataFrame | None = None, shares: list[float] | None = None, bounds: DataFrame | None = None):
+        self.spelling, self.values, self.shares, self.bounds = spelling, values, shares, bounds
+        self.hot = None
+        if values is not None:
+            top = values.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram", "value").toArrow().sort_by("gram")
+            self.hot = values.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(), top["value"].to_numpy()))
 
-    def perplexity(self, df: DataFrame, text: str = "text", output: str = "perplexity") -> DataFrame:
-        """Append the perplexity per character; null without a model or without text."""
-        kept = df.drop(output)
-        if self.log_probability is None:
-            return kept.withColumn(output, F.lit(None).cast("double"))
-        model = df.sparkSession.sparkContext.broadcast(self.log_probability)  # 8 MB
+    def _rows(self, df: DataFrame, text: str, cold: bool) -> DataFrame:
+        """For each text and part: spelling and hot n-grams (x) with characters, or with ``cold`` a row for each other n-gram."""
+        spelling, hot, shares = self.spelling, self.hot, self.shares
+        schema = "id bigint, part int, gram bigint, x double, chars bigint"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = model.value
+            reader, (keys, values) = _Reader(spelling.value), hot.value
             for batch in batches:
-                found = [_perplexity(table, t.as_py()) for t in batch.column(text)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, output])
+                found: list[list[np.ndarray]] = []
+                for key, t in zip(batch.column(0), batch.column(1)):
+                    words = WORD.findall(t.as_py() or "")
+                    if not words:
+                        continue
+                    fold = FOLDS - 1 - fold_of(t.as_py())  # the model that was not trained on this text
+                    s, last = reader.ids(words, fold), max(1, len(words) // PART_WORDS) - 1
+                    part = np.minimum(np.arange(len(words) + 1) // PART_WORDS, last)
+                    gram = np.concatenate([_mixed(s[1:]), _mixed(s[:-1], s[1:]), _mixed(s[:-2], s[1:-1], s[2:])]).view(np.int64)
+                    at = np.concatenate([[0], part, [0], part, part])
+                    where = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+                    is_hot = keys[where] == gram
+                    if cold:
+                        at, gram = at[~is_hot].astype(np.int64), gram[~is_hot]
+                        _, first, n = np.unique(_mixed(at.view(np.uint64), gram.view(np.uint64)), return_index=True, return_counts=True)
+                        found.append([np.full(len(n), key.as_py()), at[first], gram[first], n.astype(float), np.zeros(len(n), np.int64)])
+                    else:
+                        x = np.bincount(part, reader.spell(words, fold) + shares[fold], last + 1)
+                        x += np.bincount(at[is_hot], values[where[is_hot]], last + 1)
+                        chars = np.bincount(part, [*(len(w) + 1 for w in words), 1], last + 1).astype(np.int64)
+                        found.append([np.full(last + 1, key.as_py()), np.arange(last + 1), np.zeros(last + 1, np.int64), x, chars])
+                if found:
+                    a = [np.concatenate(c) for c in zip(*found)]
+                    a[1] = a[1].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in a], names=["id", "part", "gram", "x", "chars"])
+
+        return df.select(F.xxhash64(text).alias("id"), text).mapInArrow(run, schema)
 
-        return kept.mapInArrow(run, kept.select("*", F.lit(None).cast("double").alias(output)).schema)
+    def scores(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """(id, perplexity, lowest, highest) of each distinct text: per character, over all of it and over its parts."""
+        base = self._rows(df, text, False).select("id", "part", "x", "chars")
+        cold = self._rows(df, text, True).join(self.values.select("gram", "value"), "gram")
+        cold = cold.groupBy("id", "part").agg(F.sum(F.col("x") * F.col("value")).alias("x"), F.lit(0).cast("bigint").alias("chars"))
+        # Copies of a text add to sums and characters alike, which leaves their quotient.
+        parts = base.unionByName(cold).groupBy("id", "part").agg(F.sum("x").alias("x"), F.sum("chars").alias("chars"))
+        each = F.exp(-F.col("x") / F.col("chars"))
+        return parts.groupBy("id").agg(F.exp(-F.sum("x") / F.sum("chars")).alias("perplexity"), F.min(each).alias("lowest"), F.max(each).alias("highest"))
+
+    def perplexity(self, df: DataFrame, text: str = "text", output: str = "perplexity") -> DataFrame:
+        """Append the perplexity per character; null without a model or without words."""
+        kept = df.drop(output)
+        if self.values is None:
+            return kept.withColumn(output, F.lit(None).cast("double"))
+        found = self.scores(kept, text).select(F.col("id").alias("_id"), F.col("perplexity").alias(output))
+        return kept.withColumn("_id", F.xxhash64(text)).join(found, "_id", "left").drop("_id")
 
     def judge(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         """Append perplexity, low, high and kept to every row."""
@@ -104,32 +266,30 @@ class QualityModel:
         return out.withColumn("kept", F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True)))
 
 
-def _perplexity(table: np.ndarray, text: str | None) -> float | None:
-    return float(np.exp(-table[trigrams(text)].mean(dtype=np.float64))) if text else None
-
-
 def fit_quality(
     df: DataFrame, trusted_keys: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = 0.002, slack: float = 1.1
 ) -> QualityModel:
     """Train on every text whose key is trusted, and set the bounds per language.
 
-    A text is kept if its perplexity lies between the ``tail`` and 1 - ``tail``
-    quantiles of the trusted texts of its language, widened by the factor
-    ``slack``; both ends matter, because endless repetition is too predictable
-    and symbol soup too surprising. A language without trusted texts takes the
-    quantiles of all of them. Null keys are never trusted, null and empty texts
-    train nothing and are kept, and without trusted text everything is kept.
-    Repeated rows count each. All trusted texts are used: counts are summed per
-    task, then by Spark; what the driver receives is bounded by the classes.
+    Texts are dealt into two halves by their content, and each half trains a
+    model by which the other half is scored, so no text is judged by a model
+    that has seen it. A text is kept if its perplexity lies between the
+    ``tail`` and 1 - ``tail`` quantiles of the trusted texts of its language,
+    widened by the factor ``slack``; both ends matter, because endless
+    repetition is too predictable and symbol soup too surprising. A language
+    without trusted texts takes the quantiles of all of them. Null keys are
+    never trusted, null and empty texts train nothing and are kept, and without
+    trusted text everything is kept. Repeated rows count each.
     """
     keys = trusted_keys.select(F.col(key)).distinct()
     trusted = settle(df.select(key, text, lang).join(keys, key, "left_semi").select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")), "trusted")
-    counts = np.zeros(CLASSES**3, np.int64)
-    table = trigram_counts(trusted, "text").toArrow()  # at most CLASSES ** 3 rows
+    counts = np.zeros(FOLDS * CLASSES**3, np.int64)
+    table = spelling_counts(trusted, "text").toArrow()  # at most FOLDS * CLASSES ** 3 rows
     counts[table["gram"].to_numpy()] = table["n"].to_numpy()
     if not counts.any():
-        return QualityModel(None)
-    model = QualityModel(kneser_ney(counts))
+        return QualityModel()
+    spelling = df.sparkSession.sparkContext.broadcast(np.stack([kneser_ney(c) for c in counts.reshape(FOLDS, -1)]))  # 16 MB
+    model = QualityModel(spelling, *gram_values(trigram_counts(trusted, "text", spelling)))
     scores = settle(model.perplexity(trusted, "text").select("_lang", "perplexity").where("perplexity IS NOT NULL"), "perplexities")
     ends = [F.percentile_approx("perplexity", q, 10_000) for q in (tail, 1 - tail)]
     bounds = [(ends[0] / slack).alias("low"), (ends[1] * slack).alias("high")]
