@@ -280,3 +280,14 @@ def test_quality_sums_kneser_ney(spark):
                 w = ["<", "<", *t.split(), ">"]
                 logs = [np.log(p(g, [c3, c2, c1])) for g in zip(w, w[1:], w[2:])]
                 assert got[i]["perplexity"] == pytest.approx(np.exp(-sum(logs) / (len(t) + 2)), rel=1e-5)
+
+
+def test_quality_cuts_use_both_classes(spark):
+    """Bad texts inside the widened quantiles of the good ones are cut off, by their mean or by one part."""
+    from wardbook.llm.quality import fit_cuts
+
+    rows = [("en", True, 4 + i % 20 / 10, 4 + i % 20 / 10, 4 + i % 20 / 10) for i in range(400)] + [("en", True, 14.0, 14.0, 14.0)]
+    rows += [("en", False, 10.0 + i / 100, 10.0, 12.0) for i in range(60)] + [("en", False, 5.0, 1.5, 5.5)] * 20 + [("xx", True, 5.0, 5.0, 5.0)]
+    cuts = rows_of(fit_cuts(spark.createDataFrame(rows, "_lang string, good boolean, perplexity double, lowest double, highest double"), 0.002, 1.1), "_lang")
+    for name in ("en", "xx", None):
+        assert 6 < cuts[name]["high"] < 10 and cuts[name]["low"] < 4 and 1.5 < cuts[name]["part_low"] < 4.1 and cuts[name]["part_high"] > 5.9

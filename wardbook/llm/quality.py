@@ -30,6 +30,10 @@ END_LOG_P = float(np.log(1e-3))  # what spelling gives the end of a text
 # So many of the most frequent n-grams are answered from a broadcast list; all others are joined.
 HOT_GRAMS = 100_000
 MEMO_WORDS = 500_000
+SCORES = ("perplexity", "lowest", "highest")
+CUTS = ("low", "high", "part_low", "part_high")
+BINS = 100  # cuts are set to a hundredth of the log score
+SHRINK = 100
 
 
 def fold_of(text: str) -> int:
@@ -247,42 +251,109 @@ class QualityModel:
         each = F.exp(-F.col("x") / F.col("chars"))
         return parts.groupBy("id").agg(F.exp(-F.sum("x") / F.sum("chars")).alias("perplexity"), F.min(each).alias("lowest"), F.max(each).alias("highest"))
 
-    def perplexity(self, df: DataFrame, text: str = "text", output: str = "perplexity") -> DataFrame:
-        """Append the perplexity per character; null without a model or without words."""
-        kept = df.drop(output)
+    def scored(self, df: DataFrame, text: str) -> DataFrame:
+        """Append the three scores to every row; null without a model or without words."""
+        kept = df.drop("_id", *SCORES)
         if self.values is None:
-            return kept.withColumn(output, F.lit(None).cast("double"))
-        found = self.scores(kept, text).select(F.col("id").alias("_id"), F.col("perplexity").alias(output))
+            return kept.withColumns({c: F.lit(None).cast("double") for c in SCORES})
+        found = self.scores(kept, text).withColumnRenamed("id", "_id")
         return kept.withColumn("_id", F.xxhash64(text)).join(found, "_id", "left").drop("_id")
 
     def judge(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-        """Append perplexity, low, high and kept to every row."""
-        scored = self.perplexity(df.drop("low", "high", "kept"), text).withColumn("_lang", F.coalesce(F.col(lang).cast("string"), F.lit("")))
+        """Append perplexity, low, high and kept to every row; kept looks at the parts of a text, too."""
+        given = [c for c in df.columns if c not in ("perplexity", "low", "high", "kept")]
+        scored = self.scored(df.select(*[F.col(c).alias(f"_in{i}") for i, c in enumerate(given)], F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")), f"_in{given.index(text)}")
+        back = [F.col(f"_in{i}").alias(c) for i, c in enumerate(given)]
         if self.bounds is None:
-            return scored.drop("_lang").withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "kept": F.lit(True)})
-        every = self.bounds.where("_lang IS NULL").select(F.col("low").alias("_low"), F.col("high").alias("_high")).first()
-        out = scored.join(self.bounds.where("_lang IS NOT NULL"), "_lang", "left").drop("_lang")
-        out = out.withColumns({"low": F.coalesce("low", F.lit(every["_low"])), "high": F.coalesce("high", F.lit(every["_high"]))})
-        return out.withColumn("kept", F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True)))
+            return scored.select(*back, "perplexity", *[F.lit(None).cast("double").alias(c) for c in ("low", "high")], F.lit(True).alias("kept"))
+        every = self.bounds.where("_lang IS NULL").first()
+        out = scored.join(self.bounds.where("_lang IS NOT NULL"), "_lang", "left").withColumns({c: F.coalesce(c, F.lit(every[c])) for c in CUTS})
+        inside = (F.col("perplexity").between(F.col("low"), F.col("high"))) & (F.col("lowest") >= F.col("part_low")) & (F.col("highest") <= F.col("part_high"))
+        return out.select(*back, "perplexity", "low", "high", F.coalesce(inside, F.lit(True)).alias("kept"))
+
+
+def best_cut(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, tail: float, slack: float) -> float:
+    """The log score above which fewest labelled texts are judged wrongly, at most the ``tail`` quantile of good ones widened by ``slack``."""
+    order = np.argsort(bins)
+    b, g, x = bins[order], good[order], bad[order]
+    above = g.sum() - np.cumsum(g)
+    loosest = (b[np.argmax(above <= tail * g.sum())] + 1) / BINS + np.log(slack)
+    wrong = above + np.cumsum(x)
+    k = int(np.flatnonzero(wrong == wrong.min())[-1])
+    return min(loosest, (b[k] + 1 + b[k + 1]) / 2 / BINS) if k + 1 < len(b) else loosest
+
+
+def fit_cuts(scored: DataFrame, tail: float, slack: float) -> DataFrame:
+    """(_lang, low, high, part_low, part_high) from scored rows with _lang and good; the row of null holds for all languages.
+
+    The cuts of a language are averaged in logs with those of all, which weigh
+    as much as ``SHRINK`` trusted texts. The cuts of parts are set on the rows
+    that pass the cuts of whole texts.
+    """
+
+    def cut(held, low: str, high: str, scores: tuple[str, str]):
+        found = {}
+        for name, score, sign in ((low, scores[0], -1), (high, scores[1], 1)):
+            one = held[held["score"] == score]
+            bins = one["bin"].to_numpy() if sign > 0 else -(one["bin"].to_numpy() + 1)
+            good, bad = (np.where(one["good"] == q, one["n"], 0) for q in (True, False))
+            found[name] = sign * best_cut(bins, good, bad, tail, slack)
+        return found, int(held[(held["score"] == scores[0]) & held["good"]]["n"].sum())
+
+    def step(rows: DataFrame, low: str, high: str, scores: tuple[str, str]) -> DataFrame:
+        parts = [rows.select("_lang", "good", F.lit(c).alias("score"), F.floor(F.log(c) * BINS).cast("bigint").alias("bin")) for c in dict.fromkeys(scores)]
+        made = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        counted = settle(made.groupBy("_lang", "good", "score", "bin").agg(F.count("*").alias("n")), "score-histogram")
+        overall = counted.groupBy("good", "score", "bin").agg(F.sum("n").alias("n")).toPandas()  # as many rows as there are bins
+        every, _ = cut(overall, low, high, scores)
+
+        def per_lang(held):
+            own, n = cut(held, low, high, scores) if held["good"].any() else (every, 0)
+            mixed = {c: float(np.exp((n * own[c] + SHRINK * every[c]) / (n + SHRINK))) for c in every}
+            return held.iloc[:1][["_lang"]].assign(**mixed)
+
+        out = counted.groupBy("_lang").applyInPandas(per_lang, f"_lang string, {low} double, {high} double")
+        return settle(out.unionByName(rows.sparkSession.createDataFrame([(None, *map(float, np.exp([every[low], every[high]])))], out.schema)), "cuts")
+
+    whole = step(scored, "low", "high", ("perplexity", "perplexity"))
+    passed = scored.join(whole, "_lang").where("perplexity BETWEEN low AND high").drop("low", "high")
+    parts = step(passed, "part_low", "part_high", ("lowest", "highest"))
+    same = whole["_lang"].eqNullSafe(parts["_lang"])
+    every = parts.where("_lang IS NULL").first()
+    out = whole.join(parts, same, "left").select(whole["_lang"], "low", "high", *[F.coalesce(c, F.lit(every[c])).alias(c) for c in CUTS[2:]])
+    return settle(out, "bounds")
 
 
 def fit_quality(
-    df: DataFrame, trusted_keys: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = 0.002, slack: float = 1.1
+    df: DataFrame,
+    trusted_keys: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    tail: float = 0.002,
+    slack: float = 1.1,
+    bad_keys: DataFrame | None = None,
 ) -> QualityModel:
-    """Train on every text whose key is trusted, and set the bounds per language.
+    """Train on every text whose key is trusted, and set the cuts per language on all labelled texts.
 
     Texts are dealt into two halves by their content, and each half trains a
     model by which the other half is scored, so no text is judged by a model
-    that has seen it. A text is kept if its perplexity lies between the
-    ``tail`` and 1 - ``tail`` quantiles of the trusted texts of its language,
-    widened by the factor ``slack``; both ends matter, because endless
-    repetition is too predictable and symbol soup too surprising. A language
-    without trusted texts takes the quantiles of all of them. Null keys are
-    never trusted, null and empty texts train nothing and are kept, and without
-    trusted text everything is kept. Repeated rows count each.
+    that has seen it and all labelled texts are held out. Both ends of the
+    scale are cut, for the whole text and for its parts of ``PART_WORDS``
+    words, where fewest texts of ``trusted_keys`` and ``bad_keys`` are judged
+    wrongly. No cut is looser than the ``tail`` and 1 - ``tail`` quantiles of
+    the trusted texts, widened by the factor ``slack``; without ``bad_keys``
+    these are the cuts. Languages with few trusted texts lean on all languages
+    together, and those without take theirs. Null keys are never trusted, null
+    and empty texts train nothing and are kept, and without trusted text
+    everything is kept. Repeated rows count each.
     """
-    keys = trusted_keys.select(F.col(key)).distinct()
-    trusted = settle(df.select(key, text, lang).join(keys, key, "left_semi").select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")), "trusted")
+    lang_of = F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")
+
+    def listed(keys: DataFrame) -> DataFrame:
+        return df.select(key, text, lang).join(keys.select(F.col(key)).distinct(), key, "left_semi").select(F.col(text).alias("text"), lang_of)
+
+    trusted = settle(listed(trusted_keys), "trusted")
     counts = np.zeros(FOLDS * CLASSES**3, np.int64)
     table = spelling_counts(trusted, "text").toArrow()  # at most FOLDS * CLASSES ** 3 rows
     counts[table["gram"].to_numpy()] = table["n"].to_numpy()
@@ -290,9 +361,9 @@ def fit_quality(
         return QualityModel()
     spelling = df.sparkSession.sparkContext.broadcast(np.stack([kneser_ney(c) for c in counts.reshape(FOLDS, -1)]))  # 16 MB
     model = QualityModel(spelling, *gram_values(trigram_counts(trusted, "text", spelling)))
-    scores = settle(model.perplexity(trusted, "text").select("_lang", "perplexity").where("perplexity IS NOT NULL"), "perplexities")
-    ends = [F.percentile_approx("perplexity", q, 10_000) for q in (tail, 1 - tail)]
-    bounds = [(ends[0] / slack).alias("low"), (ends[1] * slack).alias("high")]
-    per_lang, overall = scores.groupBy("_lang").agg(*bounds), scores.agg(*bounds)
-    model.bounds = settle(per_lang.unionByName(overall.withColumn("_lang", F.lit(None).cast("string"))), "bounds")
+    labelled = trusted.withColumn("good", F.lit(True))
+    if bad_keys is not None:
+        labelled = labelled.unionByName(listed(bad_keys).withColumn("good", F.lit(False)))
+    scored = model.scored(labelled, "text").where("perplexity IS NOT NULL").select("_lang", "good", *SCORES)
+    model.bounds = fit_cuts(settle(scored, "label-scores"), tail, slack)
     return model

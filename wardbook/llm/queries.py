@@ -93,7 +93,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit_quality(docs, labels.where("quality = 1"))
+    model = fit_quality(docs, labels.where("quality = 1"), bad_keys=labels.where("quality = 0"))
     return model.judge(docs.select("doc_id", "text", "lang")).drop("text")
 
 

@@ -15,9 +15,9 @@ from wardbook.session import settle
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the perplexity bounds of trusted text; those labelled 1 are the trusted ones."""
+    """Documents within the perplexity bounds set on labelled text; those labelled 1 are the trusted ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = fit_quality(docs, labels.where("quality = 1")).judge(docs)
+    judged = fit_quality(docs, labels.where("quality = 1"), bad_keys=labels.where("quality = 0")).judge(docs)
     return judged.where("kept").select(docs.columns)
 
 
