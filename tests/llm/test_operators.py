@@ -291,3 +291,18 @@ def test_quality_cuts_use_both_classes(spark):
     cuts = rows_of(fit_cuts(spark.createDataFrame(rows, "_lang string, good boolean, perplexity double, lowest double, highest double"), 0.002, 1.1), "_lang")
     for name in ("en", "xx", None):
         assert 6 < cuts[name]["high"] < 10 and cuts[name]["low"] < 4 and 1.5 < cuts[name]["part_low"] < 4.1 and cuts[name]["part_high"] > 5.9
+
+
+def test_html_keeps_articles_inside_marked_tags(spark):
+    article = "<article><h1>T</h1><p>text</p></article>"
+    pages = [
+        f"<body><div class='content with-sidebar no-sidebar ad-free' id=search-results>{article}</div></body>",
+        f"<body><div class=sidebar>{article}</div><div class=sidebar>ad</div></body>",
+        f"<body><form action=/><input name=s><nav>Menu</nav>{article}</form></body>",
+        f"<body><svg viewBox='0 0 1 1'/>{article}</body>",
+        f"<body>{article}<div class=comments><article><p>me</p></article></div></body>",
+        "<body><main><p>long enough to be the text</p><p>T</p><form><input><p>Send</p></form></main></body>",
+    ]
+    rows = [(i, f"http://h{i}/", p) for i, p in enumerate(pages)]
+    got = rows_of(extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id")
+    assert [got[i]["text"] for i in range(6)] == ["T\ntext"] * 5 + ["long enough to be the text\nT"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wardbook.session import settle
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -24,7 +24,8 @@ MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Tags and words of class, id or role that mark what isn't the article.
-OUTSIDE_TAGS = frozenset("nav footer aside form button dialog menu head".split())
+OUTSIDE_TAGS = frozenset("nav footer aside button dialog menu head".split())
+FIELDS = frozenset("input select textarea button".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus "
     "footer form menu modal nav navbar navigation newsletter notice notices popup promo related replies reply search share sharing sidebar social "
@@ -34,10 +35,25 @@ CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
 
 
+class _Open:
+    """An open block tag: whether it is outside the article, and for a form its fields and characters of text."""
+
+    __slots__ = ("tag", "outside", "fields", "chars")
+
+    def __init__(self, tag: str, outside: bool):
+        self.tag, self.outside, self.fields, self.chars = tag, outside, 0, 0
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(path, text) of each block of a page in order; a path names the open block tags, ``!`` before those outside the article."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
+    """(path, text) of each block of a page in order; a path names the open block tags, ``!`` before those outside the article.
+
+    Words mark a tag only as whole class, id or role tokens. A form is outside
+    if it has fields and less than half of the page's text. Where every article
+    or main of a page lies in a tag marked by a word or in a form, those marks
+    don't count.
+    """
+    out: list[tuple[list[_Open], str]] = []
+    stack: list[_Open] = []
     text: list[str] = []
     page, at = page or "", 0
 
@@ -45,12 +61,17 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append(("/".join(name for _, name in stack), joined))
+            out.append((list(stack), joined))
+            for o in stack:
+                o.chars += len(joined)
 
     for m in TOKEN.finditer(page):
         text.append(html.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m["tag"] or "").lower()
+        if (tag or (m["raw"] or "").lower()) in FIELDS and not m["end"]:
+            for o in stack:
+                o.fields += 1
         if not tag or tag in INLINE:
             continue
         if tag == "br":
@@ -59,20 +80,28 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         flush()
         if tag in VOID:
             continue
-        open_ = [t for t, _ in stack]
+        open_ = [o.tag for o in stack]
         if m["end"]:
             if tag in open_:
                 del stack[len(open_) - 1 - open_[::-1].index(tag) :]
             continue
         if open_ and (open_[-1] in CLOSED_BY_BLOCK or (open_[-1] == tag and tag in CLOSED_BY_SAME)):
             stack.pop()
-        words = {w for a, b, c in MARK.findall(m["rest"]) for w in re.split(r"[^a-z0-9]+", (a or b or c).lower())}
+        words = {w for a, b, c in MARK.findall(m["rest"]) for w in (a or b or c).lower().split()}
         inside = any(t in ("article", "main") for t in open_)
         outside = tag in OUTSIDE_TAGS or words & OUTSIDE_WORDS or (tag == "header" and not inside)
-        stack.append((tag, ("!" if outside and tag not in ("html", "body", "article", "main") else "") + tag))
+        stack.append(_Open(tag, bool(outside) and tag not in ("html", "body", "article", "main")))
     text.append(html.unescape(page[at:]))
     flush()
-    return out
+    whole = sum(len(t) for _, t in out)
+    for o in {id(o): o for opened, _ in out for o in opened if o.tag == "form"}.values():
+        o.outside = o.outside or (o.fields > 0 and 2 * o.chars < whole)
+    around = [opened[: max(k for k, o in enumerate(opened) if o.tag in ("article", "main"))] for opened, _ in out if any(o.tag in ("article", "main") for o in opened)]
+    if around and all(any(o.outside for o in tags) for tags in around):
+        for tags in around:
+            for o in tags:
+                o.outside = o.outside and o.tag in OUTSIDE_TAGS
+    return [("/".join("!" * o.outside + o.tag for o in opened), t) for opened, t in out]
 
 
 # A wrapper is a list of items [path, text or None for a slot, repeated, optional]:
