@@ -254,7 +254,7 @@ LABELLED = {"labelled": "SELECT source, lang, toxic FROM labels JOIN documents U
 def toxic_rate_by_source_and_language(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     labelled = table(spark, sf_dir, "labels").join(documents, "doc_id")
-    return rates.rate_matrix(labelled, "source", "lang", "toxic", LANGS, 20)
+    return rates.rate_matrix(labelled, "source", "lang", "toxic", LANGS, None, all_levels=True)
 
 
 SCORE_SQL = (
@@ -404,7 +404,8 @@ LENGTH_BANDS = [(0, 500, "short"), (500, 2000, "medium"), (2000, 1_000_000, "lon
 def toxic_risk_by_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labelled = table(spark, sf_dir, "labels").join(documents, "doc_id")
-    return risk.risk_ratio(labelled, {"quality": "quality"}, "n_chars", LENGTH_BANDS, "toxic")
+    bands = [*LENGTH_BANDS[:-1], (LENGTH_BANDS[-1][0], None, LENGTH_BANDS[-1][2])]  # however long
+    return risk.risk_ratio(labelled, {"quality": "quality"}, "n_chars", bands, "toxic")
 
 
 @query(

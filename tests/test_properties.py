@@ -179,3 +179,15 @@ def test_duplicates_with_a_large_group_of_copies(spark):
     assert duplicates.duplicate_rows(df, ["t"]).count() == 402
     none = duplicates.duplicate_summary(df.where("rid BETWEEN 2 AND 600")).first()
     assert none["n_duplicates"] == 0
+
+
+def test_toxic_queries_take_all_lengths_sources_and_languages(spark, tmp_path):
+    from catalog.base import QUERIES
+
+    rows = [(i, f"s{i % 23}", ["en", "pt", "zh"][i % 3], 2_000_000) for i in range(690)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(690).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "CAST(id % 4 = 0 AS INT) AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    bands = {r["band"]: r for r in QUERIES["toxic_risk_by_quality"](spark, str(tmp_path)).collect()}
+    assert bands["long"]["n_pos"] + bands["long"]["n_neg"] == 690
+    cells = QUERIES["toxic_rate_by_source_and_language"](spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in cells) == 690 and len({r["source"] for r in cells}) == 23 and {"pt", "es"} <= {r["lang"] for r in cells}

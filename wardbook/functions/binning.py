@@ -19,9 +19,9 @@ def right_closed(col: str, edges: Sequence[float], labels: Sequence) -> str:
 
 
 def left_closed(col: str, bands: Sequence[tuple]) -> str:
-    """Label of the first band [lo, hi) holding the value; null outside all of them."""
+    """Label of the first band [lo, hi) holding the value; null outside all of them. A band whose hi is None has no upper end."""
     value = name(col)
-    return _first((f"{value} >= {literal(lo)} AND {value} < {literal(hi)}", label) for lo, hi, label in bands)
+    return _first((f"{value} >= {literal(lo)}" + ("" if hi is None else f" AND {value} < {literal(hi)}"), label) for lo, hi, label in bands)
 
 
 def above(col: str, tiers: Sequence[tuple], default) -> str:

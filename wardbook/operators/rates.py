@@ -150,10 +150,20 @@ def largest_gap(gaps: DataFrame, group: str, value) -> DataFrame:
 
 
 def rate_matrix(
-    df: DataFrame, row: str, col: str, outcome: str, cols: Sequence, k: int, min_n: int = 10
+    df: DataFrame, row: str, col: str, outcome: str, cols: Sequence, k: int | None, min_n: int = 10, all_levels: bool = False
 ) -> DataFrame:
-    """Outcome rate of each top-k row code and column level; cells below ``min_n`` rows keep only their size."""
+    """Outcome rate of each top-k row code and column level; cells below ``min_n`` rows keep only their size.
+
+    With ``k`` None all row codes are taken, and with ``all_levels`` the column
+    levels found besides ``cols``, which the driver lists. Missing codes and
+    levels are in no cell.
+    """
     cells = settle(df.groupBy(row, col).agg(*_outcome_counts(outcome)), "rate-cells")
+    if k is None:
+        k = max(1, cells.select(row).distinct().count())
+    if all_levels:
+        found = [r[0] for r in cells.where(known(col)).select(col).distinct().collect()]
+        cols = [*cols, *sorted(set(found) - set(cols))]
     dense = _dense_cells(cells, col, cols, row, k, ["n", "n_known", "cases"])
     return dense.selectExpr(
         name(row), name(col), "code_rank", "n", f"CASE WHEN n >= {min_n} THEN {_rate('known')} END AS rate"
