@@ -191,3 +191,22 @@ def test_toxic_queries_take_all_lengths_sources_and_languages(spark, tmp_path):
     assert bands["long"]["n_pos"] + bands["long"]["n_neg"] == 690
     cells = QUERIES["toxic_rate_by_source_and_language"](spark, str(tmp_path)).collect()
     assert sum(r["n"] for r in cells) == 690 and len({r["source"] for r in cells}) == 23 and {"pt", "es"} <= {r["lang"] for r in cells}
+
+
+def test_forests_are_never_cut_silently(spark, monkeypatch):
+    import pytest
+
+    from catalog import model_queries
+    from wardbook.operators import learn
+
+    flags = [f"f{i}" for i in range(31)]
+    with pytest.raises(ValueError, match="max_depth"):
+        learn._forest(flags, 200, 1, 214)
+    assert learn._forest(flags, 200, 1, 214, max_depth=30).getMaxDepth() == 30
+    sizes = []
+    made = learn._forest
+    monkeypatch.setattr(learn, "_forest", lambda *a, **k: sizes.append(made(*a, **k).getNumTrees()) or (_ for _ in ()).throw(InterruptedError))
+    monkeypatch.setattr(model_queries, "_frame", lambda *_: spark.range(40).selectExpr("id AS event_id", *[f"CAST(id % 2 AS INT) AS {c}" for c in {*model_queries.FEATURES, model_queries.OUTCOME}]))
+    with pytest.raises(InterruptedError):
+        model_queries.forest_leaf_size_sweep(spark, "")
+    assert sizes == [200]

@@ -82,26 +82,42 @@ def fit_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0)
         patterns.unpersist()
 
 
-def _forest(features: Sequence[str], trees: int, min_leaf: int, seed: int) -> RandomForestClassifier:
-    # A tree over 0/1 features cannot grow deeper than their number.
+def _forest(features: Sequence[str], trees: int, min_leaf: int, seed: int, max_depth: int | None = None) -> RandomForestClassifier:
+    """A forest whose trees grow to ``max_depth``, by default as deep as trees over 0/1 features can: their number.
+
+    Spark grows trees to ``MAX_TREE_DEPTH`` at most, so more features need a
+    ``max_depth`` given by the caller.
+    """
+    depth = len(features) if max_depth is None else max_depth
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"trees of depth {depth} would be cut at {MAX_TREE_DEPTH}: give max_depth")
     return RandomForestClassifier(
         featuresCol=FEATURES,
         labelCol=LABEL,
         weightCol=WEIGHT,
         numTrees=trees,
         minInstancesPerNode=min_leaf,
-        maxDepth=min(len(features), MAX_TREE_DEPTH),
+        maxDepth=depth,
         featureSubsetStrategy="sqrt",
         seed=seed,
     )
 
 
 def fit_forest(
-    df: DataFrame, features: Sequence[str], y: str, trees: int = 200, min_leaf: int = 10, seed: int = 214
+    df: DataFrame,
+    features: Sequence[str],
+    y: str,
+    trees: int = 200,
+    min_leaf: int = 10,
+    seed: int = 214,
+    max_depth: int | None = None,
 ) -> RandomForestClassificationModel:
-    """Balanced random forest. It is fitted on single records: the leaf size counts records."""
+    """Balanced random forest. It is fitted on single records: the leaf size counts records.
+
+    More than ``MAX_TREE_DEPTH`` features raise unless ``max_depth`` is given.
+    """
     training, _ = _balanced(df.select(*features, y), y, None)
-    return _forest(features, trees, min_leaf, seed).fit(_assembled(training, features))
+    return _forest(features, trees, min_leaf, seed, max_depth).fit(_assembled(training, features))
 
 
 def score(model: Model, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
@@ -185,11 +201,12 @@ def cv_forest(
     trees: int = 200,
     seed: int = 214,
     parallelism: int = 2,
+    max_depth: int | None = None,
 ) -> DataFrame:
-    """Cross-validated sensitivity of the forest at cut 0.5 for each minimum leaf size."""
+    """Cross-validated sensitivity of the forest at cut 0.5 for each minimum leaf size; ``max_depth`` as in ``fit_forest``."""
     training, _ = _balanced(_folded(df, features, y, key, k), y, None)
     training = training.withColumn("__one", F.lit(1.0))
-    estimator = _forest(features, trees, 1, seed)
+    estimator = _forest(features, trees, 1, seed, max_depth)
     grid = ParamGridBuilder().addGrid(estimator.minInstancesPerNode, list(leaf_sizes)).build()
     recalls = _sweep(estimator, grid, _assembled(training, features), k, "__one", parallelism)
     return _sweep_table(df, "min_leaf", leaf_sizes, recalls)
