@@ -19,6 +19,9 @@ from wardbook.llm.quality import fit_quality
 from wardbook.llm.repeats import cut_repeats
 from wardbook.llm.sharding import shard_documents
 from wardbook.llm.token_count import count_tokens
+from wardbook.llm.toxicity import score_toxicity
+from wardbook.llm.vector_codes import compress_vectors
+from wardbook.llm.whitening import whiten
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE_SQL: dict[str, str] = {}
@@ -124,4 +127,20 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(books.sha256))
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))[0]
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
