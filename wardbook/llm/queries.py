@@ -133,6 +133,43 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("codebooks_sha256", F.lit(books.sha256))
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Codes and codebooks by comparing every part with every entry."""
+    near = """, near{i} AS MATERIALIZED (
+    SELECT row, p, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+        SELECT row, a.p, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM part a JOIN book{i} b ON a.p = b.p
+    ) GROUP BY row, p
+)"""
+    improved = """, mean{i} AS (
+    SELECT p, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY pos) AS c FROM (
+        SELECT p, entry, pos, CAST(sum(v[pos]) AS BIGINT) AS s, count(*) AS n
+        FROM near{i} JOIN part USING (row, p), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS pos) GROUP BY p, entry, pos
+    ) GROUP BY p, entry
+), book{j} AS MATERIALIZED (
+    SELECT p, entry, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} m USING (p, entry)
+)"""
+    steps = "".join(near.format(i=i) + improved.format(i=i, j=i + 1) for i in range(rounds)) + near.format(i=rounds)
+    return f"""WITH sound AS (
+    SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), kept AS MATERIALIZED (
+    SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS row FROM sound
+), part AS MATERIALIZED (
+    SELECT row, p, x[len(x) // 4 * p + 1 : len(x) // 4 * (p + 1)] AS v FROM kept, (SELECT unnest(range(4)) AS p)
+), book0 AS MATERIALIZED (
+    SELECT p, row AS entry, v AS c FROM part WHERE row < 256
+){steps}, coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM near{rounds} JOIN kept USING (row) GROUP BY row, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM book{rounds}) AS codebooks_sha256 FROM coded
+"""
+
+
+LLM_ORACLE_SQL["op11_vector_codes"] = _codes_sql()
+
+
 @query
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -20,8 +20,10 @@ ODD = [np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 CACHE_WORDS = 400_000  # hashes of words a worker keeps; a full cache starts anew
 SAMPLE_CELLS = 65_536
 
-# Step size, its smoothing, and the two penalties of the regression.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 30.0, 1.0
+# Step size, its smoothing, and the two penalties of the regression: strict ones
+# choose the features, the second run weighs the chosen ones with little shrinkage.
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 40.0, 1.0
+REFIT_ALPHA, REFIT_L1 = 1.0, 3.0
 EPOCHS = 10
 
 
@@ -59,18 +61,20 @@ class Features:
         return np.unique(self.places(self.word_hashes(text or "")))
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, base: float, bits: int = HASH_BITS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Places and weights different from zero after EPOCHS passes in random order.
+def follow(docs: list[np.ndarray], labels: np.ndarray, base: float, alpha: float, l1: float, bits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights different from zero after EPOCHS passes of FTRL-proximal in random order.
 
     Every coordinate has its own rate, which falls with the squared gradients
-    it has seen, and stays at zero until its gradients add up to more than L1.
-    ``base`` is the fixed log-odds of label 1.
+    it has seen, and stays at zero until its gradients add up to more than ``l1``.
+    The place 2^bits is the intercept: every text has it, it has no L1, and it starts from ``base``.
     """
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+    strict = np.full(len(z), l1)
+    strict[-1] = 0
     order = np.random.default_rng(seed)
 
     def weight(at: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z[at]) <= L1, 0.0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+        return np.where(np.abs(z[at]) <= strict[at], 0.0, -(z[at] - np.sign(z[at]) * strict[at]) / ((BETA + np.sqrt(n[at])) / alpha + L2))
 
     for _ in range(EPOCHS):
         for d in order.permutation(len(docs)):
@@ -78,12 +82,21 @@ def train(docs: list[np.ndarray], labels: np.ndarray, base: float, bits: int = H
             w = weight(at)
             gradient = 1 / (1 + np.exp(-np.clip(base + w.sum(), -35, 35))) - labels[d]
             seen = n[at] + gradient * gradient
-            z[at] += gradient - (np.sqrt(seen) - np.sqrt(n[at])) / ALPHA * w
+            z[at] += gradient - (np.sqrt(seen) - np.sqrt(n[at])) / alpha * w
             n[at] = seen
-    used = np.flatnonzero(np.abs(z) > L1)
+    used = np.flatnonzero(np.abs(z) > strict)
     return used, weight(used)
 
 
+def train(docs: list[np.ndarray], labels: np.ndarray, base: float, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Features chosen under a strict L1, weighed by a second run over them alone; ``base`` is the log-odds of label 1."""
+    docs = [np.append(d, 1 << bits) for d in docs]
+    chosen = np.zeros((1 << bits) + 1, bool)
+    chosen[follow(docs, labels, base, ALPHA, L1, bits)[0]] = True
+    chosen[-1] = True
+    return follow([d[chosen[d]] for d in docs], labels, base, REFIT_ALPHA, REFIT_L1, bits)
+
+
 @dataclass
 class ToxicityModel:
     """Log-odds of label 1 for a text without features, and the sparse weights: 2^bits at most, 12 bytes each."""
@@ -173,7 +186,9 @@ def fit_toxicity(
     summed = dealt.mapInArrow(fit, "place int, weight double").groupBy("place").agg(F.sum("weight").alias("weight"))
     # Sums of doubles depend on their order; rounded ones do not.
     found = summed.select("place", F.round(F.col("weight") / int(shards), 9).alias("weight")).orderBy("place").toPandas()
-    return ToxicityModel(base, found["place"].to_numpy(np.int64), found["weight"].to_numpy(np.float64), bits)
+    places, weights = found["place"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
+    feature = places < 1 << bits
+    return ToxicityModel(base + float(weights[~feature].sum()), places[feature], weights[feature], bits)
 
 
 def held_out(key: str):

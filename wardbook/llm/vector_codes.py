@@ -53,8 +53,8 @@ class EntryMasks:
         reach = np.zeros((n, n), np.int64)
         for dim in range(dims):
             np.maximum(reach, np.abs(entries[:, dim, None] - entries[None, :, dim]), out=reach)
-        near = reach[~np.eye(n, dtype=bool)].reshape(n, n - 1)
-        self.start = max(1, int(np.median(near.min(1)))) if n > 1 else 1
+        near = np.ones((1, 1)) if n < 2 else reach[~np.eye(n, dtype=bool)].reshape(n, n - 1)
+        self.start = max(1, int(np.median(near.min(1))))
 
     def inside(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, entry) of every entry within the box around its row, in order."""
@@ -189,7 +189,8 @@ def compress_vectors(
         raise ValueError("a codebook has 1 to 256 entries and a vector 1 part at least")
     rows, length = whole_vectors(df, key, vector, scale, LARGEST, label)
     rows = settle(rows, "whole-vectors")
-    first = np.array([r["x"] for r in rows.orderBy(F.asc_nulls_last("key"), "x").limit(entries).select("x").collect()], np.int64).reshape(-1, length)
+    smallest = [r["x"] for r in rows.orderBy(F.asc_nulls_last("key"), "x").limit(entries).select("x").collect()]
+    first = np.array(smallest, np.int64).reshape(len(smallest), length)
     ends = [length * p // parts for p in range(parts + 1)]
     books = Codebooks([first[:, a:b] for a, b in zip(ends[:-1], ends[1:])])
     if len(first):

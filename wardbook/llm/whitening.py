@@ -80,50 +80,40 @@ def refine(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     one cluster: any orthonormal basis of their space is right.
     """
     unit = np.eye(len(a), dtype=a.dtype)
-    rest = np.finfo(a.dtype).eps * 8
     size = np.linalg.norm(a.astype(np.float64), 2)
-    value = np.zeros(len(a), a.dtype)
+    rounding = 8 * len(a) * np.finfo(a.dtype).eps
     for _ in range(MOST_ROUNDS):
-        r, s = unit - x.T @ x, x.T @ (a @ x)
+        # Kept exactly symmetric, so that corrections of near eigenvalues are rotations.
+        r, s = (_symmetric(m) for m in (unit - x.T @ x, x.T @ (a @ x)))
         value = np.diag(s) / (1 - np.diag(r))
-        bound = 2 * (np.linalg.norm((s - np.diag(value)).astype(np.float64), 2) + size * np.linalg.norm(r.astype(np.float64), 2))
+        rest = s - np.diag(value)
+        if np.abs(r).max() <= rounding and np.abs(rest).max() <= rounding * size:
+            break
+        bound = 2 * (np.linalg.norm(rest.astype(np.float64), 2) + size * np.linalg.norm(r.astype(np.float64), 2))
         gap = value[None, :] - value[:, None]
         apart = np.abs(gap) > bound
-        e = np.where(apart, (s + value[None, :] * r) / np.where(apart, gap, 1), r / 2)
-        x = x + x @ e
-        turned = _turn_clusters(a, x, value, bound)
-        if not turned and np.abs(e).max() <= rest * len(a):
-            break
-    r, s = unit - x.T @ x, x.T @ (a @ x)
-    value = np.diag(s) / (1 - np.diag(r))
+        x = x + x @ np.where(apart, (s + value[None, :] * r) / np.where(apart, gap, 1), r / 2)
+        _turn_clusters(a, x, value, bound, rounding * size)
     order = np.argsort(-value, kind="stable")
     return value[order], x[:, order]
 
 
-def _turn_clusters(a: np.ndarray, x: np.ndarray, value: np.ndarray, bound: float) -> bool:
-    """Turn the vectors of each cluster in place; whether one was turned by more than rounding."""
+def _symmetric(m: np.ndarray) -> np.ndarray:
+    return (m + m.T) / 2
+
+
+def _turn_clusters(a: np.ndarray, x: np.ndarray, value: np.ndarray, bound: float, rounding: float) -> None:
+    """Turn the vectors of each cluster in place by the eigenvectors of the matrix restricted to them."""
     order = np.argsort(value, kind="stable")
     ends = np.flatnonzero(np.r_[np.diff(value[order]) > bound, True]) + 1
-    turned = False
     for start, end in zip(np.r_[0, ends[:-1]], ends):
         members = order[start:end]
-        if len(members) < 2:
-            continue
         own = x[:, members]
         shifted = a - np.diag(np.full(len(a), value[members].mean(), a.dtype))
-        # own is orthonormal up to rounding, as the round before has corrected it.
-        inner = own.T @ (shifted @ own)
-        inner = ((inner + inner.T) / 2).astype(np.float64)
-        spread = np.abs(inner).max()
-        if spread <= np.finfo(a.dtype).eps * 64 * float(np.abs(value).max()):
-            continue  # equal as far as can be told
-        off = np.abs(inner - np.diag(np.diag(inner))).max()
-        if off <= 1e-15 * spread:
-            continue
-        _, basis = np.linalg.eigh(inner / spread)
-        x[:, members] = own @ basis.astype(a.dtype)
-        turned = True
-    return turned
+        inner = _symmetric(own.T @ (shifted @ own))
+        if np.abs(inner - np.diag(np.diag(inner))).max() > rounding:
+            _, basis = np.linalg.eigh((inner / np.abs(inner).max()).astype(np.float64))
+            x[:, members] = own @ basis.astype(a.dtype)
 
 
 @dataclass
