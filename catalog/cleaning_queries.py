@@ -104,6 +104,21 @@ def fill_order_id_gaps(spark, sf_dir):
     return fill_id_gaps(orders, "order_id", "row_key")
 
 
+SEVENTH_KEY = "CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE o_orderkey END"
+
+
+@query(
+    "fill_every_seventh_id",
+    f"""WITH planted AS (SELECT -o_orderkey AS row_key, {SEVENTH_KEY} AS order_id FROM orders),
+    filled AS ({ids_filled('planted', 'order_id', 'row_key')})
+    SELECT row_key, coalesce(order_id, new_id) AS order_id FROM planted LEFT JOIN filled ON row_key = key_value""",
+)
+def fill_every_seventh_id(spark, sf_dir):
+    """A seventh of the orders without id, in the reverse order of their keys, which are negative."""
+    orders = table(spark, sf_dir, "orders").selectExpr("-o_orderkey AS row_key", f"{SEVENTH_KEY} AS order_id")
+    return fill_id_gaps(orders, "order_id", "row_key")
+
+
 @query("fill_newborn_months", nulled_sql(f"SELECT event_id, {MONTHS_SQL} AS patient_age_months FROM nulled"))
 def fill_newborn_months(spark, sf_dir):
     filled = cleaning.fill_when(nulled(spark, sf_dir), "patient_age_months", "patient_age_years = 0", 0)

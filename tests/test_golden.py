@@ -71,7 +71,7 @@ def test_flag_promotion(rows):
     assert [r["flag"] for r in got] == [c[4] for c in cases]
 
 
-@pytest.mark.parametrize(("broadcast", "one_task"), [(500_000, 10_000), (500_000, 0), (0, 10_000), (0, 0)])
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 @pytest.mark.parametrize(
     ("ids", "expected"),
     [
@@ -83,12 +83,15 @@ def test_flag_promotion(rows):
         ([7, None, 10_000_000_000], [7, 8, 10_000_000_000]),
     ],
 )
-def test_id_gaps(spark, monkeypatch, broadcast, one_task, ids, expected):
-    """Recovered ids broadcast or shuffled, ranked in one task or in buckets."""
-    monkeypatch.setattr("wardbook.operators.identifiers.MAX_BROADCAST_IDS", broadcast)
-    monkeypatch.setattr("wardbook.operators.identifiers.MAX_RANKED_IN_ONE_TASK", one_task)
-    df = spark.createDataFrame(list(enumerate(ids)), "rid bigint, pid bigint")
-    got = fill_id_gaps(df, "pid", "rid").orderBy("rid").collect()
+def test_id_gaps(spark, broadcast, ids, expected):
+    """Recovered ids broadcast or shuffled to the rows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        df = spark.createDataFrame(list(enumerate(ids)), "rid bigint, pid bigint")
+        got = fill_id_gaps(df, "pid", "rid").orderBy("rid").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert [r["pid"] for r in got] == expected
 
 

@@ -12,7 +12,8 @@ from wardbook.operators import duplicates
 from wardbook.operators.evaluate import balanced_weight, cv_threshold, evaluate
 from wardbook.operators.filters import top_k_values
 from wardbook.operators.profile import box_stats, describe, histogram
-from wardbook.operators.ranking import quantiles, running_totals
+from wardbook.operators.identifiers import fill_id_gaps
+from wardbook.operators.ranking import quantiles, ranged, running_totals
 from wardbook.operators.rates import dominant, rate_matrix, rate_table_ci, share_matrix
 from wardbook.operators.repair import repair
 from wardbook.operators.validate import validate, violations
@@ -210,3 +211,31 @@ def test_forests_are_never_cut_silently(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         model_queries.forest_leaf_size_sweep(spark, "")
     assert sizes == [200]
+
+
+def test_ranges_are_even_despite_outliers_and_crowding(spark):
+    """One value of 1e15 among two million distinct ones, and scores crowded near zero."""
+    n = 2_000_000
+    values = spark.range(n).selectExpr("CASE WHEN id = 0 THEN 1e15D ELSE CAST(id AS DOUBLE) END AS x", "1L AS one")
+    crowded = spark.range(n).selectExpr("CASE WHEN id % 1000 = 0 THEN rand(3) ELSE rand(5) * 1e-9 END AS x", "1L AS one").groupBy("x").agg({"one": "sum"}).toDF("x", "one")
+    for df in (values, crowded):
+        sizes = [r["count"] for r in ranged(df, "x").groupBy("__range").count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    row = quantiles(values, ["x"], {"median": 0.5, "top": 1.0}).first()
+    assert (row["median"], row["top"]) == (n / 2 + 0.5, 1e15)
+
+
+@pytest.mark.parametrize("start, step", [(-40_000, 1), (10**12, 1), (0, 3_000), (-5, 70_000)])
+def test_gaps_of_far_and_sparse_ids(spark, start, step):
+    """Ids from negative to very large ones, dense and sparse, against plain Python."""
+    rng = random.Random(start)
+    rows = [(i * 7 - 3_000, None if rng.random() < 0.2 else start + i * step) for i in range(2_000)]
+    rows[0], rows[-1] = (rows[0][0], start), (rows[-1][0], start + 1_999 * step)
+    rows += [(20_000 + i, start + step * 5) for i in range(300)]  # copies of one id
+    used = {v for _, v in rows if v is not None}
+    free = (v for v in range(min(used), max(used) + 1) if v not in used)
+    expected = {key: next(free, None) for key, v in sorted(rows) if v is None}
+    df = spark.createDataFrame(rows, "rid bigint, pid bigint").repartition(6)
+    got = {r["rid"]: r["pid"] for r in fill_id_gaps(df, "pid", "rid").collect()}
+    assert len(got) == len(rows)
+    assert all(got[key] == (v if v is not None else expected[key]) for key, v in rows)

@@ -58,12 +58,11 @@ def balanced_weight(df: DataFrame, y: str, out: str) -> DataFrame:
 
 
 def _score_counts(df: DataFrame, score: str, y: str, *keys: str) -> DataFrame:
-    """Positives and negatives per score (and key), from one scan."""
+    """Positives and negatives per score (and key)."""
     rows = df.where(all_of([known(score), known(y)])).selectExpr(*keys, f"{name(score)} AS score", f"{name(y)} AS __y")
-    counts = rows.groupBy([c for c in rows.columns if c != "__y"]).agg(
+    return rows.groupBy([c for c in rows.columns if c != "__y"]).agg(
         F.expr("count_if(__y = 1) AS pos"), F.expr("count_if(__y = 0) AS neg")
     )
-    return settle(counts, "score-counts")
 
 
 def threshold_for_sensitivity(df: DataFrame, score: str, y: str, target: float) -> DataFrame:
@@ -74,10 +73,11 @@ def threshold_for_sensitivity(df: DataFrame, score: str, y: str, target: float)
     scores only.
     """
     counts = _score_counts(df, score, y)
-    curve = running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending=True)
-    sizes = counts.selectExpr("named_struct('pos', sum(pos), 'neg', sum(neg))").scalar()
-    best = curve.withColumn("s", sizes).selectExpr(
-        f"max(CASE WHEN {ratio('tp', 's.pos')} >= {target}D THEN struct(score, tp, fp) END) AS best", "first(s) AS s"
+    both = {"pos": "all_pos", "neg": "all_neg"}
+    curve = running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending=True, sizes=both)
+    best = curve.selectExpr(
+        f"max(CASE WHEN {ratio('tp', 'all_pos')} >= {target}D THEN struct(score, tp, fp) END) AS best",
+        "struct(max(all_pos) AS pos, max(all_neg) AS neg) AS s",
     )
     return best.selectExpr(
         "best.score AS threshold",
@@ -95,19 +95,16 @@ def cv_threshold(df: DataFrame, key: str, score: str, y: str, target: float, k:
     once; the counts, not the records, are then handed to the k - 1 training
     sets they belong to.
     """
-    counts = _score_counts(df, score, y, f"CAST(pmod({name(key)}, {k}) AS INT) AS fold")
+    counts = settle(_score_counts(df, score, y, f"CAST(pmod({name(key)}, {k}) AS INT) AS fold"), "score-counts")
     training = (
         counts.selectExpr(f"explode(filter(sequence(0, {k - 1}), f -> f <> fold)) AS held_out", "score", "pos", "neg")
         .groupBy("held_out", "score")
         .agg(F.expr("sum(pos) AS pos"), F.expr("sum(neg) AS neg"))
     )
-    curve = running_totals(training, "score", {"pos": "tp", "neg": "fp"}, partition_by="held_out", descending=True)
-    # The tables broadcast from here on have one row per fold.
-    sizes = training.groupBy("held_out").agg(F.expr("sum(pos) AS n_pos"))
-    thresholds = (
-        curve.join(sizes.hint("broadcast"), "held_out")
-        .groupBy("held_out")
-        .agg(F.expr(f"max(CASE WHEN {ratio('tp', 'n_pos')} >= {target}D THEN score END) AS threshold"))
+    curve = running_totals(training, "score", {"pos": "tp"}, "held_out", descending=True, sizes={"pos": "n_pos"})
+    # What is broadcast has one row per fold.
+    thresholds = curve.groupBy("held_out").agg(
+        F.expr(f"max(CASE WHEN {ratio('tp', 'n_pos')} >= {target}D THEN score END) AS threshold")
     )
     cells = {
         "tp": "sum(CASE WHEN score >= threshold THEN pos ELSE 0 END)",

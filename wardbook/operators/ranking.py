@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from wardbook.functions.predicates import literal, name
 from wardbook.session import settle
 
-BUCKETS = 1_024
+
+def ranged(df: DataFrame, order_by: str, partition_by: str | None = None) -> DataFrame:
+    """The rows cut into ranges of about equal row numbers, written once, with the range's number as ``__range``.
+
+    The cuts come from a sample of the rows, so ranges are even however the
+    values lie: a far outlier or values crowded together change nothing. There
+    are as many ranges as ``spark.sql.shuffle.partitions``.
+    """
+    keys = [F.col(partition_by)] if partition_by else []
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys, F.col(order_by))
+    return settle(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(
@@ -19,46 +30,41 @@ def running_totals(
     totals: Mapping[str, str],
     partition_by: str | None = None,
     descending: bool = False,
+    sizes: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running totals of columns, in the order of a numeric column.
+    """Add inclusive running totals of columns, in the order of a column.
 
-    ``totals`` maps an existing column to the name of its running total.
+    ``totals`` maps an existing column to the name of its running total,
+    ``sizes`` one to the name of its total over the whole partition.
     ``order_by`` is distinct within a partition, so callers group by it first.
     ``partition_by`` names a column with few values, such as a fold or a column
-    name. Rows are cut into equal-width buckets of the order column. The totals
-    of the buckets before come from a table of at most ``BUCKETS`` rows per
-    partition, which is what is broadcast; each task sorts one bucket.
+    name. The rows are written in ranges (see ``ranged``) when this is called.
+    What lies before a range comes from a table with a row per range and
+    partition, which is what is broadcast; each task sorts one range.
     """
+    sizes = sizes or {}
     keys = [partition_by] if partition_by else []
     over, order = ", ".join(name(k) for k in keys), name(order_by)
     way = "DESC" if descending else "ASC"
-    edges = {"__lo": f"CAST(min({order}) AS DOUBLE)", "__hi": f"CAST(max({order}) AS DOUBLE)"}
-    if keys:
-        grouped = df.groupBy(*keys).agg(*[F.expr(f"{e} AS {n}") for n, e in edges.items()])
-        ranged = df.join(grouped.hint("broadcast"), keys)
-    else:
-        bounds = df.selectExpr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in edges.items()) + ")").scalar()
-        ranged = df.withColumn("__bounds", bounds).selectExpr("*", "__bounds.__lo", "__bounds.__hi")
-    position = f"coalesce(try_divide({order} - __lo, __hi - __lo), 0D)"
-    bucketed = ranged.selectExpr(
-        *[name(c) for c in df.columns],
-        f"CAST(least(floor({position} * {BUCKETS}), {BUCKETS - 1}) AS INT) AS __bucket",
-    )
+    rows = ranged(df, order_by, partition_by)
 
-    per_bucket = bucketed.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__sum_{c}") for c in totals])
+    summed = dict.fromkeys([*totals, *sizes])
+    per_range = rows.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__sum_{c}") for c in summed])
     partition = f"PARTITION BY {over} " if keys else ""
-    before = f"({partition}ORDER BY __bucket {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = per_bucket.selectExpr(
+    before = f"({partition}ORDER BY __range {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = per_range.selectExpr(
         *[name(k) for k in keys],
-        "__bucket",
+        "__range",
         *[f"coalesce(sum({name(f'__sum_{c}')}) OVER {before}, 0) AS {name(f'__off_{c}')}" for c in totals],
+        *[f"sum({name(f'__sum_{c}')}) OVER ({partition.strip()}) AS {name(f'__all_{c}')}" for c in sizes],
     )
 
-    inside = ", ".join([*([over] if keys else []), "__bucket"])
+    inside = ", ".join([*([over] if keys else []), "__range"])
     within = f"(PARTITION BY {inside} ORDER BY {order} {way} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return bucketed.join(offsets.hint("broadcast"), [*keys, "__bucket"]).selectExpr(
+    return rows.join(offsets.hint("broadcast"), [*keys, "__range"]).selectExpr(
         *[name(c) for c in df.columns],
         *[f"{name(f'__off_{c}')} + sum({name(c)}) OVER {within} AS {name(out)}" for c, out in totals.items()],
+        *[f"{name(f'__all_{c}')} AS {name(out)}" for c, out in sizes.items()],
     )
 
 
@@ -66,7 +72,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], e
     """One row per column with its quantiles, linearly interpolated between order statistics.
 
     Exact quantiles are found by rank on the distinct values and their counts,
-    which are written once when this is called. ``exact=False`` takes Spark's bounded-memory sketch instead.
+    which are written once, in ranges, when this is called. ``exact=False`` takes Spark's bounded-memory sketch instead.
     """
     values = df.selectExpr(
         f"stack({len(cols)}, " + ", ".join(f"{literal(c)}, CAST({name(c)} AS DOUBLE)" for c in cols) + ") AS (column, value)"
@@ -76,11 +82,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], e
             *[F.expr(f"percentile_approx(value, {p}) AS {name(out)}") for out, p in shares.items()]
         )
     grouped = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(*) AS n"))
-    counts = settle(grouped, "value-counts")
-    sizes = counts.groupBy("column").agg(F.expr("sum(n) AS __size"))
-    ranked = running_totals(counts, "value", {"n": "__upto"}, partition_by="column").join(
-        sizes.hint("broadcast"), "column"
-    )
+    ranked = running_totals(grouped, "value", {"n": "__upto"}, partition_by="column", sizes={"n": "__size"})
 
     def statistic(index: str) -> str:
         return f"min(CASE WHEN __upto > {index} THEN value END)"
