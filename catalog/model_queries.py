@@ -212,10 +212,48 @@ def cv_threshold_mean(spark, sf_dir):
     return means.withColumns({c: F.round(c, 9) for c in ("mean_sensitivity", "mean_specificity")})
 
 
-# Learned models have no SQL counterpart: rows only, numbers are checked in the tests.
+NEWTON_ROUNDS = 9
+
+
+def fits_sql(settings, k: int = 5) -> dict[str, str]:
+    """Newton's method for logistic models (c, held-out fold), unrolled; ``fitted`` has (model, c, held_out, w).
+
+    Each round sums the normal equations per model and eliminates one unknown
+    after the other; the equations are positive definite, so no row is exchanged.
+    """
+    size = len(FEATURES) + 1
+    unknowns = range(1, size + 1)
+    steps = {
+        "pats": f"""SELECT [{", ".join(f"CAST({f} AS DOUBLE)" for f in FEATURES)}, 1e0] AS x, {OUTCOME} AS y,
+            CAST(event_id % {k} AS INTEGER) AS fold, count(*) AS n FROM frame GROUP BY ALL""",
+        "models": "SELECT * FROM (VALUES "
+        + ", ".join(f"({i}, {c!r}e0, {'CAST(NULL AS INTEGER)' if f is None else f})" for i, (c, f) in enumerate(settings))
+        + ") AS t(model, c, held_out)",
+        "train": """SELECT model, c, x, y, n * CASE y WHEN 1 THEN total / (2 * ones) ELSE total / (2 * (total - ones)) END AS wt FROM (
+            SELECT model, c, x, y, n, CAST(sum(n) OVER (PARTITION BY model) AS DOUBLE) AS total,
+                CAST(sum(n * y) OVER (PARTITION BY model) AS DOUBLE) AS ones
+            FROM pats, models WHERE held_out IS NULL OR fold <> held_out)""",
+        "w0": f"SELECT model, list_transform(range({size}), lambda i: 0e0) AS w FROM models",
+    }
+    for r in range(NEWTON_ROUNDS):
+        sums = ", ".join(f"sum(c * wt * p * (1 - p) * x[i] * x[{j}]) + CASE WHEN i = {j} AND i < {size} THEN 1 ELSE 0 END" for j in unknowns)
+        steps[f"e{r}_0"] = f"""SELECT model, i, [{sums}, sum(c * wt * (p - y) * x[i]) + CASE WHEN i < {size} THEN any_value(w[i]) ELSE 0 END] AS r
+            FROM (SELECT model, c, x, y, wt, w, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM train JOIN w{r} USING (model)),
+            (SELECT unnest(range(1, {size + 1})) AS i) GROUP BY model, i"""
+        for j in unknowns:
+            steps[f"e{r}_{j}"] = f"""SELECT a.model, a.i, CASE WHEN a.i = {j} THEN list_transform(a.r, lambda v: v / a.r[{j}])
+                ELSE list_transform(list_zip(a.r, p.r), lambda z: z[1] - a.r[{j}] / p.r[{j}] * z[2]) END AS r
+                FROM e{r}_{j - 1} a JOIN e{r}_{j - 1} p ON a.model = p.model AND p.i = {j}"""
+        steps[f"w{r + 1}"] = f"SELECT model, list(w[i] - r[{size + 1}] ORDER BY i) AS w FROM e{r}_{size} JOIN w{r} USING (model) GROUP BY model"
+    return steps | {"fitted": f"SELECT model, c, held_out, w FROM models JOIN w{NEWTON_ROUNDS} USING (model)"}
+
+
+POINT = f"[{', '.join(f'CAST({f} AS DOUBLE)' for f in FEATURES)}, 1e0]"
+FITTED = fits_sql([(1.0, None)])
+CHOSEN = {"chosen": f"SELECT *, CASE WHEN list_dot_product({POINT}, w) > 0 THEN 1 ELSE 0 END AS prediction FROM frame, fitted"}
 
 
-@query("logistic_metrics")
+@query("logistic_metrics", cleaned_sql(metrics_sql(OUTCOME, "prediction", "chosen"), **FRAME, **FITTED, **CHOSEN))
 def logistic_metrics(spark, sf_dir):
     frame = _frame(spark, sf_dir)
     model = learn.fit_logistic(frame, FEATURES, OUTCOME)
@@ -224,21 +262,91 @@ def logistic_metrics(spark, sf_dir):
     return evaluate.evaluate(predicted, OUTCOME, "prediction", count=learn.COUNT)
 
 
-@query("logistic_predictions")
+@query("logistic_predictions", cleaned_sql("SELECT event_id, prediction FROM chosen", **FRAME, **FITTED, **CHOSEN))
 def logistic_predictions(spark, sf_dir):
     frame = _frame(spark, sf_dir)
     model = learn.fit_logistic(frame, FEATURES, OUTCOME)
     return learn.predict_logistic(model, frame.select(KEY, *FEATURES), FEATURES, "prediction").select(KEY, "prediction")
 
 
-@query("logistic_coefficients")
+@query(
+    "logistic_coefficients",
+    cleaned_sql(
+        f"""SELECT CASE WHEN i <= {len(FEATURES)} THEN CAST(row_number() OVER (ORDER BY i > {len(FEATURES)}, w[i] DESC) AS INTEGER) END AS rank,
+        ({FEATURES + ["intercept"]!r})[i] AS feature, round(w[i], 6) AS coefficient,
+        CASE WHEN i > {len(FEATURES)} THEN NULL WHEN w[i] > 0 THEN 'raises' WHEN w[i] < 0 THEN 'lowers' ELSE 'none' END AS direction
+        FROM fitted, (SELECT unnest(range(1, {len(FEATURES) + 2})) AS i)""",
+        **FRAME,
+        **FITTED,
+    ),
+)
 def logistic_coefficients(spark, sf_dir):
-    return learn.coefficients(learn.fit_logistic(_frame(spark, sf_dir), FEATURES, OUTCOME), FEATURES)
+    """Coefficients to six digits, as the order of additions differs between engines."""
+    found = learn.coefficients(learn.fit_logistic(_frame(spark, sf_dir), FEATURES, OUTCOME), FEATURES)
+    return found.withColumn("coefficient", F.round("coefficient", 6))
+
 
+STRENGTHS = [0.01, 0.1, 1.0, 10.0]
+SWEPT = fits_sql([(c, fold) for c in STRENGTHS for fold in range(5)])
+HIT = "(list_dot_product(x, w) > 0)"
 
-@query("logistic_strength_sweep")
+
+@query(
+    "logistic_strength_sweep",
+    cleaned_sql(
+        f"""SELECT 'c' AS parameter, c AS value, round(avg({div('tp', 'pos')}), 9) AS mean_sensitivity,
+        round(avg({div('tn', 'neg')}), 9) AS mean_specificity FROM (
+            SELECT c, fold, sum(CASE WHEN y = 1 AND {HIT} THEN n ELSE 0 END) AS tp, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS pos,
+                sum(CASE WHEN y = 0 AND NOT {HIT} THEN n ELSE 0 END) AS tn, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS neg
+            FROM pats JOIN fitted ON fold = held_out GROUP BY c, fold) GROUP BY c""",
+        **FRAME,
+        **SWEPT,
+    ),
+)
 def logistic_strength_sweep(spark, sf_dir):
-    return learn.cv_logistic(_frame(spark, sf_dir), FEATURES, OUTCOME, KEY, [0.01, 0.1, 1.0, 10.0])
+    swept = learn.cv_logistic(_frame(spark, sf_dir), FEATURES, OUTCOME, KEY, STRENGTHS)
+    return swept.withColumns({c: F.round(c, 9) for c in ("mean_sensitivity", "mean_specificity")})
+
+
+def nested_sql(target: str) -> dict[str, str]:
+    """Per fold: a model of the other folds, the cut found there, and the counts on the fold."""
+    score = "round(1 / (1 + exp(-list_dot_product(x, w))), 9)"
+    cells = {"tp": "s >= threshold AND y = 1", "tn": "s < threshold AND y = 0", "fp": "s >= threshold AND y = 0", "fn": "s < threshold AND y = 1"}
+    counts = ", ".join(f"CAST(sum(CASE WHEN {e} THEN n ELSE 0 END) AS BIGINT) AS {cell}" for cell, e in cells.items())
+    return {
+        "scores": f"SELECT held_out, fold, {score} AS s, y, n FROM pats, fitted",
+        "curve": """SELECT held_out, s, sum(pos) OVER (PARTITION BY held_out ORDER BY s DESC) AS tp, sum(pos) OVER (PARTITION BY held_out) AS p
+            FROM (SELECT held_out, s, sum(n * y) AS pos FROM scores WHERE fold <> held_out GROUP BY held_out, s)""",
+        "cuts": f"SELECT held_out, max(s) AS threshold FROM curve WHERE {div('tp', 'p')} >= {target} GROUP BY held_out",
+        "folds": f"""SELECT fold, threshold, n, positives, tp, tn, fp, fn, {div('tp', '(tp + fn)')} AS sensitivity, {div('tn', '(tn + fp)')} AS specificity
+            FROM (SELECT fold, threshold, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * y) AS BIGINT) AS positives, {counts}
+                  FROM scores JOIN cuts USING (held_out) WHERE fold = held_out GROUP BY fold, threshold)""",
+    }
+
+
+NESTED = fits_sql([(1.0, fold) for fold in range(5)]) | nested_sql("0.95e0")
+
+
+@query("cv_model_threshold", cleaned_sql("SELECT * FROM folds", **FRAME, **NESTED))
+def cv_model_threshold(spark, sf_dir):
+    return learn.cv_model_threshold(_frame(spark, sf_dir), FEATURES, OUTCOME, KEY, 0.95)
+
+
+@query(
+    "cv_model_threshold_mean",
+    cleaned_sql(
+        """SELECT count(*) AS n_folds, round(avg(threshold), 8) AS mean_threshold, round(avg(sensitivity), 9) AS mean_sensitivity,
+        round(avg(specificity), 9) AS mean_specificity FROM folds""",
+        **FRAME,
+        **NESTED,
+    ),
+)
+def cv_model_threshold_mean(spark, sf_dir):
+    means = evaluate.cv_summary(learn.cv_model_threshold(_frame(spark, sf_dir), FEATURES, OUTCOME, KEY, 0.95))
+    return means.withColumns({c: F.round(c, 8 if c == "mean_threshold" else 9) for c in means.columns if c != "n_folds"})
+
+
+# Forests draw samples, which SQL cannot repeat: rows only, numbers are checked in the tests.
 
 
 @query("forest_importances")

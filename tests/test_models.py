@@ -83,3 +83,31 @@ def test_stability_report(spark, sf_dir):
     assert sizes[13] >= sizes[14]
     for r in rows:
         assert r["tp"] + r["tn"] + r["fp"] + r["fn"] == r["n"]
+
+
+def test_nested_threshold_against_numpy(frame):
+    """Model and cut of every fold come from the other folds alone."""
+    data = np.array([tuple(r) for r in frame.select(KEY, *FEATURES, Y).collect()], dtype=float)
+    key, x, y = data[:, 0].astype(int), data[:, 1:-1], data[:, -1]
+    got = {r["fold"]: r for r in learn.cv_model_threshold(frame, FEATURES, Y, KEY, 0.9, k=3).collect()}
+    assert set(got) == {0, 1, 2}
+    for fold, row in got.items():
+        train = key % 3 != fold
+        w = newton(x[train], y[train], 1.0)
+        scores = np.round(1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))), 9)
+        positives = np.sort(scores[train & (y == 1)])[::-1]
+        cut = positives[int(np.ceil(0.9 * len(positives))) - 1]
+        assert row["threshold"] == pytest.approx(cut, abs=2e-9)
+        held = ~train
+        assert row["tp"] == ((scores >= cut - 2e-9) & held & (y == 1)).sum()
+        assert row["fp"] == ((scores >= cut - 2e-9) & held & (y == 0)).sum()
+
+
+def test_models_fitted_together_equal_single_fits(frame):
+    counts = learn.folded_counts(frame, FEATURES, Y, KEY, 3)
+    settings = [(0.01, None), (10.0, 0), (1.0, 2)]
+    together = learn.fit_logistic_models(counts, FEATURES, Y, settings)
+    for setting, fit in zip(settings, together):
+        alone = learn.fit_logistic_models(counts, FEATURES, Y, [setting])[0]
+        assert np.abs(fit.coefficients.toArray() - alone.coefficients.toArray()).max() < 1e-9
+        assert (fit.c, fit.held_out) == setting

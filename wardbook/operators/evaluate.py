@@ -101,6 +101,16 @@ def cv_threshold(df: DataFrame, key: str, score: str, y: str, target: float, k:
         .groupBy("held_out", "score")
         .agg(F.expr("sum(pos) AS pos"), F.expr("sum(neg) AS neg"))
     )
+    return threshold_per_fold(training, counts, target)
+
+
+def threshold_per_fold(training: DataFrame, counts: DataFrame, target: float) -> DataFrame:
+    """The cut each training set gives and its metrics on the held-out fold.
+
+    ``training`` has (held_out, score, pos, neg), distinct in the first two;
+    ``counts`` has (fold, score, pos, neg). The highest cut that finds the
+    target share of the training positives is taken.
+    """
     curve = running_totals(training, "score", {"pos": "tp"}, "held_out", descending=True, sizes={"pos": "n_pos"})
     # What is broadcast has one row per fold.
     thresholds = curve.groupBy("held_out").agg(

@@ -1,17 +1,11 @@
-"""Logistic regression and random forest on 0/1 features with Spark ML."""
+"""Logistic regression and random forest on 0/1 features."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.literals import literal_rows
+from wardbook.functions.numbers import ratio
 from wardbook.functions.predicates import equals, name, when
+from wardbook.operators.evaluate import threshold_per_fold
+from wardbook.operators.logistic import LogisticFit, fit_logistic_models, folded_counts, scored_counts
+from wardbook.session import settle
 
 FEATURES, LABEL, WEIGHT, COUNT = "__features", "__label", "__weight", "n"
 MAX_TREE_DEPTH = 30
@@ -54,32 +52,14 @@ def _balanced(df: DataFrame, y: str, count: str | None) -> tuple[DataFrame, int]
     return df.selectExpr("*", f"CAST({name(y)} AS DOUBLE) AS {LABEL}", f"{per_record} * {records} AS {WEIGHT}"), total
 
 
-def _logistic() -> LogisticRegression:
-    return LogisticRegression(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        weightCol=WEIGHT,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=1000,
-        tol=1e-10,
-    )
-
-
-def fit_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0) -> LogisticRegressionModel:
+def fit_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0) -> LogisticFit:
     """L2 logistic regression with balanced classes and inverse regularisation strength ``c``.
 
     The fit runs on feature patterns weighted by their counts, which gives the
     same optimum as the single records, so after one aggregate its cost no
-    longer depends on the size of the table. Spark averages the loss over the
-    weights, hence the penalty 1 / (c n).
+    longer depends on the size of the table (see ``fit_logistic_models``).
     """
-    patterns = pattern_counts(df, features, y).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        training, total = _balanced(patterns, y, COUNT)
-        return _logistic().setRegParam(1 / (c * total)).fit(_assembled(training, features))
-    finally:
-        patterns.unpersist()
+    return fit_logistic_models(folded_counts(df, features, y), features, y, [(c, None)])[0]
 
 
 def _forest(features: Sequence[str], trees: int, min_leaf: int, seed: int, max_depth: int | None = None) -> RandomForestClassifier:
@@ -126,29 +106,29 @@ def score(model: Model, df: DataFrame, features: Sequence[str], out: str) -> Dat
     return scored.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
 
-def predict_logistic(model: LogisticRegressionModel, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
+def predict_logistic(model: LogisticFit, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
     """Add the predicted class, cut at probability 0.5."""
-    predicted = model.transform(_assembled(df, features))
-    return predicted.withColumn(out, F.col("prediction").cast("int")).select(*df.columns, out)
+    return df.withColumn(out, F.expr(f"CASE WHEN {model.probability(features)} > 0.5D THEN 1 ELSE 0 END"))
 
 
-def coefficients(model: LogisticRegressionModel, features: Sequence[str]) -> DataFrame:
+def coefficients(model: LogisticFit, features: Sequence[str]) -> DataFrame:
     """Coefficients with their rank (largest first) and direction, and the intercept."""
     ranked = sorted(zip(features, model.coefficients.toArray().tolist()), key=lambda pair: -pair[1])
-    rows = [(rank, name, value, "raises" if value > 0 else "lowers") for rank, (name, value) in enumerate(ranked, 1)]
-    rows.append((None, "intercept", float(model.intercept), None))
+    directions = {1: "raises", -1: "lowers", 0: "none"}
+    rows = [(rank, name, value, directions[(value > 0) - (value < 0)]) for rank, (name, value) in enumerate(ranked, 1)]
+    rows.append((None, "intercept", model.intercept, None))
     schema = [("rank", "int"), ("feature", "string"), ("coefficient", "double"), ("direction", "string")]
-    return literal_rows(_session(model), schema, rows)
+    return literal_rows(_session(), schema, rows)
 
 
 def importances(model: RandomForestClassificationModel, features: Sequence[str]) -> DataFrame:
     """Feature importances, largest first."""
     ranked = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda pair: -pair[1])
     rows = [(rank, name, value) for rank, (name, value) in enumerate(ranked, 1)]
-    return literal_rows(_session(model), [("rank", "int"), ("feature", "string"), ("importance", "double")], rows)
+    return literal_rows(_session(), [("rank", "int"), ("feature", "string"), ("importance", "double")], rows)
 
 
-def _session(model: Model):
+def _session():
     from pyspark.sql import SparkSession
 
     return SparkSession.getActiveSession()
@@ -174,21 +154,33 @@ def _sweep(estimator, grid, training: DataFrame, k: int, count: str, parallelism
     return validator.fit(training).avgMetrics
 
 
-def cv_logistic(
-    df: DataFrame, features: Sequence[str], y: str, key: str, strengths: Sequence[float], k: int = 5, parallelism: int = 4
-) -> DataFrame:
-    """Cross-validated sensitivity of the logistic regression for each regularisation strength, on pattern counts."""
-    folded = _folded(df, features, y, key, k)
-    patterns = pattern_counts(folded, features, y, "__fold").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        training, total = _balanced(patterns, y, COUNT)
-        estimator = _logistic()
-        penalties = [1 / (c * total * (k - 1) / k) for c in strengths]
-        grid = ParamGridBuilder().addGrid(estimator.regParam, penalties).build()
-        recalls = _sweep(estimator, grid, _assembled(training, features), k, COUNT, parallelism)
-    finally:
-        patterns.unpersist()
-    return _sweep_table(df, "c", strengths, recalls)
+def cv_logistic(df: DataFrame, features: Sequence[str], y: str, key: str, strengths: Sequence[float], k: int = 5) -> DataFrame:
+    """Cross-validated sensitivity and specificity of the logistic regression for each regularisation strength.
+
+    All models of all folds are fitted together on pattern counts; class weights and
+    penalty are those of each training set. The means are over folds.
+    """
+    counts = folded_counts(df, features, y, key, k)
+    fits = fit_logistic_models(counts, features, y, [(c, fold) for c in strengths for fold in range(k)])
+    held_out = scored_counts(counts, features, y, fits).where("fold = held_out")
+    cells = {"tp": "score > 0.5D THEN pos", "fn": "score <= 0.5D THEN pos", "tn": "score <= 0.5D THEN neg", "fp": "score > 0.5D THEN neg"}
+    folds = held_out.groupBy("c", "fold").agg(*[F.expr(f"sum(CASE WHEN {e} ELSE 0 END) AS {cell}") for cell, e in cells.items()])
+    return folds.groupBy("c").agg(
+        F.expr(f"avg({ratio('tp', '(tp + fn)')}) AS mean_sensitivity"), F.expr(f"avg({ratio('tn', '(tn + fp)')}) AS mean_specificity")
+    ).selectExpr("'c' AS parameter", "c AS value", "mean_sensitivity", "mean_specificity")
+
+
+def cv_model_threshold(df: DataFrame, features: Sequence[str], y: str, key: str, target: float, c: float = 1.0, k: int = 5) -> DataFrame:
+    """Per fold: a regression fitted on the other folds, the cut that reaches the target sensitivity there, its metrics on the fold.
+
+    Records are counted per pattern and fold once; a training set is all
+    counts but the fold's. Columns as in ``cv_threshold``; ``cv_summary`` gives the means.
+    """
+    counts = folded_counts(df, features, y, key, k)
+    fits = fit_logistic_models(counts, features, y, [(c, fold) for fold in range(k)])
+    scored = settle(scored_counts(counts, features, y, fits).select("held_out", "fold", "score", "pos", "neg"), "fold-scores")
+    training = scored.where("fold <> held_out").groupBy("held_out", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return threshold_per_fold(training, scored.where("fold = held_out").drop("held_out"), target)
 
 
 def cv_forest(
