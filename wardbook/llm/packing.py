@@ -13,6 +13,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|
 # White space that isn't one space between two words.
 UNEVEN_SPACE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 GROUP_CHARS = 4_000_000
+CACHE_CHUNKS = 1_000_000  # chunks a worker remembers, about 200 bytes each; a full cache starts anew
 FIRST = "\0"  # marks a chunk at the beginning of a text, which has no space before it
 
 
@@ -42,7 +44,7 @@ class TextEncoder:
         self.merger = Merger(path)
         self.library = Tokenizer.from_file(path)
         self.byte_of = {s: b for b, s in enumerate(byte_symbols())}
-        self.cache = ChunkCache(self._encode_chunks)
+        self.cache = ChunkCache(self._encode_chunks, CACHE_CHUNKS)
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         ids, counts = self.merger.merge(words)
@@ -51,10 +53,11 @@ class TextEncoder:
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        found = [PRE_TOKEN.findall(c[1:] if c.startswith(FIRST) else " " + c) for c in chunks]
-        distinct = list(dict.fromkeys(w for ws in found for w in ws))
+        # A chunk of letters is one word with the space before it.
+        found = [(" " + c,) if c.isalpha() else PRE_TOKEN.findall(c[1:] if c[0] == FIRST else " " + c) for c in chunks]
+        distinct = list(dict.fromkeys(chain.from_iterable(found)))
         known = dict(zip(distinct, self._encode_words([w.encode() for w in distinct])))
-        return [b"".join(map(known.__getitem__, ws)) for ws in found]
+        return [known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for ws in found]
 
     def _unusual(self, text: str) -> bytes:
         pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]

@@ -138,13 +138,13 @@ ORDINARY = re.compile("[^\n\r\t\x20-\x7eÀ-ÖØ-öø-İĲ-ňŊ-ž]")
 class ChunkCache:
     """What a function makes of each chunk, remembered by the worker process."""
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self.compute, self.known = compute, {}
+    def __init__(self, compute: Callable[[list[str]], list], most: int = CACHE_ENTRIES):
+        self.compute, self.most, self.known = compute, most, {}
 
     def fill(self, chunks: set[str]) -> dict[str, object]:
         missing = [c for c in chunks if c not in self.known]
         if missing:
-            if len(self.known) + len(missing) > CACHE_ENTRIES:
+            if len(self.known) + len(missing) > self.most:
                 self.known = {}
                 missing = list(chunks)
             self.known.update(zip(missing, self.compute(missing)))
