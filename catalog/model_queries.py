@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import KEY, cleaned, query, table
 from catalog.oracle import OUTCOME, T, cleaned_sql, count_if, div
 from catalog.project_queries import FLAGS_SQL
-from wardbook.operators import evaluate, learn
+from wardbook.operators import evaluate, forest, learn
 from wardbook.operators.decision import apply_rule, predict_at, rule_reason
 from wardbook.operators.project import flag_at_least
 from wardbook.plans import head_trauma as study
@@ -346,6 +346,47 @@ def cv_model_threshold_mean(spark, sf_dir):
     return means.withColumns({c: F.round(c, 8 if c == "mean_threshold" else 9) for c in means.columns if c != "n_folds"})
 
 
+def tree_sql(depth: int, min_leaf: int) -> dict[str, str]:
+    """One tree over all records and features, level by level; ``tree`` has a row per node."""
+    gini = "2 * ({w1}) * (({w}) - ({w1})) / ({w})"
+    gain = f"{gini.format(w='w', w1='w1')} - {gini.format(w='wr', w1='wr1')} - {gini.format(w='w - wr', w1='w1 - wr1')}"
+    weighted = f"""SELECT '' AS path, x, y, n, n * CASE y WHEN 1 THEN total / (2 * ones) ELSE total / (2 * (total - ones)) END AS wt FROM (
+        SELECT x, y, n, CAST(sum(n) OVER () AS DOUBLE) AS total, CAST(sum(n * y) OVER () AS DOUBLE) AS ones FROM (
+            SELECT [{", ".join(FEATURES)}] AS x, {OUTCOME} AS y, count(*) AS n FROM frame GROUP BY ALL))"""
+    steps, nodes = {"level0": weighted}, []
+    for d in range(depth + 1):
+        steps[f"best{d}"] = f"""SELECT path, f, w, w1, gain FROM (
+            SELECT *, {gain} AS gain, row_number() OVER (PARTITION BY path ORDER BY round(({gain}) / w, 12) DESC, f) AS rank FROM (
+                SELECT path, f, sum(wt) AS w, sum(wt * y) AS w1, sum(wt * x[f]) AS wr, sum(wt * x[f] * y) AS wr1, sum(n) AS size, sum(n * x[f]) AS size_r
+                FROM level{d}, (SELECT unnest(range(1, {len(FEATURES) + 1})) AS f) GROUP BY path, f)
+            WHERE {d} < {depth} AND w1 > 0 AND w1 < w AND size_r >= {min_leaf} AND size - size_r >= {min_leaf}) WHERE rank = 1"""
+        steps[f"level{d + 1}"] = f"SELECT path || CAST(x[f] AS VARCHAR) AS path, x, y, n, wt FROM level{d} JOIN best{d} USING (path)"
+        nodes.append(f"SELECT path, f, gain, weight, p FROM (SELECT path, sum(wt) AS weight, sum(wt * y) / sum(wt) AS p FROM level{d} GROUP BY path) LEFT JOIN best{d} USING (path)")
+    return steps | {"tree": " UNION ALL ".join(nodes)}
+
+
+@query(
+    "unbagged_tree_splits",
+    cleaned_sql(
+        f"SELECT path, ({FEATURES!r})[f] AS feature, round(coalesce(gain, 0), 6) AS gain, round(weight, 6) AS weight, round(p, 9) AS p FROM tree",
+        **FRAME,
+        **tree_sql(3, 10),
+    ),
+)
+def unbagged_tree_splits(spark, sf_dir):
+    """The first three levels of a tree that draws neither records nor features."""
+    sets = forest.training_sets(learn.folded_counts(_frame(spark, sf_dir), FEATURES, OUTCOME), FEATURES, OUTCOME, [None])
+    nodes = forest.grow_forests(sets, len(FEATURES), 1, [10], 0, max_depth=3, bagged=False, tries=len(FEATURES))
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    return nodes.select("path", F.when(F.col("feature") >= 0, F.get(names, F.col("feature"))).alias("feature"), F.round("gain", 6).alias("gain"), F.round("weight", 6).alias("weight"), F.round("p", 9).alias("p"))
+
+
+@query("forest_threshold")
+def forest_threshold(spark, sf_dir):
+    """Where a forest's cut comes from: per fold the one that finds 95 % of the cases on the other folds."""
+    return forest.cv_forest_threshold(_frame(spark, sf_dir), FEATURES, OUTCOME, KEY, 0.95)
+
+
 # Forests draw samples, which SQL cannot repeat: rows only, numbers are checked in the tests.
 
 

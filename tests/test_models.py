@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from catalog.base import KEY, cleaned
-from wardbook.operators import learn
+from wardbook.operators import forest, learn
 from wardbook.operators.decision import predict_at
 from wardbook.operators.evaluate import evaluate
 from wardbook.plans import head_trauma as study
@@ -111,3 +111,35 @@ def test_models_fitted_together_equal_single_fits(frame):
         alone = learn.fit_logistic_models(counts, FEATURES, Y, [setting])[0]
         assert np.abs(fit.coefficients.toArray() - alone.coefficients.toArray()).max() < 1e-9
         assert (fit.c, fit.held_out) == setting
+
+
+def test_forest_depends_on_neither_partitions_nor_order(spark, frame):
+    rows = frame.select(*FEATURES, Y)
+    few = learn.fit_forest(rows.repartition(2), FEATURES, Y, trees=15)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        many = learn.fit_forest(rows.repartition(16), FEATURES, Y, trees=15)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert few.nodes.equals(many.nodes)
+    assert forest.forest_importances(few, FEATURES) == forest.forest_importances(many, FEATURES)
+
+
+def test_forest_nodes(frame):
+    model = learn.fit_forest(frame, FEATURES, Y, trees=10, min_leaf=25)
+    data = frame.select(*FEATURES, Y).toPandas()
+    bits = sum(data[f].to_numpy().astype(np.int64) << i for i, f in enumerate(FEATURES))
+    scored = learn.score(model, frame, FEATURES, "p").select("p").toPandas()["p"]
+    assert sorted(scored.round(12)) == sorted(model.values(bits).round(12))
+    # Bags hold as many records as the table, but for chance; both classes weigh the same.
+    roots = model.nodes[model.nodes["node"] == 0]
+    assert abs(roots["weight"].mean() / len(data) - 1) < 0.05 and roots["p"].between(0.499, 0.501).all()
+    inner = model.nodes[model.nodes["feature"] >= 0]
+    assert (inner["gain"] >= -1e-9).all() and len(inner) > 30
+
+
+def test_forest_threshold_reaches_its_target_on_training_folds(frame):
+    rows = forest.cv_forest_threshold(frame, FEATURES, Y, KEY, 0.9, k=3, trees=10).collect()
+    assert {r["fold"] for r in rows} == {0, 1, 2}
+    assert all(0 < r["threshold"] < 1 and r["tp"] + r["fn"] == r["positives"] for r in rows)

@@ -4,54 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Model
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.literals import literal_rows
 from wardbook.functions.numbers import ratio
-from wardbook.functions.predicates import equals, name, when
 from wardbook.operators.evaluate import threshold_per_fold
-from wardbook.operators.logistic import LogisticFit, fit_logistic_models, folded_counts, scored_counts
+from wardbook.operators.forest import ForestFit, cv_forest, cv_forest_threshold, fit_forest, forest_importances, score_forest  # noqa: F401
+from wardbook.operators.logistic import COUNT, LogisticFit, fit_logistic_models, folded_counts, scored_counts
 from wardbook.session import settle
 
-FEATURES, LABEL, WEIGHT, COUNT = "__features", "__label", "__weight", "n"
-MAX_TREE_DEPTH = 30
-MAX_ROWS_IN_ONE_PARTITION = 50_000
-
 
 def pattern_counts(df: DataFrame, features: Sequence[str], *keys: str) -> DataFrame:
     """Records per combination of feature and key values: at most 2^features rows per key for 0/1 features."""
     return df.groupBy(*features, *keys).agg(F.count(F.lit(1)).alias(COUNT))
 
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES).transform(df)
-
-
-def _balanced(df: DataFrame, y: str, count: str | None) -> tuple[DataFrame, int]:
-    """Label and balanced weight columns, and the number of records. One small aggregate runs.
-
-    A counted table of few rows goes into one partition: every step of the
-    solver is then one task instead of one per shuffle partition.
-    """
-    records = name(count) if count else "1"
-    total, ones, rows = df.selectExpr(
-        f"sum({records})", f"sum({when(equals(y, 1), records, '0')})", "count(*)"
-    ).first()
-    if not total or not ones or ones == total:
-        raise ValueError("both classes are needed to fit a model")
-    if count and rows <= MAX_ROWS_IN_ONE_PARTITION:
-        df = df.coalesce(1)
-    per_record = when(equals(y, 1), f"{total / (2 * ones)!r}D", f"{total / (2 * (total - ones))!r}D")
-    return df.selectExpr("*", f"CAST({name(y)} AS DOUBLE) AS {LABEL}", f"{per_record} * {records} AS {WEIGHT}"), total
-
-
 def fit_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0) -> LogisticFit:
     """L2 logistic regression with balanced classes and inverse regularisation strength ``c``.
 
@@ -62,48 +30,9 @@ def fit_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0)
     return fit_logistic_models(folded_counts(df, features, y), features, y, [(c, None)])[0]
 
 
-def _forest(features: Sequence[str], trees: int, min_leaf: int, seed: int, max_depth: int | None = None) -> RandomForestClassifier:
-    """A forest whose trees grow to ``max_depth``, by default as deep as trees over 0/1 features can: their number.
-
-    Spark grows trees to ``MAX_TREE_DEPTH`` at most, so more features need a
-    ``max_depth`` given by the caller.
-    """
-    depth = len(features) if max_depth is None else max_depth
-    if depth > MAX_TREE_DEPTH:
-        raise ValueError(f"trees of depth {depth} would be cut at {MAX_TREE_DEPTH}: give max_depth")
-    return RandomForestClassifier(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        weightCol=WEIGHT,
-        numTrees=trees,
-        minInstancesPerNode=min_leaf,
-        maxDepth=depth,
-        featureSubsetStrategy="sqrt",
-        seed=seed,
-    )
-
-
-def fit_forest(
-    df: DataFrame,
-    features: Sequence[str],
-    y: str,
-    trees: int = 200,
-    min_leaf: int = 10,
-    seed: int = 214,
-    max_depth: int | None = None,
-) -> RandomForestClassificationModel:
-    """Balanced random forest. It is fitted on single records: the leaf size counts records.
-
-    More than ``MAX_TREE_DEPTH`` features raise unless ``max_depth`` is given.
-    """
-    training, _ = _balanced(df.select(*features, y), y, None)
-    return _forest(features, trees, min_leaf, seed, max_depth).fit(_assembled(training, features))
-
-
-def score(model: Model, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
+def score(model: ForestFit, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
     """Add the model's probability of outcome 1."""
-    scored = model.transform(_assembled(df, features))
-    return scored.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
+    return score_forest(model, df, features, out)
 
 
 def predict_logistic(model: LogisticFit, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
@@ -121,9 +50,9 @@ def coefficients(model: LogisticFit, features: Sequence[str]) -> DataFrame:
     return literal_rows(_session(), schema, rows)
 
 
-def importances(model: RandomForestClassificationModel, features: Sequence[str]) -> DataFrame:
+def importances(model: ForestFit, features: Sequence[str]) -> DataFrame:
     """Feature importances, largest first."""
-    ranked = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda pair: -pair[1])
+    ranked = sorted(forest_importances(model, features), key=lambda pair: -pair[1])
     rows = [(rank, name, value) for rank, (name, value) in enumerate(ranked, 1)]
     return literal_rows(_session(), [("rank", "int"), ("feature", "string"), ("importance", "double")], rows)
 
@@ -134,26 +63,6 @@ def _session():
     return SparkSession.getActiveSession()
 
 
-def _folded(df: DataFrame, features: Sequence[str], y: str, key: str, k: int) -> DataFrame:
-    """Features, outcome and fold: the integer key modulo k."""
-    return df.selectExpr(*[name(c) for c in (*features, y)], f"CAST(pmod({name(key)}, {k}) AS INT) AS __fold")
-
-
-def _sweep(estimator, grid, training: DataFrame, k: int, count: str, parallelism: int) -> list[float]:
-    recall = MulticlassClassificationEvaluator(
-        labelCol=LABEL, metricName="recallByLabel", metricLabel=1.0, weightCol=count
-    )
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=recall,
-        numFolds=k,
-        foldCol="__fold",
-        parallelism=parallelism,
-    )
-    return validator.fit(training).avgMetrics
-
-
 def cv_logistic(df: DataFrame, features: Sequence[str], y: str, key: str, strengths: Sequence[float], k: int = 5) -> DataFrame:
     """Cross-validated sensitivity and specificity of the logistic regression for each regularisation strength.
 
@@ -183,33 +92,6 @@ def cv_model_threshold(df: DataFrame, features: Sequence[str], y: str, key: str,
     return threshold_per_fold(training, scored.where("fold = held_out").drop("held_out"), target)
 
 
-def cv_forest(
-    df: DataFrame,
-    features: Sequence[str],
-    y: str,
-    key: str,
-    leaf_sizes: Sequence[int],
-    k: int = 5,
-    trees: int = 200,
-    seed: int = 214,
-    parallelism: int = 2,
-    max_depth: int | None = None,
-) -> DataFrame:
-    """Cross-validated sensitivity of the forest at cut 0.5 for each minimum leaf size; ``max_depth`` as in ``fit_forest``."""
-    training, _ = _balanced(_folded(df, features, y, key, k), y, None)
-    training = training.withColumn("__one", F.lit(1.0))
-    estimator = _forest(features, trees, 1, seed, max_depth)
-    grid = ParamGridBuilder().addGrid(estimator.minInstancesPerNode, list(leaf_sizes)).build()
-    recalls = _sweep(estimator, grid, _assembled(training, features), k, "__one", parallelism)
-    return _sweep_table(df, "min_leaf", leaf_sizes, recalls)
-
-
-def _sweep_table(df: DataFrame, parameter: str, values: Sequence, recalls: Sequence[float]) -> DataFrame:
-    rows = [(parameter, float(v), float(r)) for v, r in zip(values, recalls)]
-    schema: list[tuple[str, str]] = [("parameter", "string"), ("value", "double"), ("mean_sensitivity", "double")]
-    return literal_rows(df.sparkSession, schema, rows)
-
-
 def summarise(model_metrics: Mapping[str, DataFrame]) -> DataFrame:
     """Metrics of several models under one another."""
     tables = [metrics.select(F.lit(name).alias("model"), "*") for name, metrics in model_metrics.items()]
