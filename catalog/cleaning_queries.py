@@ -161,7 +161,13 @@ def clean_visits_unimputed(spark, sf_dir):
 def clean_visits_report(spark, sf_dir):
     """The report that cleaning returns when asked to validate, here of the saved table."""
     saved = scratch_path(spark, "cleaned")
-    return clean(raw(spark, sf_dir), CleanConfig(keep_codes=(KEY,)), save_to=saved).report
+    return clean(raw(spark, sf_dir), CleanConfig(keep_codes=(KEY,), order_by=KEY), save_to=saved).report
+
+
+@query("clean_visits_default", _chain())
+def clean_visits_default(spark, sf_dir):
+    """All twelve steps, identifiers and validation included, saved and read back."""
+    return clean(raw(spark, sf_dir), CleanConfig(keep_codes=(KEY,), order_by=KEY), save_to=scratch_path(spark, "cleaned")).data
 
 
 # Repair. The oracle counts every fix on the state its stage starts from.

@@ -121,7 +121,7 @@ def bins_sql(col: str, edges, labels) -> str:
 
 
 def bands_sql(col: str, bands) -> str:
-    return "CASE " + " ".join(f"WHEN {col} >= {lo} AND {col} < {hi} THEN '{lab}'" for lo, hi, lab in bands) + " END"
+    return "CASE " + " ".join(f"WHEN {col} >= {lo}{'' if hi is None else f' AND {col} < {hi}'} THEN '{lab}'" for lo, hi, lab in bands) + " END"
 
 
 def labels_sql(col: str, labels) -> str:

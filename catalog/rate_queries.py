@@ -205,12 +205,17 @@ def largest_gender_gap_in_adolescents(spark, sf_dir):
     return rates.largest_gap(_gaps(spark, sf_dir), "age_group", "13-17 years")
 
 
+ALL_CODES = 1 << 62
+
+
 def matrix_sql(row: str, col: str, cols, k: int, source: str, outcome: str = OUTCOME) -> str:
+    """``cols`` are the levels, or a SELECT that finds them."""
+    levels = cols if isinstance(cols, str) else f"SELECT unnest([{', '.join(repr(v) for v in cols)}]) AS {col}"
     inside = f"FROM {source} s WHERE s.{row} = t.{row} AND s.{col} = g.{col}"
     return f"""SELECT {row}, {col}, code_rank, n, CASE WHEN n >= 10 THEN coalesce({pct('cases', 'known')}, 0) END AS rate FROM (
         SELECT t.{row}, g.{col}, t.code_rank, (SELECT count(*) {inside}) AS n, (SELECT count({outcome}) {inside}) AS known,
                (SELECT count(*) {inside} AND {outcome} = 1) AS cases
-        FROM (SELECT unnest([{', '.join(repr(v) for v in cols)}]) AS {col}) g, ({top_sql(source, row, k)}) t)"""
+        FROM ({levels}) g, ({top_sql(source, row, k)}) t)"""
 
 
 MATRIX_SQL = matrix_sql("injury_mechanism", "age_group", study.AGE_LABELS, 10, "aged_groups")
@@ -249,7 +254,7 @@ LABELLED = {"labelled": "SELECT source, lang, toxic FROM labels JOIN documents U
 
 @query(
     "toxic_rate_by_source_and_language",
-    f"WITH labelled AS ({LABELLED['labelled']}) " + matrix_sql("source", "lang", LANGS, 20, "labelled", "toxic"),
+    f"WITH labelled AS ({LABELLED['labelled']}) " + matrix_sql("source", "lang", f"SELECT unnest({LANGS!r}) AS lang UNION SELECT lang FROM labelled WHERE lang IS NOT NULL", ALL_CODES, "labelled", "toxic"),
 )
 def toxic_rate_by_source_and_language(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
@@ -393,7 +398,7 @@ def risk_ratio_by_sign(spark, sf_dir):
     return findings.risk_by_sign(cleaned(spark, sf_dir))
 
 
-LENGTH_BANDS = [(0, 500, "short"), (500, 2000, "medium"), (2000, 1_000_000, "long")]
+LENGTH_BANDS = [(0, 500, "short"), (500, 2000, "medium"), (2000, None, "long")]
 
 
 @query(
@@ -404,8 +409,7 @@ LENGTH_BANDS = [(0, 500, "short"), (500, 2000, "medium"), (2000, 1_000_000, "lon
 def toxic_risk_by_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labelled = table(spark, sf_dir, "labels").join(documents, "doc_id")
-    bands = [*LENGTH_BANDS[:-1], (LENGTH_BANDS[-1][0], None, LENGTH_BANDS[-1][2])]  # however long
-    return risk.risk_ratio(labelled, {"quality": "quality"}, "n_chars", bands, "toxic")
+    return risk.risk_ratio(labelled, {"quality": "quality"}, "n_chars", LENGTH_BANDS, "toxic")
 
 
 @query(

@@ -15,10 +15,12 @@ from wardbook.operators.profile import box_stats, describe, histogram
 from wardbook.operators.identifiers import fill_id_gaps
 from wardbook.operators.ranking import quantiles, ranged, running_totals
 from wardbook.operators.rates import dominant, rate_matrix, rate_table_ci, share_matrix
+from wardbook.operators.project import label_codes
 from wardbook.operators.repair import repair
+from wardbook.operators.rules import rule
 from wardbook.operators.validate import validate, violations
 from wardbook.plans import head_trauma as study
-from wardbook.plans.cleaning import standard_repair, standard_rules
+from wardbook.plans.cleaning import CleanConfig, clean, standard_repair, standard_rules
 from wardbook.plans.findings import risk_by_mechanism
 from wardbook.plans.modelling import model_frame, rule_metrics
 
@@ -239,3 +241,32 @@ def test_gaps_of_far_and_sparse_ids(spark, start, step):
     got = {r["rid"]: r["pid"] for r in fill_id_gaps(df, "pid", "rid").collect()}
     assert len(got) == len(rows)
     assert all(got[key] == (v if v is not None else expected[key]) for key, v in rows)
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),), (None,)], "x double")
+    assert [(r["lower"], r["n"]) for r in histogram(df, "x", 3).orderBy("bin").collect()] == [(1.0, 1), (2.0, 1), (3.0, 1)]
+    box = box_stats(df, "x").first()
+    assert (box["median"], box["whisker_high"], box["n_outliers"]) == (2.0, 4.0, 0)
+
+
+def test_report_is_counted_by_the_write(spark, sf_dir, tmp_path):
+    """The observed report equals one more pass over the saved table."""
+    saved = clean(raw(spark, sf_dir), CleanConfig(keep_codes=(KEY,), order_by=KEY), save_to=str(tmp_path / "cleaned"))
+    again = validate(saved.data, standard_rules(saved.data))
+    assert sorted(map(tuple, saved.report.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+    assert saved.data.where("patient_number IS NULL").count() == 0
+
+
+def test_violations_keep_text_and_fractions(spark):
+    df = spark.createDataFrame([(1, "bad", 2.5), (2, "ok", 0.5)], "rid bigint, t string, d double")
+    text, fraction = rule("text", "t = 'bad'", "t"), rule("fraction", "d > 1", "d")
+    assert [r["value"] for r in violations(df, [text], "rid").collect()] == ["bad"]
+    assert [r["value"] for r in violations(df, [fraction], "rid").collect()] == [2.5]
+
+
+def test_long_label_lists(spark):
+    df = spark.createDataFrame([(5, 7), (6, None), (7, 99_999)], "rid bigint, code int")
+    labels = {i: f"label {i}" for i in range(5_000)}
+    got = {r["rid"]: r["out"] for r in label_codes(df, "code", labels, "out", "none").collect()}
+    assert got == {5: "label 7", 6: "none", 7: "none"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardbook.functions.literals import wide_to_long
 from wardbook.functions.numbers import percent, ratio
 from wardbook.functions.predicates import literal, name
-from wardbook.operators.ranking import quantiles
+from wardbook.operators.ranking import number, quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -62,8 +62,8 @@ def value_counts_many(df: DataFrame, cols: Sequence[str], dropna: bool = False)
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Counts in equal-width bins from minimum to maximum, the last one closed, empty bins included."""
-    values = df.where(f"{name(col)} IS NOT NULL").selectExpr(f"CAST({name(col)} AS DOUBLE) AS x")
+    """Counts in equal-width bins from minimum to maximum, the last one closed, empty bins included; NaN counts as missing."""
+    values = df.selectExpr(f"{number(col)} AS x").where("x IS NOT NULL")
     bounds = values.selectExpr(
         "named_struct('lo', CASE WHEN min(x) < max(x) THEN min(x) ELSE min(x) - 0.5D END,"
         " 'hi', CASE WHEN min(x) < max(x) THEN max(x) ELSE max(x) + 0.5D END)"
@@ -84,9 +84,9 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """Quartiles, whiskers (the extreme values within 1.5 IQR of the box) and the number of outliers."""
+    """Quartiles, whiskers (the extreme values within 1.5 IQR of the box) and the number of outliers; NaN counts as missing."""
     box = quantiles(df, [col], QUARTILES, exact).selectExpr("struct(q1, median, q3)").scalar()
-    placed = df.select(F.expr(f"CAST({name(col)} AS DOUBLE) AS x"), box.alias("b"))
+    placed = df.select(F.expr(f"{number(col)} AS x"), box.alias("b"))
     inside = "x BETWEEN b.q1 - (b.q3 - b.q1) * 1.5D AND b.q3 + (b.q3 - b.q1) * 1.5D"
     return placed.selectExpr(
         *[f"first(b.{q}) AS {q}" for q in QUARTILES],

@@ -12,8 +12,8 @@ from wardbook.functions import binning
 from wardbook.functions.numbers import coerce_numeric
 from wardbook.functions.predicates import any_of, literal, name, one_of
 
-# Labels given as a dict stay in the plan as literals; more of them belong in a table.
-MAX_LITERAL_LABELS = 1_000
+# Up to so many labels given as a dict stay in the plan as literals; more of them become a table.
+LITERAL_LABELS = 1_000
 
 
 def with_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -63,18 +63,19 @@ def label_codes(
 ) -> DataFrame:
     """Add the label of a code; unmapped and null codes get ``default``.
 
-    A dict is looked up in place. A (code, label) table, one row per code, is
-    left joined; Spark broadcasts it only if its size is below the broadcast
-    threshold.
+    A dict is looked up in place, or made a table if it is long. A (code,
+    label) table, one row per code, is left joined; Spark broadcasts it only if
+    its size is below the broadcast threshold.
     """
+    if not isinstance(labels, DataFrame) and len(labels) > LITERAL_LABELS:
+        kind = T.StructType([df.schema[col], T.StructField("__label", T.StringType())])
+        labels = df.sparkSession.createDataFrame(list(labels.items()), kind)
     if isinstance(labels, DataFrame):
         lookup = labels.toDF("__code", "__label")
         joined = df.join(lookup, df[col] == lookup["__code"], "left")
         return joined.selectExpr(
             *[name(c) for c in df.columns], f"coalesce(__label, {literal(default)}) AS {name(out)}"
         )
-    if len(labels) > MAX_LITERAL_LABELS:
-        raise ValueError("pass a label set of this size as a DataFrame")
     cases = " ".join(f"WHEN {literal(code)} THEN {literal(label)}" for code, label in labels.items())
     return with_columns(df, {out: f"CASE {name(col)} {cases} ELSE {literal(default)} END"})
 

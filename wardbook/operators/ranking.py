@@ -68,6 +68,11 @@ def running_totals(
     )
 
 
+def number(col: str) -> str:
+    """A column as double, with NaN as null, as SQL text."""
+    return f"nanvl(CAST({name(col)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], exact: bool = True) -> DataFrame:
     """One row per column with its quantiles, linearly interpolated between order statistics.
 
@@ -75,7 +80,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], e
     which are written once, in ranges, when this is called. ``exact=False`` takes Spark's bounded-memory sketch instead.
     """
     values = df.selectExpr(
-        f"stack({len(cols)}, " + ", ".join(f"{literal(c)}, CAST({name(c)} AS DOUBLE)" for c in cols) + ") AS (column, value)"
+        f"stack({len(cols)}, " + ", ".join(f"{literal(c)}, {number(c)}" for c in cols) + ") AS (column, value)"
     )
     if not exact:
         return values.groupBy("column").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,25 @@ def validate(df: DataFrame, rules: Sequence[Rule], total: bool = True) -> DataFr
     The counts of all rules form one wide aggregate row, which is then spread
     into (check, rule, column, n_violations). ``total`` adds a closing row.
     """
-    counts = wide_counts(df, [r.violated for r in rules])
+    return _report(wide_counts(df, [r.violated for r in rules]), rules, total)
+
+
+def observe_rules(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Observation]:
+    """The table with its rules counted by whatever job reads it next, such as the one that writes it."""
+    seen = Observation()
+    if not rules:
+        return df, seen
+    return df.observe(seen, *[F.expr(f"{count_if(r.violated)} AS c{i}") for i, r in enumerate(rules)]), seen
+
+
+def observed_report(df: DataFrame, rules: Sequence[Rule], seen: Observation, total: bool = True) -> DataFrame:
+    """The report of ``validate`` from counts that have been observed; it waits for the job that counts."""
+    counts = seen.get if rules else {}
+    row = df.sparkSession.range(1).selectExpr(*[f"{counts[f'c{i}']}L AS c{i}" for i in range(len(rules))] or ["id"])
+    return _report(row, rules, total)
+
+
+def _report(counts: DataFrame, rules: Sequence[Rule], total: bool) -> DataFrame:
     entries = [_report_entry(r.check, r.name, r.column, f"c{i}") for i, r in enumerate(rules)]
     if total:
         everything = " + ".join(f"c{i}" for i in range(len(rules))) or "0"
@@ -43,11 +61,21 @@ def _report_entry(check: str, title: str, column: str | None, n: str) -> dict[st
 
 
 def violations(df: DataFrame, rules: Sequence[Rule], key: str | Sequence[str]) -> DataFrame:
-    """One row per violated rule and record: key, check, rule, column and the cell's value."""
+    """One row per violated rule and record: key, check, rule, column and the cell's value.
+
+    The value is a BIGINT if all the rules' columns are whole numbers, a DOUBLE
+    if all are numbers, and else a STRING.
+    """
+    types = [df.schema[r.column].dataType for r in rules]
+    kind = "STRING"
+    if all(isinstance(t, T.IntegralType) for t in types):
+        kind = "BIGINT"
+    elif all(isinstance(t, T.NumericType) for t in types):
+        kind = "DOUBLE"
     keys = [key] if isinstance(key, str) else list(key)
     found = [
         f"CASE WHEN {r.violated} THEN named_struct('check', {literal(r.check)}, 'rule', {literal(r.name)},"
-        f" 'column', {literal(r.column)}, 'value', CAST({name(r.column)} AS BIGINT)) END"
+        f" 'column', {literal(r.column)}, 'value', CAST({name(r.column)} AS {kind})) END"
         for r in rules
     ]
     # Most rows violate nothing and are dropped before any array is built.

@@ -19,7 +19,7 @@ from wardbook.operators.repair import (
     repair_implies,
     repair_ratio,
 )
-from wardbook.operators.validate import validate
+from wardbook.operators.validate import observe_rules, observed_report, validate
 from wardbook.plans import head_trauma as study
 from wardbook.sources import write_cleaned
 
@@ -57,8 +57,9 @@ class Cleaned(NamedTuple):
 def clean(df: DataFrame, config: CleanConfig = CleanConfig(), save_to: str | None = None) -> Cleaned:
     """Clean a raw visit table; the report is there when ``config.validate`` is set.
 
-    With ``save_to`` the cleaned table is written there as parquet, and report
-    and returned table read it. That is the way to start analyses: a filter on
+    With ``save_to`` the cleaned table is written there as parquet and read
+    back, and the report is counted by the job that writes it. That is the way
+    to start analyses: a filter on
     a table that was not saved is pushed down as a copy of all corrections
     behind the filtered column.
 
@@ -83,7 +84,10 @@ def clean(df: DataFrame, config: CleanConfig = CleanConfig(), save_to: str | Non
     out = cleaning.snap_codes(out, study.GCS_SNAPS, study.GCS_TOTAL)
     out = flag_at_least(out, study.GCS_TOTAL, config.gcs_threshold, study.PRIMARY_FLAG)
     if save_to:
-        out = df.sparkSession.read.schema(out.schema).parquet(write_cleaned(out, save_to))
+        checks = standard_rules(out) if config.validate else []
+        counted, seen = observe_rules(out, checks)
+        out = df.sparkSession.read.schema(out.schema).parquet(write_cleaned(counted, save_to))
+        return Cleaned(out, observed_report(out, checks, seen) if config.validate else None)
     return Cleaned(out, validate(out, standard_rules(out)) if config.validate else None)
 
 
