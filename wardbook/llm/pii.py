@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.session import settle
+
 KINDS = ("email", "ip", "card", "phone")
-# Texts used to fit the trees: those with the smallest hashes, at most this many.
-MAX_TRAINING_TEXTS = 4_000
+# Spans of each kind used to fit the trees, chosen by hash: at most this many.
+MAX_TRAINING_SPANS = 6_000
+SAMPLE_CELLS = 16_384
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -20,8 +24,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Wider proposals, which may overlap each other and the spans of the rules.
-WIDE_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]{1,63}){1,8}")
-WIDE_NUMBER = re.compile(r"(?<![0-9])\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,21}(?![0-9])")
+WIDE_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++ ?(?:@|\(at\)|\[at\]) ?[\w-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]++)++")
+WIDE_NUMBER = re.compile(r"(?<![0-9])\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+")
 
 
 def luhn(digits: str) -> bool:
@@ -67,24 +71,69 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """Format of the span and its surroundings, without the rules' own checks of value."""
+    """Format and value of the span and its surroundings."""
     s, before, after = text[start:end], text[max(0, start - 12) : start].lower(), text[end : end + 2]
     groups = re.findall("[0-9]+", s)
+    digits = "".join(groups)
     return [
-        len(s), sum(map(len, groups)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
+        len(s), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         s.count("."), s.count("-"), s.count(" "), s.count("("), s.count("/"), s.startswith("+"), "@" in s, "dot" in s,
         before[-1:].isspace() or not before, before[-1:].isalnum(), after[:1].isspace() or not after, after[:1].isalnum(),
         any(w in before for w in ("tel", "phone", "call", "fax", "mobil")), any(w in before for w in ("card", "visa", "account", "iban")),
         any(w in before for w in ("mail", "contact")), any(w in before for w in ("ip", "host", "addr")), before[-1:] in "\"'=:",
+        12 <= len(digits) <= 19 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups), s.startswith("00"),
     ]
 
 
+def altered(kind: int, span: str, pick: int) -> str:
+    """The span of a rule written in a way that the rules do not know; ``pick`` chooses the way."""
+    digits = _digits(span)
+    if kind == 0:
+        name, _, domain = span.partition("@")
+        return (f"{name} (at) {domain.replace('.', ' (dot) ')}", f"{name}[at]{domain}", f"{name} @ {domain}", f"{name}[at]{domain.replace('.', '[dot]')}")[pick % 4]
+    if kind == 1:
+        return (". ", "-", " .", "/")[pick % 4].join(span.split("."))
+    if kind == 2:
+        return (".", "/", "  ", "- ")[pick % 4].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    rest = "-".join(digits[i : i + 3] for i in range(2, len(digits), 3))
+    return (f"00{digits[:2]} {rest}", f"00{digits[:2]}/{rest}", f"(+{digits[:2]}) {rest}", f"00 {digits[:2]} {rest.replace('-', ' ')}")[pick % 4]
+
+
+def examples(text: str) -> Iterator[tuple[int, int, list[float]]]:
+    """(kind, label, features) from one text, whatever its length.
+
+    Proposals the rules accept as they stand are positive, those no accepted
+    span of their kind overlaps negative. Each accepted span also gives a
+    positive in another way of writing, and, where a value can be wrong, a negative of that
+    shape with other digits, both in the place of the span.
+    """
+    base = base_spans(text)
+    accepted = {(k, a, b) for a, k, b in base}
+    for k, a, b in proposals(text):
+        if (k, a, b) in accepted:
+            yield k, 1, features(text, a, b)
+        elif not any(k == kind and a < e and s < b for s, kind, e in base):
+            yield k, 0, features(text, a, b)
+    for a, k, b in base:
+        pick = zlib.crc32(text[a:b].encode())
+        other = altered(k, text[a:b], pick)
+        wrong = re.sub("[0-9]", lambda m: "9482705163"[int(m[0])], other)
+        for label, span in ((1, other), (0, wrong)):
+            before = text[max(0, a - 12) : a]
+            place = before + span + text[b : b + 2]
+            if (k, len(before), len(before) + len(span)) not in proposals(place):
+                continue
+            found = features(place, len(before), len(before) + len(span))
+            # Another address or telephone number is as good as the first; a wrong check digit or part is not.
+            if label or (k in (1, 2) and not found[-3 if k == 2 else -2]):
+                yield k, label, found
+
+
 class Boosted:
-    """Gradient boosting of depth-two trees on the logistic loss, with a threshold calibrated on held-out spans."""
+    """Gradient boosting of depth-two trees on the logistic loss, with a threshold calibrated on held-out texts' spans."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int, rate: float, precision: float):
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int, rate: float, precision: float):
         self.trees, self.rate, self.start, self.threshold = [], rate, 0.0, np.inf
-        held = np.arange(len(y)) % 4 == 3
         fit = ~held
         if y[fit].sum() < 5 or y[held].sum() < 2:
             return  # too little to learn from: nothing is added
@@ -100,7 +149,8 @@ class Boosted:
         s, t = self.score(x[held]), y[held]
         for cut in np.unique(s)[::-1]:
             chosen = s >= cut
-            if t[chosen].mean() >= precision:
+            # A span is never added that is likelier to be none.
+            if cut >= 0 and t[chosen].mean() >= precision:
                 self.threshold = cut
             else:
                 break
@@ -132,35 +182,40 @@ class Boosted:
         return self.start + self.rate * sum((self._leaf(t, x) for t in self.trees), np.zeros(len(x)))
 
 
-def fit_pii(df: DataFrame, text: str = "text", max_texts: int = MAX_TRAINING_TEXTS, rounds: int = 30, rate: float = 0.3, precision: float = 0.95) -> list[Boosted]:
-    """One model per kind, fitted on the proposals of at most ``max_texts`` texts.
+def fit_pii(df: DataFrame, text: str = "text", max_spans: int = MAX_TRAINING_SPANS, rounds: int = 30, rate: float = 0.3, precision: float = 0.95) -> list[Boosted]:
+    """One model per kind, fitted on at most ``max_spans`` examples of it from all texts, whole ones of any length.
 
-    A proposal is labelled by whether the rules accept exactly that span. The
-    features leave out what the rules check last (check digits, value ranges),
-    so a model learns what such data look like and also selects variants that
-    the rules miss. The texts are those with the smallest hashes, so the choice
-    does not depend on partitions. Features are made in the tasks.
+    Where the examples and their labels come from is told in ``examples``. They
+    are made where the texts are read and written as features; of each kind and
+    label those with the smallest hashes of text and place are taken, half of
+    the bound for either label, so the choice does not depend on partitions, and copies of a
+    text count once. A quarter of the texts is held out: the threshold of a kind
+    is the lowest score, of even odds at least, down to which their examples are as precise as ``precision``. A kind
+    with too few examples has no model and adds nothing.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, label, made = [], [], []
-            for t in map(lambda v: v.as_py(), batch.column(0)):
-                known = {(k, a, b) for a, k, b in base_spans(t)}
-                for k, a, b in proposals(t)[:64]:
-                    kind.append(k)
-                    label.append(int((k, a, b) in known))
-                    made.append(features(t, a, b))
-            columns = [pa.array(kind, pa.int32()), pa.array(label, pa.int32()), pa.array([[float(v) for v in f] for f in made], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "label", "x"])
-
-    has_data = F.col(text).rlike("[0-9]{3}|@") & (F.length(text) < 20_000)
-    chosen = df.select(F.col(text).alias("t")).where(has_data).orderBy(F.xxhash64("t"), "t").limit(max_texts)
-    rows = chosen.mapInArrow(run, "kind int, label int, x array<double>").toPandas()
+            rows = [(of, n, *e) for of, t in zip(batch.column(0).to_pylist(), batch.column(1)) for n, e in enumerate(examples(t.as_py() or ""))]
+            of, n, kind, label, made = zip(*rows) if rows else [()] * 5
+            columns = [pa.array(of, pa.int64()), pa.array(n, pa.int32()), pa.array(kind, pa.int32()), pa.array(label, pa.int32())]
+            columns.append(pa.array([[float(v) for v in f] for f in made], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["of", "number", "kind", "label", "x"])
+
+    made = df.select(F.xxhash64(text).alias("of"), F.col(text).alias("t")).mapInArrow(run, "of bigint, number int, kind int, label int, x array<double>")
+    made = made.withColumn("cell", F.pmod(F.xxhash64("of", "number"), F.lit(SAMPLE_CELLS)).cast("int"))
+    made = settle(made.dropDuplicates(["of", "number"]), "examples")
+    counts = np.zeros((len(KINDS), 2, SAMPLE_CELLS), np.int64)
+    for r in made.groupBy("kind", "label", "cell").agg(F.count("*").alias("n")).collect():
+        counts[r["kind"], r["label"], r["cell"]] = r["n"]
+    cells = (np.cumsum(counts, axis=2) <= max_spans // 2).sum(2)
+    chosen = " OR ".join(f"(kind = {k} AND label = {y} AND cell < {cells[k, y]})" for k in range(len(KINDS)) for y in (0, 1))
+    rows = made.where(chosen).orderBy("of", "number").toPandas()
     models = []
     for k in range(len(KINDS)):
         mine = rows[rows["kind"] == k]
         x = np.array(mine["x"].tolist(), float).reshape(len(mine), -1) if len(mine) else np.empty((0, 1))
-        models.append(Boosted(x, mine["label"].to_numpy(), rounds, rate, precision))
+        models.append(Boosted(x, mine["label"].to_numpy(), mine["of"].to_numpy() % 4 == 3, rounds, rate, precision))
     return models
 
 
