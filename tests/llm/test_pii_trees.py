@@ -58,7 +58,8 @@ def test_trees_add_spans_of_each_kind(spark, fitted):
     got = {r["doc_id"]: r for r in find_pii(spark.createDataFrame(rows + plain, SCHEMA), models).collect()}
     caught = {kind: [any(tuple(s) == e for s in got[i]["spans"]) for i, e in expected.items() if e[0] == kind] for kind in SAYS}
     assert all(len(c) >= 10 and sum(c) >= 0.8 * len(c) for c in caught.values()), {k: (sum(c), len(c)) for k, c in caught.items()}
-    assert sum(bool(got[1_000 + i]["spans"]) for i in range(200)) <= 4
+    # An order number may pass the rules themselves; what counts is what the trees add.
+    assert sum(len(got[1_000 + i]["spans"]) > len(got[1_000 + i]["base"]) for i in range(200)) <= 4
 
 
 def test_fit_depends_on_no_partitions_and_takes_long_texts(spark, fitted):
