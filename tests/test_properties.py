@@ -197,18 +197,23 @@ def test_toxic_queries_take_all_lengths_sources_and_languages(spark, tmp_path):
 
 
 def test_forests_are_never_cut_silently(spark, monkeypatch):
-    import pytest
-
+    """Trees over 31 flags grow until their leaves are pure, a depth given is kept, and the sweep grows 200 trees."""
     from catalog import model_queries
-    from wardbook.operators import learn
-
-    flags = [f"f{i}" for i in range(31)]
-    with pytest.raises(ValueError, match="max_depth"):
-        learn._forest(flags, 200, 1, 214)
-    assert learn._forest(flags, 200, 1, 214, max_depth=30).getMaxDepth() == 30
+    from wardbook.operators import forest
+
+    bits = np.array([(1 << i) - 1 for i in range(32)])
+    args = bits, np.arange(32) % 2, np.full(32, 3), 31, 1
+    whole, cut = (forest.grow(*args, depth, 31, [1]) for depth in (None, 3))
+    leaves = whole[whole["feature"] < 0]
+    assert len(leaves) == 32 and set(leaves["p"]) == {0.0, 1.0}
+    assert cut["path"].str.len().max() == 3
     sizes = []
-    made = learn._forest
-    monkeypatch.setattr(learn, "_forest", lambda *a, **k: sizes.append(made(*a, **k).getNumTrees()) or (_ for _ in ()).throw(InterruptedError))
+
+    def stop(sets, n_features, trees, *rest, **more):
+        sizes.append(trees)
+        raise InterruptedError
+
+    monkeypatch.setattr(forest, "grow_forests", stop)
     monkeypatch.setattr(model_queries, "_frame", lambda *_: spark.range(40).selectExpr("id AS event_id", *[f"CAST(id % 2 AS INT) AS {c}" for c in {*model_queries.FEATURES, model_queries.OUTCOME}]))
     with pytest.raises(InterruptedError):
         model_queries.forest_leaf_size_sweep(spark, "")
