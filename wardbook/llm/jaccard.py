@@ -16,7 +16,9 @@ from wardbook.session import settle
 # Shingles are 48-bit hashes: two shingles of one pair of sets collide with a
 # chance of about 1e-9.
 SHINGLE_BITS = 48
+SKETCH_SEED = 0x5BD1E9955BD1E995
 SUBPARTS = 3  # parts of a partition, of which each signature leaves out one
+SKETCH_BITS_PER_DIFFERENCE = 8  # the smallest size of a parity sketch, per difference that linked sets may have
 CACHE_WORDS = 500_000
 PACKED_SIGNATURES = 2_000_000  # signatures that a task holds before it passes them on by bucket
 BUCKETS_PER_PARTITION = 16
@@ -65,6 +67,29 @@ def allowed_difference(high: int, percent: int) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
+def parity_sketch(x: np.ndarray, percent: int) -> np.ndarray:
+    """Per cell of the hashed domain, whether an odd number of elements fall there, packed into 64-bit words.
+
+    An element that only one of two sets has flips one bit, so two sketches
+    differ in at most as many bits as their sets in elements. The size is a
+    power of two that grows with the set. A sketch is folded to half its size
+    by xor of its halves, and linked sets differ in size at most by that.
+    """
+    words = max(1, SKETCH_BITS_PER_DIFFERENCE * allowed_difference(len(x), percent) // 64)
+    bits = 64 << (words - 1).bit_length()
+    cell = (mix(x + np.uint64(SKETCH_SEED)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def may_link(percent: int) -> str:
+    """Whether two classes, by size and sketch (nx, px, ny, py), can be similar enough: never false for a link."""
+    size = "least(size(px), size(py))"
+    half = lambda p: f"(get({p}, i) ^ CASE WHEN size({p}) > {size} THEN get({p}, i + {size}) ELSE 0L END)"
+    apart = f"aggregate(sequence(0, {size} - 1), 0, (sum, i) -> sum + bit_count({half('px')} ^ {half('py')}))"
+    sizes = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
+    return f"{sizes} AND {100 + percent} * {apart} <= {100 - percent} * (nx + ny)"
+
+
 def part_signatures(x: np.ndarray, instance: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set, and which of them cover no element.
 
@@ -111,10 +136,10 @@ def signatures(x: np.ndarray, highs: list[int], percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, width: int, give: str) -> DataFrame:
-    """Per row: key, n, digest and, with ``give`` as ``sets``, the shingles."""
+def shingle_sets(df: DataFrame, key: str, text: str, width: int, percent: int | None = None) -> DataFrame:
+    """Per row: key, n, digest and the parity sketch for ``percent``; without it, the shingles instead of a sketch."""
     key_type = df.schema[key].dataType.simpleString()
-    extra = {"digests": "", "sets": ", shingles array<bigint>"}[give]
+    last = "shingles" if percent is None else "sketch"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
@@ -126,16 +151,11 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int, give: str) -> D
                     x = hasher(t.as_py())
                     n.append(len(x))
                     digest.append(xxhash.xxh3_128_hexdigest(x.tobytes()))
-                    if give == "sets":
-                        lists.append(x.astype(np.int64))
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(digest)]
-                names = ["key", "n", "digest"]
-                if lists:
-                    columns.append(pa.array(lists, pa.list_(pa.int64())))
-                    names.append("shingles")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    lists.append(x.astype(np.int64) if percent is None else parity_sketch(x, percent))
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "digest", last])
 
-    return df.select(key, text).mapInArrow(run, f"key {key_type}, n bigint, digest string{extra}")
+    return df.select(key, text).mapInArrow(run, f"key {key_type}, n bigint, digest string, {last} array<bigint>")
 
 
 def signature_rows(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -198,24 +218,30 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     Rows with equal sets form a class, and only classes are compared. First
     each class that shares a signature is compared with the smallest one there,
     which joins most groups of near copies. Then classes that share a
-    signature and are still apart are compared with each other.
+    signature and are still apart are compared with each other. Sizes and
+    parity sketches come first: what they rule out can't be a link, and only
+    the other pairs meet with their shingles.
     """
-    base = settle(shingle_sets(df, key, text, width, "digests"), "digests")
-    classes = settle(base.where("n > 0").groupBy("digest").agg(F.min("key").alias("id"), F.first("n").alias("n")), "classes")
+    base = settle(shingle_sets(df, key, text, width, percent), "digests")
+    one = base.where("n > 0").groupBy("digest").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = settle(one, "classes")
+    base = base.drop("sketch")
     signed = signature_rows(of_keys(df, classes, key, text), key, text, width, percent)
     # A signature that one class has alone can't give a link. One shuffle finds the smallest class and tells who is alone.
     by_class = Window.partitionBy("bucket", "sig").orderBy("d")
     whole = F.expr("shiftleft(bucket, 32) | (sig & 4294967295L)").alias("sig")
     members = signed.select(whole, "d", F.first("d").over(by_class).alias("hub"), F.lead("d").over(by_class).alias("after"))
     members = settle(members.where("d != hub OR after IS NOT NULL").select("sig", "d", "hub"), "members")
-    first = settle(members.where("d != hub").select(F.col("hub").alias("x"), F.col("d").alias("y")).distinct(), "hub-pairs")
+    class_of = lambda at: classes.select(F.col("id").alias(at), F.col("n").alias(f"n{at}"), F.col("sketch").alias(f"p{at}"))
+    hubs = members.where("d != hub").select(F.col("hub").alias("x"), F.col("d").alias("y")).distinct()
+    first = settle(hubs.join(class_of("x"), "x").join(class_of("y"), "y").where(may_link(percent)).select("x", "y"), "hub-pairs")
     links = verified_links(df, first, key, text, width, percent)
     label = settle(components(links.select("a", "b")), "first-components")
     placed = members.join(label.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("c"))
     apart = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("apart")).where("apart").select("sig")
-    placed = settle(placed.join(apart, "sig").join(classes.select(F.col("id").alias("d"), "n"), "d"), "apart")
-    side = lambda at: placed.select("sig", F.col("d").alias(at), F.col("n").alias(f"n{at}"), F.col("c").alias(f"c{at}"))
-    near = side("x").join(side("y"), "sig").where(f"x < y AND cx != cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    placed = settle(placed.join(apart, "sig"), "apart")
+    side = lambda at: placed.select("sig", F.col("d").alias(at), F.col("c").alias(f"c{at}")).join(class_of(at), at)
+    near = side("x").join(side("y"), "sig").where(f"x < y AND cx != cy AND {may_link(percent)}")
     second = near.select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
     links = links.select("a", "b").union(verified_links(df, second, key, text, width, percent).select("a", "b"))
     # The smallest class id of a component is also its smallest key.
@@ -233,7 +259,7 @@ def verified_links(df: DataFrame, pairs: DataFrame, key: str, text: str, width:
     """The pairs of classes whose sets are similar enough, compared element by element."""
     pairs = settle(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id"))
-    sets = settle(shingle_sets(of_keys(df, wanted, key, text), key, text, width, "sets").select("key", "shingles"), "sets")
+    sets = settle(shingle_sets(of_keys(df, wanted, key, text), key, text, width).select("key", "shingles"), "sets")
     both = pairs.join(sets.select(F.col("key").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("key").alias("y"), F.col("shingles").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     joined = both.select(F.col("x").alias("a"), F.col("y").alias("b"), common.alias("i"), (F.size("sx") + F.size("sy") - common).alias("u"))
