@@ -9,9 +9,8 @@ from catalog.oracle import OUTCOME, T, cleaned_sql, count_if, div
 from catalog.project_queries import FLAGS_SQL
 from wardbook.operators import evaluate, forest, learn
 from wardbook.operators.decision import apply_rule, predict_at, rule_reason
-from wardbook.operators.project import flag_at_least
 from wardbook.plans import head_trauma as study
-from wardbook.plans.modelling import model_frame, rule_metrics, stability_report
+from wardbook.plans.modelling import model_frame, rule_metrics, rule_stability, stability_report
 
 FEATURES = study.MODEL_FEATURES
 FLAG_COLUMNS = ", ".join(f"{sql} AS {name}" for name, sql in FLAGS_SQL.items())
@@ -100,13 +99,7 @@ def decision_rule_metrics_by_age_group(spark, sf_dir):
 )
 def decision_rule_stability(spark, sf_dir):
     """The rule on the population cut at 14 and at 13."""
-    visits = cleaned(spark, sf_dir)
-
-    def run(threshold):
-        frame = model_frame(flag_at_least(visits, T, threshold, study.PRIMARY_FLAG))
-        return rule_metrics(frame).select(F.lit(threshold).alias("threshold"), "*")
-
-    return run(14).unionByName(run(13))
+    return rule_stability(cleaned(spark, sf_dir), [14, 13])
 
 
 @query("label_agreement", metrics_sql("toxic", "quality", "labels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from catalog.base import KEY, cleaned, nulled, query, table
 from catalog.oracle import CODED, T, cleaned_sql, count_if, div, nulled_sql, pct, union_rows
-from wardbook.operators import profile
+from wardbook.operators import profile, ranking
 from wardbook.plans import head_trauma as study
 
 
@@ -75,6 +75,32 @@ def describe_prices(spark, sf_dir):
     return table_.withColumn("mean", F.when(F.col("column") == "l_extendedprice", F.round("mean", 4)).otherwise(F.col("mean")))
 
 
+SKETCHED, RANK_ERROR = ["l_extendedprice", "l_quantity"], 0.002
+
+
+@query(
+    "price_quantiles_from_sketches",
+    union_rows(
+        [{'"column"': f"'{c}'", "quantile": f"'{q}'", "n": f"count({c})", "within_rank_error": "true"} for c in SKETCHED for q in profile.QUARTILES],
+        "lineitem",
+    ),
+)
+def price_quantiles_from_sketches(spark, sf_dir):
+    """Quartiles from sketches per return flag, merged; their true ranks are counted in the table."""
+    from pyspark.sql import functions as F
+
+    lines = table(spark, sf_dir, "lineitem")
+    merged = ranking.merge_sketches(ranking.quantile_sketches(lines, SKETCHED, by=["l_returnflag"]))
+    found = ranking.sketch_quantiles(merged, profile.QUARTILES)
+    cuts = ", ".join(f"'{q}', {p}D, {q}" for q, p in profile.QUARTILES.items())
+    cuts = found.selectExpr("column", f"stack({len(profile.QUARTILES)}, {cuts}) AS (quantile, share, cut)")
+    values = lines.selectExpr("stack(2, " + ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in SKETCHED) + ") AS (column, value)")
+    # Six cuts.
+    ranks = values.where("value IS NOT NULL").join(F.broadcast(cuts), "column").groupBy("column", "quantile", "share")
+    ranks = ranks.agg(F.expr("count(*) AS n"), F.expr("count_if(value < cut) / count(*) AS below"), F.expr("count_if(value <= cut) / count(*) AS upto"))
+    return ranks.selectExpr("column", "quantile", "n", f"below <= share + {RANK_ERROR} AND upto >= share - {RANK_ERROR} AS within_rank_error")
+
+
 def _counts_sql(col: str, source: str, where: str) -> str:
     return (
         f"SELECT {col}, count(*) AS n, {div('count(*)', f'(SELECT count(*) FROM {source} WHERE {where})')} AS share"

@@ -23,6 +23,7 @@ from wardbook.operators import rates, risk
 from wardbook.operators.project import band_left, bin_right, flag_at_least
 from wardbook.plans import findings
 from wardbook.plans import head_trauma as study
+from wardbook.session import settle
 
 CASES = count_if(f"{OUTCOME} = 1")
 KNOWN = f"count({OUTCOME})"
@@ -434,9 +435,10 @@ def risk_ratio_stability(spark, sf_dir):
     ),
 )
 def population_stability(spark, sf_dir):
+    totals = settle(cleaned(spark, sf_dir).groupBy(T).agg(F.count(F.lit(1)).alias("n")), "totals")
+
     def sizes(threshold):
-        visits = flag_at_least(cleaned(spark, sf_dir), T, threshold, study.PRIMARY_FLAG)
-        return visits.groupBy(study.PRIMARY_FLAG).agg(F.count(F.lit(1)).alias("n"))
+        return flag_at_least(totals, T, threshold, study.PRIMARY_FLAG).groupBy(study.PRIMARY_FLAG).agg(F.sum("n").alias("n"))
 
     return risk.compare_runs(sizes(14), sizes(13), [study.PRIMARY_FLAG], "n")
 

@@ -248,6 +248,24 @@ def validate_visits(spark, sf_dir):
     return validate.validate(visits, standard_rules(visits))
 
 
+@query(
+    "validate_visits_with_values",
+    nulled_sql(
+        f"""SELECT 'rule' AS level, "check", rule, "column", CAST(NULL AS BIGINT) AS "value", n_violations AS n FROM ({report_sql(RULES, 'nulled')})
+        UNION ALL SELECT 'value', "check", rule, "column", "value", count(*) FROM bad GROUP BY ALL""",
+        bad=violations_sql(RULES, "nulled"),
+    ),
+)
+def validate_visits_with_values(spark, sf_dir):
+    """The report of all rules and, below it, the distinct bad values, from one pass."""
+    visits = nulled(spark, sf_dir)
+    report, values = validate.validate_with_values(visits, standard_rules(visits))
+    columns = ["check", "rule", "`column`"]
+    return report.selectExpr("'rule' AS level", *columns, "CAST(NULL AS BIGINT) AS value", "n_violations AS n").unionByName(
+        values.selectExpr("'value' AS level", *columns, "value", "n")
+    )
+
+
 @query("violating_cells", nulled_sql(violations_sql(RULES, "nulled")))
 def violating_cells(spark, sf_dir):
     """One row per violated rule and visit, for quarantine."""

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 
 from catalog.base import KEY, clean_lazily, cleaned, nulled, raw
-from wardbook.operators import duplicates
+from wardbook.operators import duplicates, ranking
 from wardbook.operators.evaluate import balanced_weight, cv_threshold, evaluate
 from wardbook.operators.filters import top_k_values
 from wardbook.operators.profile import box_stats, describe, histogram
@@ -18,7 +19,7 @@ from wardbook.operators.rates import dominant, rate_matrix, rate_table_ci, share
 from wardbook.operators.project import label_codes
 from wardbook.operators.repair import repair
 from wardbook.operators.rules import rule
-from wardbook.operators.validate import validate, violations
+from wardbook.operators.validate import validate, validate_with_values, violations
 from wardbook.plans import head_trauma as study
 from wardbook.plans.cleaning import CleanConfig, clean, standard_repair, standard_rules
 from wardbook.plans.findings import risk_by_mechanism
@@ -275,3 +276,91 @@ def test_long_label_lists(spark):
     labels = {i: f"label {i}" for i in range(5_000)}
     got = {r["rid"]: r["out"] for r in label_codes(df, "code", labels, "out", "none").collect()}
     assert got == {5: "label 7", 6: "none", 7: "none"}
+
+
+def _inputs_of_exchanges(df):
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\(\d+\) \w*Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+
+
+def test_the_sieve_moves_no_rows(spark):
+    """A third of the rows share one value; only hashes and the bit set are exchanged before the suspects are written."""
+    df = spark.range(3000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "concat('wide', id) AS wide", "id AS other")
+    passed, n_rows = duplicates._sieve(df, ["k"])
+    assert n_rows == 3000
+    moved = ", ".join(_inputs_of_exchanges(passed) + _inputs_of_exchanges(duplicates._hash_counts(df, ["k"])))
+    assert "__row_hash" in moved and not re.search(r"\b(k|wide|other)#", moved)
+    assert 1000 <= passed.count() < 1400
+    rows = duplicates.duplicate_rows(df, ["k"])
+    assert rows.columns == df.columns and rows.count() == 1000 and rows.where("k <> -1").count() == 0
+    assert tuple(duplicates.duplicate_summary(df, ["k"]).first()) == (3000, 2001, 999)
+
+
+def test_a_full_bit_set_changes_the_cost_only(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "FILTER_BITS", 64)
+    df = spark.range(2000).selectExpr("id % 1500 AS k", "CAST(NULL AS INT) AS empty")
+    assert duplicates.duplicate_rows(df).count() == 1000
+    assert tuple(duplicates.duplicate_summary(df).first()) == (2000, 1500, 500)
+    assert tuple(duplicates.duplicate_summary(df.where("k < 0")).first()) == (0, 0, 0)
+
+
+def test_report_with_values_reads_once(spark):
+    rows_ = [rule("a in list", "a > 1", "a"), rule("b in list", "b < 0", "b"), rule("never", "b = 99", "b")]
+    df = spark.range(3000).selectExpr("CAST(IF(id % 3 = 0, 7, IF(id = 1, 8, 1)) AS INT) AS a", "IF(id = 5, -1.5D, 0D) AS b")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            reads.add(len(frame))
+            yield frame
+
+    report, values = validate_with_values(df.mapInPandas(counted, df.schema), rows_)
+    assert {(r["rule"], r["n_violations"]) for r in report.collect()} == {("a in list", 1001), ("b in list", 1), ("never", 0), ("all rules", 1002)}
+    assert {(r["rule"], r["value"], r["n"]) for r in values.collect()} == {("a in list", 7.0, 1000), ("a in list", 8.0, 1), ("b in list", -1.5, 1)}
+    assert reads.value == 3000
+    none = validate_with_values(df.where("a = 1 AND b = 0"), rows_)
+    assert none[0].where("n_violations <> 0").count() == 0 and none[1].count() == 0
+
+
+def test_sketches_of_halves_merge_into_that_of_the_whole(spark):
+    df = spark.range(200_000).selectExpr("IF(id % 3 = 0, 0D, IF(id = 1, 1e15D, IF(id = 2, double('NaN'), id * 1D))) AS x", "id % 2 AS half", "CAST(NULL AS DOUBLE) AS none")
+    shares = {f"q{i}": i / 20 for i in range(1, 20)}
+    parts = ranking.quantile_sketches(df, ["x", "none"], by=["half"])
+    merged = ranking.sketch_quantiles(ranking.merge_sketches(parts), shares).collect()
+    whole = ranking.quantiles(df, ["x", "none"], shares, exact=False).collect()
+    assert [r["column"] for r in merged] == [r["column"] for r in whole] == ["x"]
+    known = df.where("NOT isnan(x)")
+    n = known.count()
+    for found in (merged[0], whole[0]):
+        for q, share in shares.items():
+            below, upto = known.selectExpr(f"count_if(x < {found[q]!r}D)", f"count_if(x <= {found[q]!r}D)").first()
+            assert below / n <= share + 0.002 and upto / n >= share - 0.002
+
+
+def test_populations_read_the_table_once(spark, sf_dir):
+    """Any list of thresholds takes one pass, and gives what each threshold by itself gives."""
+    from wardbook.operators.project import flag_at_least
+    from wardbook.plans.findings import SIGNS, risk_by_sign, sign_stability
+    from wardbook.plans.modelling import rule_stability
+
+    visits = cleaned(spark, sf_dir)
+    expected = {}
+    for t in (15, 14, 13, 3):
+        expected[t] = tuple(rule_metrics(model_frame(flag_at_least(visits, study.GCS_TOTAL, t, study.PRIMARY_FLAG))).first())
+    sizes = {t: risk_by_sign(flag_at_least(visits, study.GCS_TOTAL, t, study.PRIMARY_FLAG)).collect() for t in (14, 13)}
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            reads.add(len(frame))
+            yield frame
+
+    columns = dict.fromkeys(["patient_age_years", *SIGNS.values(), *[c for c in visits.columns if c not in SIGNS.values()]])
+    once = visits.select(*columns).mapInPandas(counted, visits.select(*columns).schema)
+    got = {r["threshold"]: tuple(r[c] for c in r.asDict() if c != "threshold") for r in rule_stability(once, [15, 14, 13, 3, 16]).collect()}
+    assert got == expected and reads.value == visits.count()
+    reads_before = reads.value
+    stable = {(r["band"], r["sign"]): (r["before"], r["after"]) for r in sign_stability(once).collect()}
+    assert reads.value == 2 * reads_before
+    for i, t in enumerate((14, 13)):
+        assert {(r["band"], r["sign"]): r["risk_ratio"] for r in sizes[t]} == {k: v[i] for k, v in stable.items()}

@@ -6,52 +6,76 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wardbook.session import settle
 
-HASH = "__row_hash"
+HASH, WORD = "__row_hash", "__word"
+FILTER_BITS = 1 << 26  # at most 2^20 words of 64 bits are broadcast, about 32 MB
+BITS_PER_HASH = 16
 
 
 def duplicate_summary(df: DataFrame, keys: Sequence[str] | None = None, expected_rows: int | None = None) -> DataFrame:
     """Row count, distinct keys and surplus copies; nulls count as equal.
 
-    Only rows whose 64-bit hash occurs more than once are compared in full, so a
-    wide table is not shuffled unless it really is full of copies. A group of
-    copies is counted on the map side first, whatever its size.
+    Only rows that pass the sieve are compared in full (see ``_sieve``). A group
+    of copies is counted on the map side first, whatever its size.
     """
     columns = list(keys) if keys else df.columns
-    per_hash, suspects = _suspects(df.select(*columns), columns)
-    groups = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    surplus = F.coalesce(groups.agg(F.sum(F.col("n") - 1)).scalar(), F.lit(0))
-    n_rows = per_hash.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
-    return n_rows.select(
+    passed, n_rows = _sieve(df.select(*columns), columns)
+    groups = settle(passed, "suspects").groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    surplus = groups.agg(F.expr(f"{n_rows}L AS n_rows"), F.expr("coalesce(sum(n - 1), 0L) AS n_duplicates"))
+    return surplus.select(
         "n_rows",
-        (F.col("n_rows") - surplus).cast("bigint").alias("n_distinct"),
-        surplus.cast("bigint").alias("n_duplicates"),
+        (F.col("n_rows") - F.col("n_duplicates")).alias("n_distinct"),
+        "n_duplicates",
         *([(F.col("n_rows") == expected_rows).alias("as_expected")] if expected_rows is not None else []),
     )
 
 
-def _suspects(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The count of every row hash, and the rows whose hash occurs more than once."""
+def _hash_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(F.xxhash64(*columns).alias(HASH)).groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sieve(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """The rows that may have copies, as a plan, and the number of all rows.
+
+    A first pass counts 64-bit hashes and writes the repeated ones; only hashes
+    and counts are shuffled. They become a bit set, which is broadcast as words
+    of 64 bits: it grows with the repeated hashes up to a fixed size. In the
+    second pass no row moves; those without their bit have no copy. A full
+    bit set lets more rows through, which changes the cost only.
+    """
+    seen = Observation()
+    counts = _hash_counts(df, columns).observe(
+        seen, F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.expr("count_if(n > 1) AS repeated")
+    )
+    repeated = settle(counts.where("n > 1").select(HASH), "repeated-hashes")
+    bits = 64
+    while bits < min(BITS_PER_HASH * seen.get["repeated"], FILTER_BITS):
+        bits *= 2
+    place = f"pmod({HASH}, {bits}L)"
+    words = (
+        repeated.selectExpr(f"{place} div 64 AS {WORD}", f"shiftleft(1L, CAST({place} % 64 AS INT)) AS bit")
+        .groupBy(WORD)
+        .agg(F.expr("bit_or(bit) AS __bits"))
+    )
+    hit = f"{place} div 64 = {WORD} AND shiftright(__bits, CAST({place} % 64 AS INT)) & 1L = 1L"
     hashed = df.withColumn(HASH, F.xxhash64(*columns))
-    per_hash = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
-    return per_hash, hashed.join(per_hash.where("n > 1").select(HASH), HASH, "left_semi").select(*df.columns)
+    return hashed.join(F.broadcast(words), F.expr(hit), "left_semi").select(*df.columns), seen.get["rows"]
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Every row whose key (or whole content) occurs more than once, all copies listed.
 
-    Repeated keys are found by a map-side combined count and joined back, so a
-    key with very many copies is never gathered in one task: adaptive execution
-    splits its side of the join. Whole rows are first narrowed down by hash, and
-    the rows that remain are written once when this is called.
+    Rows that pass the sieve (see ``_sieve``) are written once when this is
+    called. Repeated keys are found among them by a map-side combined count and
+    joined back, so a key with very many copies is never gathered in one task:
+    adaptive execution splits its side of the join.
     """
     columns = list(keys) if keys else df.columns
-    if not keys:
-        df = settle(_suspects(df, columns)[1], "suspects")
+    df = settle(_sieve(df, columns)[0], "suspects")
     repeated = (
         df.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("__n"))

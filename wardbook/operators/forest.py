@@ -129,13 +129,13 @@ def grow_forests(sets: DataFrame, n_features: int, trees: int, leaf_sizes: Seque
     return bags.groupBy("held_out", "tree").applyInPandas(grown, NODES)
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], y: str, trees: int = 200, min_leaf: int = 10, seed: int = 214, max_depth: int | None = None) -> ForestFit:
+def fit_forest(df: DataFrame, features: Sequence[str], y: str, trees: int = 200, min_leaf: int = 10, seed: int = 214, max_depth: int | None = None, count: str | None = None) -> ForestFit:
     """Balanced random forest; leaves hold at least ``min_leaf`` drawn records. Rows without an outcome are left out.
 
     Both outcomes are needed. After one aggregate the cost depends on the
     patterns, not on the rows. The nodes are collected.
     """
-    sets = training_sets(folded_counts(df, features, y), features, y, [None])
+    sets = training_sets(folded_counts(df, features, y, count=count), features, y, [None])
     if sets.select("y").distinct().count() < 2:
         raise ValueError("both classes are needed to fit a model")
     nodes = grow_forests(sets, len(features), trees, [min_leaf], seed, max_depth)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardbook.functions.literals import literal_rows
 from wardbook.functions.numbers import ratio
+from wardbook.functions.predicates import name
 from wardbook.operators.evaluate import threshold_per_fold
 from wardbook.operators.forest import ForestFit, cv_forest, cv_forest_threshold, fit_forest, forest_importances, score_forest  # noqa: F401
 from wardbook.operators.logistic import COUNT, LogisticFit, fit_logistic_models, folded_counts, scored_counts
@@ -20,14 +21,26 @@ def pattern_counts(df: DataFrame, features: Sequence[str], *keys: str) -> DataFr
     return df.groupBy(*features, *keys).agg(F.count(F.lit(1)).alias(COUNT))
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0) -> LogisticFit:
+def populations(counts: DataFrame, total: str, thresholds: Sequence[int]) -> DataFrame:
+    """Counts of patterns in every population whose total reaches a threshold: (threshold, the other columns, n).
+
+    ``counts`` has the records per pattern and total (see ``pattern_counts``),
+    so any list of thresholds takes one pass over the records. A missing total
+    is in no population.
+    """
+    reached = f"explode(filter(array({', '.join(str(t) for t in thresholds)}), t -> {name(total)} >= t)) AS threshold"
+    others = [c for c in counts.columns if c not in (total, COUNT)]
+    return counts.selectExpr("*", reached).groupBy("threshold", *others).agg(F.sum(COUNT).alias(COUNT))
+
+
+def fit_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0, count: str | None = None) -> LogisticFit:
     """L2 logistic regression with balanced classes and inverse regularisation strength ``c``.
 
     The fit runs on feature patterns weighted by their counts, which gives the
     same optimum as the single records, so after one aggregate its cost no
     longer depends on the size of the table (see ``fit_logistic_models``).
     """
-    return fit_logistic_models(folded_counts(df, features, y), features, y, [(c, None)])[0]
+    return fit_logistic_models(folded_counts(df, features, y, count=count), features, y, [(c, None)])[0]
 
 
 def score(model: ForestFit, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:

@@ -33,14 +33,15 @@ class LogisticFit:
         return f"(1D / (1D + exp(-({' + '.join([f'({self.intercept!r}D)', *terms])}))))"
 
 
-def folded_counts(df: DataFrame, features: Sequence[str], y: str, key: str | None = None, k: int = 1) -> DataFrame:
+def folded_counts(df: DataFrame, features: Sequence[str], y: str, key: str | None = None, k: int = 1, count: str | None = None) -> DataFrame:
     """Records per combination of 0/1 features, outcome and fold (the integer key modulo k), written once.
 
     At most 2^(features + 1) rows per fold. Rows without an outcome are left out.
+    A row stands for as many records as its column ``count`` says, if one is named.
     """
     fold = f"CAST(pmod({name(key)}, {k}) AS INT)" if key else "0"
-    rows = df.where(f"{name(y)} IS NOT NULL").selectExpr(*[name(c) for c in (*features, y)], f"{fold} AS {FOLD}")
-    return settle(rows.groupBy(*features, y, FOLD).agg(F.expr(f"count(*) AS {COUNT}")), "pattern-counts")
+    rows = df.where(f"{name(y)} IS NOT NULL").selectExpr(*[name(c) for c in (*features, y)], f"{fold} AS {FOLD}", f"{name(count) if count else '1L'} AS {COUNT}")
+    return settle(rows.groupBy(*features, y, FOLD).agg(F.sum(COUNT).alias(COUNT)), "pattern-counts")
 
 
 def fit_logistic_models(counts: DataFrame, features: Sequence[str], y: str, settings: Sequence[tuple[float, int | None]]) -> list[LogisticFit]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wardbook.functions.predicates import literal, name
 from wardbook.session import settle
 
+SKETCH_SIZE = 4_000  # ranks off by 0.08 % of the rows
+
 
 def ranged(df: DataFrame, order_by: str, partition_by: str | None = None) -> DataFrame:
     """The rows cut into ranges of about equal row numbers, written once, with the range's number as ``__range``.
@@ -73,19 +75,42 @@ def number(col: str) -> str:
     return f"nanvl(CAST({name(col)} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
+def quantile_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: int = SKETCH_SIZE) -> DataFrame:
+    """(by, column, sketch): a mergeable sketch of the values of each column, missing ones and NaN left out.
+
+    The sketches take a few kilobytes each, whatever the table, and can be
+    stored: those of parts, such as days, merge into that of the whole (see
+    ``merge_sketches``). The rank of a quantile read from a sketch of size
+    ``k`` is off by at most about 2.3 / k^0.97 of the rows, with 99 % confidence.
+    """
+    pairs = ", ".join(f"{literal(c)}, {number(c)}" for c in cols)
+    values = df.selectExpr(*[name(c) for c in by], f"stack({len(cols)}, {pairs}) AS (column, value)")
+    return values.where("value IS NOT NULL").groupBy(*by, "column").agg(F.expr(f"kll_sketch_agg_double(value, {k}) AS sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, sketch) of the whole, from the sketches of its parts."""
+    return sketches.groupBy(*by, "column").agg(F.expr("kll_merge_agg_double(sketch) AS sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """The quantiles that the sketches give, next to their other columns."""
+    others = [name(c) for c in sketches.columns if c != "sketch"]
+    return sketches.selectExpr(*others, *[f"kll_sketch_get_quantile_double(sketch, {p}D) AS {name(out)}" for out, p in shares.items()])
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], shares: Mapping[str, float], exact: bool = True) -> DataFrame:
     """One row per column with its quantiles, linearly interpolated between order statistics.
 
     Exact quantiles are found by rank on the distinct values and their counts,
-    which are written once, in ranges, when this is called. ``exact=False`` takes Spark's bounded-memory sketch instead.
+    which are written once, in ranges, when this is called. ``exact=False`` reads them from bounded sketches instead
+    (see ``quantile_sketches``), which give values that occur.
     """
+    if not exact:
+        return sketch_quantiles(quantile_sketches(df, cols), shares)
     values = df.selectExpr(
         f"stack({len(cols)}, " + ", ".join(f"{literal(c)}, {number(c)}" for c in cols) + ") AS (column, value)"
     )
-    if not exact:
-        return values.groupBy("column").agg(
-            *[F.expr(f"percentile_approx(value, {p}) AS {name(out)}") for out, p in shares.items()]
-        )
     grouped = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(*) AS n"))
     ranked = running_totals(grouped, "value", {"n": "__upto"}, partition_by="column", sizes={"n": "__size"})
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardbook.functions import binning
 from wardbook.functions.literals import literal_rows, wide_to_long
 from wardbook.functions.numbers import percent, ratio
-from wardbook.functions.predicates import all_of, count_if, equals, literal
+from wardbook.functions.predicates import all_of, count_if, equals, literal, name
 from wardbook.operators.project import with_columns
 
 
@@ -21,11 +21,13 @@ def risk_ratio(
     bands: Sequence[tuple],
     outcome: str,
     digits: int | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """Outcome rate with a sign divided by the rate without it, per band and sign.
 
     0 stands for a ratio that cannot be formed: no rows on one side, or no case
     without the sign. ``n_pos`` and ``n_neg`` tell which. Bands without rows are listed too.
+    A row stands for as many records as its column ``count`` says, if one is named.
     """
     parts = {
         "n_pos": lambda c: equals(c, 1),
@@ -33,13 +35,14 @@ def risk_ratio(
         "cases_pos": lambda c: all_of([equals(c, 1), equals(outcome, 1)]),
         "cases_neg": lambda c: all_of([equals(c, 0), equals(outcome, 1)]),
     }
+    records = f"coalesce(sum(CASE WHEN {{}} THEN {name(count)} END), 0L)" if count else None
     counts = (
         with_columns(df, {"band": binning.left_closed(age, bands)})
         .where("band IS NOT NULL")
         .groupBy("band")
         .agg(
             *[
-                F.expr(f"{count_if(test(c))} AS {p}_{i}")
+                F.expr(f"{records.format(test(c)) if records else count_if(test(c))} AS {p}_{i}")
                 for i, c in enumerate(signs.values())
                 for p, test in parts.items()
             ]

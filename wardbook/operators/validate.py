@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardbook.functions.literals import wide_to_long
+from wardbook.functions.literals import literal_rows, wide_to_long
 from wardbook.functions.numbers import percent
 from wardbook.functions.predicates import all_of, any_of, count_if, equals, known, literal, name, negate
 from wardbook.operators.rules import Rule
+from wardbook.session import settle
 
 
 def wide_counts(df: DataFrame, predicates: Iterable[str], prefix: str = "c") -> DataFrame:
@@ -66,12 +67,7 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: str | Sequence[str]) -
     The value is a BIGINT if all the rules' columns are whole numbers, a DOUBLE
     if all are numbers, and else a STRING.
     """
-    types = [df.schema[r.column].dataType for r in rules]
-    kind = "STRING"
-    if all(isinstance(t, T.IntegralType) for t in types):
-        kind = "BIGINT"
-    elif all(isinstance(t, T.NumericType) for t in types):
-        kind = "DOUBLE"
+    kind = _value_type(df, rules)
     keys = [key] if isinstance(key, str) else list(key)
     found = [
         f"CASE WHEN {r.violated} THEN named_struct('check', {literal(r.check)}, 'rule', {literal(r.name)},"
@@ -84,6 +80,39 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: str | Sequence[str]) -
     )
 
 
+def _value_type(df: DataFrame, rules: Sequence[Rule]) -> str:
+    types = [df.schema[r.column].dataType for r in rules]
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return "BIGINT"
+    return "DOUBLE" if all(isinstance(t, T.NumericType) for t in types) else "STRING"
+
+
+def validate_with_values(df: DataFrame, rules: Sequence[Rule], total: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The report of ``validate`` and the values behind it (see ``bad_values``), from one pass over the table.
+
+    Violating cells are counted per rule and value, with map-side combining, and
+    written once when this is called; the report sums the counts of a rule. So
+    a rule that a third of the rows violate is a few rows before the shuffle,
+    and the number of distinct values has no limit. At least one rule is needed.
+    """
+    kind = _value_type(df, rules)
+    cells = ", ".join(
+        f"CASE WHEN {r.violated} THEN named_struct('at', {i}, 'value', CAST({name(r.column)} AS {kind})) END"
+        for i, r in enumerate(rules)
+    )
+    cells = df.where(any_of(r.violated for r in rules)).selectExpr(f"inline(array_compact(array({cells})))")
+    counts = settle(cells.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n")), "bad-values")
+    sums = counts.agg(*[F.expr(f"coalesce(sum(CASE WHEN at = {i} THEN n END), 0L) AS c{i}") for i in range(len(rules))])
+    listed = literal_rows(
+        df.sparkSession,
+        [("at", "int"), ("check", "string"), ("rule", "string"), ("column", "string")],
+        [(i, r.check, r.name, r.column) for i, r in enumerate(rules)],
+    )
+    # One row per rule, so small whatever the table.
+    values = counts.join(F.broadcast(listed), "at").select("check", "rule", "column", "value", "n")
+    return _report(sums, rules, total), values
+
+
 def bad_values(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The distinct violating values of each rule with their counts, one row per value."""
     return (

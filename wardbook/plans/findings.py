@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wardbook.functions.literals import wide_to_long
 from wardbook.functions.numbers import percent
 from wardbook.functions.predicates import all_of, equals, known, literal, one_of
 from wardbook.operators.filters import restrict
-from wardbook.operators.project import flag_at_least, label_codes, min_max_scale, tier
+from wardbook.operators.learn import COUNT, pattern_counts, populations
+from wardbook.operators.project import label_codes, min_max_scale, tier
 from wardbook.operators.rates import ordered_rate, rate_table_ci
 from wardbook.operators.risk import compare_runs, reality_check, risk_ratio
 from wardbook.operators.validate import wide_counts
 from wardbook.plans import head_trauma as study
+from wardbook.session import settle
 
 SIGNS = {"Skull Fracture": "has_palpable_skull_fracture", "Vomiting": "has_vomiting_post_injury"}
 
@@ -44,9 +47,13 @@ def risk_by_loss_of_consciousness(cleaned: DataFrame) -> DataFrame:
 
 
 def sign_stability(cleaned: DataFrame, before: int = 14, after: int = 13, digits: int | None = None) -> DataFrame:
-    """Risk by sign under two population thresholds."""
+    """Risk by sign under two population thresholds, from one pass over the cleaned table."""
+    columns = ["patient_age_years", *SIGNS.values(), study.OUTCOME]
+    counts = pattern_counts(cleaned, columns, study.GCS_TOTAL)
+    counts = settle(populations(counts, study.GCS_TOTAL, (before, after)), "populations")
     runs = [
-        risk_by_sign(flag_at_least(cleaned, study.GCS_TOTAL, t, study.PRIMARY_FLAG), digits) for t in (before, after)
+        risk_ratio(counts.where(F.col("threshold") == t), SIGNS, columns[0], study.RISK_BANDS, study.OUTCOME, digits, COUNT)
+        for t in (before, after)
     ]
     return compare_runs(*runs, ["band", "sign"], "risk_ratio")
 
