@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardbook.llm.graph import components
@@ -21,7 +21,7 @@ SUBPARTS = 3  # parts of a partition, of which each signature leaves out one
 SKETCH_BITS_PER_DIFFERENCE = 8  # the smallest size of a parity sketch, per difference that linked sets may have
 CACHE_WORDS = 500_000
 PACKED_SIGNATURES = 2_000_000  # signatures that a task holds before it passes them on by bucket
-BUCKETS_PER_PARTITION = 16
+LABELS_TRIED = 64  # numbers tried per partition, so that each has one of its own
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -158,29 +158,40 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int, percent: int |
     return df.select(key, text).mapInArrow(run, f"key {key_type}, n bigint, digest string, {last} array<bigint>")
 
 
+def partition_labels(spark: SparkSession) -> np.ndarray:
+    """Per shuffle partition a number that Spark's hash sends there; a partition that none of the tried ones meets gets any other."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = spark.range(LABELS_TRIED * parts).selectExpr("id", f"pmod(hash(id), {parts}) AS part").groupBy("part").agg(F.min("id").alias("id"))
+    labels = -1 - np.arange(parts)
+    for row in met.collect():  # a row per partition
+        labels[row["part"]] = row["id"]
+    return labels
+
+
 def signature_rows(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(bucket, sig, d): the signatures of every row that has words, dealt out by bucket.
 
     A row per signature would take far more room in the shuffle than the
     signature itself. Each task therefore packs its signatures into a pair of
     arrays per bucket, a range of signatures, and they are spread out after
-    the shuffle. The number of buckets follows the session's partitions. A
+    the shuffle. Each shuffle partition takes one bucket, so a task makes no
+    more rows than the shuffle has blocks, and the partitions are even. A
     bucket and 32 more bits stand for a signature; chance sharing only adds a
     pair to verify.
     """
     key_type = df.schema[key].dataType.simpleString()
-    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = partition_labels(df.sparkSession)
 
     def packed(keys: list[pa.Array], found: list[np.ndarray]) -> pa.RecordBatch:
         sig = np.concatenate(found)
         owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        bucket = ((sig >> np.uint64(32)) * np.uint64(len(labels))) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")  # rows stay in order, so their keys compress well
         present, first = np.unique(bucket[order], return_index=True)
         ends = pa.array(np.append(first, len(sig)), pa.int32())
         sigs = pa.ListArray.from_arrays(ends, pa.array(sig[order].astype(np.uint32).view(np.int32)))
         ids = pa.ListArray.from_arrays(ends, pa.concat_arrays(keys).take(pa.array(owner[order])))
-        return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), sigs, ids], names=["bucket", "sig", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(labels[present]), sigs, ids], names=["bucket", "sig", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, highs = ShingleHasher(width), band_table(percent, 1)
