@@ -46,13 +46,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Spark keeps the files of a shuffle until the driver happens to collect its
+# plan; with this setting they go as soon as the query that made them ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write an aggregated table once and read it back.
 
     A plan that uses a grouped table several times would scan the source once
     per use, as the optimiser pushes different filters into each of them. A
-    written table is read instead, and it survives the loss of executors.
+    written table is read instead, and it survives the loss of executors. The
+    files of the shuffles that made it are freed when it is written.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: neither a plan still to run nor the caller."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
