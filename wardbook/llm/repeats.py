@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.llm.jaccard import mix
-from wardbook.session import settle
+from wardbook.session import release, settle
 
 GRAM = 32  # bytes whose hash is sampled
+# Contexts of at most 2 * length - 32 bytes each: how many one group may have
+# before it is split, and how many are sorted together at least.
+GROUP_ROWS = 4_096
+CHUNK_ROWS = 1_024
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLES = [np.random.default_rng(seed).integers(1, 2**64 - 1, 256, np.uint64) for seed in (11, 12)]
@@ -75,7 +80,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def occurrences(texts: DataFrame, length: int) -> DataFrame:
-    """A row per anchor: doc, p, the anchor's hash a, and c1, c2: the hash of all that lies within reach of its windows."""
+    """A row per anchor: doc, twin, p, the anchor's hash a, and c: the hash of all that lies within reach of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,36 +92,193 @@ def occurrences(texts: DataFrame, length: int) -> DataFrame:
                 p = anchors(roll, len(data), length)
                 low, high = _context(p, len(data), length)
                 left = mix((p - low).astype(np.uint64))  # where in its context the anchor lies
-                arrays = [batch.column("doc").take(pa.array(np.full(len(p), i))), pa.array(p), _signed(roll(p, p + GRAM, 1))]
-                arrays += [_signed(roll(low, high, k) ^ left) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "p", "a", "c1", "c2"])
+                same = pa.array(np.full(len(p), i))
+                arrays = [batch.column("doc").take(same), batch.column("twin").take(same), pa.array(p.astype(np.int32))]
+                arrays += [_signed(roll(p, p + GRAM, 1)), _signed(roll(low, high, 0) ^ left)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "twin", "p", "a", "c"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc string, p bigint, a bigint, c1 bigint, c2 bigint")
+    return texts.select("doc", "twin", "text").mapInArrow(run, "doc bigint, twin int, p int, a bigint, c bigint")
 
 
-def window_hashes(texts: DataFrame, length: int) -> DataFrame:
-    """For each (p, a) in ``places``: doc, p, a and, per window over the anchor, r (bytes before the anchor) and its hash w1, w2."""
+def context_bytes(texts: DataFrame, length: int) -> DataFrame:
+    """For each (p, a, n) in ``places``: the bytes around the anchor, and how many of them lie before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for i, (value, places) in enumerate(zip(batch.column("text"), batch.column("places"))):
-                data, places = _data(value), places.as_py()
-                roll, n = Rolling(data), len(data)
-                for at in range(0, len(places), 512):
-                    part = places[at : at + 512]
-                    p = np.array([x["p"] for x in part], np.int64)
-                    a = np.array([x["a"] for x in part], np.int64)
-                    low, high = _context(p, n, length)
-                    r = np.arange(length - GRAM + 1)
-                    s = p[:, None] - r[None, :]
-                    ok = (s >= low[:, None]) & (s + length <= high[:, None])
-                    k, j = np.nonzero(ok)
-                    start = s[k, j]
-                    arrays = [batch.column("doc").take(pa.array(np.full(len(k), i))), pa.array(p[k]), pa.array(a[k]), pa.array(r[j].astype(np.int32))]
-                    arrays += [_signed(roll(start, start + length, x)) for x in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc", "p", "a", "r", "w1", "w2"])
-
-    return texts.select("doc", "text", "places").mapInArrow(run, "doc string, p bigint, a bigint, r int, w1 bigint, w2 bigint")
+            for doc, twin, value, places in zip(*batch.columns):
+                if (doc, twin) == before:  # a repeated row
+                    continue
+                before, data, places = (doc, twin), _data(value), places.as_py()
+                raw = data.tobytes()
+                for at in range(0, len(places), 4_096):
+                    part = places[at : at + 4_096]
+                    p, a, n = (np.array([x[c] for x in part], np.int64) for c in ("p", "a", "n"))
+                    low, high = _context(p, len(data), length)
+                    arrays = [pa.array(a), pa.array(n), pa.repeat(doc, len(p)), pa.repeat(twin, len(p)), pa.array(p.astype(np.int32))]
+                    arrays += [pa.array((p - low).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(low.tolist(), high.tolist())], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["a", "n", "doc", "twin", "p", "left", "ctx"])
+
+    return texts.select("doc", "twin", "text", "places").mapInArrow(run, "a bigint, n bigint, doc bigint, twin int, p int, left int, ctx binary")
+
+
+def two_stage_order(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes that begin at ``starts`` (flags), ordered by their first ``depth`` bytes.
+
+    Only suffixes smaller than their successors are sorted directly. Every
+    other one is larger than its successor, so a scan of the buckets of first
+    bytes in order, from each suffix to the one before it, finds them sorted.
+    """
+    n = len(data)
+    text = np.append(data.astype(np.int16), np.int16(-1))
+    slope = np.append(np.sign(text[1:] - text[:-1]), np.int16(1))  # the end is smaller than all
+    known = np.where(slope != 0, np.arange(n + 1), n)
+    smaller = slope[np.minimum.accumulate(known[::-1])[::-1]] > 0
+    # What is induced needs its successors up to the next suffix sorted directly.
+    after = np.minimum.accumulate(np.where(smaller, np.arange(n + 1), n)[::-1])[::-1]
+    edge = np.zeros(n + 2, np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, after[at] + 1, -1)
+    needed = np.cumsum(edge)[: n + 1] > 0
+    direct = np.flatnonzero(needed[:n] & smaller[:n])
+    padded = np.append(data, np.zeros(depth, np.uint8))
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]).view(f"S{depth}").ravel()
+    direct = direct[np.argsort(keys)]
+    induced = np.append(needed[:n] & ~smaller[:n], [False, False])  # the last flag answers for the place before the first
+    buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
+
+    def hand_on(segment: np.ndarray, byte: int) -> None:
+        before = segment - 1
+        before = before[induced[before]]
+        before = before[data[before] > byte]
+        heads = data[before]
+        before, heads = before[np.argsort(heads, kind="stable")], np.sort(heads)
+        cuts = np.flatnonzero(np.diff(heads)) + 1
+        for piece in np.split(before, cuts) if len(before) else ():
+            buckets[data[piece[0]]].append(piece)
+
+    order: list[np.ndarray] = []
+    hand_on(np.array([n]), -1)
+    ends = np.searchsorted(data[direct], np.arange(257))
+    for byte in range(256):
+        parts = [np.concatenate(buckets[byte])] if buckets[byte] else []
+        while parts and len(parts[-1]):  # runs of one byte
+            before = parts[-1] - 1
+            before = before[induced[before]]
+            parts.append(before[data[before] == byte])
+        segment = np.concatenate([*parts, direct[ends[byte] : ends[byte + 1]]])
+        if len(segment):
+            order.append(segment)
+            hand_on(segment, byte)
+    found = np.concatenate(order) if order else np.empty(0, np.int64)
+    return found[starts[found]]
+
+
+def same_prefix(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix of the order but the first: whether it shares ``length`` bytes with the one before."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)).view(np.uint64).ravel()
+    alive = np.arange(1, len(order))
+    for at in [*range(0, length - 7, 8), length - 8]:
+        alive = alive[words[order[alive - 1] + at] == words[order[alive] + at]]
+    out = np.zeros(max(0, len(order) - 1), bool)
+    out[alive - 1] = True
+    return out
+
+
+def repeated_in(table: pa.Table, length: int) -> pa.RecordBatch:
+    """Spans (doc, twin, s, e) of the contexts whose strings of ``length`` bytes start at another place, too."""
+    docs, twins, p, left, n = (table[c].to_numpy() for c in ("doc", "twin", "p", "left", "n"))
+    pieces = table["ctx"].to_pylist()
+    sizes = np.array([len(x) for x in pieces])
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    low = p.astype(np.int64) - left
+    inside = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+    starts = inside + length <= np.repeat(sizes, sizes)
+    order = two_stage_order(data, starts, length)
+    run = np.concatenate([[0], np.cumsum(~same_prefix(data, order, length))]) if len(order) else np.empty(0, np.int64)
+    heads = np.flatnonzero(np.diff(run, prepend=-1))
+    owner = np.searchsorted(offsets, order, "right") - 1
+    _, who = np.unique(np.stack([docs, twins.astype(np.int64)]), axis=1, return_inverse=True)
+    place = (who.ravel()[owner].astype(np.int64) << 32) + low[owner] + inside[order]
+    again = np.zeros(0, bool)
+    if len(order):
+        # Overlapping contexts of one document hold the same place twice.
+        again = (np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)) | (np.maximum.reduceat(n[owner], heads) > 1)
+    marked = np.zeros(len(data) + 1, bool)
+    marked[order[again[run]]] = True
+    change = np.diff(marked.astype(np.int8), prepend=0)
+    first, last = np.flatnonzero(change == 1), np.flatnonzero(change == -1) - 1
+    of = np.searchsorted(offsets, first, "right") - 1
+    s, e = low[of] + inside[first], low[of] + inside[last] + length
+    return pa.RecordBatch.from_arrays([pa.array(docs[of]), pa.array(twins[of]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc", "twin", "s", "e"])
+
+
+SPAN = "doc bigint, twin int, s int, e int"
+
+
+def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """The repeated spans of contexts of which those of one g are compared; a g has at most ``GROUP_ROWS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < CHUNK_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            g = table["g"].to_numpy()
+            cuts = np.flatnonzero(np.diff(g)) + 1  # the last group goes on in the next batch, perhaps
+            begin = 0
+            for k, end in enumerate(cuts):
+                if end - begin >= CHUNK_ROWS or k == len(cuts) - 1:
+                    yield repeated_in(table.slice(begin, end - begin), length)
+                    begin = end
+            held = table.slice(begin).to_batches()
+        if held:
+            yield repeated_in(pa.Table.from_batches(held), length)
+
+    # The end of a task's rows is a whole number of groups, so only memory bounds what one call sorts.
+    return contexts.repartition("g").sortWithinPartitions("g").select("g", "doc", "twin", "p", "left", "n", "ctx").mapInArrow(run, SPAN)
+
+
+def spans_by_sorting(contexts: DataFrame, length: int) -> DataFrame:
+    """Spans of all contexts that share a string of ``length`` bytes around the same gram, however many share a gram.
+
+    A string lies ``r`` bytes before its anchor, with r in a range. Contexts of
+    one gram meet in one group. Where that is larger than ``GROUP_ROWS``, the
+    range is halved, and for each half contexts meet only if the bytes that
+    all its strings hold are equal. When one r is left, the strings themselves
+    are counted.
+    """
+    rows = contexts.withColumns({"g": F.col("a"), "r0": F.lit(0), "r1": F.lit(length - GRAM)})
+    done, kept = [], []
+    while True:
+        sizes = rows.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_ROWS)
+        hot = settle(sizes.select("g"), "hot-groups")
+        if hot.isEmpty():
+            release(hot)
+            done.append(sorted_spans(rows, length))
+            break
+        kept.append(hot)
+        done.append(sorted_spans(rows.join(hot, "g", "left_anti"), length))
+        crowd = rows.join(hot, "g", "left_semi")
+        middle = F.floor((F.col("r0") + F.col("r1")) / 2).cast("int")
+        halves = F.array(F.struct("r0", middle.alias("r1")), F.struct((middle + 1).alias("r0"), "r1"))
+        crowd = crowd.withColumn("half", F.explode(halves)).withColumns({"r0": F.col("half.r0"), "r1": F.col("half.r1")}).drop("half")
+        crowd = crowd.where((F.col("left") >= F.col("r0")) & (F.octet_length("ctx") - F.col("left") >= length - F.col("r1")))
+        shared = F.expr(f"substring(ctx, left - r0 + 1, {length} - r1 + r0)")
+        crowd = settle(crowd.withColumn("g", F.xxhash64("a", "r0", "r1", shared)), "crowded")
+        kept.append(crowd)
+        # The halving takes all ranges to one r in the same round or the one before.
+        single = crowd.where("r0 = r1").withColumn("string", shared)
+        again = single.groupBy("a", "r0", "string").agg(F.count("*").alias("m"), F.max("n").alias("most")).where("m > 1 OR most > 1")
+        done.append(single.join(again, ["a", "r0", "string"], "left_semi").select("doc", "twin", (F.col("p") - F.col("r0")).alias("s"), (F.col("p") - F.col("r0") + length).alias("e")))
+        rows = crowd.where("r0 < r1")
+    out = settle(reduce(DataFrame.unionByName, done), "sorted-spans")
+    release(*kept)
+    return out
 
 
 def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,32 +286,36 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
 
     Every byte is removed that lies in a string of ``length`` bytes which also
     starts anywhere else, be it in the same document. Overlaps count, and
-    matches never cross documents. Null and empty texts have no bytes; a
-    repeated row is one more copy; other columns are left out; an empty table
-    gives no rows.
-
-    Equal strings contain the same sampled gram at the same place. So places
-    are compared only with places around an equal gram: first by all that is
-    around it, which settles whole copies at once, and then, for each different
-    surrounding once, window by window. All counts combine on the map side.
+    matches never cross documents. Null and empty texts have no bytes; texts
+    may have any length; a repeated row is one more copy; other columns are
+    left out, whatever their names; an empty table gives no rows.
+
+    Equal strings contain the same sampled gram at the same place. So suffixes
+    are sorted only among the surroundings of an equal gram: whole
+    surroundings that occur again are settled by counting, and one copy of
+    each different one goes into a two-stage suffix sort, where neighbours are
+    compared byte by byte. All counts combine on the map side.
     """
-    doc = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    texts = df.select(F.col(key), doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = source.withColumns({"doc": F.xxhash64("key", "text"), "twin": F.hash("key", "text")})
     occ = settle(occurrences(texts, length), "anchors")
-    contexts = occ.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "p")).alias("one"))
-    contexts = settle(contexts, "contexts")
-    shared = contexts.groupBy("a").agg(F.count("*").alias("m"), F.max("n").alias("most")).where("m > 1 OR most > 1")
-    shared = settle(contexts.join(shared.select("a", "m"), "a"), "shared")
+    contexts = settle(occ.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "twin", "p")).alias("one")), "contexts")
     # Whole surroundings that occur more than once.
-    whole = occ.join(shared.where("n > 1").select("a", "c1", "c2"), ["a", "c1", "c2"], "left_semi")
-    whole = whole.select("doc", F.greatest(F.col("p") - (length - GRAM), F.lit(0)).alias("s"), (F.col("p") + length).alias("e"))
+    whole = occ.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
+    whole = settle(whole.select("doc", "twin", F.greatest(F.col("p") - (length - GRAM), F.lit(0)).alias("s"), (F.col("p") + length).alias("e")), "whole-spans")
+    release(occ)
     # One place of each surrounding that shares its gram with another one.
-    places = shared.where("m > 1").select("one.doc", "one.p", "a").groupBy("doc").agg(F.collect_list(F.struct("p", "a")).alias("places"))
-    windows = settle(window_hashes(texts.dropDuplicates(["doc"]).join(places, "doc"), length), "windows")
-    again = windows.groupBy("a", "r", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    part = windows.join(again, ["a", "r", "w1", "w2"], "left_semi").select("doc", (F.col("p") - F.col("r")).alias("s"), (F.col("p") - F.col("r") + length).alias("e"))
-    spans = whole.union(part).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    joined = texts.join(spans, "doc", "left").select(key, "text", "spans")
+    shared = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
+    places = contexts.join(shared, "a", "left_semi").select("one.doc", "one.twin", "one.p", "a", "n")
+    places = places.groupBy("doc", "twin").agg(F.collect_list(F.struct("p", "a", "n")).alias("places"))
+    around = settle(context_bytes(texts.join(places, ["doc", "twin"]), length), "context-bytes")
+    release(contexts)
+    part = spans_by_sorting(around, length)
+    release(around)
+    spans = whole.unionByName(part).distinct().groupBy("doc", "twin").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    spans = settle(spans, "repeated-spans")
+    release(whole, part)
+    joined = texts.join(spans, ["doc", "twin"], "left").select("key", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,4 +334,4 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(arrays, names=[key, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"{key} {key_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    return joined.mapInArrow(run, f"`{key}` {key_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
