@@ -19,105 +19,131 @@ GRAM = 32  # bytes whose hash is sampled
 # before it is split, and how many are sorted together at least.
 GROUP_ROWS = 4_096
 CHUNK_ROWS = 1_024
+PIECE_BYTES = 1 << 20  # short texts are hashed together, so many bytes at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLES = [np.random.default_rng(seed).integers(1, 2**64 - 1, 256, np.uint64) for seed in (11, 12)]
-
-
-def _prefix(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    powers = np.full(len(data) + 1, _INVERSE)
-    powers[0] = 1
-    back = np.full(len(data) + 1, _BASE)
-    back[0] = 1
-    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-    return np.concatenate([[np.uint64(0)], np.cumsum(table[data] * powers[:-1], dtype=np.uint64)]), back
+_TABLE = np.random.default_rng(11).integers(1, 2**64 - 1, 256, np.uint64)
 
 
 class Rolling:
-    """64-bit hashes of any substrings of a text, by number of the hash table."""
+    """64-bit hashes of any substrings of a text."""
 
     def __init__(self, data: np.ndarray):
-        self.made = [_prefix(data, t) for t in _TABLES]
+        powers, back = np.full(len(data) + 1, _INVERSE), np.full(len(data) + 1, _BASE)
+        powers[0] = back[0] = 1
+        powers, self.back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        self.prefix = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * powers[:-1], dtype=np.uint64)])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.prefix[end] - self.prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
 
-    def __call__(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        prefix, back = self.made[which]
-        return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
+    def grams(self) -> np.ndarray:
+        """The hash of the gram at each place."""
+        return mix((self.prefix[GRAM:] - self.prefix[:-GRAM]) * self.back[: -GRAM] + np.uint64(GRAM))
 
 
-def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
-    """op over each window of w values, in two passes over blocks of w."""
+def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each window of w values, in two passes over blocks of w."""
     n = len(x)
-    padded = np.full(-(-n // w) * w + w, fill, np.uint64)
+    padded = np.full(-(-n // w) * w + w, np.uint64(2**64 - 1), np.uint64)
     padded[:n] = x
     rows = padded.reshape(-1, w)
-    ahead = op.accumulate(rows, 1).ravel()
-    behind = op.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    return op(behind[: n - w + 1], ahead[w - 1 : n])
+    ahead = np.minimum.accumulate(rows, 1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(roll: Rolling, n: int, length: int) -> np.ndarray:
-    """Places of sampled grams: in every window of ``length`` bytes those with the smallest hash, which depends on the window alone."""
-    if n < length:
-        return np.empty(0, np.int64)
-    at = np.arange(n - GRAM + 1)
-    h = roll(at, at + GRAM, 0)
-    w = length - GRAM + 1
-    least = _sliding(h, w, np.minimum, np.uint64(2**64 - 1))
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    return np.flatnonzero(_sliding(padded, w, np.maximum, np.uint64(0)) == h)
+def anchored(grams: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, last) for texts written one after the other that end at ``ends``.
+
+    The anchor of a string of ``length`` bytes is its gram with the smallest
+    hash, the first of equals, so equal strings have it at the same place.
+    Strings with one anchor begin at neighbouring places, from first to last.
+    """
+    at = np.arange(len(grams), dtype=np.uint64)
+    least = _sliding_least((grams >> np.uint64(32) << np.uint64(32)) | at, length - GRAM + 1)
+    begin = np.arange(len(least))
+    whole = begin + length <= ends[np.searchsorted(ends, begin, "right")]  # strings within one text
+    begin, anchor = begin[whole], (least[whole] & np.uint64(2**32 - 1)).astype(np.int64)
+    heads = np.flatnonzero(np.diff(anchor, prepend=-1))
+    return anchor[heads], begin[heads], begin[np.append(heads[1:], len(begin)) - 1] if len(begin) else begin
 
 
 def _data(value) -> np.ndarray:
     return np.frombuffer((value.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _context(p: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.maximum(p - (length - GRAM), 0), np.minimum(p + length, n)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
 def occurrences(texts: DataFrame, length: int) -> DataFrame:
-    """A row per anchor: doc, twin, p, the anchor's hash a, and c: the hash of all that lies within reach of its windows."""
+    """A row per anchor of a text and the context that its strings make up.
+
+    doc, twin, p (the anchor's place), left (bytes of the context before it),
+    size (of the context), a (the hash of the gram) and c (of the context).
+    """
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
+        rows, held, size = [], [], 0
+        for i, value in enumerate(batch.column("text")):
+            raw = _data(value).tobytes()
+            if len(raw) >= length:
+                rows.append(i)
+                held.append(raw)
+                size += len(raw)
+            if size >= PIECE_BYTES:
+                yield rows, held
+                rows, held, size = [], [], 0
+        if held:
+            yield rows, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, value in enumerate(batch.column("text")):
-                data = _data(value)
-                if len(data) < length:
-                    continue
-                roll = Rolling(data)
-                p = anchors(roll, len(data), length)
-                low, high = _context(p, len(data), length)
-                left = mix((p - low).astype(np.uint64))  # where in its context the anchor lies
-                same = pa.array(np.full(len(p), i))
-                arrays = [batch.column("doc").take(same), batch.column("twin").take(same), pa.array(p.astype(np.int32))]
-                arrays += [_signed(roll(p, p + GRAM, 1)), _signed(roll(low, high, 0) ^ left)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "twin", "p", "a", "c"])
+            for rows, held in pieces(batch):
+                ends = np.cumsum([len(x) for x in held])
+                roll = Rolling(np.frombuffer(b"".join(held), np.uint8))
+                anchor, first, last = anchored(roll.grams(), ends, length)
+                left, end = anchor - first, last + length
+                text = np.searchsorted(ends, anchor, "right")
+                place = anchor - np.concatenate([[0], ends])[text]
+                same = pa.array(np.array(rows)[text])
+                arrays = [batch.column("doc").take(same), batch.column("twin").take(same)]
+                arrays += [pa.array(x.astype(np.int32)) for x in (place, left, end - first)]
+                arrays += [_signed(roll(anchor, anchor + GRAM)), _signed(roll(first, end) ^ mix(left.astype(np.uint64)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "twin", "p", "left", "size", "a", "c"])
 
-    return texts.select("doc", "twin", "text").mapInArrow(run, "doc bigint, twin int, p int, a bigint, c bigint")
+    return texts.select("doc", "twin", "text").mapInArrow(run, "doc bigint, twin int, p int, left int, size int, a bigint, c bigint")
 
 
-def context_bytes(texts: DataFrame, length: int) -> DataFrame:
-    """For each (p, a, n) in ``places``: the bytes around the anchor, and how many of them lie before it."""
+def context_bytes(texts: DataFrame) -> DataFrame:
+    """For each (p, left, size, a, n) in ``places``: the bytes of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
-            for doc, twin, value, places in zip(*batch.columns):
+            places = batch.column("places")
+            counts = places.value_lengths().to_numpy()
+            fields = {f.name: places.flatten().field(f.name) for f in places.type.value_type}
+            p, left, size = (fields[c].to_numpy() for c in ("p", "left", "size"))
+            first, ends = (p - left).tolist(), (p - left + size).tolist()
+            cut: list[bytes] = []
+            used = np.ones(len(p), bool)
+            at = 0
+            for doc, twin, value, count in zip(batch.column("doc").to_pylist(), batch.column("twin").to_pylist(), batch.column("text"), counts.tolist()):
                 if (doc, twin) == before:  # a repeated row
-                    continue
-                before, data, places = (doc, twin), _data(value), places.as_py()
-                raw = data.tobytes()
-                for at in range(0, len(places), 4_096):
-                    part = places[at : at + 4_096]
-                    p, a, n = (np.array([x[c] for x in part], np.int64) for c in ("p", "a", "n"))
-                    low, high = _context(p, len(data), length)
-                    arrays = [pa.array(a), pa.array(n), pa.repeat(doc, len(p)), pa.repeat(twin, len(p)), pa.array(p.astype(np.int32))]
-                    arrays += [pa.array((p - low).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(low.tolist(), high.tolist())], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["a", "n", "doc", "twin", "p", "left", "ctx"])
+                    used[at : at + count] = False
+                else:
+                    raw = _data(value).tobytes()
+                    cut += [raw[first[k] : ends[k]] for k in range(at, at + count)]
+                before, at = (doc, twin), at + count
+            of = pa.array(np.repeat(np.arange(len(counts)), counts)[used])
+            keep = pa.array(used)
+            arrays = [fields["a"].filter(keep), fields["n"].filter(keep), batch.column("doc").take(of), batch.column("twin").take(of)]
+            arrays += [fields["p"].filter(keep), fields["left"].filter(keep), pa.array(cut, pa.binary())]
+            made = pa.RecordBatch.from_arrays(arrays, names=["a", "n", "doc", "twin", "p", "left", "ctx"])
+            for start in range(0, len(made), 10_000):
+                yield made.slice(start, 10_000)
 
     return texts.select("doc", "twin", "text", "places").mapInArrow(run, "a bigint, n bigint, doc bigint, twin int, p int, left int, ctx binary")
 
@@ -204,7 +230,6 @@ def repeated_in(table: pa.Table, length: int) -> pa.RecordBatch:
     place = (who.ravel()[owner].astype(np.int64) << 32) + low[owner] + inside[order]
     again = np.zeros(0, bool)
     if len(order):
-        # Overlapping contexts of one document hold the same place twice.
         again = (np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)) | (np.maximum.reduceat(n[owner], heads) > 1)
     marked = np.zeros(len(data) + 1, bool)
     marked[order[again[run]]] = True
@@ -299,16 +324,16 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
     source = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = source.withColumns({"doc": F.xxhash64("key", "text"), "twin": F.hash("key", "text")})
     occ = settle(occurrences(texts, length), "anchors")
-    contexts = settle(occ.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "twin", "p")).alias("one")), "contexts")
+    contexts = settle(occ.groupBy("a", "c", "left", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc", "twin", "p")).alias("one")), "contexts")
     # Whole surroundings that occur more than once.
-    whole = occ.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
-    whole = settle(whole.select("doc", "twin", F.greatest(F.col("p") - (length - GRAM), F.lit(0)).alias("s"), (F.col("p") + length).alias("e")), "whole-spans")
+    whole = occ.join(contexts.where("n > 1").select("a", "c", "left", "size"), ["a", "c", "left", "size"], "left_semi")
+    whole = settle(whole.select("doc", "twin", (F.col("p") - F.col("left")).alias("s"), (F.col("p") - F.col("left") + F.col("size")).alias("e")), "whole-spans")
     release(occ)
     # One place of each surrounding that shares its gram with another one.
     shared = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
-    places = contexts.join(shared, "a", "left_semi").select("one.doc", "one.twin", "one.p", "a", "n")
-    places = places.groupBy("doc", "twin").agg(F.collect_list(F.struct("p", "a", "n")).alias("places"))
-    around = settle(context_bytes(texts.join(places, ["doc", "twin"]), length), "context-bytes")
+    places = contexts.join(shared, "a", "left_semi").select("one.doc", "one.twin", "one.p", "left", "size", "a", "n")
+    places = places.groupBy("doc", "twin").agg(F.collect_list(F.struct("p", "left", "size", "a", "n")).alias("places"))
+    around = settle(context_bytes(texts.join(places, ["doc", "twin"])), "context-bytes")
     release(contexts)
     part = spans_by_sorting(around, length)
     release(around)
