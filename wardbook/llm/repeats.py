@@ -324,14 +324,16 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
     source = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = source.withColumns({"doc": F.xxhash64("key", "text"), "twin": F.hash("key", "text")})
     occ = settle(occurrences(texts, length), "anchors")
-    contexts = settle(occ.groupBy("a", "c", "left", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc", "twin", "p")).alias("one")), "contexts")
+    # Any one place of a context will do; the three columns come from the same row, which hash aggregation keeps.
+    one = [F.first(c).alias(c) for c in ("doc", "twin", "p")]
+    contexts = settle(occ.groupBy("a", "c", "left", "size").agg(F.count("*").alias("n"), *one), "contexts")
     # Whole surroundings that occur more than once.
     whole = occ.join(contexts.where("n > 1").select("a", "c", "left", "size"), ["a", "c", "left", "size"], "left_semi")
     whole = settle(whole.select("doc", "twin", (F.col("p") - F.col("left")).alias("s"), (F.col("p") - F.col("left") + F.col("size")).alias("e")), "whole-spans")
     release(occ)
     # One place of each surrounding that shares its gram with another one.
     shared = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
-    places = contexts.join(shared, "a", "left_semi").select("one.doc", "one.twin", "one.p", "left", "size", "a", "n")
+    places = contexts.join(shared, "a", "left_semi").select("doc", "twin", "p", "left", "size", "a", "n")
     places = places.groupBy("doc", "twin").agg(F.collect_list(F.struct("p", "left", "size", "a", "n")).alias("places"))
     around = settle(context_bytes(texts.join(places, ["doc", "twin"])), "context-bytes")
     release(contexts)
