@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from wardbook.llm.pii import altered, base_spans, examples, find_pii, fit_pii, luhn, proposals
+from wardbook.llm.pii import HELD_EXAMPLES, HELD_TEXTS, altered, base_spans, example_batches, examples, find_pii, fit_pii, luhn, proposals
 
 SCHEMA = "doc_id bigint, text string, base string, spans string, of bigint, label int"
 
@@ -76,3 +77,18 @@ def test_base_spans_stay(fitted):
     for r in find_pii(df, fit_pii(df)).collect():
         assert [tuple(s) for s in r["base"]] == [(("email", "ip", "card", "phone")[k], a, b) for a, k, b in base_spans(texts[r["doc_id"]] or "")]
         assert {tuple(s) for s in r["base"]} <= {tuple(s) for s in r["spans"]}
+
+
+def test_examples_are_passed_on_in_bounded_batches():
+    texts = ["call +49 170 555 1234 or 10.0.0.1 or a@b.example.com"] * 1_500 + [None, ""] + ["10.0.0.1 and " * 3_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["of", "t"])
+    made = list(example_batches(iter([batch])))
+    assert max(b.num_rows for b in made) <= HELD_EXAMPLES < sum(b.num_rows for b in made)
+    found = [row for b in made for row in zip(*(c.to_pylist() for c in b.columns))]
+    assert found == [(i, n, k, y, [float(v) for v in x]) for i, t in enumerate(texts) for n, (k, y, x) in enumerate(examples(t or ""))]
+
+
+def test_spans_of_more_texts_than_a_task_holds(spark):
+    rows = [(i, f"from 10.0.{i // 256}.{i % 256} on", "kept") for i in range(3 * HELD_TEXTS + 7)]
+    found = find_pii(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1), []).collect()
+    assert [(r.doc_id, r.text, r.lang, [(s.kind, s.start, s.end) for s in r.base]) for r in found] == [(i, t, g, [("ip", 5, len(t) - 3)]) for i, t, g in rows]

@@ -17,6 +17,9 @@ KINDS = ("email", "ip", "card", "phone")
 # Spans of each kind used to fit the trees, chosen by hash: at most this many.
 MAX_TRAINING_SPANS = 6_000
 SAMPLE_CELLS = 16_384
+# A task holds so many examples, or so many texts with their spans, before it passes them on.
+HELD_EXAMPLES = 2_000
+HELD_TEXTS = 256
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -182,6 +185,27 @@ class Boosted:
         return self.start + self.rate * sum((self._leaf(t, x) for t in self.trees), np.zeros(len(x)))
 
 
+def example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(of, number, kind, label, x) from batches of (of, text), of at most ``HELD_EXAMPLES`` rows, however many a batch or one text gives."""
+    names = ["of", "number", "kind", "label", "x"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    for batch in batches:
+        held = []
+        for of, t in zip(batch.column(0), batch.column(1)):
+            key = of.as_py()
+            for n, (kind, label, x) in enumerate(examples(t.as_py() or "")):
+                held.append((key, n, kind, label, [float(v) for v in x]))
+                if len(held) >= HELD_EXAMPLES:
+                    yield made(held)
+                    held = []
+        if held:
+            yield made(held)
+
+
 def fit_pii(df: DataFrame, text: str = "text", max_spans: int = MAX_TRAINING_SPANS, rounds: int = 30, rate: float = 0.3, precision: float = 0.95) -> list[Boosted]:
     """One model per kind, fitted on at most ``max_spans`` examples of it from all texts, whole ones of any length.
 
@@ -194,15 +218,7 @@ def fit_pii(df: DataFrame, text: str = "text", max_spans: int = MAX_TRAINING_SPA
     with too few examples has no model and adds nothing.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(of, n, *e) for of, t in zip(batch.column(0).to_pylist(), batch.column(1)) for n, e in enumerate(examples(t.as_py() or ""))]
-            of, n, kind, label, made = zip(*rows) if rows else [()] * 5
-            columns = [pa.array(of, pa.int64()), pa.array(n, pa.int32()), pa.array(kind, pa.int32()), pa.array(label, pa.int32())]
-            columns.append(pa.array([[float(v) for v in f] for f in made], pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["of", "number", "kind", "label", "x"])
-
-    made = df.select(F.xxhash64(text).alias("of"), F.col(text).alias("t")).mapInArrow(run, "of bigint, number int, kind int, label int, x array<double>")
+    made = df.select(F.xxhash64(text).alias("of"), F.col(text).alias("t")).mapInArrow(example_batches, "of bigint, number int, kind int, label int, x array<double>")
     made = made.withColumn("cell", F.pmod(F.xxhash64("of", "number"), F.lit(SAMPLE_CELLS)).cast("int"))
     made = settle(made.dropDuplicates(["of", "number"]), "examples")
     counts = np.zeros((len(KINDS), 2, SAMPLE_CELLS), np.int64)
@@ -254,13 +270,15 @@ def find_pii(df: DataFrame, models: list[Boosted], text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, every = [], []
-            for value in batch.column(text):
-                t = value.as_py() or ""
-                found = base_spans(t)
-                base.append(named(found))
-                every.append(named(sorted(found + added_spans(t, found, shared.value))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, arrow), pa.array(every, arrow)], names=[*batch.schema.names, "base", "spans"])
+            for at in range(0, batch.num_rows, HELD_TEXTS):
+                part = batch.slice(at, HELD_TEXTS)
+                base, every = [], []
+                for value in part.column(text):
+                    t = value.as_py() or ""
+                    found = base_spans(t)
+                    base.append(named(found))
+                    every.append(named(sorted(found + added_spans(t, found, shared.value))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(base, arrow), pa.array(every, arrow)], names=[*part.schema.names, "base", "spans"])
 
     schema = kept.select("*", F.lit(None).cast(span).alias("base"), F.lit(None).cast(span).alias("spans")).schema
     return kept.mapInArrow(run, schema)
