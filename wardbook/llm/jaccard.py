@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,36 +22,79 @@ SUBPARTS = 3  # parts of a partition, of which each signature leaves out one
 SKETCH_BITS_PER_DIFFERENCE = 8  # the smallest size of a parity sketch, per difference that linked sets may have
 CACHE_WORDS = 500_000
 PACKED_SIGNATURES = 2_000_000  # signatures that a task holds before it passes them on by bucket
+WORDS_AT_ONCE = 200_000  # texts are hashed together until they have so many words
+TEXTS_AT_ONCE = 4_096  # at most 2^16: a text's number stands above its shingles
 LABELS_TRIED = 64  # numbers tried per partition, so that each has one of its own
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The ranges that begin at ``first`` and have ``count`` numbers, one after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Slices of batches of (key, text), with the words of their texts, so small that their arrays stay in the cache."""
+    for batch in batches:
+        at, held, words = 0, 0, []
+        for i, t in enumerate(batch.column(1)):
+            words.append(words_of(t.as_py()))
+            held += len(words[-1])
+            if held >= WORDS_AT_ONCE or len(words) == TEXTS_AT_ONCE:
+                yield batch.slice(at, len(words)), words
+                at, held, words = i + 1, 0, []
+        if words:
+            yield batch.slice(at), words
 
 
 class ShingleHasher:
-    """Sorted distinct shingle hashes of a text; remembers the hashes of words."""
+    """Sorted distinct shingle hashes of texts, given by their words; remembers the hashes of words."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width, self.known = width, _WordHashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-        if not words:
-            return np.empty(0, np.uint64)
+    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all texts, text by text, and where those of each begin and the last end."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.width, len(h))
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-        return np.unique(out >> np.uint64(64 - SHINGLE_BITS))
+            self.known.clear()
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(size) - size
+        h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.uint64, int(size.sum()))
+        found = []
+        for n in range(1, self.width + 1):  # fewer words than the width are one shingle
+            of = np.flatnonzero(size >= n if n == self.width else size == n)
+            count = size[of] - n + 1
+            at = ragged(first[of], count)
+            out = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                out *= np.uint64(0x9E3779B97F4A7C15)
+                out += h[at + k]
+                out = mix(out)
+            out >>= np.uint64(64 - SHINGLE_BITS)
+            found.append(out | (np.repeat(of, count).astype(np.uint64) << np.uint64(SHINGLE_BITS)))
+        x = np.sort(np.concatenate(found))  # by text, then hash
+        x = x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+        bounds = np.searchsorted(x, np.arange(len(texts), dtype=np.uint64) << np.uint64(SHINGLE_BITS))
+        return x & np.uint64(2**SHINGLE_BITS - 1), np.append(bounds, len(x))
 
 
 def band_table(percent: int, upto: int) -> list[int]:
@@ -90,50 +134,54 @@ def may_link(percent: int) -> str:
     return f"{sizes} AND {100 + percent} * {apart} <= {100 - percent} * (nx + ny)"
 
 
-def part_signatures(x: np.ndarray, instance: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set, and which of them cover no element.
+def part_signatures(x: np.ndarray, count: np.ndarray, instance: np.ndarray, k: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets, given one after the other by their sizes; which of them cover no element; how many each set has.
 
     The domain is cut into ``k // 2 + 1`` partitions, so that two sets with at
     most ``k`` differences have at most one in some partition. Each partition
     is cut into three, and a signature covers two of them: the one without the
     difference is shared.
     """
-    parts = k // 2 + 1
+    cells = (k // 2 + 1) * SUBPARTS
+    first = np.cumsum(cells) - cells
+    total = int(cells.sum())
     hashed = mix(x + np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64))
-    cell = hashed % np.uint64(parts * SUBPARTS)
-    cell = cell.astype(np.uint16 if parts * SUBPARTS < 2**16 else np.int64)  # short numbers are sorted by radix
-    order = np.argsort(cell, kind="stable")
-    cell, value = cell[order], mix(hashed[order])
-    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    sums = np.zeros(parts * SUBPARTS, np.uint64)
-    sums[cell[first]] = np.add.reduceat(value, first)
-    count = np.bincount(cell, minlength=parts * SUBPARTS).reshape(parts, SUBPARTS)
-    sums = sums.reshape(parts, SUBPARTS)
+    cell = (hashed % np.repeat(cells.astype(np.uint64), count)).astype(np.int64) + np.repeat(first, count)
+    sums = np.zeros(total, np.uint64)
+    np.add.at(sums, cell, mix(hashed))
+    sums, held = sums.reshape(-1, SUBPARTS), np.bincount(cell, minlength=total).reshape(-1, SUBPARTS)
     rest = (sums.sum(1, dtype=np.uint64)[:, None] - sums).ravel()
-    bare = (count.sum(1)[:, None] - count).ravel() == 0
-    place = np.arange(parts * SUBPARTS, dtype=np.uint64) + np.uint64((instance << 32) + (seed << 56))
-    return mix(rest + mix(place)), bare
+    bare = (held.sum(1)[:, None] - held).ravel() == 0
+    place = np.arange(total) - np.repeat(first - (instance << 32) - (seed << 56), cells)
+    return mix(rest + mix(place.astype(np.uint64))), bare, cells
 
 
-def signatures(x: np.ndarray, highs: list[int], percent: int) -> np.ndarray:
-    """All signatures of a set: for its own size band and for the one below.
+def signatures(x: np.ndarray, bounds: np.ndarray, highs: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of sets, for the size band of each and for the one below, and the number of the set that each belongs to.
 
     A signature without elements would be shared by unrelated sets. It is
     replaced by its combinations with the signatures of a second, independent
     partitioning, of which linked sets share one as well.
     """
-    band = int(np.searchsorted(highs, len(x)))
-    out = []
+    size, limits = np.diff(bounds), np.array(highs)
+    band = np.searchsorted(limits, size)
+    out, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for instance in (band, band - 1):
-        k = allowed_difference(highs[instance], percent) if instance >= 0 else 0
-        if k == 0:  # only equal sets are linked, and those are one class already
+        k = np.where(instance >= 0, allowed_difference(limits[instance], percent), 0)
+        of = np.flatnonzero((k > 0) & (size > 0))  # without a difference only equal sets are linked, and those are one class already
+        if len(of) == 0:
             continue
-        found, bare = part_signatures(x, instance, k, 0)
+        found, bare, cells = part_signatures(x[ragged(bounds[of], size[of])], size[of], instance[of], k[of], 0)
+        owner = np.repeat(of, cells)
         out.append(found[~bare])
+        owners.append(owner[~bare])
         if bare.any():
-            second = part_signatures(x, instance, k, 1)[0]
-            out += [mix(second ^ mix(np.uint64([s]))) for s in found[bare]]
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+            of, at = np.unique(owner[bare], return_inverse=True)
+            second, _, cells = part_signatures(x[ragged(bounds[of], size[of])], size[of], instance[of], k[of], 1)
+            with_ = second[ragged((np.cumsum(cells) - cells)[at], cells[at])]
+            out.append(mix(with_ ^ np.repeat(mix(found[bare]), cells[at])))
+            owners.append(np.repeat(of[at], cells[at]))
+    return np.concatenate(out), np.concatenate(owners)
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, width: int, percent: int | None = None) -> DataFrame:
@@ -143,17 +191,15 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int, percent: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, digest, lists = [], [], []
-                for t in part.column(1):
-                    x = hasher(t.as_py())
-                    n.append(len(x))
-                    digest.append(xxhash.xxh3_128_hexdigest(x.tobytes()))
-                    lists.append(x.astype(np.int64) if percent is None else parity_sketch(x, percent))
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(lists, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "digest", last])
+        for part, words in in_chunks(batches):
+            x, bounds = hasher(words)
+            sets = [x[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            digest = pa.array([xxhash.xxh3_128_hexdigest(one.tobytes()) for one in sets])
+            if percent is None:
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x.view(np.int64)))
+            else:
+                lists = pa.array([parity_sketch(one, percent) for one in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), digest, lists], names=["key", "n", "digest", last])
 
     return df.select(key, text).mapInArrow(run, f"key {key_type}, n bigint, digest string, {last} array<bigint>")
 
@@ -182,10 +228,10 @@ def signature_rows(df: DataFrame, key: str, text: str, width: int, percent: int)
     key_type = df.schema[key].dataType.simpleString()
     labels = partition_labels(df.sparkSession)
 
-    def packed(keys: list[pa.Array], found: list[np.ndarray]) -> pa.RecordBatch:
-        sig = np.concatenate(found)
-        owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    def packed(keys: list[pa.Array], found: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        sig, owner = np.concatenate(found), np.concatenate(owners)
         bucket = ((sig >> np.uint64(32)) * np.uint64(len(labels))) >> np.uint64(32)
+        bucket = bucket.astype(np.uint16 if len(labels) < 2**16 else np.int64)  # short numbers are sorted by radix
         order = np.argsort(bucket, kind="stable")  # rows stay in order, so their keys compress well
         present, first = np.unique(bucket[order], return_index=True)
         ends = pa.array(np.append(first, len(sig)), pa.int32())
@@ -195,22 +241,21 @@ def signature_rows(df: DataFrame, key: str, text: str, width: int, percent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, highs = ShingleHasher(width), band_table(percent, 1)
-        keys, found, held = [], [], 0
-        for batch in batches:
-            for i, t in enumerate(batch.column(1)):
-                x = hasher(t.as_py())
-                if len(x) == 0:
-                    continue
-                if len(x) > highs[-1]:
-                    highs = band_table(percent, len(x))
-                keys.append(batch.column(0).slice(i, 1))
-                found.append(signatures(x, highs, percent))
-                held += len(found[-1])
-                if held >= PACKED_SIGNATURES:
-                    yield packed(keys, found)
-                    keys, found, held = [], [], 0
+        keys, found, owners, texts, held = [], [], [], 0, 0
+        for part, words in in_chunks(batches):
+            x, bounds = hasher(words)
+            if (most := int(np.diff(bounds).max())) > highs[-1]:
+                highs = band_table(percent, most)
+            sig, owner = signatures(x, bounds, highs, percent)
+            keys.append(part.column(0))
+            found.append(sig)
+            owners.append(owner + texts)
+            texts, held = texts + len(words), held + len(sig)
+            if held >= PACKED_SIGNATURES:
+                yield packed(keys, found, owners)
+                keys, found, owners, texts, held = [], [], [], 0, 0
         if held:
-            yield packed(keys, found)
+            yield packed(keys, found, owners)
 
     rows = df.select(key, text).mapInArrow(run, f"bucket bigint, sig array<int>, d array<{key_type}>")
     return rows.repartition("bucket").selectExpr("bucket", "inline(arrays_zip(sig, d))")
@@ -239,7 +284,8 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     base = base.drop("sketch")
     signed = signature_rows(of_keys(df, classes, key, text), key, text, width, percent)
     # A signature that one class has alone can't give a link. One shuffle finds the smallest class and tells who is alone.
-    by_class = Window.partitionBy("bucket", "sig").orderBy("d")
+    # Signatures come before buckets, as rows are sorted by the first column, and a partition has one bucket.
+    by_class = Window.partitionBy("sig", "bucket").orderBy("d")
     whole = F.expr("shiftleft(bucket, 32) | (sig & 4294967295L)").alias("sig")
     members = signed.select(whole, "d", F.first("d").over(by_class).alias("hub"), F.lead("d").over(by_class).alias("after"))
     members = settle(members.where("d != hub OR after IS NOT NULL").select("sig", "d", "hub"), "members")
