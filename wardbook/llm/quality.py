@@ -1,21 +1,24 @@
 """Operator 5: quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-The model counts word trigrams in Spark. Below the words lies a spelling model
-of characters, which gives words never seen a probability of their own.
+The model counts word trigrams in Spark, one slice of middle words at a time.
+Below the words lies a spelling model of characters, which gives words never
+seen a probability of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.session import settle
+from wardbook.session import release, settle
 
 # Spelling reads characters as 128 classes, so its table has at most 2^21
 # entries whatever the corpus: its size is bounded before it is broadcast.
@@ -23,13 +26,18 @@ CLASSES = 128
 START = 0
 SPACE = 32
 FOLDS = 2
-# Scripts without spaces count each character as a word.
-WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\s぀-ヿ㐀-鿿가-힯]+")
+# Words are runs of other characters than white space (kind 1); in scripts without spaces (kind 2) each character is one.
+KINDS = np.array([1 if chr(i).isspace() else 2 if 0x3040 <= i < 0x3100 or 0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xD7B0 else 0 for i in range(0xD7B1)], np.int8)
 PART_WORDS = 64
 END_LOG_P = float(np.log(1e-3))  # what spelling gives the end of a text
-# So many of the most frequent n-grams are answered from a broadcast list; all others are joined.
-HOT_GRAMS = 100_000
-MEMO_WORDS = 500_000
+# So many of the most frequent words are answered from a broadcast list; all others are looked up in their bucket.
+HOT_WORDS = 100_000
+# Trigrams are counted and looked up in so many slices by their middle word, and only one lies on disk at a time;
+# small corpora take fewer, with at least SLICE_WORDS trusted words each.
+SLICES = 6
+SLICE_WORDS = 1_000_000
+BUCKET_WORDS = 100_000  # trusted words in a bucket, about; a middle word with more is split by the word before it
+CHUNK_CHARS = 1_000_000  # characters, about, that are read and whose n-grams are packed together
 SCORES = ("perplexity", "lowest", "highest")
 CUTS = ("low", "high", "part_low", "part_high")
 BINS = 100  # cuts are set to a hundredth of the log score
@@ -41,30 +49,15 @@ def fold_of(text: str) -> int:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=1).digest()[0] % FOLDS
 
 
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character trigrams of words, each spelled from two start marks to a space, and where each word's begin."""
-    points = np.frombuffer((" ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(points < 128, np.where(points <= 32, SPACE, points), points % 31 + 1).astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]])
-    before, before2 = np.concatenate([[START], c[:-1]]), np.concatenate([[START, START], c[:-2]])[: len(c)]
-    before[begin] = START
-    before2[begin] = START
-    second = begin + 1
-    before2[second] = START
-    return (before2 * CLASSES + before) * CLASSES + c, begin
-
-
 def spelling_counts(df: DataFrame, text: str) -> DataFrame:
     """(gram, n) over all texts for each fold, summed per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FOLDS * CLASSES**3, np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                words = WORD.findall(t.as_py() or "")
-                if words:
-                    grams, n = np.unique(spelled(words)[0], return_counts=True)
-                    total[fold_of(t.as_py()) * CLASSES**3 + grams] += n
+        for c in chunks(batches, False):
+            grams, begin = c.spelled()
+            fold = np.repeat(c.fold, c.size - 3)
+            total += np.bincount(grams + np.repeat(fold, np.diff(begin, append=len(grams))) * CLASSES**3, minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
 
@@ -110,154 +103,416 @@ def _mixed(*ids: np.ndarray) -> np.ndarray:
 
 
 class _Reader:
-    """Words of a text as ids under one fold's model, and their spelling."""
+    """The spelling of words under one fold's model."""
 
     def __init__(self, spelling: np.ndarray):
-        self.spelling, self.known = spelling, [{} for _ in range(FOLDS)]
-
-    def ids(self, words: list[str], fold: int) -> np.ndarray:
-        known = self.known[fold]
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8, key=bytes([fold])).digest(), "little")
-        return np.array([fold, fold, *map(known.__getitem__, words), FOLDS + fold], np.uint64)
+        self.spelling = spelling
 
     def spell(self, words: list[str], fold: int) -> np.ndarray:
-        grams, begin = spelled(words)
-        return np.append(np.add.reduceat(self.spelling[fold][grams].astype(np.float64), begin), END_LOG_P)
+        return _Chunk([0], [" ".join(words)], [fold]).spell(self.spelling)
+
+
+class _Chunk:
+    """Many texts with words, read together: the ids ``s`` of their words between marks, and a slot for each part of each text."""
+
+    def __init__(self, keys: list[int], texts: list[str], folds: list[int]):
+        self.keys, self.fold = np.array(keys, np.int64), np.array(folds, np.int64)
+        points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = KINDS[np.minimum(points, len(KINDS) - 1)]
+        word = kind != 1
+        cut = np.append(True, (kind[:-1] != 0) | (kind[1:] == 2))
+        begin = np.flatnonzero(word & cut)
+        self.length = np.add.reduceat(word, begin, dtype=np.int64)
+        self.points = points[word]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.size = np.diff(np.searchsorted(begin, ends), prepend=0) + 3
+        self.end = np.cumsum(self.size)
+        start = self.end - self.size
+        self.s = np.empty(self.end[-1], np.uint64)
+        self.is_word = np.ones(len(self.s), bool)
+        for at, mark in ((start, self.fold), (start + 1, self.fold), (self.end - 1, FOLDS + self.fold)):
+            self.s[at], self.is_word[at] = mark, False
+        offset = np.cumsum(self.length) - self.length
+        place = np.arange(len(self.points)) - np.repeat(offset, self.length)
+        place = place * FOLDS + np.repeat(np.repeat(self.fold, self.size - 3), self.length)
+        # An id is the sum of a random number for each character at its place.
+        self.s[self.is_word] = _mixed(np.add.reduceat(_mixed(self.points.astype(np.uint64), place.astype(np.uint64)), offset), self.length.astype(np.uint64))
+        self.last = np.maximum(1, (self.size - 3) // PART_WORDS) - 1
+        self.slot = np.cumsum(self.last + 1) - self.last - 1  # the first of each text
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Character trigrams of all words, each spelled from two start marks to a space, and where each word's begin."""
+        begin = np.cumsum(self.length + 1) - self.length - 1
+        c = np.full(len(self.points) + len(begin), SPACE, np.int64)
+        at = np.arange(len(self.points)) + np.repeat(np.arange(len(begin)), self.length)
+        c[at] = np.where(self.points < 128, np.where(self.points <= 32, SPACE, self.points), self.points % 31 + 1)
+        before, before2 = np.concatenate([[START], c[:-1]]), np.concatenate([[START, START], c[:-2]])[: len(c)]
+        before[begin] = START
+        before2[begin] = START
+        before2[begin + 1] = START
+        return (before2 * CLASSES + before) * CLASSES + c, begin
+
+    def spell(self, spelling: np.ndarray) -> np.ndarray:
+        """Log probability of each word by its spelling, and of each end of a text, in their order."""
+        grams, begin = self.spelled()
+        fold = np.repeat(np.repeat(self.fold, self.size - 3), self.length + 1)
+        out = np.full(len(self.s), END_LOG_P)
+        out[self.is_word] = np.add.reduceat(spelling[fold, grams].astype(np.float64), begin)
+        return out[self.behind(2)]
+
+    def behind(self, marks: int) -> np.ndarray:
+        """Where in ``s`` ids lie that have so many start marks before them."""
+        found = np.ones(len(self.s), bool)
+        for i in range(marks):
+            found[self.end - self.size + i] = False
+        return np.flatnonzero(found)
+
+    def trigrams(self, chosen: int, slices: int) -> np.ndarray:
+        """Where the trigrams begin whose middle word is in the slice."""
+        mine = slice_of(self.s, slices) == chosen
+        begins = np.append(mine[1:], False)
+        begins[self.end - 1] = begins[self.end - 2] = False
+        return np.flatnonzero(begins)
+
+    def slots(self, at: np.ndarray, shift: int) -> np.ndarray:
+        """The slot of the n-gram's last word, when it lies ``shift`` ids behind place ``at``."""
+        text = np.searchsorted(self.end, at, "right")
+        word = np.maximum(at - (self.end - self.size)[text] + shift - 2, 0)
+        return self.slot[text] + np.minimum(word // PART_WORDS, self.last[text])
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The text's key and the part of each slot."""
+        text = np.repeat(np.arange(len(self.keys)), self.last + 1)
+        return self.keys[text], (np.arange(len(text)) - self.slot[text]).astype(np.int32)
+
+
+def slice_of(ids: np.ndarray, slices: int) -> np.ndarray:
+    return (_mixed(ids) % np.uint64(slices)).astype(np.int64)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], flip: bool) -> Iterator[_Chunk]:
+    """Texts with words (last column, their key before it) by some ``CHUNK_CHARS``; ``flip`` reads them under the other fold's model."""
+    keys, texts, folds, n = [], [], [], 0
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1).to_pylist()
+        for key, t in zip(batch.column(0).to_pylist() if batch.num_columns > 1 else [0] * len(column), column):
+            if t and not t.isspace():
+                keys.append(key)
+                texts.append(t)
+                folds.append(FOLDS - 1 - fold_of(t) if flip else fold_of(t))
+                n += len(t)
+                if n >= CHUNK_CHARS:
+                    yield _Chunk(keys, texts, folds)
+                    keys, texts, folds, n = [], [], [], 0
+    if keys:
+        yield _Chunk(keys, texts, folds)
+
+
+# Many n-grams of one bucket travel as one row of packed arrays.
+PACKED = {"bucket": pa.int64(), "kind": pa.int32(), "chunk": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary()}
+PACKED_DDL = "bucket bigint, kind int, chunk bigint, a binary, b binary, c binary, d binary"
+TRUSTED, PAIRS, WORDS, ASKED, ASKED_WORDS, SLOTS = range(6)
+
+
+def pack(kind: int, bucket: np.ndarray, arrays: list[np.ndarray], chunk: int = 0) -> pa.RecordBatch:
+    """One row for each bucket, with the arrays' items of that bucket in their order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, arrays = bucket[order], [x[order] for x in arrays]
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    begin, end = np.append(0, cut), np.append(cut, len(bucket))
+    if not len(bucket):
+        begin = end = begin[:0]
+    columns = [[x[i:j].tobytes() for i, j in zip(begin, end)] for x in arrays] + [[None] * len(begin)] * (4 - len(arrays))
+    rows = [bucket[begin], np.full(len(begin), kind, np.int32), np.full(len(begin), chunk, np.int64), *columns]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, PACKED.values())], names=list(PACKED))
+
+
+def unpack(table: pa.Table, kind: int, *types) -> list[np.ndarray]:
+    """The arrays of all rows of a kind, one after the other."""
+    rows = table.filter(pc.equal(table["kind"], kind))
+    return [np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in zip("abcd", types)]
+
+
+def find(keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each asked key among the sorted keys, or 0."""
+    if not len(keys):
+        return np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0.0)
+
+
+def vocabulary(df: DataFrame, text: str, spelling) -> DataFrame:
+    """Distinct words of each fold with end marks: id, fold, spelling and how often they occur."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches, False):
+            at = c.behind(2)
+            word, first, n = np.unique(c.s[at], return_index=True, return_counts=True)
+            fold = np.repeat(c.fold, c.size - 2)[first]
+            columns = [word.view(np.int64), fold.astype(np.int32), c.spell(spelling.value)[first], n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "fold", "spell", "n"])
 
-def trigram_counts(df: DataFrame, text: str, spelling) -> DataFrame:
-    """Distinct word trigrams of each fold: ids of the trigram, both its pairs, its two last words; spelling and count."""
-    schema = "fold int, gram bigint, ctx bigint, pair bigint, mid bigint, word bigint, spell double, n bigint"
+    made = df.select(text).mapInArrow(run, "word bigint, fold int, spell double, n bigint")
+    return made.groupBy("word", "fold").agg(F.min("spell").alias("spell"), F.sum("n").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(spelling.value)
-        for batch in batches:
-            for t in batch.column(0):
-                words = WORD.findall(t.as_py() or "")
-                if not words:
-                    continue
-                fold = fold_of(t.as_py())
-                s = reader.ids(words, fold)
-                gram, first, n = np.unique(_mixed(s[:-2], s[1:-1], s[2:]), return_index=True, return_counts=True)
-                pair, word, spell = _mixed(s[:-1], s[1:]), _mixed(s), reader.spell(words, fold)
-                parts = [gram, pair[first], pair[first + 1], word[first + 1], word[first + 2]]
-                out = [pa.array(np.full(len(gram), fold, np.int32)), *(pa.array(p.view(np.int64)) for p in parts), pa.array(spell[first]), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(out, names=["fold", "gram", "ctx", "pair", "mid", "word", "spell", "n"])
 
-    made = df.select(text).mapInArrow(run, schema)
-    return made.groupBy("fold", "gram", "ctx", "pair", "mid", "word").agg(F.min("spell").alias("spell"), F.sum("n").alias("n"))
+def _in_buckets(df: DataFrame, text: str, chosen: int, slices: int, buckets: int, run, schema: str) -> DataFrame:
+    """Apply ``run`` to every bucket of pairs with their trusted trigrams (pair, trigram, middle and last word)."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches, False):
+            at = c.trigrams(chosen, slices)
+            mid, word = c.s[at + 1], c.s[at + 2]
+            pair = _mixed(mid, word)
+            gram = _mixed(_mixed(c.s[at], mid), pair)
+            yield pack(TRUSTED, (pair >> np.uint64(20)).astype(np.int64) % buckets, [pair, gram, mid, word])
 
-def _discounted(table: DataFrame) -> DataFrame:
-    """Append d, the discount of each row's count n."""
-    seen = table.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
-    _, one, two, more = (float(x) for x in discounts(*seen))
-    return table.withColumn("d", F.expr(f"CASE n WHEN 1 THEN {one!r}D WHEN 2 THEN {two!r}D ELSE {more!r}D END"))
+    def bucket(table: pa.Table) -> pa.Table:
+        pair, gram, mid, word = unpack(table, TRUSTED, *[np.uint64] * 4)
+        _, first, n3 = np.unique(gram, return_index=True, return_counts=True)
+        _, at, n2 = np.unique(pair[first], return_index=True, return_counts=True)
+        first = first[at]
+        return run(n3, pair[first], mid[first], word[first], n2)
 
+    return df.select(text).mapInArrow(deal, PACKED_DDL).groupBy("bucket").applyInArrow(bucket, schema)
 
-def _contexts(table: DataFrame, context: str) -> DataFrame:
-    """Total count and log share freed by the discounts for each context."""
-    sums = table.groupBy(context).agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-    return sums.select(context, "total", F.log(F.col("freed") / F.col("total")).alias("back"))
 
+def _table(**columns) -> pa.Table:
+    return pa.table({n: x.view(np.int64) if x.dtype == np.uint64 else x for n, x in columns.items()})
 
-def gram_values(counted: DataFrame) -> tuple[DataFrame, list[float]]:
-    """(gram, value, n) for n-grams of all orders, and each fold's log share of spelling.
 
-    With p(w) the probability under the shorter context and b the log share a
-    context leaves to it, an n-gram seen adds log p - b - log p(w), a context
-    seen adds b, and what was never seen adds nothing. So the log probability
-    of a text is its spelling plus one value for each n-gram in it: counts,
-    continuation counts and discounts are aggregates and joins, and a text
-    needs a single join.
+def word_sums(df: DataFrame, text: str, chosen: int, slices: int, buckets: int) -> DataFrame:
+    """For each word its pairs as last word, its trigrams and pairs of one, two and more trigrams as middle word.
+
+    The rows of word null count the trigrams (order 3) and pairs (order 2) of 1 to 4.
     """
-    t3 = settle(_discounted(counted), "trigrams")
-    t2 = settle(_discounted(t3.groupBy("fold", "pair", "mid", "word").agg(F.min("spell").alias("spell"), F.count("*").alias("n"), F.sum("n").alias("seen"))), "pairs")
-    t1 = settle(_discounted(t2.groupBy("fold", "word").agg(F.min("spell").alias("spell"), F.count("*").alias("n"), F.sum("seen").alias("seen"))), "words")
-    totals = {r["fold"]: r for r in t1.groupBy("fold").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")).collect()}
-    shares = [float(np.log(totals[f]["freed"] / totals[f]["total"])) if f in totals else 0.0 for f in range(FOLDS)]
-    total = F.expr("CASE fold " + " ".join(f"WHEN {f} THEN {r['total']}D" for f, r in totals.items()) + " END")
-    lower = F.col("spell") + F.expr("CASE fold " + " ".join(f"WHEN {f} THEN {shares[f]!r}D" for f in totals) + " END")
-    p1 = t1.select("word", "seen", lower.alias("lower"), F.log((F.col("n") - F.col("d")) / total + F.exp(lower)).alias("lp1"))
-    c2 = settle(_contexts(t2, "mid"), "word-contexts")
-    c3 = settle(_contexts(t3, "ctx"), "pair-contexts")
-    p2 = t2.join(c2, "mid").join(p1.select("word", "lp1"), "word").withColumn("low", F.col("back") + F.col("lp1"))
-    p2 = settle(p2.select("pair", "seen", "low", F.log((F.col("n") - F.col("d")) / F.col("total") + F.exp("low")).alias("lp2")), "pair-values")
-    p3 = t3.join(c3, "ctx").join(p2.select("pair", "lp2"), "pair").withColumn("low", F.col("back") + F.col("lp2"))
-    p3 = p3.select("gram", (F.log((F.col("n") - F.col("d")) / F.col("total") + F.exp("low")) - F.col("low")).alias("value"), F.col("n").alias("seen"))
-    rows = p3.unionByName(p2.select(F.col("pair").alias("gram"), (F.col("lp2") - F.col("low")).alias("value"), "seen"))
-    rows = rows.unionByName(p1.select(F.col("word").alias("gram"), (F.col("lp1") - F.col("lower")).alias("value"), "seen"))
-    for contexts, name in ((c3, "ctx"), (c2, "mid")):
-        rows = rows.unionByName(contexts.select(F.col(name).alias("gram"), F.col("back").alias("value"), F.lit(0).cast("bigint").alias("seen")))
-    return settle(rows.groupBy("gram").agg(F.sum("value").alias("value"), F.max("seen").alias("n")), "gram-values"), shares
+
+    def run(n3, pair, mid, word, n2) -> pa.Table:
+        words, at = np.unique(np.concatenate([word, mid]), return_inverse=True)
+        last, middle = at[: len(word)], at[len(word) :]
+        sums = [np.bincount(last, minlength=len(words)), np.bincount(middle, n2, len(words))]
+        sums += [np.bincount(middle, which, len(words)) for which in (n2 == 1, n2 == 2, n2 > 2)]
+        seen = [[*(int((n == k).sum()) for k in (1, 2, 3, 4)), 0] for n in (n3, n2)]
+        columns = [[None, None, *words.view(np.int64).tolist()], [3, 2, *[0] * len(words)]]
+        columns += [[*k, *x.astype(np.int64).tolist()] for k, x in zip(zip(*seen), sums)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["word", "order", "n", "total", "ones", "twos", "more"])
+
+    made = _in_buckets(df, text, chosen, slices, buckets, run, "word bigint, order bigint, n bigint, total bigint, ones bigint, twos bigint, more bigint")
+    return made.groupBy("word", "order").agg(*[F.sum(c).alias(c) for c in ("n", "total", "ones", "twos", "more")])
+
+
+def pair_counts(df: DataFrame, text: str, chosen: int, slices: int, buckets: int) -> DataFrame:
+    """Distinct pairs of a slice: id, middle and last word, and in how many trigrams they end."""
+
+    def run(n3, pair, mid, word, n2) -> pa.Table:
+        return _table(pair=pair, mid=mid, word=word, n=n2.astype(np.int64))
+
+    return _in_buckets(df, text, chosen, slices, buckets, run, "pair bigint, mid bigint, word bigint, n bigint")
+
+
+def _discount(d: np.ndarray, n: str) -> str:
+    return f"CASE {n} WHEN 1 THEN {float(d[1])!r}D WHEN 2 THEN {float(d[2])!r}D ELSE {float(d[3])!r}D END"
 
 
 class QualityModel:
-    """The model's n-gram values and, per language, the perplexities between which a text is kept."""
+    """Trusted text with the values of its words and, per language, the perplexities between which a text is kept.
 
-    def __init__(self, spelling=None, values: DataFrame | None = None, shares: list[float] | None = None, bounds: DataFrame | None = None):
-        self.spelling, self.values, self.shares, self.bounds = spelling, values, shares, bounds
-        self.hot = None
-        if values is not None:
-            top = values.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram", "value").toArrow().sort_by("gram")
-            self.hot = values.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(), top["value"].to_numpy()))
+    With p(w) the probability under the shorter context and b the log share a
+    context leaves to it, an n-gram seen adds log p - b - log p(w), a context
+    seen adds b, and what was never seen adds nothing. So the log probability
+    of a text is its spelling plus one value for each n-gram in it. A trigram,
+    its context and its last pair share the middle word: their values are made
+    and looked up one slice of middle words after the other, in buckets that
+    hold the trusted trigrams and those asked for, so that neither the model
+    nor the n-grams of all texts ever lie on disk as a whole.
+    """
 
-    def _rows(self, df: DataFrame, text: str, cold: bool) -> DataFrame:
-        """For each text and part: spelling and hot n-grams (x) with characters, or with ``cold`` a row for each other n-gram."""
+    def __init__(self, trusted: DataFrame | None = None, spelling=None):
+        self.trusted, self.spelling, self.bounds, self.known = trusted, spelling, None, None
+        if trusted is not None:
+            self._fit()
+
+    def _fit(self) -> None:
+        spark, trusted = self.trusted.sparkSession, self.trusted
+        vocab = settle(vocabulary(trusted, "text", self.spelling), "vocabulary")
+        n = vocab.agg(F.sum("n")).first()[0]
+        self.slices = max(1, min(SLICES, n // SLICE_WORDS))
+        self.buckets = -(-n // self.slices // BUCKET_WORDS)
+        sums = [settle(word_sums(trusted, "text", k, self.slices, self.buckets), "word-sums") for k in range(self.slices)]
+        every = functools.reduce(DataFrame.unionByName, sums)
+        seen = {r["order"]: r for r in every.where("word IS NULL").groupBy("order").agg(*[F.sum(c).alias(c) for c in ("n", "total", "ones", "twos")]).collect()}
+        self.d3, self.d2 = (discounts(*seen[o][1:]) for o in (3, 2))
+        t1 = every.where("word IS NOT NULL").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "total", "ones", "twos", "more")])
+        # The start mark is a middle word only, and not in the vocabulary.
+        t1 = settle(t1.join(vocab.withColumnRenamed("n", "times"), "word", "left"), "words")
+        release(*sums, vocab)
+        d1 = discounts(*t1.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first())
+        t1 = t1.withColumn("d", F.expr(_discount(d1, "n")))
+        totals = {r["fold"]: r for r in t1.where("n > 0").groupBy("fold").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")).collect()}
+        self.shares = [float(np.log(totals[f]["freed"] / totals[f]["total"])) if f in totals else 0.0 for f in range(FOLDS)]
+        total = F.expr("CASE fold " + " ".join(f"WHEN {f} THEN {r['total']}D" for f, r in totals.items()) + " END")
+        lower = F.col("spell") + F.expr("CASE fold " + " ".join(f"WHEN {f} THEN {self.shares[f]!r}D" for f in totals) + " END")
+        one, two, more = (float(x) for x in self.d2[1:])
+        freed = F.col("ones") * one + F.col("twos") * two + F.col("more") * more
+        t1 = t1.withColumn("lower", lower).withColumn("lp1", F.when(F.col("n") > 0, F.log((F.col("n") - F.col("d")) / total + F.exp("lower"))))
+        t1 = t1.withColumn("back", F.when(F.col("total") > 0, F.log(freed / F.col("total"))))
+        value = F.coalesce(F.col("lp1") - F.col("lower"), F.lit(0.0)) + F.coalesce("back", F.lit(0.0))
+        self.words = settle(t1.select("word", "total", "back", "lp1", value.alias("value"), F.coalesce("times", "total").alias("times")), "word-values")
+        top = self.words.orderBy(F.desc("times"), "word").limit(HOT_WORDS).select("word", "value").toArrow()
+        keys, values = top["word"].to_numpy().view(np.uint64), top["value"].to_numpy()
+        order = np.argsort(keys)
+        self.hot = spark.sparkContext.broadcast((keys[order], values[order]))
+        # At most as many as there are buckets hold more than a bucket's words.
+        wide = self.words.where(F.col("total") > BUCKET_WORDS).select("word", "total").toArrow()
+        keys, splits = wide["word"].to_numpy().view(np.uint64), -(-wide["total"].to_numpy() // BUCKET_WORDS)
+        order = np.argsort(keys)
+        self.wide = spark.sparkContext.broadcast((keys[order], splits[order]))
+
+    def _base(self, df: DataFrame, text: str) -> DataFrame:
+        """For each text and part: spelling and hot words (x) with characters, and a first part without any for each text, as some have no words."""
         spelling, hot, shares = self.spelling, self.hot, self.shares
-        schema = "id bigint, part int, gram bigint, x double, chars bigint"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader, (keys, values) = _Reader(spelling.value), hot.value
+            keys, values = hot.value
+            for c in chunks(batches, True):
+                at, both = c.behind(2), c.behind(1)
+                slot, n = c.slots(at, 0), c.slot[-1] + c.last[-1] + 1
+                chars = np.ones(len(c.s))
+                chars[c.is_word] += c.length
+                x = np.bincount(slot, c.spell(spelling.value) + np.array(shares)[np.repeat(c.fold, c.size - 2)], n)
+                x += np.bincount(c.slots(both, 0), find(keys, c.s[both], values), n)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, c.parts()), pa.array(x), pa.array(np.bincount(slot, chars[at], n).astype(np.int64))], names=["id", "part", "x", "chars"])
+
+        known = df.select(F.xxhash64(text).alias("id"), text)
+        wordless = known.select("id").distinct().select("id", F.lit(0).alias("part"), F.lit(0.0).alias("x"), F.lit(0).cast("bigint").alias("chars"))
+        return known.mapInArrow(run, "id bigint, part int, x double, chars bigint").unionByName(wordless)
+
+    def _slice(self, df: DataFrame, text: str, chosen: int) -> DataFrame:
+        """For each text and part: the values of n-grams of one slice of middle words (x), hot words aside."""
+        slices, buckets, wide, hot, d3 = self.slices, self.buckets, self.wide, self.hot, self.d3
+
+        def bucket_of(mid: np.ndarray, split: np.ndarray | int = 0) -> np.ndarray:
+            return ((_mixed(mid, np.broadcast_to(np.uint64(split), mid.shape)) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+        def place(mid: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+            """The bucket of a trigram: that of its middle word, or of the part of it that its context is in."""
+            splits = np.maximum(find(wide.value[0], mid, wide.value[1]), 1).astype(np.uint64)
+            return bucket_of(mid, _mixed(ctx) % splits)
+
+        def trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c in chunks(batches, False):
+                at = c.trigrams(chosen, slices)
+                ctx, pair = _mixed(c.s[at], c.s[at + 1]), _mixed(c.s[at + 1], c.s[at + 2])
+                yield pack(TRUSTED, place(c.s[at + 1], ctx), [ctx, pair])
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            for i, c in enumerate(chunks(batches, True)):
+                chunk = part << 32 | i
+                at = c.trigrams(chosen, slices)
+                ctx, pair = _mixed(c.s[at], c.s[at + 1]), _mixed(c.s[at + 1], c.s[at + 2])
+                own, last = c.slots(at, 1).astype(np.int32), c.slots(at, 2).astype(np.int32)
+                yield pack(ASKED, place(c.s[at + 1], ctx), [ctx, pair, own * 2 + (last - own)], chunk)
+                mine = slice_of(c.s, slices) == chosen
+                mine[c.end - c.size] = False  # one of the two start marks is asked for
+                at = np.flatnonzero(mine)
+                keys = hot.value[0]
+                at = at[keys[np.minimum(np.searchsorted(keys, c.s[at]), len(keys) - 1)] != c.s[at]]
+                yield pack(ASKED_WORDS, bucket_of(c.s[at]), [c.s[at], c.slots(at, 0).astype(np.int32)], chunk)
+                ids, parts = c.parts()
+                yield pack(SLOTS, np.full(len(ids), chunk % buckets), [ids, parts], chunk)
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pair, mid, lp2, value = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+                mid = mid.view(np.uint64)
+                splits = np.maximum(find(wide.value[0], mid, wide.value[1]), 1).astype(np.int64)
+                each = np.repeat(np.arange(len(mid)), splits)
+                split = np.arange(len(each)) - (np.cumsum(splits) - splits)[each]
+                yield pack(PAIRS, bucket_of(mid[each], split.astype(np.uint64)), [x[each] for x in (pair.view(np.uint64), lp2, value)])
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found: list[list[np.ndarray]] = []
-                for key, t in zip(batch.column(0), batch.column(1)):
-                    words = WORD.findall(t.as_py() or "")
-                    if not words:
-                        continue
-                    fold = FOLDS - 1 - fold_of(t.as_py())  # the model that was not trained on this text
-                    s, last = reader.ids(words, fold), max(1, len(words) // PART_WORDS) - 1
-                    part = np.minimum(np.arange(len(words) + 1) // PART_WORDS, last)
-                    gram = np.concatenate([_mixed(s[1:]), _mixed(s[:-1], s[1:]), _mixed(s[:-2], s[1:-1], s[2:])]).view(np.int64)
-                    at = np.concatenate([[0], part, [0], part, part])
-                    where = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-                    is_hot = keys[where] == gram
-                    if cold:
-                        at, gram = at[~is_hot].astype(np.int64), gram[~is_hot]
-                        _, first, n = np.unique(_mixed(at.view(np.uint64), gram.view(np.uint64)), return_index=True, return_counts=True)
-                        found.append([np.full(len(n), key.as_py()), at[first], gram[first], n.astype(float), np.zeros(len(n), np.int64)])
-                    else:
-                        x = np.bincount(part, reader.spell(words, fold) + shares[fold], last + 1)
-                        x += np.bincount(at[is_hot], values[where[is_hot]], last + 1)
-                        chars = np.bincount(part, [*(len(w) + 1 for w in words), 1], last + 1).astype(np.int64)
-                        found.append([np.full(last + 1, key.as_py()), np.arange(last + 1), np.zeros(last + 1, np.int64), x, chars])
-                if found:
-                    a = [np.concatenate(c) for c in zip(*found)]
-                    a[1] = a[1].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in a], names=["id", "part", "gram", "x", "chars"])
-
-        return df.select(F.xxhash64(text).alias("id"), text).mapInArrow(run, schema)
+                word, value = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+                word = word.view(np.uint64)
+                mine = slice_of(word, slices) == chosen
+                yield pack(WORDS, bucket_of(word[mine]), [word[mine], value[mine]])
+
+        def look_up(table: pa.Table) -> pa.Table:
+            ctx, pair = unpack(table, TRUSTED, np.uint64, np.uint64)
+            gram, first, n = np.unique(_mixed(ctx, pair), return_index=True, return_counts=True)
+            d = d3[np.minimum(n, 3)]
+            contexts, of = np.unique(ctx[first], return_inverse=True)
+            total = np.bincount(of, n, len(contexts))
+            back = np.log(np.bincount(of, d, len(contexts)) / total) if len(contexts) else np.zeros(0)
+            known, lp2, pair_value = unpack(table, PAIRS, np.uint64, np.float64, np.float64)
+            order = np.argsort(known)
+            known, lp2, pair_value = known[order], lp2[order], pair_value[order]
+            low = back[of] + find(known, pair[first], lp2)
+            value = np.log((n - d) / total[of] + np.exp(low)) - low
+            word, word_value = unpack(table, WORDS, np.uint64, np.float64)
+            order = np.argsort(word)
+            word, word_value = word[order], word_value[order]
+            out = []
+            for r in table.filter(pc.greater_equal(table["kind"], ASKED)).select(["kind", "chunk", "a", "b", "c"]).to_pylist():
+                if r["kind"] == SLOTS:
+                    out.append((r["chunk"], r["a"], r["b"], None))
+                    continue
+                if r["kind"] == ASKED:
+                    ctx, pair, slot = (np.frombuffer(r[c], t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.int32)))
+                    x = np.concatenate([find(contexts, ctx, back), find(known, pair, pair_value) + find(gram, _mixed(ctx, pair), value)])
+                    slot = np.concatenate([slot >> 1, (slot >> 1) + (slot & 1)])
+                else:
+                    x, slot = find(word, np.frombuffer(r["a"], np.uint64), word_value), np.frombuffer(r["b"], np.int32)
+                slot, x = slot[x != 0], x[x != 0]
+                if len(x):
+                    some, at = np.unique(slot, return_inverse=True)
+                    out.append((r["chunk"], None, some.astype(np.int32).tobytes(), np.bincount(at, x).tobytes()))
+            return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "ids", "slots", "x"])
+
+        def add(table: pa.Table) -> pa.Table:
+            rows = table.to_pylist()
+            ids, parts = next((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["slots"], np.int32)) for r in rows if r["ids"] is not None)
+            total = np.zeros(len(ids))
+            for r in rows:
+                if r["x"] is not None:
+                    total[np.frombuffer(r["slots"], np.int32)] += np.frombuffer(r["x"], np.float64)
+            return pa.table({"id": ids, "part": parts, "x": total})
+
+        counted = pair_counts(self.trusted, "text", chosen, slices, buckets)
+        found = counted.join(self.words.select(F.col("word").alias("mid"), "total", "back"), "mid").join(self.words.select("word", "lp1"), "word")
+        found = found.withColumn("low", F.col("back") + F.col("lp1")).withColumn("lp2", F.log((F.col("n") - F.expr(_discount(self.d2, "n"))) / F.col("total") + F.exp("low")))
+        found = settle(found.select("pair", "mid", "lp2", (F.col("lp2") - F.col("low")).alias("value")), "pair-values")
+        rows = df.select(F.xxhash64(text).alias("id"), text).mapInArrow(asked, PACKED_DDL).unionByName(self.trusted.select("text").mapInArrow(trusted, PACKED_DDL))
+        rows = rows.unionByName(found.mapInArrow(pairs, PACKED_DDL)).unionByName(self.words.select("word", "value").mapInArrow(words, PACKED_DDL))
+        sums = rows.groupBy("bucket").applyInArrow(look_up, "chunk bigint, ids binary, slots binary, x binary")
+        out = settle(sums.groupBy("chunk").applyInArrow(add, "id bigint, part int, x double"), "slice-scores")
+        release(found)
+        return out
 
     def scores(self, df: DataFrame, text: str = "text") -> DataFrame:
         """(id, perplexity, lowest, highest) of each distinct text: per character, over all of it and over its parts."""
-        base = self._rows(df, text, False).select("id", "part", "x", "chars")
-        cold = self._rows(df, text, True).join(self.values.select("gram", "value"), "gram")
-        cold = cold.groupBy("id", "part").agg(F.sum(F.col("x") * F.col("value")).alias("x"), F.lit(0).cast("bigint").alias("chars"))
+        written = [settle(self._base(df, text), "base-scores")]
+        written += [self._slice(df, text, k) for k in range(self.slices)]
+        each = [written[0], *[t.withColumn("chars", F.lit(0).cast("bigint")) for t in written[1:]]]
         # Copies of a text add to sums and characters alike, which leaves their quotient.
-        parts = base.unionByName(cold).groupBy("id", "part").agg(F.sum("x").alias("x"), F.sum("chars").alias("chars"))
-        each = F.exp(-F.col("x") / F.col("chars"))
-        return parts.groupBy("id").agg(F.exp(-F.sum("x") / F.sum("chars")).alias("perplexity"), F.min(each).alias("lowest"), F.max(each).alias("highest"))
+        parts = functools.reduce(DataFrame.unionByName, each).groupBy("id", "part").agg(F.sum("x").alias("x"), F.sum("chars").alias("chars"))
+        one = F.exp(-F.col("x") / F.expr("nullif(chars, 0)"))
+        whole = F.exp(-F.sum("x") / F.nullif(F.sum("chars"), F.lit(0)))
+        out = settle(parts.groupBy("id").agg(whole.alias("perplexity"), F.min(one).alias("lowest"), F.max(one).alias("highest")), "scores")
+        release(*written)
+        return out
 
     def scored(self, df: DataFrame, text: str) -> DataFrame:
         """Append the three scores to every row; null without a model or without words."""
         kept = df.drop("_id", *SCORES)
-        if self.values is None:
+        if self.trusted is None:
             return kept.withColumns({c: F.lit(None).cast("double") for c in SCORES})
-        found = self.scores(kept, text).withColumnRenamed("id", "_id")
-        return kept.withColumn("_id", F.xxhash64(text)).join(found, "_id", "left").drop("_id")
+        found = self.known
+        new = kept.select(F.xxhash64(text).alias("id"), text).join(found, "id", "left_anti")
+        if not new.isEmpty():
+            found = found.unionByName(self.scores(new, text))
+        return kept.withColumn("_id", F.xxhash64(text)).join(found.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
 
     def judge(self, df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         """Append perplexity, low, high and kept to every row; kept looks at the parts of a text, too."""
@@ -360,7 +615,8 @@ def fit_quality(
     if not counts.any():
         return QualityModel()
     spelling = df.sparkSession.sparkContext.broadcast(np.stack([kneser_ney(c) for c in counts.reshape(FOLDS, -1)]))  # 16 MB
-    model = QualityModel(spelling, *gram_values(trigram_counts(trusted, "text", spelling)))
+    model = QualityModel(trusted, spelling)
+    model.known = model.scores(df, text)  # all texts at once, as those labelled and those to judge are mostly the same
     labelled = trusted.withColumn("good", F.lit(True))
     if bad_keys is not None:
         labelled = labelled.unionByName(listed(bad_keys).withColumn("good", F.lit(False)))
