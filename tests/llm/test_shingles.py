@@ -75,3 +75,41 @@ def test_chunks_keep_rows_and_order(monkeypatch):
     assert [w for _, words in made for w in words] == [words_of(t) for t in [*texts, "z"]]
     assert [len(words) for _, words in made] == [part.num_rows for part, _ in made] and max(len(words) for _, words in made) == 3
     assert ragged(np.array([4, 9, 0]), np.array([2, 0, 3])).tolist() == [4, 5, 0, 1, 2]
+
+
+def test_signatures_grow_with_the_set():
+    """Sets of a fifth of differences have many signatures that cover no element; their number grows in proportion all the same."""
+    rng, highs, sets = np.random.default_rng(6), band_table(80, 30_000), []
+    for size in (100, 1_000, 6_000, 24_000):
+        x = np.unique(rng.integers(0, 2**48, size, dtype=np.uint64))
+        sets += [x, np.sort(rng.permutation(x)[: -(-80 * len(x) // 100)])]
+    sig, owner = signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), highs, 80)
+    for i, x in enumerate(sets):
+        assert np.count_nonzero(owner == i) <= 2 * len(x)
+    for i in range(0, len(sets), 2):
+        assert np.intersect1d(sig[owner == i], sig[owner == i + 1]).size
+
+
+def test_linked_sets_that_share_bare_signatures_alone_share_another(monkeypatch):
+    """Whatever is bare in either partitioning, what two sets share in both is enough."""
+    plain = jaccard.part_signatures
+
+    def partly_bare(x, count, instance, k, seed):
+        found, bare, cells = plain(x, count, instance, k, seed)
+        return found, bare | np.isin(found, hidden[seed]), cells
+
+    monkeypatch.setattr(jaccard, "part_signatures", partly_bare)
+    x = np.unique(np.random.default_rng(7).integers(0, 2**48, 300, dtype=np.uint64))
+    pair = [x, x[: -(-85 * len(x) // 100)]]
+    highs, flat, bounds = band_table(85, 300), np.concatenate(pair), np.cumsum([0, *map(len, pair)])
+    size, limits = np.diff(bounds), np.array(band_table(85, 300))
+    shared = {}
+    for seed in (0, 1):
+        every = []
+        for instance in (np.searchsorted(limits, size), np.searchsorted(limits, size) - 1):
+            found, _, cells = plain(flat, size, instance, allowed_difference(limits[instance], 85), seed)
+            every += [found[: cells[0]], found[cells[0] :]]
+        shared[seed] = np.array([s for s in np.unique(np.concatenate(every)) if sum(s in e for e in every) > 1], np.uint64)
+    for hidden in ([shared[0], []], [shared[0], shared[1]]):
+        sig, owner = signatures(flat, bounds, highs, 85)
+        assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size

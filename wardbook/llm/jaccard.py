@@ -159,9 +159,11 @@ def part_signatures(x: np.ndarray, count: np.ndarray, instance: np.ndarray, k: n
 def signatures(x: np.ndarray, bounds: np.ndarray, highs: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of sets, for the size band of each and for the one below, and the number of the set that each belongs to.
 
-    A signature without elements would be shared by unrelated sets. It is
-    replaced by its combinations with the signatures of a second, independent
-    partitioning, of which linked sets share one as well.
+    A signature without elements would be shared by unrelated sets. A set with
+    such ones gets the signatures of a second, independent partitioning as
+    well, of which linked sets share one, too. Only where both are without
+    elements are they combined, so a set has no more signatures than about
+    twice its partitions' cells.
     """
     size, limits = np.diff(bounds), np.array(highs)
     band = np.searchsorted(limits, size)
@@ -177,10 +179,14 @@ def signatures(x: np.ndarray, bounds: np.ndarray, highs: list[int], percent: int
         owners.append(owner[~bare])
         if bare.any():
             of, at = np.unique(owner[bare], return_inverse=True)
-            second, _, cells = part_signatures(x[ragged(bounds[of], size[of])], size[of], instance[of], k[of], 1)
-            with_ = second[ragged((np.cumsum(cells) - cells)[at], cells[at])]
-            out.append(mix(with_ ^ np.repeat(mix(found[bare]), cells[at])))
-            owners.append(np.repeat(of[at], cells[at]))
+            second, bare_too, cells = part_signatures(x[ragged(bounds[of], size[of])], size[of], instance[of], k[of], 1)
+            whose = np.repeat(np.arange(len(of)), cells)
+            out.append(second[~bare_too])
+            owners.append(of[whose[~bare_too]])
+            count = np.bincount(whose[bare_too], minlength=len(of))
+            with_ = second[bare_too][ragged((np.cumsum(count) - count)[at], count[at])]
+            out.append(mix(with_ ^ np.repeat(mix(found[bare]), count[at])))
+            owners.append(np.repeat(of[at], count[at]))
     return np.concatenate(out), np.concatenate(owners)
 
 
