@@ -162,8 +162,8 @@ def signatures(x: np.ndarray, bounds: np.ndarray, highs: list[int], percent: int
     A signature without elements would be shared by unrelated sets. A set with
     such ones gets the signatures of a second, independent partitioning as
     well, of which linked sets share one, too. Only where both are without
-    elements are they combined, so a set has no more signatures than about
-    twice its partitions' cells.
+    elements are they combined: few until a set has some 100,000 elements,
+    from where their number, which grows with its square, counts.
     """
     size, limits = np.diff(bounds), np.array(highs)
     band = np.searchsorted(limits, size)
