@@ -20,11 +20,13 @@ SHINGLE_BITS = 48
 SKETCH_SEED = 0x5BD1E9955BD1E995
 SUBPARTS = 3  # parts of a partition, of which each signature leaves out one
 SKETCH_BITS_PER_DIFFERENCE = 8  # the smallest size of a parity sketch, per difference that linked sets may have
-CACHE_WORDS = 500_000
-PACKED_SIGNATURES = 2_000_000  # signatures that a task holds before it passes them on by bucket
+CACHE_WORDS = 100_000
+PACKED_SIGNATURES = 500_000  # signatures that a task holds before it passes them on by bucket
 WORDS_AT_ONCE = 200_000  # texts are hashed together until they have so many words
 TEXTS_AT_ONCE = 4_096  # at most 2^16: a text's number stands above its shingles
 LABELS_TRIED = 64  # numbers tried per partition, so that each has one of its own
+TILE_ROWS = 512  # classes on a side of a tile, in which each is compared with each
+PAIRS_AT_ONCE = 1_000_000  # pairs of classes, or words of their sketches, that are compared together
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,6 +127,50 @@ def parity_sketch(x: np.ndarray, percent: int) -> np.ndarray:
     return np.packbits(np.bincount(cell, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of one size, folded to so many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def pairs_within(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows, sorted by tile and side, that share a tile: of both sides if it has two, or any; some ``PAIRS_AT_ONCE`` at a time."""
+    at = np.arange(len(tile))
+    edge = np.append(True, tile[1:] != tile[:-1])
+    number = np.cumsum(edge) - 1
+    begin = np.flatnonzero(edge)
+    end = np.append(begin[1:], len(tile))[number]
+    second = begin + np.add.reduceat((side == 0).astype(np.int64), begin)  # where the second side begins
+    crossed = (second > begin) & (second < np.append(begin[1:], len(tile)))
+    first = np.where(crossed[number], np.maximum(second[number], at + 1), at + 1)
+    count = np.where(crossed[number] & (side == 1), 0, end - first)
+    done = np.cumsum(count)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + PAIRS_AT_ONCE, "right")))
+        yield np.repeat(at[i:j], count[i:j]), ragged(first[i:j], count[i:j])
+        i = j
+
+
+def linkable(x: np.ndarray, y: np.ndarray, n: np.ndarray, flat: np.ndarray, first: np.ndarray, words: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of classes can be similar enough, by size and sketch, as ``may_link`` says."""
+    nx, ny = n[x], n[y]
+    ok = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+    left = np.flatnonzero(ok)
+    kind = words[x[left]] << 32 | words[y[left]]
+    for k in np.unique(kind):
+        wx, wy = int(k >> 32), int(k & (2**32 - 1))
+        of, step = left[kind == k], max(1, PAIRS_AT_ONCE // max(wx, wy))
+        for i in range(0, len(of), step):
+            some = of[i : i + step]
+            a, b = (folded(flat[first[at[some]][:, None] + np.arange(w)], min(wx, wy)) for at, w in ((x, wx), (y, wy)))
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            ok[some] = (100 + percent) * apart <= (100 - percent) * (nx[some] + ny[some])
+    return ok
+
+
 def may_link(percent: int) -> str:
     """Whether two classes, by size and sketch (nx, px, ny, py), can be similar enough: never false for a link."""
     size = "least(size(px), size(py))"
@@ -280,9 +326,10 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     Rows with equal sets form a class, and only classes are compared. First
     each class that shares a signature is compared with the smallest one there,
     which joins most groups of near copies. Then classes that share a
-    signature and are still apart are compared with each other. Sizes and
-    parity sketches come first: what they rule out can't be a link, and only
-    the other pairs meet with their shingles.
+    signature and are still apart are compared with each other, each pair once
+    and not for each signature that it shares. Sizes and parity sketches come
+    first: what they rule out can't be a link, and only the other pairs meet
+    with their shingles.
     """
     base = settle(shingle_sets(df, key, text, width, percent), "digests")
     one = base.where("n > 0").groupBy("digest").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -301,11 +348,9 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     links = verified_links(df, first, key, text, width, percent)
     label = settle(components(links.select("a", "b")), "first-components")
     placed = members.join(label.withColumnRenamed("node", "d"), "d", "left").select("sig", "d", F.coalesce("component", "d").alias("c"))
-    apart = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("apart")).where("apart").select("sig")
-    placed = settle(placed.join(apart, "sig"), "apart")
-    side = lambda at: placed.select("sig", F.col("d").alias(at), F.col("c").alias(f"c{at}")).join(class_of(at), at)
-    near = side("x").join(side("y"), "sig").where(f"x < y AND cx != cy AND {may_link(percent)}")
-    second = near.select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
+    groups = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("apart"), F.min("d").alias("hub"), F.count("*").alias("m"))
+    placed = settle(placed.join(groups.where("apart").drop("apart"), "sig"), "apart")
+    second = near_pairs(placed, classes, percent).join(first, ["x", "y"], "left_anti")
     links = links.select("a", "b").union(verified_links(df, second, key, text, width, percent).select("a", "b"))
     # The smallest class id of a component is also its smallest key.
     label = components(links).select(F.col("node").alias("id"), "component")
@@ -314,6 +359,62 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
+def near_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(x, y), x < y: the pairs of classes in different components that share a signature and that size and sketch allow.
+
+    ``placed`` has the classes of each signature (sig, d, component c) with
+    the smallest class (hub) and the number (m) of its classes. Near copies
+    share hundreds of signatures, mostly of one hub, so the classes of a hub
+    are compared with each other at once, as a block; if those of its
+    signatures one by one make far fewer pairs, each is a block instead. More
+    pairs may be compared than share a signature, which only shows again what
+    is or isn't a link. A block is cut into tiles of at most about twice
+    ``TILE_ROWS`` rows, so no task has a whole one.
+    """
+    key_type = classes.schema["id"].dataType.simpleString()
+    of_hub = settle(placed.groupBy("hub", "d").agg(F.first("c").alias("c"), F.sum("m").alias("m")), "hub-members")
+    hubs = settle(of_hub.groupBy("hub").agg(F.count("*").alias("size"), F.sum("m").alias("by_sig")).withColumn("whole", F.expr("double(size) * size <= 4 * by_sig")), "hubs")
+    blocks = of_hub.join(hubs.where("whole"), "hub").select(F.xxhash64("hub").alias("block"), "d", "c", "size")
+    rest = placed.join(hubs.where("NOT whole").select("hub"), "hub", "left_semi").select(F.xxhash64("hub", "sig").alias("block"), "d", "c", F.col("m").alias("size"))
+    rows = blocks.unionByName(rest).withColumn("parts", F.expr(f"(size + {TILE_ROWS - 1}) div {TILE_ROWS}")).withColumn("part", F.expr("pmod(xxhash64(d), parts)"))
+    rows = rows.join(classes.select(F.col("id").alias("d"), "n", "sketch"), "d")
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    rows = rows.select(F.expr("xxhash64(block, least(part, other), greatest(part, other))").alias("tile"), F.expr("int(part > other)").alias("side"), "d", "c", "n", "sketch")
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        tile, side, n = (rows[c].to_numpy() for c in ("tile", "side", "n"))
+        component = rows["c"].combine_chunks().dictionary_encode().indices.to_numpy()
+        sketch = rows["sketch"].combine_chunks()
+        flat, first = sketch.values.to_numpy().view(np.uint64), sketch.offsets.to_numpy().astype(np.int64)
+        found = []
+        for x, y in pairs_within(tile, side):
+            other = component[x] != component[y]
+            x, y = x[other], y[other]
+            ok = linkable(x, y, n, flat, first[:-1], np.diff(first), percent)
+            found.append((x[ok], y[ok]))
+        d = rows["d"].combine_chunks()
+        return pa.RecordBatch.from_arrays([d.take(pa.array(np.concatenate(at))) for at in zip(*found)], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            tile = batch.column(0).to_numpy()
+            if len(tile) == 0:
+                continue
+            cut = int(np.argmax(tile == tile[-1]))  # the last tile may go on in the next batch
+            if held and (cut or tile[0] != held[-1].column(0)[-1].as_py()):
+                yield compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield compare(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    found = rows.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(run, f"x {key_type}, y {key_type}")
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def of_keys(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
 
