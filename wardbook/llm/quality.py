@@ -29,6 +29,7 @@ FOLDS = 2
 # Words are runs of other characters than white space (kind 1); in scripts without spaces (kind 2) each character is one.
 KINDS = np.array([1 if chr(i).isspace() else 2 if 0x3040 <= i < 0x3100 or 0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xD7B0 else 0 for i in range(0xD7B1)], np.int8)
 PART_WORDS = 64
+USUAL_POINTS, USUAL_PLACES = 512, 64  # characters and places whose random numbers are held in a table
 END_LOG_P = float(np.log(1e-3))  # what spelling gives the end of a text
 # So many of the most frequent words are answered from a broadcast list; all others are looked up in their bucket.
 HOT_WORDS = 100_000
@@ -36,8 +37,12 @@ HOT_WORDS = 100_000
 # small corpora take fewer, with at least SLICE_WORDS trusted words each.
 SLICES = 6
 SLICE_WORDS = 1_000_000
-BUCKET_WORDS = 100_000  # trusted words in a bucket, about; a middle word with more is split by the word before it
-CHUNK_CHARS = 1_000_000  # characters, about, that are read and whose n-grams are packed together
+# Trusted words in a bucket, about: the least, and up to four times as many once a slice has so many buckets. A middle
+# word with more than a bucket's is split by the word before it.
+BUCKET_WORDS = 100_000
+BUCKETS = 64
+CHUNK_CHARS = 1_000_000  # characters, about, that are read together
+PACKED_GRAMS = 300_000  # n-grams that a task packs together, or looks up at once: a row for each bucket, so there should be many a row
 SCORES = ("perplexity", "lowest", "highest")
 CUTS = ("low", "high", "part_low", "part_high")
 BINS = 100  # cuts are set to a hundredth of the log score
@@ -102,6 +107,24 @@ def _mixed(*ids: np.ndarray) -> np.ndarray:
     return x
 
 
+@functools.cache
+def _character_ids() -> np.ndarray:
+    """The random numbers of the usual characters at the usual places."""
+    points, places = np.arange(USUAL_POINTS, dtype=np.uint64), np.arange(USUAL_PLACES, dtype=np.uint64)
+    return _mixed(np.repeat(points[None], USUAL_PLACES, 0), np.repeat(places[:, None], USUAL_POINTS, 1)).ravel()
+
+
+def character_ids(points: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random number for each character at its place."""
+    usual = (points < USUAL_POINTS) & (place < USUAL_PLACES)
+    if usual.all():
+        return _character_ids()[place * USUAL_POINTS + points]
+    out = _character_ids()[np.where(usual, place * USUAL_POINTS + points, 0)]
+    rare = np.flatnonzero(~usual)
+    out[rare] = _mixed(points[rare].astype(np.uint64), place[rare].astype(np.uint64))
+    return out
+
+
 class _Reader:
     """The spelling of words under one fold's model."""
 
@@ -122,7 +145,7 @@ class _Chunk:
         word = kind != 1
         cut = np.append(True, (kind[:-1] != 0) | (kind[1:] == 2))
         begin = np.flatnonzero(word & cut)
-        self.length = np.add.reduceat(word, begin, dtype=np.int64)
+        self.length = np.flatnonzero(word & np.append(~word[1:] | cut[1:], True)) + 1 - begin
         self.points = points[word]
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.size = np.diff(np.searchsorted(begin, ends), prepend=0) + 3
@@ -133,10 +156,10 @@ class _Chunk:
         for at, mark in ((start, self.fold), (start + 1, self.fold), (self.end - 1, FOLDS + self.fold)):
             self.s[at], self.is_word[at] = mark, False
         offset = np.cumsum(self.length) - self.length
-        place = np.arange(len(self.points)) - np.repeat(offset, self.length)
-        place = place * FOLDS + np.repeat(np.repeat(self.fold, self.size - 3), self.length)
+        folds_of = np.repeat(self.fold, self.size - 3)
+        place = np.arange(len(self.points)) * FOLDS - np.repeat(offset * FOLDS - folds_of, self.length)  # in the word, with its fold
         # An id is the sum of a random number for each character at its place.
-        self.s[self.is_word] = _mixed(np.add.reduceat(_mixed(self.points.astype(np.uint64), place.astype(np.uint64)), offset), self.length.astype(np.uint64))
+        self.s[self.is_word] = _mixed(np.add.reduceat(character_ids(self.points, place), offset), self.length.astype(np.uint64))
         self.last = np.maximum(1, (self.size - 3) // PART_WORDS) - 1
         self.slot = np.cumsum(self.last + 1) - self.last - 1  # the first of each text
 
@@ -216,7 +239,7 @@ TRUSTED, PAIRS, WORDS, ASKED, ASKED_WORDS, SLOTS = range(6)
 
 def pack(kind: int, bucket: np.ndarray, arrays: list[np.ndarray], chunk: int = 0) -> pa.RecordBatch:
     """One row for each bucket, with the arrays' items of that bucket in their order."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 2**16 else bucket, kind="stable")  # short numbers are sorted by radix
     bucket, arrays = bucket[order], [x[order] for x in arrays]
     cut = np.flatnonzero(np.diff(bucket)) + 1
     begin, end = np.append(0, cut), np.append(cut, len(bucket))
@@ -227,6 +250,21 @@ def pack(kind: int, bucket: np.ndarray, arrays: list[np.ndarray], chunk: int = 0
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, PACKED.values())], names=list(PACKED))
 
 
+def packed(kind: int, made: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Buckets with their arrays, packed some ``PACKED_GRAMS`` items at a time."""
+    held, n = [], 0
+    for arrays in made:
+        held.append(arrays)
+        n += len(arrays[0])
+        if n >= PACKED_GRAMS:
+            bucket, *rest = (np.concatenate(x) for x in zip(*held))
+            yield pack(kind, bucket, rest)
+            held, n = [], 0
+    if held:
+        bucket, *rest = (np.concatenate(x) for x in zip(*held))
+        yield pack(kind, bucket, rest)
+
+
 def unpack(table: pa.Table, kind: int, *types) -> list[np.ndarray]:
     """The arrays of all rows of a kind, one after the other."""
     rows = table.filter(pc.equal(table["kind"], kind))
@@ -259,13 +297,16 @@ def vocabulary(df: DataFrame, text: str, spelling) -> DataFrame:
 def _in_buckets(df: DataFrame, text: str, chosen: int, slices: int, buckets: int, run, schema: str) -> DataFrame:
     """Apply ``run`` to every bucket of pairs with their trusted trigrams (pair, trigram, middle and last word)."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for c in chunks(batches, False):
             at = c.trigrams(chosen, slices)
             mid, word = c.s[at + 1], c.s[at + 2]
             pair = _mixed(mid, word)
             gram = _mixed(_mixed(c.s[at], mid), pair)
-            yield pack(TRUSTED, (pair >> np.uint64(20)).astype(np.int64) % buckets, [pair, gram, mid, word])
+            yield (pair >> np.uint64(20)).astype(np.int64) % buckets, pair, gram, mid, word
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(TRUSTED, made(batches))
 
     def bucket(table: pa.Table) -> pa.Table:
         pair, gram, mid, word = unpack(table, TRUSTED, *[np.uint64] * 4)
@@ -337,7 +378,8 @@ class QualityModel:
         vocab = settle(vocabulary(trusted, "text", self.spelling), "vocabulary")
         n = vocab.agg(F.sum("n")).first()[0]
         self.slices = max(1, min(SLICES, n // SLICE_WORDS))
-        self.buckets = -(-n // self.slices // BUCKET_WORDS)
+        most = min(max(BUCKET_WORDS, n // self.slices // BUCKETS), 4 * BUCKET_WORDS)
+        self.buckets = -(-n // self.slices // most)
         sums = [settle(word_sums(trusted, "text", k, self.slices, self.buckets), "word-sums") for k in range(self.slices)]
         every = functools.reduce(DataFrame.unionByName, sums)
         seen = {r["order"]: r for r in every.where("word IS NULL").groupBy("order").agg(*[F.sum(c).alias(c) for c in ("n", "total", "ones", "twos")]).collect()}
@@ -363,8 +405,8 @@ class QualityModel:
         order = np.argsort(keys)
         self.hot = spark.sparkContext.broadcast((keys[order], values[order]))
         # At most as many as there are buckets hold more than a bucket's words.
-        wide = self.words.where(F.col("total") > BUCKET_WORDS).select("word", "total").toArrow()
-        keys, splits = wide["word"].to_numpy().view(np.uint64), -(-wide["total"].to_numpy() // BUCKET_WORDS)
+        wide = self.words.where(F.col("total") > most).select("word", "total").toArrow()
+        keys, splits = wide["word"].to_numpy().view(np.uint64), -(-wide["total"].to_numpy() // most)
         order = np.argsort(keys)
         self.wide = spark.sparkContext.broadcast((keys[order], splits[order]))
 
@@ -400,43 +442,66 @@ class QualityModel:
             return bucket_of(mid, _mixed(ctx) % splits)
 
         def trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for c in chunks(batches, False):
-                at = c.trigrams(chosen, slices)
-                ctx, pair = _mixed(c.s[at], c.s[at + 1]), _mixed(c.s[at + 1], c.s[at + 2])
-                yield pack(TRUSTED, place(c.s[at + 1], ctx), [ctx, pair])
+            def made() -> Iterator[tuple[np.ndarray, ...]]:
+                for c in chunks(batches, False):
+                    at = c.trigrams(chosen, slices)
+                    ctx, pair = _mixed(c.s[at], c.s[at + 1]), _mixed(c.s[at + 1], c.s[at + 2])
+                    yield place(c.s[at + 1], ctx), ctx, pair
+
+            return packed(TRUSTED, made())
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = TaskContext.get().partitionId()
-            for i, c in enumerate(chunks(batches, True)):
-                chunk = part << 32 | i
+            """The n-grams of several chunks go together; the slots of each follow those of the ones before."""
+            part, packs, keys = TaskContext.get().partitionId(), 0, hot.value[0]
+            held, n, slots = {ASKED: [], ASKED_WORDS: [], SLOTS: []}, 0, 0
+
+            def all_held() -> Iterator[pa.RecordBatch]:
+                chunk = part << 32 | packs
+                for kind, made in held.items():
+                    bucket, *arrays = (np.concatenate(x) for x in zip(*made))
+                    yield pack(kind, bucket if kind != SLOTS else bucket + chunk % buckets, arrays, chunk)
+                    made.clear()
+
+            for c in chunks(batches, True):
                 at = c.trigrams(chosen, slices)
                 ctx, pair = _mixed(c.s[at], c.s[at + 1]), _mixed(c.s[at + 1], c.s[at + 2])
-                own, last = c.slots(at, 1).astype(np.int32), c.slots(at, 2).astype(np.int32)
-                yield pack(ASKED, place(c.s[at + 1], ctx), [ctx, pair, own * 2 + (last - own)], chunk)
+                own, last = c.slots(at, 1), c.slots(at, 2)
+                held[ASKED].append((place(c.s[at + 1], ctx), ctx, pair, ((own + slots) * 2 + (last - own)).astype(np.int32)))
                 mine = slice_of(c.s, slices) == chosen
                 mine[c.end - c.size] = False  # one of the two start marks is asked for
-                at = np.flatnonzero(mine)
-                keys = hot.value[0]
-                at = at[keys[np.minimum(np.searchsorted(keys, c.s[at]), len(keys) - 1)] != c.s[at]]
-                yield pack(ASKED_WORDS, bucket_of(c.s[at]), [c.s[at], c.slots(at, 0).astype(np.int32)], chunk)
+                words = np.flatnonzero(mine)
+                words = words[keys[np.minimum(np.searchsorted(keys, c.s[words]), len(keys) - 1)] != c.s[words]]
+                held[ASKED_WORDS].append((bucket_of(c.s[words]), c.s[words], (c.slots(words, 0) + slots).astype(np.int32)))
                 ids, parts = c.parts()
-                yield pack(SLOTS, np.full(len(ids), chunk % buckets), [ids, parts], chunk)
+                held[SLOTS].append((np.zeros(len(ids), np.int64), ids, parts))
+                n, slots = n + len(at) + len(words), slots + len(ids)
+                if n >= PACKED_GRAMS:
+                    yield from all_held()
+                    n, slots, packs = 0, 0, packs + 1
+            if held[SLOTS]:
+                yield from all_held()
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pair, mid, lp2, value = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-                mid = mid.view(np.uint64)
-                splits = np.maximum(find(wide.value[0], mid, wide.value[1]), 1).astype(np.int64)
-                each = np.repeat(np.arange(len(mid)), splits)
-                split = np.arange(len(each)) - (np.cumsum(splits) - splits)[each]
-                yield pack(PAIRS, bucket_of(mid[each], split.astype(np.uint64)), [x[each] for x in (pair.view(np.uint64), lp2, value)])
+            def made() -> Iterator[tuple[np.ndarray, ...]]:
+                for batch in batches:
+                    pair, mid, lp2, value = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+                    mid = mid.view(np.uint64)
+                    splits = np.maximum(find(wide.value[0], mid, wide.value[1]), 1).astype(np.int64)
+                    each = np.repeat(np.arange(len(mid)), splits)
+                    split = np.arange(len(each)) - (np.cumsum(splits) - splits)[each]
+                    yield bucket_of(mid[each], split.astype(np.uint64)), *(x[each] for x in (pair.view(np.uint64), lp2, value))
+
+            return packed(PAIRS, made())
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                word, value = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-                word = word.view(np.uint64)
-                mine = slice_of(word, slices) == chosen
-                yield pack(WORDS, bucket_of(word[mine]), [word[mine], value[mine]])
+            def made() -> Iterator[tuple[np.ndarray, ...]]:
+                for batch in batches:
+                    word, value = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+                    word = word.view(np.uint64)
+                    mine = slice_of(word, slices) == chosen
+                    yield bucket_of(word[mine]), word[mine], value[mine]
+
+            return packed(WORDS, made())
 
         def look_up(table: pa.Table) -> pa.Table:
             ctx, pair = unpack(table, TRUSTED, np.uint64, np.uint64)
@@ -453,21 +518,28 @@ class QualityModel:
             word, word_value = unpack(table, WORDS, np.uint64, np.float64)
             order = np.argsort(word)
             word, word_value = word[order], word_value[order]
-            out = []
-            for r in table.filter(pc.greater_equal(table["kind"], ASKED)).select(["kind", "chunk", "a", "b", "c"]).to_pylist():
-                if r["kind"] == SLOTS:
-                    out.append((r["chunk"], r["a"], r["b"], None))
-                    continue
-                if r["kind"] == ASKED:
-                    ctx, pair, slot = (np.frombuffer(r[c], t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.int32)))
-                    x = np.concatenate([find(contexts, ctx, back), find(known, pair, pair_value) + find(gram, _mixed(ctx, pair), value)])
-                    slot = np.concatenate([slot >> 1, (slot >> 1) + (slot & 1)])
-                else:
-                    x, slot = find(word, np.frombuffer(r["a"], np.uint64), word_value), np.frombuffer(r["b"], np.int32)
-                slot, x = slot[x != 0], x[x != 0]
-                if len(x):
-                    some, at = np.unique(slot, return_inverse=True)
-                    out.append((r["chunk"], None, some.astype(np.int32).tobytes(), np.bincount(at, x).tobytes()))
+            out = [(r["chunk"], r["a"], r["b"], None) for r in table.filter(pc.equal(table["kind"], SLOTS)).select(["chunk", "a", "b"]).to_pylist()]
+            for kind in (ASKED, ASKED_WORDS):
+                rows = table.filter(pc.equal(table["kind"], kind))
+                size = pc.binary_length(rows["a"]).to_numpy() // 8
+                done = np.append(0, np.cumsum(size))
+                i = 0
+                while i < len(size):
+                    j = max(i + 1, int(np.searchsorted(done, done[i] + PACKED_GRAMS, "right")) - 1)
+                    some, of = rows.slice(i, j - i), np.repeat(np.arange(j - i), size[i:j])
+                    if kind == ASKED:
+                        ctx, pair, slot = unpack(some, kind, np.uint64, np.uint64, np.int32)
+                        x = np.concatenate([find(contexts, ctx, back), find(known, pair, pair_value) + find(gram, _mixed(ctx, pair), value)])
+                        slot, of = np.concatenate([slot >> 1, (slot >> 1) + (slot & 1)]), np.concatenate([of, of])
+                    else:
+                        ids, slot = unpack(some, kind, np.uint64, np.int32)
+                        x = find(word, ids, word_value)
+                    key, x = (of << 32 | slot)[x != 0], x[x != 0]
+                    key, at = np.unique(key, return_inverse=True)
+                    x, slot = np.bincount(at, x, len(key)), (key & (2**32 - 1)).astype(np.int32)
+                    cut = np.searchsorted(key, np.arange(j - i + 1) << 32)
+                    out += [(k, None, slot[a:b].tobytes(), x[a:b].tobytes()) for k, a, b in zip(some["chunk"].to_pylist(), cut[:-1], cut[1:]) if a < b]
+                    i = j
             return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "ids", "slots", "x"])
 
         def add(table: pa.Table) -> pa.Table:
