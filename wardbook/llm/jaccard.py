@@ -25,7 +25,7 @@ PACKED_SIGNATURES = 500_000  # signatures that a task holds before it passes the
 WORDS_AT_ONCE = 200_000  # texts are hashed together until they have so many words
 TEXTS_AT_ONCE = 4_096  # at most 2^16: a text's number stands above its shingles
 LABELS_TRIED = 64  # numbers tried per partition, so that each has one of its own
-TILE_ROWS = 512  # classes on a side of a tile, in which each is compared with each
+TILE_ROWS = 256  # classes on a side of a tile, in which each is compared with each
 PAIRS_AT_ONCE = 1_000_000  # pairs of classes, or words of their sketches, that are compared together
 
 
